@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .host_rules import apply_host_rules, rules_sql
 from .minmax_dedup import near_duplicates
+from .mixing import MIX_SQL, mix_sources
+from .packing import pack
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,9 +21,27 @@ def op1_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_docs(spark, sf_dir), percent=85)
 
 
+def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return apply_host_rules(_docs(spark, sf_dir)).select(*columns)
+
+
+def op4_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_docs(spark, sf_dir))
+
+
+def op7_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_docs(spark, sf_dir), keep=["doc_id", "source"]).withColumn("rate", F.round("rate", 9))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minmax_dedup": op1_minmax_dedup}
+    return {
+        "op1_minmax_dedup": op1_minmax_dedup,
+        "op3_host_rules": op3_host_rules,
+        "op4_mixture_packing": op4_mixture_packing,
+        "op7_poisson_mixing": op7_poisson_mixing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_host_rules": rules_sql(), "op7_poisson_mixing": MIX_SQL}
