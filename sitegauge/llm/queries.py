@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .host_rules import apply_host_rules, rules_sql
+from .importance import resample
 from .minmax_dedup import near_duplicates
 from .mixing import MIX_SQL, mix_sources
 from .packing import pack
@@ -30,6 +31,10 @@ def op4_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_docs(spark, sf_dir))
 
 
+def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_docs(spark, sf_dir), keep=["doc_id", "source"]).withColumn("rate", F.round("rate", 9))
 
@@ -39,6 +44,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_minmax_dedup": op1_minmax_dedup,
         "op3_host_rules": op3_host_rules,
         "op4_mixture_packing": op4_mixture_packing,
+        "op6_importance_resampling": op6_importance_resampling,
         "op7_poisson_mixing": op7_poisson_mixing,
     }
 
