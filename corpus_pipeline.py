@@ -1,7 +1,7 @@
 """The corpus pipeline (part of the subpackage llm): documents pass the stages one after another.
 
 Each stage takes (spark, docs, sf_dir); its result is written as Parquet and read again before the next stage begins, so a
-stage first deletes the scratch tables of the stages before it.  All but the last return the columns of documents.
+stage begins by deleting the scratch tables of the one before.  All but the last return the columns of documents.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegauge.llm.common import cut, release, shared_dir
+from sitegauge.llm.common import cut, shared_dir, stage
 from sitegauge.llm.host_rules import keep_by_host_rules
 from sitegauge.llm.importance import keep_resampled
 from sitegauge.llm.minmax_dedup import near_duplicates
@@ -19,36 +19,36 @@ from sitegauge.llm.mixing import mix_sources
 from sitegauge.llm.packing import pack
 
 
+@stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rule, or a rule for which their host is bad, go."""
-    release(spark)
     return keep_by_host_rules(docs)
 
 
+@stage
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling doesn't draw go; labels that are good among the documents that are left set how many."""
-    release(spark)
     return keep_resampled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, and one row of each id; rows without id all stay."""
-    release(spark)
     found = near_duplicates(docs)
     gone = cut(found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     named = docs.where("doc_id is not null").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
     return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
 
 
+@stage
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeat at random at the rate that brings their source to its target weight."""
-    release(spark)
     return mix_sources(docs, keep=docs.columns)
 
 
+@stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 4096 tokens."""
-    release(spark)
     return pack(docs)
 
 
@@ -67,8 +67,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
+    for name, apply in STAGES:
+        out = apply(spark, docs, sf_dir)
         out.write.parquet(f"{base}/{name}")
         docs = spark.read.schema(out.schema).parquet(f"{base}/{name}")
     return docs

@@ -7,8 +7,10 @@ columns without decoding them.
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,8 @@ from pyspark.sql import functions as F
 BLANKS = r"[\x20\x09-\x0D]+"
 #: Longest table that is broadcast; beyond it the joins shuffle.
 BROADCAST_ROWS = 20_000
-_scratch: dict[str, list[str]] = {}
+_stage_tables: dict[str, list[str]] = {}
+_in_stage = False
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,15 +43,28 @@ def cut(df: DataFrame, name: str, *partition: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition) if partition else writer).parquet(path)
-    _scratch.setdefault(spark.sparkContext.applicationId, []).append(path)
+    if _in_stage:
+        _stage_tables.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables that ``cut`` has written.  Only for callers whose earlier results have all been written elsewhere."""
-    for path in _scratch.pop(spark.sparkContext.applicationId, []):
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage of a pipeline that writes each stage's result before it begins the next: the tables that ``cut`` wrote for the
+    stage before are deleted when this one begins."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        global _in_stage
+        for path in _stage_tables.pop(spark.sparkContext.applicationId, []):
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _in_stage = True
+        try:
+            return f(spark, docs, sf_dir)
+        finally:
+            _in_stage = False
+
+    return run
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:

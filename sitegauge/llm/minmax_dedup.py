@@ -114,7 +114,7 @@ def verify(groups: DataFrame, texts: DataFrame, percent: int, shingle: int = 5)
                         b.append(max(ids[i], id_))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    rows = groups.join(texts, "id").select("g", "part", "role", "id", "label", "text")
+    rows = groups.hint("merge").join(texts, "id").select("g", "part", "role", "id", "label", "text")
     return rows.repartition("g", "part").sortWithinPartitions("g", "part", "role").mapInArrow(run, "a long, b long")
 
 
@@ -147,6 +147,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     heads = salts.select(F.col("hub").alias("g"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("hub").alias("id"))
     tails = stars.join(salts, "hub").select(F.col("hub").alias("g"), F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int").alias("part"), F.lit(1).alias("role"), F.col("rep").alias("id"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    texts = cut(texts.join(popular.select(F.col("rep").alias("id")).hint("merge"), "id", "left_semi"), "texts")
     edges = cut(verify(heads.union(tails).withColumn("label", F.col("id")), texts, percent, shingle), "links")
     labels = components(edges)
     # buckets of which something stays apart from its hub and has others to meet
