@@ -56,8 +56,9 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).when((a == "") | (b == ""), F.lit(0.0)).otherwise(estimate)
 
 
-def with_next(rows: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
+def with_next(rows: DataFrame, id_col: str, columns: list[str], derive: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """``rows`` with next_<column>: the columns of the next row in ascending order of the id (null first), after the last the first.
+    ``derive`` adds columns once the rows are gathered.
 
     Rows are dealt out by ranges of the id, whose bounds are quantiles of all ids; each range also gets the first row of the one
     that follows, so a window in each range suffices.
@@ -70,7 +71,7 @@ def with_next(rows: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     edges = [(i, firsts[k - 1][0]) for k, (_, _, i) in enumerate(firsts)]  # a range's first row also ends the range before
     table = F.broadcast(rows.sparkSession.createDataFrame(edges, "_first long, _before int")) if edges else None
     copies = rows.join(table, F.col(id_col).eqNullSafe(F.col("_first"))).withColumn("_range", F.col("_before")).drop("_first", "_before") if edges else rows
-    both = rows.withColumn("_copy", F.lit(False)).unionByName(copies.withColumn("_copy", F.lit(True)))
+    both = derive(rows.withColumn("_copy", F.lit(False)).unionByName(copies.withColumn("_copy", F.lit(True))))
     order = Window.partitionBy("_range").orderBy("_copy", F.col(id_col).asc_nulls_first(), *columns)
     led = both.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns))
     return led.where("not _copy").drop("_copy", "_range")
@@ -84,14 +85,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows without id come first.  A null text is an empty one, whose fingerprint is empty.  Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    both = with_next(rows, "doc_id", ["text"])
+    printed = lambda df: df.withColumn("ws", words(F.col("text"))).withColumn("fingerprint", fingerprint(F.col("ws"))).drop("ws")
+    both = with_next(rows, "doc_id", ["text", "fingerprint"], printed)
     n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
-    both = both.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), *(words(F.col(c)).alias(w) for c, w in (("text", "ws"), ("next_text", "next_ws"))))
-    both = both.withColumn("edited_ws", words(F.col("edited")))
-    out = both.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("ws")).alias("fingerprint"),
-        fingerprint(F.col("edited_ws")).alias("edited_fingerprint"), fingerprint(F.col("next_ws")).alias("next_fingerprint"),
-    )
+    both = both.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "fingerprint", "next_fingerprint").withColumn("ws", words(F.col("edited")))
+    out = both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", fingerprint(F.col("ws")).alias("edited_fingerprint"), "next_fingerprint")
     near = out.withColumn("near_edited", likeness(F.col("fingerprint"), F.col("edited_fingerprint"))).withColumn("near_next", likeness(F.col("fingerprint"), F.col("next_fingerprint")))
     return near.drop("next_fingerprint")

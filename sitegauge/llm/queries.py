@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .fingerprints import fingerprints
 from .host_rules import apply_host_rules, rules_sql
 from .importance import resample
 from .minmax_dedup import near_duplicates
 from .mixing import MIX_SQL, mix_sources
 from .packing import pack
+from .sharding import shard
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +33,10 @@ def op4_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_docs(spark, sf_dir))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(_docs(spark, sf_dir))
+
+
 def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -39,13 +45,19 @@ def op7_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_docs(spark, sf_dir), keep=["doc_id", "source"]).withColumn("rate", F.round("rate", 9))
 
 
+def op9_label_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(_docs(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minmax_dedup": op1_minmax_dedup,
         "op3_host_rules": op3_host_rules,
         "op4_mixture_packing": op4_mixture_packing,
+        "op5_fingerprints": op5_fingerprints,
         "op6_importance_resampling": op6_importance_resampling,
         "op7_poisson_mixing": op7_poisson_mixing,
+        "op9_label_sharding": op9_label_sharding,
     }
 
 
