@@ -5,15 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .fingerprints import fingerprints
 from .host_rules import apply_host_rules, rules_sql
 from .importance import resample
+from .language_id import identify
+from .lattice_lm import score
 from .minmax_dedup import near_duplicates
 from .mixing import MIX_SQL, mix_sources
 from .packing import pack
 from .sharding import shard
+from .token_counts import length_histogram
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +26,10 @@ def op1_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_docs(spark, sf_dir), percent=85)
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return length_histogram(_docs(spark, sf_dir))
+
+
 def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return apply_host_rules(_docs(spark, sf_dir)).select(*columns)
@@ -45,19 +51,30 @@ def op7_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_docs(spark, sf_dir), keep=["doc_id", "source"]).withColumn("rate", F.round("rate", 9))
 
 
+def op8_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(_docs(spark, sf_dir))
+
+
 def op9_label_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_docs(spark, sf_dir))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_docs(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minmax_dedup": op1_minmax_dedup,
+        "op2_token_counts": op2_token_counts,
         "op3_host_rules": op3_host_rules,
         "op4_mixture_packing": op4_mixture_packing,
         "op5_fingerprints": op5_fingerprints,
         "op6_importance_resampling": op6_importance_resampling,
         "op7_poisson_mixing": op7_poisson_mixing,
+        "op8_lattice_lm": op8_lattice_lm,
         "op9_label_sharding": op9_label_sharding,
+        "op10_language_id": op10_language_id,
     }
 
 
