@@ -31,7 +31,7 @@ def _bin(x: Column) -> Column:
 
 def fingerprint(ws: Column, shingle: int = 5) -> Column:
     """Hex fingerprint of an array of words; empty without words.  Fewer words than a shingle has are one shingle."""
-    hashes = F.transform(F.sequence(F.lit(0), F.greatest(F.size(ws) - shingle, F.lit(0))), lambda i: F.xxhash64(*(F.get(ws, i + j) for j in range(shingle))))
+    hashes = _bound(ws, lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - shingle, F.lit(0))), lambda i: F.xxhash64(*(F.get(w, i + j) for j in range(shingle)))))
     # the greatest hash of each bin is added, so that every bin has an entry; a bin with no other is empty
     ends = F.transform(F.sequence(F.lit(0), F.lit((1 << BIN_BITS) - 1)), lambda b: F.shiftleft(b.cast("long"), 64 - BIN_BITS).bitwiseOR(F.lit(_REST)))
     empty = lambda x: x.bitwiseAND(F.lit(_REST)) == F.lit(_REST)

@@ -41,9 +41,11 @@ def _repeat_words(ws: Column) -> Column:
         places = F.array_sort(F.transform(marked, lambda x: x["i"]))
         return _bound(places, lambda p: F.aggregate(F.transform(p, lambda x, k: F.least(F.coalesce(F.get(p, k + 1) - x, F.lit(5)), F.lit(5))), F.lit(0), lambda a, x: a + x))
 
-    windows = F.transform(F.sequence(F.lit(0), F.size(ws) - 5), lambda i: F.xxhash64(*(F.get(ws, i + j) for j in range(5))))
-    some = _bound(windows, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(0))
-    return F.when(F.size(ws) > 5, some).otherwise(0)
+    def some(w: Column) -> Column:
+        windows = F.transform(F.sequence(F.lit(0), F.size(w) - 5), lambda i: F.xxhash64(*(F.get(w, i + j) for j in range(5))))
+        return F.when(F.size(w) > 5, _bound(windows, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(0))).otherwise(0)
+
+    return _bound(ws, some)  # else a filter that is pushed down would split the text anew for each word
 
 
 def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
