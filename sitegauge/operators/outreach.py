@@ -30,7 +30,7 @@ def mail_stats(logs: DataFrame, start: dt.datetime | None = None, end: dt.dateti
         F.count("*").alias("total"), F.count_if(F.col("status").isin(MAIL_SENT)).alias("sent"), *(is_(s).alias(s) for s in ("delivered", "opened", "clicked", "bounced", "complained", "failed")),
         F.count("opened_at").alias("opened_ever"), F.count("clicked_at").alias("clicked_ever"),
     )
-    return out.select("*", *(rate(F.col(c), F.col("sent")).alias(n) for c, n in (("delivered", "delivery_rate"), ("opened", "open_rate"), ("clicked", "click_rate"))), rate(F.col("bounced"), F.col("total")).alias("bounce_rate"))
+    return out.select("*", *(rate(F.col(c), F.col("sent")).alias(n) for c, n in (("delivered", "delivery_rate"), ("opened", "open_rate"), ("clicked", "click_rate"))), rate(F.col("bounced"), F.col("sent")).alias("bounce_rate"))
 
 
 def offer_funnel(offers: DataFrame, since: dt.datetime | None = None) -> DataFrame:
@@ -86,8 +86,12 @@ def suppression_entries(events: DataFrame, stored: DataFrame, kind: str = "type"
 def suppressed(mails: DataFrame, blacklist: DataFrame, keep: bool = False) -> DataFrame:
     """Mails (email, user_id) that no entry, global or of the user, suppresses; with ``keep`` those that one does."""
     entries = blacklist.select(F.lower("email").alias("_e"), F.col("user_id").alias("_u")).distinct()
-    hit = (F.lower("email") == F.col("_e")) & (F.col("_u").isNull() | (F.col("_u") == F.col("user_id")))
-    return mails.join(entries, hit, "left_semi" if keep else "left_anti")
+    everywhere = entries.where("_u is null").select("_e", F.lit(True).alias("_g"))
+    own = entries.where("_u is not null").select("_e", "_u", F.lit(True).alias("_o"))
+    marked = mails.withColumn("_e", F.lower("email")).join(everywhere, "_e", "left")
+    marked = marked.join(own.withColumnRenamed("_u", "user_id"), ["_e", "user_id"], "left")
+    hit = F.coalesce("_g", "_o", F.lit(False))
+    return marked.where(hit if keep else ~hit).select(*mails.columns)
 
 
 def suppression_list(blacklist: DataFrame, user_id: object = None, types: list[str] | None = None) -> DataFrame:
