@@ -38,38 +38,53 @@ class WordIds(dict):
     """
 
     MOST = 900_000
+    MARKS = ".,;:!?#$%&*"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.encoder = Tokenizer.from_file(path)
+        self.tails: dict[str, bytes] = {}
         size = self.encoder.get_vocab_size()
         #: Ids that end a run of letters, a digit or a run of other characters.
         self.ends = np.array([(self.encoder.id_to_token(i) or "").endswith("</w>") for i in range(size)])
 
+    def _alone(self, text: str) -> bytes:
+        return np.array(self.encoder.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def _learn(self, new: list[bytes]) -> None:
-        """Encode many words of one run, or of a run and a point or comma, at once: their ids are parted at the ends of runs."""
-        runs: tuple[list, list] = ([], [])
+        """Words of letters are encoded many at once, their ids being parted at the ends of runs; marks behind such a word are a
+        run of their own, so its ids are theirs in turn."""
+        letters, marked = {}, []
         for w in new:
             s = w.decode("utf-8", "replace")
             if s.isalpha():
-                runs[0].append((w, s))
-            elif s[-1] in ".," and s[:-1].isalpha():
-                runs[1].append((w, s))
+                letters[w] = s
+                continue
+            core = s.rstrip(self.MARKS)
+            if core != s and core.isalpha():
+                marked.append((w, key := core.encode(), s[len(core) :]))
+                if key not in self:
+                    letters[key] = core
             else:
-                self[w] = np.array(self.encoder.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
-        for n, group in enumerate(runs, 1):
-            for i in range(0, len(group), 200):
-                part = group[i : i + 200]
-                ids = np.array(self.encoder.encode(" ".join(s for _, s in part), add_special_tokens=False).ids, "<u4")
-                stops = (np.flatnonzero(self.ends[ids])[n - 1 :: n] + 1) * 4
-                packed, begin = ids.tobytes(), 0
-                if len(stops) != len(part):  # a vocabulary of another kind
-                    stops = np.cumsum([4 * len(self.encoder.encode(s, add_special_tokens=False).ids) for _, s in part])
-                for (w, _), stop in zip(part, stops.tolist(), strict=True):
-                    self[w] = packed[begin:stop]
-                    begin = stop
+                self[w] = self._alone(s)
+        part = list(letters.items())
+        for i in range(0, len(part), 200):
+            some = part[i : i + 200]
+            ids = np.array(self.encoder.encode(" ".join(s for _, s in some), add_special_tokens=False).ids, "<u4")
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            packed, begin = ids.tobytes(), 0
+            if len(stops) != len(some):  # a vocabulary of another kind
+                self.update((w, self._alone(s)) for w, s in some)
+                continue
+            for (w, _), stop in zip(some, stops.tolist(), strict=True):
+                self[w] = packed[begin:stop]
+                begin = stop
+        for w, core, tail in marked:
+            if tail not in self.tails:
+                self.tails[tail] = self._alone(tail)
+            self[w] = self[core] + self.tails[tail]
 
     def texts(self, texts: list[bytes | None]) -> list[bytes]:
         split = [(t or b"").lower().split() for t in texts]
