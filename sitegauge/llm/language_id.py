@@ -21,8 +21,10 @@ FAMILIES = {
     "fr": "romance", "es": "romance", "it": "romance", "pt": "romance", "ro": "romance", "ca": "romance",
     "cs": "slavic", "sk": "slavic", "pl": "slavic", "ru": "slavic", "uk": "slavic", "hr": "slavic",
 }
-#: Hashed features, labelled rows of each language that the machines are fitted on at most, and passes over them.
-DIMS, ROWS, PASSES = 1 << 14, 1000, 12
+#: Hashed features as a power of two; labelled rows that the machines are fitted on, of each language and of all, at most (so
+#: the driver holds 64 MB of features); passes over them.
+BITS, ROWS, ALL_ROWS, PASSES = 13, 500, 4000, 12
+DIMS = 1 << BITS
 UNKNOWN = "und"
 
 
@@ -31,23 +33,24 @@ def features(text: bytes | None) -> np.ndarray:
     b = np.frombuffer(b" " + b" ".join((text or b"").lower().split()) + b" ", np.uint8).astype(np.uint32)
     grams = [b[1:-1]] + [(b[:-1] << 8 | b[1:]) + np.uint32(1 << 24)] + ([(b[:-2] << 16 | b[1:-1] << 8 | b[2:]) + np.uint32(1 << 25)] if len(b) > 2 else [])
     h = np.concatenate(grams) * np.uint32(0x9E3779B1)
-    counts = np.bincount((h >> np.uint32(18)).astype(np.int64), minlength=DIMS)
+    counts = np.bincount((h >> np.uint32(32 - BITS)).astype(np.int64), minlength=DIMS)
     out = np.sqrt(counts, dtype=np.float32)
     return out / max(float(np.sqrt(counts.sum())), 1.0)
 
 
 def machine(x: np.ndarray, y: np.ndarray, passes: int = PASSES, c: float = 10.0, seed: int = 5) -> np.ndarray:
     """Weights of a linear support vector machine for y of -1 and 1 (the last one is the bias), by dual coordinate descent."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    w, alpha, norm = np.zeros(x.shape[1], np.float32), np.zeros(len(x)), (x * x).sum(axis=1)
+    w, bias, alpha, norm = np.zeros(x.shape[1], np.float32), 0.0, np.zeros(len(x)), np.einsum("ij,ij->i", x, x) + 1.0
     rng = np.random.default_rng(seed)
     for _ in range(passes):
         for i in rng.permutation(len(x)):
-            new = min(max(alpha[i] - (y[i] * float(x[i] @ w) - 1) / norm[i], 0.0), c)
+            new = min(max(alpha[i] - (y[i] * (float(x[i] @ w) + bias) - 1) / norm[i], 0.0), c)
             if new != alpha[i]:
-                w += np.float32((new - alpha[i]) * y[i]) * x[i]
+                step = (new - alpha[i]) * y[i]
+                w += np.float32(step) * x[i]
+                bias += step
                 alpha[i] = new
-    return w
+    return np.append(w, np.float32(bias))
 
 
 class Model:
@@ -63,7 +66,7 @@ class Model:
             for a, b in itertools.combinations(names, 2):
                 rows = ((of == a) | (of == b)) & ((family == level) | (level == ""))
                 self.names.append((level, a, b))
-                weights.append(machine(x[rows], np.where(of[rows] == a, 1.0, -1.0)))
+                weights.append(machine(x[rows].astype(np.float32), np.where(of[rows] == a, 1.0, -1.0)))
         self.weights = np.array(weights, np.float32).reshape(-1, DIMS + 1)
 
     def predict(self, text: bytes | None) -> tuple[str, float]:
@@ -87,10 +90,11 @@ class Model:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", mod: int = 4, rest: int = 2, families: dict[str, str] = FAMILIES, rows: int = ROWS) -> Model:
-    """Fit the machines on ``rows`` labelled rows of each language at most, chosen by hash of the id among those not held out."""
+    """Fit the machines on about ``rows`` labelled rows of each language (fewer where that makes more than ALL_ROWS in all), chosen
+    by hash of the id among those not held out."""
     seen = docs.where(~held_out(F.col(id_col), mod, rest) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = seen.groupBy(F.col(lang_col).alias("lang")).count().collect()  # a row for each language
-    part = F.lit(0.0)
+    rows, part = min(rows, ALL_ROWS // max(1, len(counts))), F.lit(0.0)
     for r in counts:
         part = F.when(F.col(lang_col) == r.lang, F.lit(min(1.0, rows / r["count"]))).otherwise(part)
     chosen = seen.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < part * (1 << 20))
@@ -98,12 +102,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [features(t).tobytes() for t in utf8(batch, "text")]
+            x = [features(t).astype(np.float16).tobytes() for t in utf8(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.binary())], ["id", "lang", "x"])
 
     picked = chosen.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     found = sorted(picked.mapInArrow(run, "id long, lang string, x binary").collect(), key=lambda r: (r.lang, r.id is None, r.id, bytes(r.x)))
-    x = np.array([np.frombuffer(r.x, np.float32) for r in found], np.float32).reshape(-1, DIMS)
+    x = np.frombuffer(b"".join(bytes(r.x) for r in found), np.float16).reshape(-1, DIMS)
     return Model(x, [r.lang for r in found], families)
 
 
