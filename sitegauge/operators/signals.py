@@ -75,6 +75,9 @@ def match(signals: DataFrame, filters: DataFrame) -> DataFrame:
     free = signals.where("industry is not null").join(both(f.where("user_industry is null")), _conditions())
     every = signals.where("industry is null").join(both(f), _conditions())
     keep = ["signal_id", "filter_id", "user_id"]
+    if signals.isStreaming:  # one join, as each branch would keep the stream's state anew
+        agree = F.col("industry").isNull() | F.col("user_industry").isNull() | (F.col("industry") == F.col("user_industry"))
+        return signals.join(both(f), agree & _conditions()).select(*keep)
     return typed.where(_conditions()).select(*keep).unionByName(free.select(*keep)).unionByName(every.select(*keep))
 
 
