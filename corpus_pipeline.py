@@ -43,7 +43,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @stage
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeat at random at the rate that brings their source to its target weight."""
-    return mix_sources(docs, keep=docs.columns)
+    return mix_sources(docs).select(*docs.columns)
 
 
 @stage
