@@ -136,15 +136,16 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     return picked.mapInArrow(run, "doc_id long, source string, part int, before long, n long, ids binary")
 
 
-def phases(lengths: list[int], weights: list[float] | None = None) -> list[tuple[int, list[int], list[int]]]:
+def phases(lengths: list[int], weights: list[float] | None = None, window: int = WINDOW) -> list[tuple[int, list[int], list[int]]]:
     """Phases (x, first, length): from place x on, queue i gives ``length[i]`` ids from its ``first[i]``-th.  Without weights one
-    phase in the proportions of the queues; with weights a phase ends when a queue is used up, and the others go on in theirs."""
+    phase in the proportions of the queues; with weights a phase ends when a queue is used up, and the others go on in theirs.
+    Every queue but the last must have an id or more in each window: of lengths that is the caller's part, weights are raised."""
     if weights is None:
         return [(0, [0] * len(lengths), list(lengths))] if sum(lengths) else []
     out, x, done = [], 0, [0] * len(lengths)
     while sum(left := [n - d for n, d in zip(lengths, done, strict=True)]):
         live = sum(w for w, n in zip(weights, left, strict=True) if n)
-        w = [max(w / live if live else 1.0, 1 / 128) if n else 0.0 for w, n in zip(weights, left, strict=True)]
+        w = [max(w / live if live else 1.0, 1 / 128, 5 / window) if n else 0.0 for w, n in zip(weights, left, strict=True)]
         time = min(n / v for n, v in zip(left, w, strict=True) if n)
         take = [n if n and n / v <= time * (1 + 1e-12) else int(v * time) for n, v in zip(left, w, strict=True)]
         out.append((x, list(done), take))
@@ -188,11 +189,12 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     runs = cut(rows.groupBy("part", "source").agg(F.sum("n").alias("n")), "runs")
     by_source = runs.groupBy("source").agg(F.sum("n").alias("n"))
     total = runs.agg(F.sum("n")).head()[0] or 0
-    own = [(r.source, r.n) for r in by_source.where(F.col("n") >= F.lit(total * LEAST_SHARE)).orderBy(F.col("source").asc_nulls_first()).collect()]  # 64 at most
+    least = max(LEAST_SHARE, 4 / window)
+    own = [(r.source, r.n) for r in by_source.where(F.col("n") >= F.lit(total * least)).orderBy(F.col("source").asc_nulls_first()).collect()]  # 64 at most
     names = [s for s, _ in own]
     lengths = [n for _, n in own] + [total - sum(n for _, n in own)]
     weights = None if targets is None else [targets.get(s, 0.0) for s in names] + [sum(w for s, w in targets.items() if s not in names)]
-    plan = phases(lengths, weights)
+    plan = phases(lengths, weights, window)
     queue = F.lit(len(names))
     for i, s in enumerate(names):
         queue = F.when(F.col("source").eqNullSafe(F.lit(s)), F.lit(i)).otherwise(queue)
