@@ -129,8 +129,9 @@ def rules_sql() -> str:
 WITH t AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
 s AS (SELECT doc_id, source, text, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws,
   list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM t),
-x AS (SELECT doc_id, unnest(range(0, len(ws) - 4)) AS i, ws FROM s WHERE len(ws) > 5),
-y AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(ws[i + 1:i + 5], ' ')) AS n FROM x),
+u AS (SELECT doc_id, unnest(ws) AS w, unnest(range(0, len(ws))) AS i FROM s WHERE len(ws) > 5),
+x AS (SELECT doc_id, i, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' ' || lead(w, 4) OVER o AS k FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+y AS (SELECT doc_id, unnest(list(i)) AS i, count(*) AS n FROM x WHERE k IS NOT NULL GROUP BY doc_id, k HAVING count(*) > 1),
 z AS (SELECT doc_id, count(DISTINCT j) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 5)) AS j FROM y WHERE n > 1) GROUP BY doc_id),
 m AS (SELECT doc_id, source, len(ws) AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars,
   length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) AS n_lines,
