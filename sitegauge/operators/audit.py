@@ -85,9 +85,10 @@ def select_issues(found: DataFrame, profile: DataFrame, key: str = "profile_id")
 def configured(defaults: DataFrame, overrides: DataFrame) -> DataFrame:
     """Rule configuration: defaults (category, priority, thresholds) with a profile's overrides (profile_id, category, enabled,
     priority, thresholds, ignored_codes) over them; universal categories first, then by priority (A24)."""
-    profiles = overrides.select("profile_id").distinct()
+    names = [r.category for r in defaults.select("category").collect()]  # 24 at most
+    profiles = overrides.select("profile_id").distinct().withColumn("category", F.explode(F.array(*(F.lit(n) for n in names))))
     own = overrides.select("profile_id", "category", "enabled", F.col("priority").alias("_p"), F.col("thresholds").alias("_t"), "ignored_codes")
-    joined = profiles.join(F.broadcast(defaults), how="cross").join(own, ["profile_id", "category"], "left")  # categories are 24
+    joined = profiles.join(F.broadcast(defaults), "category").join(own, ["profile_id", "category"], "left")
     empty = F.create_map().cast("map<string,double>")
     merged = F.map_zip_with(F.coalesce("thresholds", empty), F.coalesce("_t", empty), lambda _, a, b: F.coalesce(b, a))
     return joined.select(

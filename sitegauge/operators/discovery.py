@@ -27,6 +27,11 @@ def source_flags(spark) -> DataFrame:  # noqa: ANN001
     return spark.createDataFrame([(n, CATALOGUES.get(n), n in by_query, n in by_category) for n in names], "source string, catalogue_domain string, query_based boolean, category_based boolean")
 
 
+def sources_for(spark, industry: str | None) -> DataFrame:  # noqa: ANN001
+    """Sources that an industry may use: mining of client references is for web designers only."""
+    return source_flags(spark).where((F.col("source") != "reference_crawler") | F.lit(industry == "webdesign"))
+
+
 def catalogue_patterns(sources: DataFrame, source_col: str = "source") -> DataFrame:
     """Patterns that exclude the catalogue of each source used: the domain and all below it (D3)."""
     table = F.broadcast(source_flags(sources.sparkSession).where("catalogue_domain is not null").select("source", "catalogue_domain"))
@@ -92,7 +97,7 @@ def batch_plan(profiles: DataFrame, users: DataFrame) -> DataFrame:
         F.when(~F.coalesce("_active", F.lit(False)), "inactive_user").when(~F.coalesce("discovery_enabled", F.lit(False)), "disabled").when(F.col("source").isNull(), "no_source")
         .when(F.coalesce(F.size("queries"), F.lit(0)) <= 0, "no_queries")
     )
-    return joined.drop("_active").withColumn("skip_reason", reason).orderBy(F.desc("priority"), "name")
+    return joined.withColumn("skip_reason", reason).drop("_active").orderBy(F.desc("priority"), "name")
 
 
 def link_companies(leads: DataFrame, companies: DataFrame) -> tuple[DataFrame, DataFrame]:

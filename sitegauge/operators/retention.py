@@ -54,8 +54,8 @@ def cleanup_counts(logs: DataFrame, signals: DataFrame, snaps: DataFrame, as_of:
     """What a cleanup removes from each target: old mail logs, long expired signals, competitor rows beyond the newest (K4)."""
     mails = logs.where(F.col("created_at") < F.lit(as_of - dt.timedelta(days=MAIL_DAYS))).agg(F.lit("email_logs").alias("target"), F.count("*").alias("n"))
     late = signals.where((F.col("status") == "expired") & (F.col("deadline") < F.lit(as_of - dt.timedelta(days=SIGNAL_DAYS)))).agg(F.lit("demand_signals").alias("target"), F.count("*").alias("n"))
-    kept = keep_latest(snaps, COMPETITOR_ROWS).groupBy().agg(F.count("*").alias("kept"))
-    beyond = snaps.agg(F.count("*").alias("all")).join(F.broadcast(kept), how="cross").select(F.lit("competitor_snapshots").alias("target"), (F.col("all") - F.col("kept")).alias("n"))  # one row each
+    kept = keep_latest(snaps, COMPETITOR_ROWS).agg((-F.count("*")).alias("n"))
+    beyond = snaps.agg(F.count("*").alias("n")).unionByName(kept).agg(F.lit("competitor_snapshots").alias("target"), F.sum("n").alias("n"))
     return mails.unionByName(late).unionByName(beyond)
 
 

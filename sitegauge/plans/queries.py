@@ -17,6 +17,8 @@ from ..functions import urls as U
 from ..operators import audit, benchmark, competitors, discovery, extract, outreach, retention, scoring, signals, snapshots
 from ..operators.filters import apply_filters
 from ..operators.registry import ISSUES, WEIGHTS
+from ..operators.rules import measured
+from ..sources import tables
 
 AS_OF = dt.datetime(2024, 6, 1)
 NOW = dt.datetime(2024, 1, 20, 12, 30)
@@ -469,3 +471,202 @@ def tenant_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     visible = discovery.visible_users(n.select(F.col("n_nationkey").alias("user_id"), (F.col("n_regionkey") + 1000).alias("admin_id")))
     rows = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("user_id"))
     return discovery.scope(rows, visible, 1001).select("c_custkey")
+
+
+# --- further operators -----------------------------------------------------------------------------------------------------------
+
+@query("""WITH w AS (SELECT o_orderkey AS lead_id, o_custkey % 2000 + 1 AS ico, CASE WHEN o_orderkey % 3 = 0 THEN 'own' END AS company_name FROM orders), k AS (SELECT c_custkey AS ico, c_name AS name FROM customer WHERE c_custkey % 2 = 0),
+ m AS (SELECT ico, min(company_name) AS name FROM w WHERE ico NOT IN (SELECT ico FROM k) GROUP BY ico), e AS (SELECT * FROM k UNION ALL SELECT * FROM m) SELECT lead_id, ico AS company_id, coalesce(company_name, name) AS company_name FROM w JOIN e USING (ico)""")
+def linked_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    leads = o.select(F.col("o_orderkey").alias("lead_id"), (F.col("o_custkey") % 2000 + 1).alias("ico"), F.lit(None).cast("long").alias("company_id"), F.when(F.col("o_orderkey") % 3 == 0, "own").alias("company_name"))
+    c = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("ico"), F.col("c_name").alias("name"))
+    return discovery.link_companies(leads, c)[0].select("lead_id", "company_id", "company_name")
+
+
+@query("SELECT coalesce(CASE WHEN c_acctbal > 0 THEN c_mktsegment END, 'unknown') AS status, count(*) AS n FROM customer GROUP BY 1")
+def companies_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    return discovery.companies_by_status(c.select(F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).alias("business_status")))
+
+
+@query("SELECT c_custkey AS profile_id, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+def leads_per_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("profile_id"), F.col("o_orderkey").alias("lead_id"))
+    return discovery.leads_per_profile(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("profile_id")), o)
+
+
+@query("""SELECT c_custkey AS profile_id, CASE WHEN n_regionkey = 0 THEN 'inactive_user' WHEN c_acctbal < 0 THEN 'disabled' WHEN c_custkey % 7 = 0 THEN 'no_queries' END AS skip_reason FROM customer JOIN nation ON n_nationkey = c_nationkey""")
+def batch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    profiles = c.select(F.col("c_custkey").alias("profile_id"), F.col("c_nationkey").alias("user_id"), (F.col("c_acctbal") >= 0).alias("discovery_enabled"), F.lit("google").alias("source"), F.when(F.col("c_custkey") % 7 != 0, F.array("c_name")).alias("queries"), F.lit(1).alias("priority"), F.col("c_name").alias("name"))
+    return discovery.batch_plan(profiles, n.select(F.col("n_nationkey").alias("user_id"), (F.col("n_regionkey") != 0).alias("active"))).select("profile_id", "skip_reason")
+
+
+@query("SELECT o_orderkey AS lead_id FROM orders WHERE o_orderstatus <> 'P' AND o_totalprice > 100000 ORDER BY o_orderpriority DESC, o_orderdate, o_orderkey LIMIT 50 OFFSET 20")
+def audit_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("lead_id"), F.when(F.col("o_orderstatus") == "P", "dismissed").otherwise("new").alias("status"), F.col("o_orderpriority").alias("priority"), F.col("o_orderdate").alias("created_at"), (F.col("o_totalprice") > 100000).alias("has_website"))
+    return discovery.audit_candidates(o, True, 50, 20).select("lead_id")
+
+
+@query("SELECT o_custkey AS user_id, o_orderstatus AS status, count(*) AS n FROM orders GROUP BY ALL")
+def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outreach.status_counts(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderstatus").alias("status")))
+
+
+@query("SELECT o_orderkey AS proposal_id, CASE WHEN o_orderdate < TIMESTAMP '1995-06-01' AND o_orderstatus NOT IN ('F') THEN 'expired' WHEN o_orderstatus = 'F' THEN 'used' ELSE 'draft' END AS status FROM orders")
+def expired_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("proposal_id"), F.when(F.col("o_orderstatus") == "F", "used").otherwise("draft").alias("status"), F.col("o_orderdate").alias("expires_at"))
+    return outreach.expire_proposals(o, dt.datetime(1995, 6, 1)).select("proposal_id", "status")
+
+
+@query("""WITH t AS (SELECT p_partkey AS template_id, p_brand AS name, CASE WHEN p_size < 25 THEN p_type END AS industry FROM part), r AS (SELECT c_custkey AS request_id, 'Brand#' || (c_nationkey % 5 + 1) || (c_custkey % 5 + 1) AS name, (SELECT min(p_type) FROM part) AS industry FROM customer),
+ j AS (SELECT request_id, template_id, CASE WHEN t.industry = r.industry THEN 2 WHEN t.industry IS NULL THEN 3 END AS p FROM r JOIN t USING (name)), b AS (SELECT request_id, template_id, p, row_number() OVER (PARTITION BY request_id ORDER BY p, template_id) AS n FROM j WHERE p IS NOT NULL)
+ SELECT request_id, template_id, p AS rank FROM r LEFT JOIN (SELECT * FROM b WHERE n = 1) USING (request_id)""")
+def chosen_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, c = table(spark, sf_dir, "part"), table(spark, sf_dir, "customer")
+    first = p.agg(F.min("p_type")).head()[0]
+    every = p.select(F.col("p_brand").alias("name"), F.when(F.col("p_size") < 25, F.col("p_type")).alias("industry"), F.lit(False).alias("is_default"), F.col("p_partkey").alias("template_id"))
+    own = c.limit(0).select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name"), F.lit(False).alias("is_default"), F.lit(True).alias("is_active"), F.col("c_custkey").alias("template_id"))
+    name = F.concat(F.lit("Brand#"), (F.col("c_nationkey") % 5 + 1).cast("string"), (F.col("c_custkey") % 5 + 1).cast("string"))
+    asked = c.select(F.col("c_custkey").alias("request_id"), F.col("c_custkey").alias("user_id"), name.alias("name"), F.lit(first).alias("industry"))
+    return outreach.choose_template(asked, own, every).select("request_id", "template_id", "rank")
+
+
+@query("SELECT c_custkey AS lead_id FROM customer WHERE c_acctbal > 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') ORDER BY c_acctbal DESC, c_custkey LIMIT 100")
+def ready_for_proposal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("lead_id"), F.lit(NOW).alias("analyzed_at"), F.when(F.col("c_acctbal") > 0, "new").otherwise("dismissed").alias("status"), F.lit("manual").alias("source"), F.lit(None).cast("string").alias("email"), F.col("c_acctbal").alias("score"))
+    return outreach.ready_for_proposal(c, table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("lead_id")), 100).select("lead_id")
+
+
+@query("SELECT c_custkey AS lead_id FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
+def ready_for_offer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("lead_id"), F.lit(1).alias("user_id"), "o_totalprice")
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("lead_id"), F.lit(1).alias("user_id"), F.col("c_name").alias("email"))
+    return outreach.ready_for_offer(c, o, o.where("o_totalprice > 300000")).select("lead_id")
+
+
+@query("SELECT c_custkey AS company_id, c_nationkey AS user_id FROM customer WHERE (c_nationkey, c_custkey) NOT IN (SELECT s_nationkey, s_suppkey FROM supplier)")
+def without_blacklisted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("company_id"), F.col("c_nationkey").alias("user_id"))
+    notes = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("company_id"), F.col("s_nationkey").alias("user_id"), F.lit("blacklisted").alias("relationship_status"))
+    return outreach.without_blacklisted(c, notes)
+
+
+_SIGNALS = "sig AS (SELECT o_orderkey AS signal_id, CASE WHEN o_orderstatus = 'O' THEN 'new' WHEN o_orderstatus = 'P' THEN 'qualified' ELSE 'rejected' END AS status, o_orderdate AS deadline, o_totalprice AS value FROM orders)"
+SIGNALS_AT = dt.datetime(1996, 6, 1)
+
+
+def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when(F.col("o_orderstatus") == "O", "new").when(F.col("o_orderstatus") == "P", "qualified").otherwise("rejected")
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("signal_id"), status.alias("status"), F.col("o_orderdate").alias("deadline"), F.col("o_totalprice").alias("value"))
+
+
+@query(f"WITH {_SIGNALS} SELECT signal_id FROM sig WHERE status IN ('new', 'qualified') AND (deadline IS NULL OR deadline > TIMESTAMP '1996-06-01')")
+def active_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.active_signals(_signals(spark, sf_dir), SIGNALS_AT).select("signal_id")
+
+
+@query(f"WITH {_SIGNALS} SELECT signal_id, deadline FROM sig WHERE status IN ('new', 'qualified') AND deadline BETWEEN TIMESTAMP '1996-06-01' AND TIMESTAMP '1996-07-31'")
+def upcoming_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.upcoming(_signals(spark, sf_dir), SIGNALS_AT, 60).select("signal_id", "deadline")
+
+
+@query(f"WITH {_SIGNALS} SELECT status, count(*) AS n FROM (SELECT CASE WHEN status IN ('new', 'qualified') AND deadline < TIMESTAMP '1996-06-01' THEN 'expired' ELSE status END AS status FROM sig) GROUP BY status")
+def expired_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.counts(signals.expire(_signals(spark, sf_dir), SIGNALS_AT), "status")
+
+
+@query("SELECT l_suppkey AS user_id, l_orderkey AS signal_id FROM (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem WHERE l_returnflag <> 'R') WHERE (l_suppkey, l_orderkey) NOT IN (SELECT l_suppkey, l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def new_subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("user_id"), F.col("l_orderkey").alias("signal_id"), "l_returnflag")
+    return signals.subscriptions(pairs.where("l_returnflag <> 'R'"), pairs.where("l_returnflag = 'R'"))
+
+
+@query("WITH n AS (SELECT event_id, event_type AS source, 'k' || (event_id // 7) AS external_id FROM events), f AS (SELECT *, row_number() OVER (PARTITION BY source, external_id ORDER BY event_id) AS r FROM n) SELECT source, external_id, event_id AS signal_id FROM f WHERE r = 1 AND (source, external_id) NOT IN (SELECT source, external_id FROM n WHERE event_id % 10 = 0)")
+def ingested_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("signal_id"), F.col("event_type").alias("source"), F.concat(F.lit("k"), F.floor(F.col("event_id") / 7).cast("string")).alias("external_id"), F.lit("t").alias("title"), F.col("ts").alias("published_at"))
+    return signals.ingest(e, e.where("signal_id % 10 = 0")).select("source", "external_id", "signal_id")
+
+
+@query("WITH l AS (SELECT event_id, user_id, event_type, value, lag(value) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS old FROM events), q AS (SELECT event_id, user_id, CASE WHEN old > 0 THEN abs(value - old) / old * 100 ELSE 100 END AS p FROM l WHERE old IS NOT NULL), s AS (SELECT s_suppkey AS user, s_nationkey AS n FROM supplier)"
+       " SELECT event_id, s.user AS user_id FROM q JOIN s ON q.user_id = s.n + 1 WHERE CASE WHEN p >= 50 THEN 100 WHEN p >= 25 THEN 75 WHEN p >= 10 THEN 50 ELSE 25 END >= CASE s.user % 3 WHEN 0 THEN 100 WHEN 1 THEN 75 ELSE 50 END")
+def alert_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = snapshot_changes(spark, sf_dir).where("significance is not null").join(_facts(spark, sf_dir).select("event_id", "domain"), "event_id")
+    s = table(spark, sf_dir, "supplier")
+    least = F.when(F.col("s_suppkey") % 3 == 0, "critical").when(F.col("s_suppkey") % 3 == 1, "high").otherwise("medium")
+    subs = s.select(F.col("s_suppkey").alias("user_id"), (F.col("s_nationkey") + 1).cast("long").alias("domain"), F.lit(True).alias("alert_on_change"), F.lit(None).cast("array<string>").alias("snapshot_types"), least.alias("min_significance"))
+    return competitors.fan_out(c, subs).select("event_id", "user_id")
+
+
+@query("WITH d AS (SELECT user_id AS domain, max(ts) AS last, CASE user_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 7 WHEN 2 THEN 14 ELSE 30 END AS days FROM events GROUP BY user_id) SELECT domain FROM d WHERE date_diff('day', last, TIMESTAMP '2024-02-08') >= days AND domain IN (SELECT s_nationkey FROM supplier)")
+def due_for_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.array(*(F.lit(n) for n in ("daily", "weekly", "biweekly", "monthly")))
+    d = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("domain")).agg(F.max("ts").alias("last_crawled_at")).withColumn("active", F.lit(True)).withColumn("crawl_frequency", F.element_at(names, (F.col("domain") % 4 + 1).cast("int")))
+    return competitors.due_for_crawl(d, table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("long").alias("domain")), dt.datetime(2024, 2, 8)).select("domain")
+
+
+@query(f"WITH {RUNS} SELECT industry, category, round(avg(total_score) + 1e-7, 2) AS mean FROM (SELECT industry, 'c' || (analysis_id % 4) AS category, total_score FROM runs) GROUP BY ALL")
+def category_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = runs(spark, sf_dir).withColumn("category_scores", F.create_map(F.concat(F.lit("c"), (F.col("analysis_id") % 4).cast("string")), F.col("total_score") + 1e-7))
+    return benchmark.category_averages(r).select("industry", F.explode("avg_category_scores").alias("category", "mean"))
+
+
+@query(f"WITH {_SNAPS} SELECT period_type, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY lead_id, period_type ORDER BY period_start DESC) AS r FROM snaps) WHERE r = 1 GROUP BY period_type")
+def latest_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshots.snapshot_stats(snapshots.latest(_snaps(spark, sf_dir)))[0]
+
+
+@query(f"WITH {_SNAPS} SELECT lead_id, period_type, period_start FROM snaps WHERE period_start < CASE period_type WHEN 'day' THEN DATE '2024-01-15' ELSE DATE '2023-12-25' + 7 END")
+def old_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retention.old_snapshots(_snaps(spark, sf_dir), dt.datetime(2024, 1, 25), 10).where("period_type = 'day'").unionByName(retention.old_snapshots(_snaps(spark, sf_dir), dt.datetime(2024, 1, 25), 3).where("period_type = 'week'")).select("lead_id", "period_type", "period_start")
+
+
+@query("""WITH r AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events)
+ SELECT 'email_logs' AS target, (SELECT count(*) FROM events WHERE ts < TIMESTAMP '2024-06-01' - INTERVAL 365 DAY) AS n UNION ALL SELECT 'demand_signals', (SELECT count(*) FROM orders WHERE o_orderdate < TIMESTAMP '2024-06-01' - INTERVAL 90 DAY) UNION ALL SELECT 'competitor_snapshots', (SELECT count(*) FROM r WHERE n > 10)""")
+def cleanup_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    logs = table(spark, sf_dir, "events").select(F.col("ts").alias("created_at"))
+    late = table(spark, sf_dir, "orders").select(F.lit("expired").alias("status"), F.col("o_orderdate").alias("deadline"))
+    return retention.cleanup_counts(logs, late, _facts(spark, sf_dir), AS_OF)
+
+
+@query("WITH m AS (SELECT event_id, value * 50 AS lcp, value * 30 AS fcp, value / 500 AS cls, value * 20 AS ttfb FROM events) SELECT code, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN lcp > 4000 THEN 'perf_lcp_poor' WHEN lcp > 2500 THEN 'perf_lcp_needs_improvement' END, CASE WHEN fcp > 3000 THEN 'perf_fcp_poor' WHEN fcp > 1800 THEN 'perf_fcp_needs_improvement' END, CASE WHEN cls > 0.25 THEN 'perf_cls_poor' WHEN cls > 0.1 THEN 'perf_cls_needs_improvement' END, CASE WHEN ttfb > 1800 THEN 'perf_ttfb_poor' WHEN ttfb > 800 THEN 'perf_ttfb_needs_improvement' END], lambda x: x IS NOT NULL)) AS code FROM m) GROUP BY code")
+def metric_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("value")
+    rest = {"overflow_mobile": "boolean", "overflow_tablet": "boolean", "small_targets_mobile": "int", "small_targets_tablet": "int", "padding_values": "int", "font_families": "int", "font_sizes": "int", "upscaled_images": "int", "modernity_score": "int"}
+    m = table(spark, sf_dir, "events").select(F.col("event_id").alias("page_id"), (v * 50).alias("lcp"), (v * 30).alias("fcp"), (v / 500).alias("cls"), (v * 20).alias("ttfb"), *(F.lit(None).cast(t).alias(c) for c, t in rest.items()))
+    return signals.counts(audit.measured_issues(m, measured.metric_rules()), "code")
+
+
+@query(f"WITH {_PAGE_ISSUES}, {_REGISTRY} SELECT page_id, category, count(*) AS issues, count(*) FILTER (severity = 'critical') AS critical, CAST(sum(weight) AS BIGINT) AS score FROM c JOIN reg USING (code) GROUP BY ALL")
+def audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = page_audits(spark, sf_dir).withColumnRenamed("page_id", "analysis_id")
+    summary, _ = tables.report(found, found.select("analysis_id", F.lit("bad").alias("status")).distinct())
+    return summary.withColumnRenamed("analysis_id", "page_id")
+
+
+@query("SELECT message_id, type, email, bounce_type FROM (SELECT 'm' || event_id AS message_id, CASE event_type WHEN 'error' THEN 'bounce' WHEN 'click' THEN 'click' END AS type, 'u' || user_id || '@x.cz' AS email, CASE event_type WHEN 'error' THEN 'Permanent' END AS bounce_type FROM events) WHERE type IS NOT NULL")
+def mail_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mail = F.struct(F.concat(F.lit("m"), "event_id").alias("messageId"), F.array(F.concat(F.lit("U"), "user_id", F.lit("@x.cz"))).alias("destination"))
+    bounce = F.when(F.col("event_type") == "error", F.struct(F.lit("Permanent").alias("bounceType")))
+    message = F.to_json(F.struct(F.when(F.col("event_type") == "error", "Bounce").alias("notificationType"), F.when(F.col("event_type") == "click", "Click").alias("eventType"), mail.alias("mail"), bounce.alias("bounce")))
+    raw = table(spark, sf_dir, "events").select(F.lit("Notification").alias("Type"), message.alias("Message"))
+    return tables.mail_events(raw).select("message_id", "type", "email", "bounce_type")
+
+
+@query("SELECT lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS ico, c_name AS name, 'Street' || CASE WHEN c_nationkey > 0 THEN ' ' || c_nationkey || '/' || c_custkey % 9 ELSE '' END || ', ' || c_mktsegment AS full_address, CASE WHEN c_acctbal > 0 THEN 'Aktivní' ELSE 'OTHER' END AS business_status FROM customer WHERE c_custkey % 9 > 0")
+def registry_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seat = F.struct(F.lit("Street").alias("nazevUlice"), F.col("c_nationkey").alias("cisloDomovni"), (F.col("c_custkey") % 9).alias("cisloOrientacni"), F.col("c_mktsegment").alias("nazevObce"))
+    response = F.to_json(F.struct(F.lpad(F.col("c_custkey").cast("string"), 8, "0").alias("ico"), F.col("c_name").alias("obchodniJmeno"), seat.alias("sidlo"), F.when(F.col("c_acctbal") > 0, "AKTIVNI").otherwise("OTHER").alias("stavSubjektu")))
+    c = table(spark, sf_dir, "customer").where("c_custkey % 9 > 0").select(response.alias("response"))
+    return tables.companies(c).select("ico", "name", "full_address", "business_status")
+
+
+@query("SELECT c_custkey AS lead_id, n, total FROM customer JOIN (SELECT o_custkey, count(*) FILTER (r <= 10) AS n, round(sum(o_totalprice) FILTER (r <= 10), 2) AS total FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) GROUP BY o_custkey) ON o_custkey = c_custkey")
+def lead_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    r = o.select(F.col("o_custkey").alias("lead_id"), F.col("o_orderkey").alias("analysis_id"), F.col("o_orderdate").alias("created_at"), "o_totalprice")
+    snaps = r.limit(0).select("lead_id", F.col("created_at").cast("date").alias("period_start"))
+    leads = c.select(F.col("c_custkey").alias("lead_id"), F.col("c_custkey").alias("company_id"))
+    b = discovery.lead_bundle(leads, r, snaps, c.select(F.col("c_custkey").alias("ico"), F.col("c_name").alias("name"))).where("runs is not null")
+    return b.select("lead_id", F.size("runs").cast("long").alias("n"), F.round(F.aggregate("runs", F.lit(0.0), lambda a, x: a + x["o_totalprice"]), 2).alias("total"))
