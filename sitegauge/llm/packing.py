@@ -37,7 +37,7 @@ class WordIds(dict):
     The tokenizer drops white space, never joins what it parts and lower-cases, so a text's ids are those of its words in turn.
     """
 
-    MOST = 900_000
+    MOST = 1_500_000
     MARKS = ".,;:!?#$%&*"
 
     def __init__(self, path: str):
