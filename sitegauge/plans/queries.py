@@ -19,6 +19,7 @@ from ..operators.filters import apply_filters
 from ..operators.registry import ISSUES, WEIGHTS
 from ..operators.rules import measured
 from ..sources import tables
+from ..streaming import flows, settle
 
 AS_OF = dt.datetime(2024, 6, 1)
 NOW = dt.datetime(2024, 1, 20, 12, 30)
@@ -55,15 +56,18 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 RUNS = "runs AS (SELECT event_id AS analysis_id, user_id AS lead_id, event_type AS industry, ts AS created_at, value AS total_score FROM events)"
 
 
-def mails(spark: SparkSession, sf_dir: str) -> DataFrame:
+def as_mails(e: DataFrame) -> DataFrame:
     kind = F.when(F.col("event_type") == "signup", "send").when(F.col("event_type") == "purchase", "delivery").when(F.col("event_type") == "view", "open").when(F.col("event_type") == "error", "bounce").otherwise(F.col("event_type"))
-    e = table(spark, sf_dir, "events")
     return e.select(
         "event_id", "user_id", kind.alias("type"), F.col("ts").alias("event_time"), F.concat_ws("-", "user_id", F.date_trunc("DAY", "ts").cast("date").cast("string")).alias("message_id"),
         F.when(F.col("value") > 20, "Permanent").otherwise("Transient").alias("bounce_type"), F.concat(F.lit("u"), F.pmod("event_id", F.lit(97)).cast("string"), F.lit("@d"), F.pmod("user_id", F.lit(9)).cast("string"), F.lit(".cz")).alias("email"),
     )
 
 
+def mails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_mails(table(spark, sf_dir, "events"))
+
+
 MAILS = """mails AS (SELECT event_id, user_id, CASE event_type WHEN 'signup' THEN 'send' WHEN 'purchase' THEN 'delivery' WHEN 'view' THEN 'open' WHEN 'error' THEN 'bounce' ELSE event_type END AS type, ts AS event_time,
  user_id || '-' || CAST(ts AS DATE) AS message_id, CASE WHEN value > 20 THEN 'Permanent' ELSE 'Transient' END AS bounce_type, 'u' || (event_id % 97) || '@d' || (user_id % 9) || '.cz' AS email FROM events)"""
 STATES = """states AS (SELECT message_id, min(event_time) FILTER (type = 'send') AS sent_at, min(event_time) FILTER (type = 'delivery') AS delivered_at, min(event_time) FILTER (type IN ('open', 'click')) AS opened_at,
@@ -670,3 +674,47 @@ def lead_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     leads = c.select(F.col("c_custkey").alias("lead_id"), F.col("c_custkey").alias("company_id"))
     b = discovery.lead_bundle(leads, r, snaps, c.select(F.col("c_custkey").alias("ico"), F.col("c_name").alias("name"))).where("runs is not null")
     return b.select("lead_id", F.size("runs").cast("long").alias("n"), F.round(F.aggregate("runs", F.lit(0.0), lambda a, x: a + x["o_totalprice"]), 2).alias("total"))
+
+
+# --- streams: the source's files pass in micro-batches; what was said last is compared -----------------------------------------------
+
+def read_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table's files as a stream; the name is a pattern, since a stream's plain path must be a folder."""
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
+def _mail_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_mails(read_stream(spark, sf_dir, "events")).withColumn("event_time", F.col("event_time").cast("timestamp"))
+
+
+@query(f"WITH {MAILS}, {STATES} SELECT message_id, sent_at, delivered_at, opened_at, clicked_at, bounced_at, bounce_type, status, last_event_at FROM states")
+def stream_mail_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return settle.settled(flows.mail_states(_mail_stream(spark, sf_dir)), ["message_id"])
+
+
+@query(f"WITH {MAILS} SELECT user_id, date_trunc('hour', event_time) AS start, " + ", ".join(f"count(*) FILTER (type = '{k}') AS {k}" for k in ("send", "delivery", "open", "click", "bounce", "complaint")) + " FROM mails GROUP BY ALL")
+def stream_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return settle.settled(flows.funnel(_mail_stream(spark, sf_dir)), ["user_id", "start"]).drop("end")
+
+
+@query(f"WITH {MAILS} SELECT user_id, split_part(email, '@', 2) AS domain, start, count(*) AS sends FROM (SELECT *, unnest(generate_series(date_trunc('minute', event_time) - to_minutes(CAST(minute(event_time) % 5 AS INT)) - INTERVAL 55 MINUTE, date_trunc('minute', event_time) - to_minutes(CAST(minute(event_time) % 5 AS INT)), INTERVAL 5 MINUTE)) AS start FROM mails WHERE type = 'send') GROUP BY ALL")
+def stream_send_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return settle.settled(flows.send_rate(_mail_stream(spark, sf_dir), True), ["user_id", "domain", "start"]).drop("end")
+
+
+@query("SELECT user_id AS domain, event_type AS snapshot_type, ts AS taken_at, event_id AS id, lag(event_id % 5) OVER w AS previous_hash, coalesce(event_id % 5 <> lag(event_id % 5) OVER w, false) AS has_changes FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)")
+def stream_snapshot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = read_stream(spark, sf_dir, "events")
+    snaps = raw.select(F.col("user_id").cast("string").alias("domain"), F.col("event_type").alias("snapshot_type"), F.col("ts").cast("timestamp").alias("taken_at"), (F.col("event_id") % 5).cast("string").alias("content_hash"))
+    said = settle.settled(flows.snapshot_changes(snaps), ["domain", "snapshot_type", "taken_at"], "append")
+    ids = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("domain"), F.col("event_type").alias("snapshot_type"), F.col("ts").alias("taken_at"))
+    said = said.select(F.col("domain").cast("long").alias("domain"), "snapshot_type", F.col("taken_at").cast("timestamp_ntz").alias("taken_at"), F.col("previous_hash").cast("long").alias("previous_hash"), "has_changes")
+    return ids.join(said, ["domain", "snapshot_type", "taken_at"])
+
+
+@query(f"WITH {_PAGE_ISSUES}, {_REGISTRY}, {_SCORES} SELECT page_id, total_score, {_STATUS} AS status FROM s")
+def stream_page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_stream(spark, sf_dir, "pages")
+    found = audit.audit(pages, AS_OF, categories=CATEGORIES).groupBy("page_id").agg(F.sum("weight").alias("total_score"), F.max(F.col("severity") == "critical").alias("critical"))
+    return settle.settled(found, ["page_id"]).select("page_id", "total_score", scoring.lead_status(F.col("total_score"), F.col("critical")).alias("status"))
