@@ -1,4 +1,7 @@
-"""Rules of the categories eshop_detection, cms_quality, content_quality, branding, navigation_ux, conversion, legal_compliance."""
+"""Rules of the categories eshop_detection, cms_quality, content_quality, branding, navigation_ux, conversion, legal_compliance.
+
+The patterns and limits in the rules are fixed values, like the lists.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Rules for pages of one industry."""
+"""Rules for pages of one industry.  The patterns in the rules are fixed values, like the lists."""
 
 from __future__ import annotations
 

@@ -1,4 +1,7 @@
-"""Rules of the categories http, security, seo, libraries, outdated_code, typography."""
+"""Rules of the categories http, security, seo, libraries, outdated_code, typography.
+
+The patterns and limits in the rules are fixed values, like the lists.
+"""
 
 from __future__ import annotations
 
