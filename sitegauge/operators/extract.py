@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import decode_entities, strip_tags, valid_company_id
 from ..functions.urls import domain, resolve
+from .rules import bound
 
 # Fixed values.
 IGNORED_MAIL_DOMAINS = ["example.com", "example.org", "example.net", "domain.tld", "domain.com", "yourdomain.com", "email.com", "wixpress.com", "sentry.io", "sentry-next.wixpress.com", "placeholder.com", "test.com", "localhost"]
@@ -112,15 +113,15 @@ def phones(html: Column) -> Column:
         digits = F.regexp_replace(digits, "^00420", "+420")
         return F.when(F.length(digits) == 9, F.concat(F.lit("+420"), digits)).otherwise(digits)
 
-    found = F.concat(*(_all(decode_entities(html), p) for p in PHONES))
+    found = bound(decode_entities(html), lambda text: F.concat(*(_all(text, p) for p in PHONES)))
     valid = lambda x: x.rlike(r"^\+420[2-7]\d{8}$") & ~x.rlike(r"^\+420(\d)\1{8}$") & (x != "+420123456789")
     return F.array_distinct(F.filter(F.transform(found, normal), valid))
 
 
 def company_id(html: Column) -> Column:
     """The first id with a right check digit, pattern by pattern."""
-    text = decode_entities(html)
-    return F.coalesce(*(F.get(F.filter(_all(text, f"(?iu){p}", 1), valid_company_id), 0) for p in COMPANY_IDS))
+    first = lambda text, p: F.get(F.filter(_all(text, f"(?iu){p}", 1), valid_company_id), 0)
+    return bound(decode_entities(html), lambda text: F.coalesce(*(first(text, p) for p in COMPANY_IDS)))
 
 
 def detect_cms(html: Column, headers: Column | None = None) -> Column:
@@ -158,10 +159,13 @@ def valid_name(name: Column) -> Column:
 
 
 def company_names(html: Column) -> Column:
-    """Candidate names, best first: organisation markup, site name, legal form, copyright, title."""
-    decoded = decode_entities(html)
-    bare = F.regexp_replace(decoded, r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>", "")
-    text = strip_tags(bare)
+    """Candidate names, best first: organisation markup, site name, legal form, copyright, title (X9).  The page without
+    scripts and its text are each computed once."""
+    scripts = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>"
+    return bound(decode_entities(html), lambda d: bound(F.regexp_replace(d, scripts, ""), lambda bare: bound(strip_tags(bare), lambda text: _names(html, bare, text))))
+
+
+def _names(html: Column, bare: Column, text: Column) -> Column:
     tidy = lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"\s+", " "), r"^[\s,;:\-–—|]+|[\s,;:\-–—|]+$", ""), r",\s*,", ","))
     blocks = _all(html, r'(?is)<script[^>]+type=["\']application/ld\+json["\'][^>]*>(.*?)</script>', 1)
     shape = "struct<`@type`:string,name:string>"
@@ -173,10 +177,15 @@ def company_names(html: Column) -> Column:
         _all(bare, r'(?i)<meta[^>]+(?:property|name)=["\']og:site_name["\'][^>]+content=["\']([^"\']+)["\']', 1),
         _all(bare, r'(?i)<meta[^>]+content=["\']([^"\']+)["\'][^>]+(?:property|name)=["\']og:site_name["\']', 1),
     )
-    form = lambda forms, flags: F.transform(
-        _all(text, rf"(?{flags})([{CAPITALS}][{LETTERS}0-9\s\-&]+\s*,?\s*(?:{'|'.join(forms)}))(?:\s|$|[,.])", 1),
-        lambda x: tidy(F.regexp_replace(x, rf"(?{flags})\s*,?\s*({'|'.join(forms)})$", ", $1")),
-    )
+
+    def form(forms: list[str], flags: str) -> Column:
+        """Names before a legal form; looked for only where the text has such a form, and from the beginnings of words on."""
+        any_form = "|".join(forms)
+        begin = rf"(?<![{LETTERS}])" if "i" in flags else ""
+        found = _all(text, rf"(?{flags}){begin}([{CAPITALS}][{LETTERS}0-9\s\-&]+\s*,?\s*(?:{any_form}))(?:\s|$|[,.])", 1)
+        named = F.transform(found, lambda x: tidy(F.regexp_replace(x, rf"(?{flags})\s*,?\s*({any_form})$", ", $1")))
+        return F.when(text.rlike(rf"(?{flags})(?:{any_form})(?:\s|$|[,.])"), named).otherwise(F.array().cast("array<string>"))
+
     marked = F.transform(_all(text, r"(?iu)©\s*(?:\d{4}\s*[-–]\s*)?\d{4}\s+([^\n\r|]+?)(?:\s*[|,.\-]|$)", 1), tidy)
     title = F.transform(F.split(F.trim(F.regexp_extract(bare, r"(?i)<title[^>]*>([^<]+)</title>", 1)), r"\s*[|\-–—]\s*"), F.trim)
     like_name = lambda x: x.rlike(rf"(?iu)(?:{'|'.join(LEGAL_FORMS)})") | x.rlike(rf"\b(?:{'|'.join(LEGAL_WORDS)})$") | (x.rlike(f"^[{CAPITALS}]") & (F.length(x) <= 50))
