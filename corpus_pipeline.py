@@ -33,8 +33,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 @stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, and one row of each id; rows without id all stay."""
-    found = near_duplicates(docs)
+    """One document of each group of near-duplicates (linked from a similarity of 0.8 on) stays, and one row of each id; rows without id all stay."""
+    found = near_duplicates(docs, percent=80)
     gone = cut(found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     named = docs.where("doc_id is not null").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
     return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))

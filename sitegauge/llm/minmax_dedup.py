@@ -19,7 +19,7 @@ from .common import WordHashes, cut, mix, shingles, small_batches, utf8
 from .components import components
 
 #: Bands, and permutations of each band; a band has twice as many values.  At a similarity of 0.85 a pair misses all bands
-#: with a probability of (1 - 0.85**8)**64, about 1.4e-9; at 0.5 it meets in a given band with 0.004.
+#: with a probability of (1 - 0.85**8)**64, about 1.4e-9, at 0.8 with about 8e-6; at 0.5 it meets in a given band with 0.004.
 BANDS, PERMUTATIONS = 64, 4
 #: Members of a bucket that one block holds, and members of a star that one salt holds.
 BLOCK = 512

@@ -53,3 +53,20 @@ def test_stages_on_odd_rows(spark, odd, none, tmp_path):
             stage(spark, docs, SF).write.parquet(path)
             docs = spark.read.parquet(path)
         assert docs.count() >= 0
+
+
+def test_near_dedup_links_from_080(spark):
+    """Two copies of 0.82 and 0.80 of a base go, one of 0.79 stays; brute force at 80 says the same."""
+    base = [f"b{i}" for i in range(204)]  # 200 shingles
+    part = lambda n, tag: " ".join(base[: n + 4] + [f"{tag}{i}" for i in range(200 - n)])  # noqa: E731  n of 200 shingles in common
+    texts = [" ".join(base), part(181, "x"), part(178, "y"), part(176, "z")]
+    rows = [(i + 1, t, "en", "a", len(t)) for i, t in enumerate(texts)]
+    want = sorted(i for i, _, c in brute([r[:2] for r in rows], percent=80) if i == c)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in dict(C.STAGES)["near_dedup"](spark, docs, SF).collect()) == want == [1, 4]
+
+
+def test_near_dedup_against_brute_force_at_80(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = sorted(i for i, _, c in brute([(r.doc_id, r.text) for r in docs.collect()], percent=80) if i == c)
+    assert sorted(r.doc_id for r in dict(C.STAGES)["near_dedup"](spark, docs, SF).collect()) == want
