@@ -27,8 +27,6 @@ from .common import cut, held_out, small_batches, utf8
 
 #: Sentencepiece vocabulary, the weight (in pieces) of its prior, and the bytes of text that a block holds before it is closed.
 VOCABULARY, PRIOR_WEIGHT, BLOCK_BYTES = "piece_bpe_32k.model", 1000.0, 16 << 20
-#: A word beyond so many characters is scored in stretches of that length, one after another.
-STRETCH = 256
 
 
 class Pieces:
@@ -62,13 +60,7 @@ class Pieces:
 
     def word(self, word: str, logs: list[float]) -> float:
         """log10 of the sum over all segmentations of a word, its mark of a word's beginning included."""
-        text, total = "▁" + word, 0.0
-        for at in range(0, len(text), STRETCH):
-            total += self._forward(text[at : at + STRETCH], logs)
-        return total
-
-    def _forward(self, s: str, logs: list[float]) -> float:
-        index, longest = self.index, self.longest
+        s, index, longest = "▁" + word, self.index, self.longest
         f = [0.0] + [-math.inf] * len(s)
         for end in range(1, len(s) + 1):
             terms = [f[begin] + logs[i] for begin in range(max(0, end - longest), end) if (i := index.get(s[begin:end])) is not None]

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -131,6 +132,21 @@ def test_lattice_sums_all_segmentations():
         assert abs(model.word(word, logs) - math.log10(total)) < 1e-9
 
 
+@pytest.mark.parametrize("word", ["the" * 200, "ation" * 60 + "é€" + "ing" * 100, "x" * 255 + "the" + "y" * 300])
+def test_lattice_does_not_cut_long_words(word):
+    """Against a backward recursion over the whole word, in decimals, which don't run out of exponents."""
+    model = LM.pieces(LM.VOCABULARY)
+    logs = model.weights(np.zeros(len(model.names)), 10)[0].tolist()
+    text = "▁" + word
+    after = [Decimal(0)] * len(text) + [Decimal(1)]
+    for a in range(len(text) - 1, -1, -1):
+        for b in range(a + 1, min(len(text), a + model.longest) + 1):
+            if (part := text[a:b]) in model.index:
+                after[a] += Decimal(10 ** logs[model.index[part]]) * after[b]
+        after[a] += Decimal(10 ** sum(logs[model.bytes[x]] for x in text[a].encode())) * after[a + 1]
+    assert len(text) > 256 and abs(model.word(word, logs) - float(after[0].log10())) < 1e-6
+
+
 def test_language_model_learns(spark):
     rng = random.Random(5)
     vocabulary = [a + b for a in ("the", "ing", "ation", "er") for b in ("man", "house", "ly", "s", "ment")]
