@@ -1,11 +1,15 @@
 """Mixture-controlled packing of token streams into sequences.
 
-Every source (sources under 1/64 of all tokens share one queue) is a queue.  Deficit round-robin serves the queues window by
+Every source is a queue; those under 1/64 of all tokens share one place among the queues and part it by a tree.  Deficit round-robin serves the queues window by
 window: a window gives each queue its share of the window's tokens, and what rounding withholds is carried as the queue's
 deficit to the next window.  As documents may be cut anywhere, a deficit stays under one token, and the tokens that a queue
 has been served after x tokens in all have a closed form: floor(x * (c + l) / L) - floor(x * c / L), with l the queue's
 tokens, c those of the queues before it and L those of all.  So each document finds its windows from its place in its queue
 alone; deficits pass windows and partitions without any window being laid out by one task.
+
+The tree of the small sources has two children at each node, and gives the left one floor(r * a / n) of the node's first r
+tokens, with a the left child's tokens and n the node's.  Both counts only grow, by one at most for each token of the node, so a
+source with less than one token a window has its turn in every so many windows.  A deficit stays under one token a level.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import checked, cut, small_batches, utf8
 
-#: A source under this part of all tokens shares a queue with others; so there are 64 queues of one source at most.
+#: A source under this part of all tokens is a leaf in the tree of the last queue; so there are 64 queues of one source at most.
 LEAST_SHARE = 1 / 64
 WINDOW = 4096
 END_ID = 2
@@ -177,12 +181,54 @@ def pieces(queue: int, place: int, n: int, plan: list[tuple[int, list[int], list
             k += 1
 
 
+def pooled(path: list[tuple[bool, int, int]], place: int, n: int, plan: list[tuple[int, list[int], list[int]]], window: int = WINDOW) -> Iterator[tuple[int, int, int]]:
+    """``pieces`` of a leaf of the last queue's tree.  ``path``: from the root on, whether the leaf is on the right, the tokens of
+    the left child, and those of the node.  Within a window the leaves follow one another, each in one piece."""
+    at, end = place, place + n
+    while at < end:
+        q = at  # place in the last queue of the leaf's next id
+        for right, a, size in reversed(path):
+            q = q * size // (size - a) if right else -(-(q + 1) * size // a) - 1
+        x0, lo, size, total = next((x0, first[-1], length[-1], sum(length)) for x0, first, length in plan if first[-1] <= q < first[-1] + length[-1])
+        c = total - size
+        served = lambda r: r - r * c // total  # noqa: E731, B023
+        edge = lambda k: min(max(k * window - x0, 0), total)  # noqa: E731, B023
+        k = (x0 + (q - lo) * total // size) // window
+        while served(edge(k)) > q - lo:
+            k -= 1
+        while served(edge(k + 1)) <= q - lo:
+            k += 1
+        ra, rb = edge(k), edge(k + 1)
+        x = x0 + ra + rb * c // total - ra * c // total
+        begin, stop = lo + served(ra), lo + served(rb)
+        for right, a, size in path:
+            left = begin * a // size, stop * a // size
+            if right:
+                x += left[1] - left[0]
+                begin, stop = begin - left[0], stop - left[1]
+            else:
+                begin, stop = left
+        take = min(end, stop) - at
+        yield at - place, take, x + at - begin
+        at += take
+
+
+def paths(pool: DataFrame) -> DataFrame:
+    """(leaf, path) as ``pooled`` takes them out of (leaf, n), leaves being hashes: their bits, from the highest on, lead through the
+    tree, and nodes with one child are left out."""
+    nodes = pool.withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(64)))).withColumn("right", F.expr("shiftrightunsigned(leaf, 64 - level) & 1 = 1"))
+    nodes = nodes.withColumn("node", F.expr("shiftrightunsigned(shiftrightunsigned(leaf, 64 - level), 1)"))
+    split = nodes.groupBy("level", "node").agg(F.sum(F.when(~F.col("right"), F.col("n")).otherwise(0)).alias("a"), F.sum("n").alias("size")).where("a > 0 and a < size")
+    steps = nodes.join(split, ["level", "node"]).groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("level", "right", "a", "size"))).alias("steps"))
+    return steps.select("leaf", F.transform("steps", lambda s: F.struct(s["right"].alias("right"), s["a"].alias("a"), s["size"].alias("size"))).alias("path"))
+
+
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", tokenizer: str = TOKENIZER, end_id: int = END_ID, window: int = WINDOW, targets: dict[str, float] | None = None, keep_ids: bool = False) -> DataFrame:
     """Pack all documents into sequences of ``window`` ids; only the last may be shorter.  A row for each piece: doc_id, start,
     length, ids_crc32, doc_tokens, sequence_id, offset, source, and with ``keep_ids`` the piece's ids.
 
-    ``targets``: token proportions by source (others: weight 0, served last); without them those of the corpus, which every
-    window then has.  Null and empty texts are the end id alone.  Null sources are a source.  Repeated rows and ids are packed
+    ``targets``: token proportions by source (others: weight 0, served last; small sources, as those of the tree, share the sum of
+    their targets by their tokens); without them those of the corpus, which every window then has.  Null and empty texts are the end id alone.  Null sources are a source.  Repeated rows and ids are packed
     as often as they come; a null id stays null.  An empty table gives no rows.  Other columns are ignored.
     """
     rows = cut(encode(docs, id_col, text_col, source_col, tokenizer, end_id), "tokens")
@@ -198,20 +244,26 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     queue = F.lit(len(names))
     for i, s in enumerate(names):
         queue = F.when(F.col("source").eqNullSafe(F.lit(s)), F.lit(i)).otherwise(queue)
-    runs = runs.withColumn("queue", queue)
-    # a queue's order: by task, within it by source, within it as the task met them
-    inner = Window.partitionBy("queue", "part").orderBy("source").rowsBetween(Window.unboundedPreceding, -1)
-    outer = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    tasks = runs.groupBy("queue", "part").agg(F.sum("n").alias("n")).select("queue", "part", F.coalesce(F.sum("n").over(outer), F.lit(0)).alias("base"))
-    places = runs.withColumn("inner", F.coalesce(F.sum("n").over(inner), F.lit(0))).join(tasks, ["queue", "part"])
-    places = checked(cut(places.select(F.col("part").alias("p"), F.col("source").alias("s"), "queue", (F.col("base") + F.col("inner")).alias("base")), "places"))
+    runs = runs.withColumn("queue", queue).withColumn("leaf", F.when(F.col("queue") == len(names), F.xxhash64("source")).otherwise(0))
+    # a leaf's order: by task, within it by source (of one hash), within it as the task met them
+    inner = Window.partitionBy("queue", "leaf", "part").orderBy("source").rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.partitionBy("queue", "leaf").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = runs.groupBy("queue", "leaf", "part").agg(F.sum("n").alias("n")).select("queue", "leaf", "part", F.coalesce(F.sum("n").over(outer), F.lit(0)).alias("base"))
+    places = runs.withColumn("inner", F.coalesce(F.sum("n").over(inner), F.lit(0))).join(tasks, ["queue", "leaf", "part"])
+    if lengths[-1]:
+        small = paths(runs.where(F.col("queue") == len(names)).groupBy("leaf").agg(F.sum("n").alias("n")))
+        places = places.join(small.withColumn("queue", F.lit(len(names))), ["queue", "leaf"], "left")
+    else:
+        places = places.withColumn("path", F.lit(None).cast("array<struct<right:boolean,a:bigint,size:bigint>>"))
+    places = checked(cut(places.select(F.col("part").alias("p"), F.col("source").alias("s"), "queue", "path", (F.col("base") + F.col("inner")).alias("base")), "places"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for id_, source, q, place, ids in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for id_, source, q, path, place, ids in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 view, n = memoryview(ids), len(ids) // 4
-                for start, length, x in pieces(q, place, n, plan, window):
+                steps = [(s["right"], s["a"], s["size"]) for s in path or []]
+                for start, length, x in pooled(steps, place, n, plan, window) if q == len(names) else pieces(q, place, n, plan, window):
                     own = view[4 * start : 4 * (start + length)]
                     out.append((id_, start, length, zlib.crc32(own), n, x // window, x % window, source, bytes(own) if keep_ids else None))
             cols = list(zip(*out, strict=True)) if out else [()] * 9
@@ -219,6 +271,6 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "ids"])
 
     placed = rows.join(places, (F.col("part") == F.col("p")) & F.col("source").eqNullSafe(F.col("s")))
-    placed = placed.select("doc_id", "source", "queue", (F.col("base") + F.col("before")).alias("place"), "ids")
+    placed = placed.select("doc_id", "source", "queue", "path", (F.col("base") + F.col("before")).alias("place"), "ids")
     out = placed.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string, ids binary")
     return out if keep_ids else out.drop("ids")

@@ -77,6 +77,31 @@ def test_windows_hold_the_corpus_proportions(spark):
         assert all(abs(own[s] - 256 * n / sum(total.values())) < 2 for s, n in total.items())
 
 
+@pytest.mark.parametrize("sources, window", [(100, 4096), (100, 64)])
+def test_windows_hold_the_proportions_of_small_sources(spark, encode, sources, window):
+    """No source has 1/64 of the tokens (or 4 ids a window); after every window each has had its part, but for a few ids of deficit."""
+    rng = random.Random(sources)
+    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(40, 100))), "en", f"s{i % sources}", 1) for i in range(4 * sources)]
+    out = P.pack(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3), window=window, keep_ids=True).collect()
+    assert rejoined(out, window) == Counter({r[0]: len(encode(r[1])) for r in rows})
+    by = {}
+    for r in out:
+        by.setdefault(r.doc_id, []).append(r)
+    for doc in rows:
+        own = sorted(by[doc[0]], key=lambda r: r.start)
+        assert b"".join(r.ids for r in own) == encode(doc[1]).tobytes()
+        assert [(r.sequence_id, r.offset) for r in own] == sorted((r.sequence_id, r.offset) for r in own)
+    total = Counter()
+    for r in out:
+        total[r.source] += r.length
+    every, served, windows = sum(total.values()), Counter(), {}
+    for r in out:
+        windows.setdefault(r.sequence_id, Counter())[r.source] += r.length
+    for k in range(max(windows)):
+        served += windows[k]
+        assert all(abs(served[s] - window * (k + 1) * n / every) < 8 for s, n in total.items())
+
+
 def test_targets_hold_until_a_source_ends(spark):
     rows = [(i, "a b c d e f g h " * 4, "en", "xy"[i % 2], 1) for i in range(200)]
     out = P.pack(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), window=128, targets={"x": 3.0, "y": 1.0}).collect()
