@@ -488,6 +488,17 @@ def linked_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discovery.link_companies(leads, c)[0].select("lead_id", "company_id", "company_name")
 
 
+@query("""WITH w AS (SELECT o_orderkey AS lead_id, o_custkey AS ico, CASE WHEN o_orderkey % 3 = 0 THEN 'own' END AS company_name FROM orders UNION ALL SELECT -p_partkey, p_partkey, p_name FROM part), k AS (SELECT c_custkey AS ico, c_name AS name FROM customer),
+ m AS (SELECT ico, min(company_name) AS name FROM w WHERE ico NOT IN (SELECT ico FROM k) GROUP BY ico), e AS (SELECT * FROM k UNION ALL SELECT * FROM m) SELECT lead_id, ico AS company_id, coalesce(company_name, name) AS company_name FROM w JOIN e USING (ico)""")
+def linked_companies_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As linked_companies, with all customers and their own keys; companies are missing where parts have keys beyond theirs."""
+    o, p = table(spark, sf_dir, "orders"), table(spark, sf_dir, "part")
+    leads = o.select(F.col("o_orderkey").cast("long").alias("lead_id"), F.col("o_custkey").cast("long").alias("ico"), F.when(F.col("o_orderkey") % 3 == 0, "own").alias("company_name"))
+    leads = leads.unionByName(p.select((-F.col("p_partkey")).cast("long").alias("lead_id"), F.col("p_partkey").cast("long").alias("ico"), F.col("p_name").alias("company_name")))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("ico"), F.col("c_name").alias("name"))
+    return discovery.link_companies(leads.withColumn("company_id", F.lit(None).cast("long")), c)[0].select("lead_id", "company_id", "company_name")
+
+
 @query("SELECT coalesce(CASE WHEN c_acctbal > 0 THEN c_mktsegment END, 'unknown') AS status, count(*) AS n FROM customer GROUP BY 1")
 def companies_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
@@ -660,10 +671,19 @@ def mail_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS ico, c_name AS name, 'Street' || CASE WHEN c_nationkey > 0 THEN ' ' || c_nationkey || '/' || c_custkey % 9 ELSE '' END || ', ' || c_mktsegment AS full_address, CASE WHEN c_acctbal > 0 THEN 'Aktivní' ELSE 'OTHER' END AS business_status FROM customer WHERE c_custkey % 9 > 0")
 def registry_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _registry_companies(table(spark, sf_dir, "customer").where("c_custkey % 9 > 0"))
+
+
+@query("SELECT lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS ico, c_name AS name, 'Street' || CASE WHEN c_nationkey > 0 THEN ' ' || c_nationkey || CASE WHEN c_custkey % 9 > 0 THEN '/' || c_custkey % 9 ELSE '' END ELSE '' END || ', ' || c_mktsegment AS full_address, CASE WHEN c_acctbal > 0 THEN 'Aktivní' ELSE 'OTHER' END AS business_status FROM customer")
+def registry_companies_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As registry_companies, with all customers, those of number 0 too."""
+    return _registry_companies(table(spark, sf_dir, "customer"))
+
+
+def _registry_companies(c: DataFrame) -> DataFrame:
     seat = F.struct(F.lit("Street").alias("nazevUlice"), F.col("c_nationkey").alias("cisloDomovni"), (F.col("c_custkey") % 9).alias("cisloOrientacni"), F.col("c_mktsegment").alias("nazevObce"))
     response = F.to_json(F.struct(F.lpad(F.col("c_custkey").cast("string"), 8, "0").alias("ico"), F.col("c_name").alias("obchodniJmeno"), seat.alias("sidlo"), F.when(F.col("c_acctbal") > 0, "AKTIVNI").otherwise("OTHER").alias("stavSubjektu")))
-    c = table(spark, sf_dir, "customer").where("c_custkey % 9 > 0").select(response.alias("response"))
-    return tables.companies(c).select("ico", "name", "full_address", "business_status")
+    return tables.companies(c.select(response.alias("response"))).select("ico", "name", "full_address", "business_status")
 
 
 @query("SELECT c_custkey AS lead_id, n, total FROM customer JOIN (SELECT o_custkey, count(*) FILTER (r <= 10) AS n, round(sum(o_totalprice) FILTER (r <= 10), 2) AS total FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) GROUP BY o_custkey) ON o_custkey = c_custkey")
