@@ -1,15 +1,15 @@
 """Mixture-controlled packing of token streams into sequences.
 
-Every source is a queue; those under 1/64 of all tokens share one place among the queues and part it by a tree.  Deficit round-robin serves the queues window by
-window: a window gives each queue its share of the window's tokens, and what rounding withholds is carried as the queue's
-deficit to the next window.  As documents may be cut anywhere, a deficit stays under one token, and the tokens that a queue
-has been served after x tokens in all have a closed form: floor(x * (c + l) / L) - floor(x * c / L), with l the queue's
-tokens, c those of the queues before it and L those of all.  So each document finds its windows from its place in its queue
-alone; deficits pass windows and partitions without any window being laid out by one task.
-
-The tree of the small sources has two children at each node, and gives the left one floor(r * a / n) of the node's first r
-tokens, with a the left child's tokens and n the node's.  Both counts only grow, by one at most for each token of the node, so a
-source with less than one token a window has its turn in every so many windows.  A deficit stays under one token a level.
+Every source is a queue.  Deficit round-robin serves the queues window by window: a window gives each queue its share of the
+window's tokens, and what rounding withholds is carried as the queue's deficit to the next window.  As documents may be cut
+anywhere, deficits have a closed form.  The queues are the leaves of a binary tree: of a node's first r tokens the left child is
+given floor(r * a / n) and the right one the others, with a the left child's tokens and n the node's.  Both counts only grow, so a
+queue with less than one token a window has its turn in every so many windows, and a deficit stays under one token a level.  Each
+document thus finds its windows from its place in its queue alone; deficits pass windows and partitions without any window being
+laid out by one task.
+
+Sources under 1/64 of all tokens (or without a target weight) share one queue, which is parted by a tree of its own: its paths are
+computed by joins and may be as many as there are sources.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,78 +28,107 @@ from pyspark.sql import functions as F
 
 from .common import checked, cut, small_batches, utf8
 
-#: A source under this part of all tokens is a leaf in the tree of the last queue; so there are 64 queues of one source at most.
+#: Without target weights, a source under this part of all tokens is a leaf in the tree of the last queue: 64 sources at most have a
+#: queue of their own.
 LEAST_SHARE = 1 / 64
 WINDOW = 4096
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
 
 
-class WordIds(dict):
-    """Words (lower-cased, without blanks) and their ids as little-endian unsigned 32-bit integers.
+class WordIds:
+    """Words (ASCII letters lower-cased, without blanks) and their ids as little-endian unsigned 32-bit integers.
 
     The tokenizer drops white space, never joins what it parts and lower-cases, so a text's ids are those of its words in turn.
+    Runs of letters are the bulk of the words; they are encoded many at once.  Every other word is encoded by itself.
     """
 
     MOST = 1_500_000
-    MARKS = ".,;:!?#$%&*"
+    #: Characters behind a word that are a run of their own.
+    MARKS = b".,;:!?#$%&*"
+    #: Words that are encoded at once.
+    WORDS = 200
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.encoder = Tokenizer.from_file(path)
-        self.tails: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.tails: dict[bytes, bytes] = {}
+        #: Words of letters of which the tokenizer makes more than one run of letters.
+        self.odd: set[bytes] = set()
+        #: Strings of one id, which the tokenizer looks for before it lower-cases.
+        self.special = sorted({t.content.encode() for t in self.encoder.get_added_tokens_decoder().values()})
         size = self.encoder.get_vocab_size()
         #: Ids that end a run of letters, a digit or a run of other characters.
         self.ends = np.array([(self.encoder.id_to_token(i) or "").endswith("</w>") for i in range(size)])
 
-    def _alone(self, text: str) -> bytes:
+    def alone(self, text: str) -> bytes:
         return np.array(self.encoder.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, new: list[bytes]) -> None:
-        """Words of letters are encoded many at once, their ids being parted at the ends of runs; marks behind such a word are a
-        run of their own, so its ids are theirs in turn."""
-        letters, marked = {}, []
-        for w in new:
-            s = w.decode("utf-8", "replace")
-            if s.isalpha():
-                letters[w] = s
-                continue
-            core = s.rstrip(self.MARKS)
-            if core != s and core.isalpha():
-                marked.append((w, key := core.encode(), s[len(core) :]))
-                if key not in self:
-                    letters[key] = core
+    def _letters(self, text: str, n: int) -> bool:
+        """Whether the tokenizer's own normalisation leaves n words of letters of the text (U+0130, say, becomes a letter and a mark)."""
+        if text.isascii():
+            return True
+        left = self.encoder.normalizer.normalize_str(text).split(" ") if self.encoder.normalizer else text.split(" ")
+        return len(left) == n and all(map(str.isalpha, left))
+
+    def _learn(self, new: set[bytes]) -> None:
+        """Each word of letters leaves one run at least, so as many runs as words are one for each."""
+        known, other, marked = self.known, [], []
+        ascii_ = set(filter(bytes.isalpha, new))  # of bytes: ASCII letters
+        rest = list(new.difference(ascii_))
+        for w, core in zip(rest, map(bytes.rstrip, rest, repeat(self.MARKS)), strict=True):
+            if core.isalpha():
+                marked.append((w, core))
+                ascii_.add(core)
+            elif core.isascii():
+                known[w] = self.alone(w.decode())
+            elif not core.decode("utf-8", "replace").isalpha():
+                known[w] = self.alone(w.decode("utf-8", "replace"))
             else:
-                self[w] = self._alone(s)
-        part = list(letters.items())
-        for i in range(0, len(part), 200):
-            some = part[i : i + 200]
-            ids = np.array(self.encoder.encode(" ".join(s for _, s in some), add_special_tokens=False).ids, "<u4")
-            stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
-            packed, begin = ids.tobytes(), 0
-            if len(stops) != len(some):  # a vocabulary of another kind
-                self.update((w, self._alone(s)) for w, s in some)
+                other.append(core)
+                if len(core) != len(w):
+                    marked.append((w, core))
+        ascii_ = ascii_.difference(known)  # difference_update would walk through all that is known
+        for words in (list(ascii_), [w for w in dict.fromkeys(other) if w not in known]):
+            for i in range(0, len(words), self.WORDS):
+                part = words[i : i + self.WORDS]
+                text = b" ".join(part).decode("utf-8", "replace")
+                ids = np.array(self.encoder.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+                stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+                if len(stops) == len(part) and self._letters(text, len(part)):
+                    packed, stops = ids.tobytes(), stops.tolist()
+                    known.update(zip(part, map(packed.__getitem__, map(slice, [0, *stops], stops)), strict=False))
+                    continue
+                for w in part:
+                    known[w] = self.alone(w.decode("utf-8", "replace"))
+                    if not self._letters(w.decode("utf-8", "replace"), 1) or sum(self.ends[np.frombuffer(known[w], "<u4")]) != 1:
+                        self.odd.add(w)
+        for w, core in marked:
+            if core in self.odd:
+                known[w] = self.alone(w.decode("utf-8", "replace"))
                 continue
-            for (w, _), stop in zip(some, stops.tolist(), strict=True):
-                self[w] = packed[begin:stop]
-                begin = stop
-        for w, core, tail in marked:
+            tail = w[len(core) :]
             if tail not in self.tails:
-                self.tails[tail] = self._alone(tail)
-            self[w] = self[core] + self.tails[tail]
+                self.tails[tail] = self.alone(tail.decode())
+            known[w] = known[core] + self.tails[tail]
 
     def texts(self, texts: list[bytes | None]) -> list[bytes]:
-        split = [(t or b"").lower().split() for t in texts]
-        every = set(chain.from_iterable(split))
-        new = [w for w in every if w not in self]
-        if len(self) + len(new) > self.MOST:
-            self.clear()
-            new = list(every)
+        lower = [(t or b"").lower() for t in texts]
+        # a text whose lower case has a special string that the text itself hasn't is encoded as a whole
+        whole = {i: self.alone(texts[i].decode("utf-8", "replace")) for i, t in enumerate(lower) if any(x in t and t.count(x) != texts[i].count(x) for x in self.special)}
+        split = [[] if i in whole else t.split() for i, t in enumerate(lower)]
+        every = set().union(*split)
+        new = every.difference(self.known)
+        if len(self.known) + len(new) > self.MOST:
+            self.known.clear()
+            self.odd.clear()
+            new = every
         self._learn(new)
-        get = self.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
+        get = self.known.__getitem__
+        return [whole[i] if i in whole else b"".join(map(get, ws)) for i, ws in enumerate(split)]
 
 
 _encoders: dict[str, WordIds] = {}
@@ -140,81 +169,81 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     return picked.mapInArrow(run, "doc_id long, source string, part int, before long, n long, ids binary")
 
 
-def phases(lengths: list[int], weights: list[float] | None = None, window: int = WINDOW) -> list[tuple[int, list[int], list[int]]]:
+def phases(lengths: list[int], weights: list[float] | None = None) -> list[tuple[int, list[int], list[int]]]:
     """Phases (x, first, length): from place x on, queue i gives ``length[i]`` ids from its ``first[i]``-th.  Without weights one
-    phase in the proportions of the queues; with weights a phase ends when a queue is used up, and the others go on in theirs.
-    Every queue but the last must have an id or more in each window: of lengths that is the caller's part, weights are raised."""
+    phase in the proportions of the queues.  With weights a phase ends when a queue is used up, and the others go on in theirs;
+    queues of weight 0 come last, in proportion to their lengths."""
     if weights is None:
         return [(0, [0] * len(lengths), list(lengths))] if sum(lengths) else []
     out, x, done = [], 0, [0] * len(lengths)
     while sum(left := [n - d for n, d in zip(lengths, done, strict=True)]):
-        live = sum(w for w, n in zip(weights, left, strict=True) if n)
-        w = [max(w / live if live else 1.0, 1 / 128, 5 / window) if n else 0.0 for w, n in zip(weights, left, strict=True)]
-        time = min(n / v for n, v in zip(left, w, strict=True) if n)
-        take = [n if n and n / v <= time * (1 + 1e-12) else int(v * time) for n, v in zip(left, w, strict=True)]
+        w = [v if n else 0.0 for v, n in zip(weights, left, strict=True)]
+        w = w if any(w) else [float(n) for n in left]
+        time = min(n / v for n, v in zip(left, w, strict=True) if v)
+        take = [0 if not v else n if n / v <= time * (1 + 1e-12) else min(n, int(v * time)) for n, v in zip(left, w, strict=True)]
         out.append((x, list(done), take))
         x += sum(take)
         done = [d + t for d, t in zip(done, take, strict=True)]
     return out
 
 
-def pieces(queue: int, place: int, n: int, plan: list[tuple[int, list[int], list[int]]], window: int = WINDOW) -> Iterator[tuple[int, int, int]]:
-    """(start, length, x) of the pieces of ids ``place`` to ``place + n`` of a queue: x is the piece's place among all ids."""
-    at, end = place, place + n
-    for x0, first, length in plan:
-        lo, size, total = first[queue], length[queue], sum(length)
-        if not size or lo + size <= at or at >= end:
-            continue
-        c = sum(length[:queue])
-        served = lambda r: r * (c + size) // total - r * c // total
-        edge = lambda k: min(max(k * window - x0, 0), total)  # noqa: E731  the k-th window's begin within the phase
-        k = (x0 + (at - lo) * total // size) // window
-        while served(edge(k)) > at - lo:
-            k -= 1
-        while at < end and at < lo + size:
-            ra, rb = edge(k), edge(k + 1)
-            begin, stop = served(ra), served(rb)
-            if (take := min(end, lo + stop) - at) > 0:
-                x = x0 + ra + rb * c // total - ra * c // total + (at - lo - begin)
-                yield at - place, take, x
-                at += take
-            k += 1
-
-
-def pooled(path: list[tuple[bool, int, int]], place: int, n: int, plan: list[tuple[int, list[int], list[int]]], window: int = WINDOW) -> Iterator[tuple[int, int, int]]:
-    """``pieces`` of a leaf of the last queue's tree.  ``path``: from the root on, whether the leaf is on the right, the tokens of
-    the left child, and those of the node.  Within a window the leaves follow one another, each in one piece."""
+Path = list[tuple[bool, int, int]]  # from the root on: whether the leaf is on the right, the left child's tokens, the node's
+
+
+def leaf_path(lengths: list[int], queue: int) -> Path:
+    """The path to a queue in the tree of queues of these lengths; nodes with one child are left out."""
+    lo, hi, path = 0, len(lengths), []
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        a, size = sum(lengths[lo:mid]), sum(lengths[lo:hi])
+        if 0 < a < size:
+            path.append((queue >= mid, a, size))
+        lo, hi = (mid, hi) if queue >= mid else (lo, mid)
+    return path
+
+
+def turns(queue: int, plan: list[tuple[int, list[int], list[int]]]) -> list[tuple[int, int, int, int, Path]]:
+    """A queue's part of each phase: the phase's first place and length, the queue's first id and number of ids, its path."""
+    return [(x0, sum(length), first[queue], length[queue], leaf_path(length, queue)) for x0, first, length in plan if length[queue]]
+
+
+def _up(path: Path, q: int) -> int:
+    """The place in the root's tokens of a leaf's q-th."""
+    for right, a, size in reversed(path):
+        q = q * size // (size - a) if right else -(-(q + 1) * size // a) - 1
+    return q
+
+
+def _down(path: Path, x: int, begin: int, stop: int) -> tuple[int, int, int]:
+    """What a leaf has of its root's tokens from ``begin`` to ``stop``, and the place ``x`` of its first one, leaves following one another."""
+    for right, a, size in path:
+        left = begin * a // size, stop * a // size
+        if right:
+            x += left[1] - left[0]
+            begin, stop = begin - left[0], stop - left[1]
+        else:
+            begin, stop = left
+    return x, begin, stop
+
+
+def pieces(own: list[tuple[int, int, int, int, Path]], path: Path, place: int, n: int, window: int = WINDOW) -> Iterator[tuple[int, int, int]]:
+    """(start, length, x) of the pieces of ids ``place`` to ``place + n`` of a leaf of a queue (``path``: in the queue's own tree):
+    x is the piece's place among all ids.  A leaf has one piece of every window at most."""
     at, end = place, place + n
     while at < end:
-        q = at  # place in the last queue of the leaf's next id
-        for right, a, size in reversed(path):
-            q = q * size // (size - a) if right else -(-(q + 1) * size // a) - 1
-        x0, lo, size, total = next((x0, first[-1], length[-1], sum(length)) for x0, first, length in plan if first[-1] <= q < first[-1] + length[-1])
-        c = total - size
-        served = lambda r: r - r * c // total  # noqa: E731, B023
-        edge = lambda k: min(max(k * window - x0, 0), total)  # noqa: E731, B023
-        k = (x0 + (q - lo) * total // size) // window
-        while served(edge(k)) > q - lo:
-            k -= 1
-        while served(edge(k + 1)) <= q - lo:
-            k += 1
-        ra, rb = edge(k), edge(k + 1)
-        x = x0 + ra + rb * c // total - ra * c // total
-        begin, stop = lo + served(ra), lo + served(rb)
-        for right, a, size in path:
-            left = begin * a // size, stop * a // size
-            if right:
-                x += left[1] - left[0]
-                begin, stop = begin - left[0], stop - left[1]
-            else:
-                begin, stop = left
+        q = _up(path, at)
+        x0, total, lo, _, steps = next(t for t in own if q < t[2] + t[3])
+        k = (x0 + _up(steps, q - lo)) // window
+        ra, rb = max(k * window - x0, 0), min((k + 1) * window - x0, total)
+        x, begin, stop = _down(steps, x0 + ra, ra, rb)
+        x, begin, stop = _down(path, x, lo + begin, lo + stop)
         take = min(end, stop) - at
         yield at - place, take, x + at - begin
         at += take
 
 
 def paths(pool: DataFrame) -> DataFrame:
-    """(leaf, path) as ``pooled`` takes them out of (leaf, n), leaves being hashes: their bits, from the highest on, lead through the
+    """(leaf, path) as ``pieces`` takes them out of (leaf, n), leaves being hashes: their bits, from the highest on, lead through the
     tree, and nodes with one child are left out."""
     nodes = pool.withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(64)))).withColumn("right", F.expr("shiftrightunsigned(leaf, 64 - level) & 1 = 1"))
     nodes = nodes.withColumn("node", F.expr("shiftrightunsigned(shiftrightunsigned(leaf, 64 - level), 1)"))
@@ -227,24 +256,26 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     """Pack all documents into sequences of ``window`` ids; only the last may be shorter.  A row for each piece: doc_id, start,
     length, ids_crc32, doc_tokens, sequence_id, offset, source, and with ``keep_ids`` the piece's ids.
 
-    ``targets``: token proportions by source (others: weight 0, served last; small sources, as those of the tree, share the sum of
-    their targets by their tokens); without them those of the corpus, which every window then has.  Null and empty texts are the end id alone.  Null sources are a source.  Repeated rows and ids are packed
-    as often as they come; a null id stays null.  An empty table gives no rows.  Other columns are ignored.
+    ``targets``: token proportions by source.  A source whose target isn't 0 has a queue of its own; when it is used up, the others
+    go on in their proportions.  Sources with target 0 or none come last, in proportion to their tokens.  Without ``targets`` every
+    window has the corpus's proportions.  Null and empty texts are the end id alone.  Null sources are a source.  Repeated rows
+    and ids are packed as often as they come; a null id stays null.  An empty table gives no rows.  Other columns are ignored.
     """
     rows = cut(encode(docs, id_col, text_col, source_col, tokenizer, end_id), "tokens")
     runs = cut(rows.groupBy("part", "source").agg(F.sum("n").alias("n")), "runs")
     by_source = runs.groupBy("source").agg(F.sum("n").alias("n"))
     total = runs.agg(F.sum("n")).head()[0] or 0
-    least = max(LEAST_SHARE, 4 / window)
-    own = [(r.source, r.n) for r in by_source.where(F.col("n") >= F.lit(total * least)).orderBy(F.col("source").asc_nulls_first()).collect()]  # 64 at most
+    if targets is None:
+        apart = F.col("n") >= F.lit(total * LEAST_SHARE)  # 64 at most
+    else:
+        apart = F.coalesce(F.col("source").isin([s for s, w in targets.items() if w > 0 and s is not None]), F.lit(targets.get(None, 0.0) > 0))  # as many as are named
+    own = [(r.source, r.n) for r in by_source.where(apart).orderBy(F.col("source").asc_nulls_first()).collect()]
     names = [s for s, _ in own]
     lengths = [n for _, n in own] + [total - sum(n for _, n in own)]
-    weights = None if targets is None else [targets.get(s, 0.0) for s in names] + [sum(w for s, w in targets.items() if s not in names)]
-    plan = phases(lengths, weights, window)
-    queue = F.lit(len(names))
-    for i, s in enumerate(names):
-        queue = F.when(F.col("source").eqNullSafe(F.lit(s)), F.lit(i)).otherwise(queue)
-    runs = runs.withColumn("queue", queue).withColumn("leaf", F.when(F.col("queue") == len(names), F.xxhash64("source")).otherwise(0))
+    plan = phases(lengths, None if targets is None else [targets[s] for s in names] + [0.0])
+    numbered = docs.sparkSession.createDataFrame([(s, i) for i, s in enumerate(names)], "s string, i int")
+    runs = runs.join(F.broadcast(numbered), F.col("source").eqNullSafe(F.col("s")), "left").select("part", "source", "n", F.coalesce("i", F.lit(len(names))).alias("queue"))
+    runs = runs.withColumn("leaf", F.when(F.col("queue") == len(names), F.xxhash64("source")).otherwise(0))
     # a leaf's order: by task, within it by source (of one hash), within it as the task met them
     inner = Window.partitionBy("queue", "leaf", "part").orderBy("source").rowsBetween(Window.unboundedPreceding, -1)
     outer = Window.partitionBy("queue", "leaf").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -258,14 +289,16 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     places = checked(cut(places.select(F.col("part").alias("p"), F.col("source").alias("s"), "queue", "path", (F.col("base") + F.col("inner")).alias("base")), "places"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, list] = {}
         for batch in batches:
             out: list[tuple] = []
             for id_, source, q, path, place, ids in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 view, n = memoryview(ids), len(ids) // 4
-                steps = [(s["right"], s["a"], s["size"]) for s in path or []]
-                for start, length, x in pooled(steps, place, n, plan, window) if q == len(names) else pieces(q, place, n, plan, window):
-                    own = view[4 * start : 4 * (start + length)]
-                    out.append((id_, start, length, zlib.crc32(own), n, x // window, x % window, source, bytes(own) if keep_ids else None))
+                if q not in own:
+                    own[q] = turns(q, plan)
+                for start, length, x in pieces(own[q], [(s["right"], s["a"], s["size"]) for s in path or []], place, n, window):
+                    piece = view[4 * start : 4 * (start + length)]
+                    out.append((id_, start, length, zlib.crc32(piece), n, x // window, x % window, source, bytes(piece) if keep_ids else None))
             cols = list(zip(*out, strict=True)) if out else [()] * 9
             kinds = [pa.int64()] * 7 + [pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "ids"])

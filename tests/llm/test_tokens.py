@@ -19,10 +19,10 @@ def encode():
 
 def test_words_encode_like_whole_texts(encode):
     rng = random.Random(1)
-    letters = "abcXYZéÉß中0129'’.,;:!?#$%&*<|>endoftext  ́ \n\t-_ǅʰ١²ª"
+    letters = "abcXYZéÉß中0129'’.,;:!?#$%&*<|>endoftext  ́ \n\t-_ǅʰ١²ª\u0130\u0131\u212a\u212b\u00a0\u0085\u200b\u200d\ufeffΣςﬁ가각ẞ\u0307i\u0307"
     known = P.encoder(P.TOKENIZER)
-    for _ in range(1500):
-        text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) + rng.choice(["", "", "<|endoftext|>", "a<|startoftext|>.b"])
+    for _ in range(4000):
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) + rng.choice(["", "", "<|endoftext|>", "a<|startoftext|>.b", "<|EndOfText|> É", "TBMMİ, İ İ;"])
         assert np.frombuffer(known.texts([text.encode()])[0], "<u4").tolist() == encode(text)[:-1].tolist(), text
 
 
@@ -77,7 +77,7 @@ def test_windows_hold_the_corpus_proportions(spark):
         assert all(abs(own[s] - 256 * n / sum(total.values())) < 2 for s, n in total.items())
 
 
-@pytest.mark.parametrize("sources, window", [(100, 4096), (100, 64)])
+@pytest.mark.parametrize("sources, window", [(100, 4096), (100, 64), (300, 512)])
 def test_windows_hold_the_proportions_of_small_sources(spark, encode, sources, window):
     """No source has 1/64 of the tokens (or 4 ids a window); after every window each has had its part, but for a few ids of deficit."""
     rng = random.Random(sources)
@@ -109,19 +109,33 @@ def test_targets_hold_until_a_source_ends(spark):
     assert abs(first - 96) <= 2
 
 
+def test_target_0_comes_last_and_small_targets_hold(spark):
+    rows = [(i, "a b c d e f g h " * 4, "en", ["x", "y", f"s{i % 40}"][i % 3], 1) for i in range(1200)]
+    targets = {"x": 1.0, "y": 0.0} | {f"s{i}": 0.01 for i in range(20)}
+    out = P.pack(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), window=128, targets=targets).collect()
+    size = Counter()
+    for r in out:
+        size[r.source] += r.length
+    x_ends = max(r.sequence_id * 128 + r.offset + r.length for r in out if r.source == "x")
+    assert min(r.sequence_id * 128 + r.offset for r in out if r.source == "y" or r.source[0] == "s" and r.source not in targets) >= max(r.sequence_id * 128 + r.offset + r.length for r in out if targets.get(r.source))
+    for s in ("s3", "s7"):
+        got = sum(r.length for r in out if r.source == s and r.sequence_id * 128 < x_ends - 128)
+        assert abs(got - min(size[s], 0.01 * size["x"])) <= 3
+    assert sorted(r.sequence_id * 128 + r.offset for r in out)[-1] < sum(size.values()) == 1200 * 33
+
+
 def test_pieces_tile_every_queue():
     rng = random.Random(2)
     for _ in range(200):
         every = [rng.choice([0, 1, rng.randrange(1, 400), rng.randrange(1, 4000)]) for _ in range(rng.randint(1, 6))]
-        own = [n for n in every if n >= sum(every) * 4 / 32]  # as pack() does: the others share the last queue
-        lengths = [*own, sum(every) - sum(own)]
-        plan = P.phases(lengths, None if rng.random() < 0.5 else [rng.random() for _ in lengths], 32)
+        lengths = [*every, 0]
+        plan = P.phases(lengths, None if rng.random() < 0.5 else [rng.choice([0.0, 1e-6, rng.random()]) for _ in lengths])
         taken = []
         for q, n in enumerate(lengths):
             at = 0
             while at < n:
                 size = min(rng.randint(1, 50), n - at)
-                parts = list(P.pieces(q, at, size, plan, 32))
+                parts = list(P.pieces(P.turns(q, plan), [], at, size, 32))
                 assert sum(p[1] for p in parts) == size and [p[0] for p in parts] == np.cumsum([0, *(p[1] for p in parts)])[:-1].tolist()
                 taken += [x + i for _, length, x in parts for i in range(length)]
                 assert all(x // 32 == (x + length - 1) // 32 for _, length, x in parts)
