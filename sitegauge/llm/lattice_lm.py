@@ -2,9 +2,12 @@
 
 The vocabulary of an existing subword tokenizer weights the pieces: each piece's prior follows from the vocabulary's own score
 (its rank), and counts over the training documents' distinct words sharpen it.  The lattice of a word has all its segmentations
-into pieces, and one edge over the whole word if training has met it; Witten-Bell gives that edge its count over n + v of n
-tokens and v distinct ones, and the segmentations v / (n + v).  The sum over all paths, by forward recursion in log space, is the
-word's probability; a text's is the product over its words and one end.
+into pieces.  The sum over all of them, by forward recursion in log space, is the word's marginal probability; a text's is the
+product over its words and one end (``lattice_score``).
+
+Pieces alone know little of which words there are, so ``score`` is of a mixture: a word met in training has one more edge over the
+whole of it.  Witten-Bell gives these edges c / (n + v), by the word's count c among n tokens, v of them distinct, and leaves v / (n + v)
+to the lattice; the two add up to 1.
 
 Words repeat, so the work is by distinct word: documents are parsed once in blocks, each with a dictionary of its own words;
 the dictionaries are joined with the counts and the words' probabilities, and go back to their blocks.
@@ -23,12 +26,28 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, held_out, small_batches, utf8
+from .common import cut, held_out, partitions, small_batches, utf8
 
 #: Sentencepiece vocabulary, the weight (in pieces) of its prior, and the bytes of text that a block holds before it is closed.
 VOCABULARY, PRIOR_WEIGHT, BLOCK_BYTES = "piece_bpe_32k.model", 1000.0, 16 << 20
 
 
+class Chars(dict):
+    """log10 of the probability of a character as a piece of its own or as bytes; known ones up to a bound."""
+
+    def __init__(self, pieces: dict[str, float], bytes_: list[float]):
+        super().__init__()
+        self.pieces, self.bytes = pieces, bytes_
+
+    def __missing__(self, c: str) -> float:
+        if len(self) > 100_000:
+            self.clear()
+        spelled, piece = math.fsum(self.bytes[b] for b in c.encode("utf-8", "replace")), self.pieces.get(c, -math.inf)
+        top = max(spelled, piece)
+        self[c] = out = top + math.log10(10.0 ** (spelled - top) + 10.0 ** (piece - top))
+        return out
+
+
 class Pieces:
     """Pieces of the vocabulary with their scores; bytes stand for characters that no piece has."""
 
@@ -47,26 +66,47 @@ class Pieces:
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.names) if self.model.is_byte(i)}
         self.index = {p: i for i, p in enumerate(self.names) if self.usable[i] and not self.model.is_byte(i)}
         self.longest = max(map(len, self.index), default=1)
+        # lengths of the pieces that end in these two characters; a piece of one character has length 1
+        ends: dict[str, set[int]] = {}
+        for piece in self.index:
+            if len(piece) > 1:
+                ends.setdefault(piece[-2:], set()).add(len(piece))
+        self.ends = {k: tuple(sorted(v)) for k, v in ends.items()}
         # the scores of a merge vocabulary are ranks, from 0 down; by rank, pieces of running text follow a power law
         rank = np.array([-self.model.get_score(i) if not self.model.is_byte(i) else n for i in range(n)])
         self.prior = np.where(self.usable, 1.0 / (10.0 + np.minimum(np.maximum(rank, 0), n)), 0.0)
 
-    def weights(self, counts: np.ndarray, words: int) -> tuple[np.ndarray, float]:
-        """log10 probabilities of the pieces, and of a word's end, out of counts over so many words."""
+    def weights(self, counts: np.ndarray, words: int) -> tuple[list[float], list[float], float]:
+        """log10 probabilities of the pieces, of the 256 bytes, and of a word's end, out of counts over so many words.  A byte that
+        the vocabulary has no piece for is worth one count in all, as are all such bytes together."""
         p = counts + PRIOR_WEIGHT * self.prior / self.prior.sum()
-        total = p.sum() + words + 1
+        missing = 256 - len(self.bytes)
+        total = p.sum() + words + 1 + (missing > 0)
         with np.errstate(divide="ignore"):
-            return np.log10(p / total), math.log10((words + 1) / total)
+            logs = np.log10(p / total).tolist()
+        return logs, [logs[self.bytes[b]] if b in self.bytes else -math.log10(missing * total) for b in range(256)], math.log10((words + 1) / total)
+
+    def chars(self, logs: list[float], bytes_: list[float]) -> Chars:
+        return Chars({c: logs[i] for c, i in self.index.items() if len(c) == 1}, bytes_)
 
-    def word(self, word: str, logs: list[float]) -> float:
+    def word(self, word: str, logs: list[float], chars: Chars) -> float:
         """log10 of the sum over all segmentations of a word, its mark of a word's beginning included."""
-        s, index, longest = "▁" + word, self.index, self.longest
-        f = [0.0] + [-math.inf] * len(s)
-        for end in range(1, len(s) + 1):
-            terms = [f[begin] + logs[i] for begin in range(max(0, end - longest), end) if (i := index.get(s[begin:end])) is not None]
-            terms.append(f[end - 1] + sum(logs[self.bytes[b]] for b in s[end - 1].encode()))
-            top = max(terms)
-            f[end] = top if len(terms) == 1 else top + math.log10(sum(10.0 ** (t - top) for t in terms))
+        s, index, ends = "▁" + word, self.index.get, self.ends.get
+        f, before = [0.0], ""
+        for end, c in enumerate(s, 1):
+            total, terms = f[-1] + chars[c], None
+            for n in ends(before + c, ()):
+                if n > end:
+                    break
+                if (i := index(s[end - n : end])) is not None:
+                    if terms is None:
+                        terms = [total]
+                    terms.append(f[end - n] + logs[i])
+            if terms is not None:
+                top = max(terms)
+                total = top + math.log10(sum([10.0 ** (t - top) for t in terms]))
+            f.append(total)
+            before = c
         return f[-1]
 
 
@@ -124,8 +164,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
     """Score every document; learn from those whose crc32(id as text) mod ``mod`` is not ``rest`` (a null id trains).
 
     A row for each: doc_id, held_out, n_tokens (words and the end), n_known (tokens met in training), train_tokens, base_score
-    (add-one unigrams, log10) and score (log10 of the lattice's probability).  Null and empty texts are one end.  Repeated rows
-    count and return as often as they come; an empty table gives no rows.  Other columns are ignored.
+    (add-one unigrams, log10), score (log10 of the mixture's probability) and lattice_score (of the lattice's alone).  Null and
+    empty texts are one end.  Repeated rows count and return as often as they come; an empty table gives no rows, and without
+    training rows the lattice has the vocabulary's prior alone.  Other columns are ignored.
     """
     spark = docs.sparkSession
     table = cut(blocks(docs, id_col, text_col, mod, rest, block_bytes), "blocks")
@@ -149,43 +190,55 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
     counts = np.zeros(table_size)
     for r in found:
         counts[r.piece] = r.n
-    weights, word_end = pieces(vocabulary).weights(counts, distinct)
+    weights, byte_weights, word_end = pieces(vocabulary).weights(counts, distinct)
     log_known = lambda c: math.log10(c / (n + v)) if c else -math.inf
-    log_new = math.log10((v + 1) / (n + v + 1)) + word_end
-    end_log = max(log_known(ends), log_new)
+    log_new = math.log10(v / (n + v)) if v else 0.0
+    end_alone = math.log10((ends + 1) / (n + 2))  # in the lattice's model every token is an end with this probability, else a word
+    word_alone = math.log10(max(n + 1 - ends, 1) / (n + 2)) + word_end
+    end_log = log_known(ends) if ends else log_new + end_alone
+    log_new += word_end
 
     def likelihood(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, logs = pieces(vocabulary), weights.tolist()
+        model = pieces(vocabulary)
+        chars = model.chars(weights, byte_weights)
         for batch in batches:
-            out = []
+            mixed, alone = [], []
             for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                spelled, whole = log_new + model.word(w.decode("utf-8", "replace"), logs), log_known(c)
-                top = max(spelled, whole)
-                out.append(top + math.log10(10.0 ** (spelled - top) + 10.0 ** (whole - top)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], ["word", "c", "log"])
-
-    scored = cut(vocab.repartition("word").mapInArrow(likelihood, "word binary, c long, log double"), "likelihoods")
-    known = entries.select("block", "number", "word").join(scored.hint("merge"), "word").select(F.col("block").alias("of"), "number", "c", "log")
+                spelled = model.word(w.decode("utf-8", "replace"), weights, chars)
+                alone.append(word_alone + spelled)
+                if c:
+                    new, whole = log_new + spelled, log_known(c)
+                    top = max(new, whole)
+                    mixed.append(top + math.log10(10.0 ** (new - top) + 10.0 ** (whole - top)))
+                else:
+                    mixed.append(log_new + spelled)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(mixed, pa.float64()), pa.array(alone, pa.float64())], ["word", "c", "log", "alone"])
+
+    spread = vocab.repartition(max(partitions(spark), spark.sparkContext.defaultParallelism), "word")  # a number that is kept: words are dear
+    scored = cut(spread.mapInArrow(likelihood, "word binary, c long, log double, alone double"), "likelihoods")
+    known = entries.select("block", "number", "word").join(scored.hint("merge"), "word").select(F.col("block").alias("of"), "number", "c", "log", "alone")
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
         size = right.num_rows
-        c, log = np.zeros(size, np.int64), np.zeros(size)
+        c, log, alone = np.zeros(size, np.int64), np.zeros(size), np.zeros(size)
         order = right.column("number").to_numpy()
-        c[order], log[order] = right.column("c").to_numpy(), right.column("log").to_numpy()
+        c[order], log[order], alone[order] = (right.column(k).to_numpy() for k in ("c", "log", "alone"))
         base = np.log10((c + 1) / (n + v + 1))
         base_end = math.log10((ends + 1) / (n + v + 1))
-        tokens, met, base_score, total = [], [], [], []
+        tokens, met, base_score, total, lattice = [], [], [], [], []
         for packed in left.column("words").to_pylist():
             own = np.frombuffer(packed, "<i4")
             tokens.append(len(own) + 1)
             met.append(int((c[own] > 0).sum()) + (ends > 0))
             base_score.append(math.fsum(base[own]) + base_end)
             total.append(math.fsum(log[own]) + end_log)
+            lattice.append(math.fsum(alone[own]) + end_alone)
         k = left.num_rows
         return pa.table({
             "doc_id": left.column("doc_id"), "held_out": left.column("held_out"), "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(met, pa.int64()),
             "train_tokens": pa.array([n] * k, pa.int64()), "base_score": pa.array(base_score, pa.float64()), "score": pa.array(total, pa.float64()),
+            "lattice_score": pa.array(lattice, pa.float64()),
         })
 
     grouped = texts.groupBy("block").cogroup(known.groupBy("of"))
-    return grouped.applyInArrow(apply, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return grouped.applyInArrow(apply, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double")

@@ -1,3 +1,4 @@
+import copy
 import hashlib
 import itertools
 import math
@@ -112,10 +113,24 @@ def test_language_model_base(spark, odd_rows):
     assert np.allclose(sorted(r.score for r in got), sorted(r.score for r in again))
 
 
+def lattice(model, word, logs, bytes_):
+    """The sum over all segmentations, by a backward recursion in decimals, which don't run out of exponents."""
+    text = "▁" + word
+    after = [Decimal(0)] * len(text) + [Decimal(1)]
+    for a in range(len(text) - 1, -1, -1):
+        for b in range(a + 1, min(len(text), a + model.longest) + 1):
+            if (part := text[a:b]) in model.index:
+                after[a] += Decimal(10 ** logs[model.index[part]]) * after[b]
+        spelled = Decimal(1)
+        for x in text[a].encode():
+            spelled *= Decimal(10 ** bytes_[x])
+        after[a] += spelled * after[a + 1]
+    return float(after[0].log10())
+
+
 def test_lattice_sums_all_segmentations():
     model = LM.pieces(LM.VOCABULARY)
-    weights, _ = model.weights(np.zeros(len(model.names)), 10)
-    logs = weights.tolist()
+    logs, bytes_, _ = model.weights(np.zeros(len(model.names)), 10)
     for word in ("the", "tion", "ab", "é€", "\U0001f600x"):
         text = "▁" + word
         total = 0.0
@@ -126,25 +141,54 @@ def test_lattice_sums_all_segmentations():
                 part = text[a:b]
                 p = 10 ** logs[model.index[part]] if part in model.index else 0.0
                 if b - a == 1:
-                    p += 10 ** sum(logs[model.bytes[x]] for x in part.encode())
+                    p += 10 ** sum(bytes_[x] for x in part.encode())
                 options *= p
             total += options
-        assert abs(model.word(word, logs) - math.log10(total)) < 1e-9
+        assert abs(model.word(word, logs, model.chars(logs, bytes_)) - math.log10(total)) < 1e-9
+        assert abs(lattice(model, word, logs, bytes_) - math.log10(total)) < 1e-9
 
 
-@pytest.mark.parametrize("word", ["the" * 200, "ation" * 60 + "é€" + "ing" * 100, "x" * 255 + "the" + "y" * 300])
+@pytest.mark.parametrize("word", ["the" * 200, "ation" * 60 + "é€" + "ing" * 100, "x" * 255 + "the" + "y" * 300, "international" * 30, "ab\U0001f600" * 3000])
 def test_lattice_does_not_cut_long_words(word):
-    """Against a backward recursion over the whole word, in decimals, which don't run out of exponents."""
     model = LM.pieces(LM.VOCABULARY)
-    logs = model.weights(np.zeros(len(model.names)), 10)[0].tolist()
-    text = "▁" + word
-    after = [Decimal(0)] * len(text) + [Decimal(1)]
-    for a in range(len(text) - 1, -1, -1):
-        for b in range(a + 1, min(len(text), a + model.longest) + 1):
-            if (part := text[a:b]) in model.index:
-                after[a] += Decimal(10 ** logs[model.index[part]]) * after[b]
-        after[a] += Decimal(10 ** sum(logs[model.bytes[x]] for x in text[a].encode())) * after[a + 1]
-    assert len(text) > 256 and abs(model.word(word, logs) - float(after[0].log10())) < 1e-6
+    logs, bytes_, _ = model.weights(np.zeros(len(model.names)), 10)
+    assert len(word) > 256 and abs(model.word(word, logs, model.chars(logs, bytes_)) - lattice(model, word, logs, bytes_)) < 1e-5
+
+
+def test_lattice_without_byte_pieces():
+    model = copy.copy(LM.pieces(LM.VOCABULARY))
+    model.bytes = {}
+    logs, bytes_, _ = model.weights(np.zeros(len(model.names)), 10)
+    assert math.isfinite(model.word("a\U0001f600", logs, model.chars(logs, bytes_))) and len(set(bytes_)) == 1
+
+
+def test_language_model_scores_against_brute_force(spark, odd_rows):
+    """Piece counts, both scores and the weights of the mixture, computed anew from all rows."""
+    rows = [r for r in odd_rows if r[0] != 5] + [(i, f"word{i % 7} The ending nation{i % 3}", "en", "a", 1) for i in range(200, 240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = LM.score(df, block_bytes=3000).collect()
+    model = LM.pieces(LM.VOCABULARY)
+    tokens = [words_of(re.sub("[A-Z]", lambda m: m[0].lower(), r[1] or "")) for r in rows]
+    trains = [r[0] is None or zlib.crc32(str(r[0]).encode()) % 7 != 2 for r in rows]
+    c = Counter(w for ws, t in zip(tokens, trains, strict=True) if t for w in ws)
+    ends = sum(trains)
+    n, v = sum(c.values()) + ends, len(c) + 1
+    counts = np.zeros(len(model.names))
+    for w in c:
+        for i in model.model.encode(w):
+            counts[i] += 1
+    logs, bytes_, word_end = model.weights(counts, len(c))
+    spelled = {w: word_end + lattice(model, w, logs, bytes_) for w in set(itertools.chain(*tokens))}
+    p_end = (ends + 1) / (n + 2)
+    want = []
+    for r, ws in zip(rows, tokens, strict=True):
+        mixed = sum(float((Decimal(c[w]) / (n + v) + Decimal(v) / (n + v) * Decimal(10) ** Decimal(spelled[w])).log10()) for w in ws) + math.log10(ends / (n + v))
+        want.append((r[0], mixed, sum(math.log10(1 - p_end) + spelled[w] for w in ws) + math.log10(p_end)))
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    have = sorted(((r.doc_id, r.score, r.lattice_score) for r in got), key=key)
+    for a, b in zip(have, sorted(want, key=key), strict=True):
+        assert a[0] == b[0] and math.isclose(a[1], b[1], rel_tol=1e-9) and math.isclose(a[2], b[2], rel_tol=1e-9)
+    assert abs(sum(x / (n + v) for x in [*c.values(), ends]) + v / (n + v) - 1) < 1e-12
 
 
 def test_language_model_learns(spark):
