@@ -118,7 +118,7 @@ def verify(groups: DataFrame, texts: DataFrame, percent: int, shingle: int = 5)
     return rows.repartition("g", "part").sortWithinPartitions("g", "part", "role").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, shingle: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, shingle: int = 5) -> DataFrame:
     """Link documents whose shingle sets have 100 * intersection >= percent * union, and return a row for each document:
     doc_id, n_shingles, component_id (the smallest doc_id reachable over links, its own included), kept (doc_id is component_id).
 
@@ -159,11 +159,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     asked = named.where("apart").select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), F.lit(1).alias("role"), F.col("rep").alias("id"), "label")
     more = cut(verify(held.union(asked), texts, percent, shingle), "links")
     # rows get the representative of their set; one id with several sets makes those representatives one
-    rows = rows.join(classes.select(*sets, "rep"), sets, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"))
-    alias = rows.where("rep is not null and doc_id <> rep").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.collect_set("rep").alias("all"))
-    alias = alias.where("a <> b").select("a", F.explode("all").alias("b"))
-    alias = alias.union(rows.where("doc_id = rep").select("rep").distinct().join(rows.where("doc_id <> rep").select("doc_id", F.col("rep").alias("b")), F.col("rep") == F.col("doc_id")).select("rep", "b"))
-    more = cut(more.union(alias), "links")
+    # (many rows of one set are a skewed left side, which adaptive execution splits; rows without a set or an id match nothing
+    # and are dealt out by a salt)
+    single = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64("doc_id", "n_shingles", F.monotonically_increasing_id()), F.lit(1024)))
+    named_sets = classes.select(*sets, "rep", F.lit(0).cast("long").alias("salt"))
+    rows = rows.withColumn("salt", single.cast("long")).join(named_sets, [*sets, "salt"], "left").select("doc_id", "n_shingles", "rep")
+    pairs = rows.where("rep is not null").select("doc_id", "rep").distinct()
+    several = pairs.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select(F.col("doc_id").alias("of"), "a")
+    more = cut(more.union(pairs.join(several, F.col("doc_id") == F.col("of")).where("rep <> a").select("a", F.col("rep").alias("b"))), "links")
     if more.limit(1).count():
         labels = components(edges.union(more))
     out = rows.join(labels.toDF("rep", "component_id"), "rep", "left")

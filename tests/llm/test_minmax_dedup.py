@@ -16,7 +16,7 @@ def sets_of(text):
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
-def brute(rows, percent=85):
+def brute(rows, percent=80):
     """Component of each row by comparing all pairs; rows of one id are one document, an empty row stands alone."""
     parent = {i: i for i, _ in rows if i is not None}
 
@@ -69,6 +69,7 @@ def test_clusters_about_a_base(spark):
     rows += [(n + 100 + i, passage + " " + " ".join(f"q{rng.randrange(10**6)}" for _ in range(rng.randint(4, 60)))) for i in range(60)]
     rng.shuffle(rows)
     check(spark, rows)
+    check(spark, rows, percent=85)
 
 
 def test_other_similarity(spark):
