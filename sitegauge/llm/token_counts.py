@@ -65,3 +65,24 @@ def length_histogram(docs: DataFrame, text_col: str = "text", tokenizer: str = T
     out = out.select("n_tokens", "n_docs", (F.col("a") + F.col("d")).alias("docs_from"), (F.col("b") + F.col("t")).alias("tokens_from"), F.lit(docs_total).cast("long").alias("docs_total"), F.lit(tokens_total).cast("long").alias("tokens_total"))
     shorter = F.col("docs_total") - F.col("docs_from")
     return out.withColumn("quantile", (shorter + F.col("n_docs")) / F.col("docs_total")).withColumn("truncated_total", F.col("tokens_total") - F.col("tokens_from") + F.col("docs_from") * F.col("n_tokens"))
+
+
+def at_limits(histogram: DataFrame, limits: list[int]) -> DataFrame:
+    """Answers for any context limits out of ``length_histogram``: context_limit, docs_over (longer than the limit), tokens_over (in
+    them), truncated_total (tokens left when every document is cut at the limit), docs_total, tokens_total.
+
+    A limit between lengths that occur is answered by the suffix sums of the next longer one.  An empty histogram gives zeros.
+    """
+    asked = sorted(set(map(int, limits)))
+    if not asked:
+        raise ValueError("no limit")
+    every = F.array(*(F.lit(x).cast("long") for x in asked))
+    below = histogram.withColumn("below", F.size(F.filter(every, lambda x: x < F.col("n_tokens"))))  # limits that the length exceeds
+    sums = below.groupBy("below").agg(F.sum("n_docs").alias("d"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("t"), F.max("docs_total").alias("docs_total"), F.max("tokens_total").alias("tokens_total"))
+    sums = {r.below: r for r in sums.collect()}  # a row for each limit and one more, at most
+    totals = next(((r.docs_total, r.tokens_total) for r in sums.values()), (0, 0))
+    rows = []
+    for i, limit in enumerate(asked):
+        docs_over, tokens_over = (sum(r[k] for n, r in sums.items() if n > i) for k in ("d", "t"))
+        rows.append((limit, docs_over, tokens_over, totals[1] - tokens_over + docs_over * limit, *totals))
+    return histogram.sparkSession.createDataFrame(rows, "context_limit long, docs_over long, tokens_over long, truncated_total long, docs_total long, tokens_total long")
