@@ -17,6 +17,8 @@ from .common import partitions, words
 
 #: Bins as a power of two, and bits kept of each.
 BIN_BITS, LOW_BITS = 7, 8
+#: Bytes of text in a range of ids, about; beyond so many ranges they grow instead (their windows sort on disk), as the driver names them.
+RANGE_BYTES, MOST_RANGES = 32 << 20, 100_000
 _REST = (1 << 64 - BIN_BITS) - 1
 
 
@@ -56,37 +58,61 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).when((a == "") | (b == ""), F.lit(0.0)).otherwise(estimate)
 
 
-def with_next(rows: DataFrame, id_col: str, columns: list[str], derive: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+def _at_most(bounds: Column, size: int, x: Column) -> Column:
+    """How many of the ascending ``bounds`` are at most ``x``, by halving."""
+    steps = F.sequence(F.lit(1), F.lit(max(1, size.bit_length())))
+    first = F.struct(F.lit(0).alias("lo"), F.lit(size).alias("hi"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        right = (acc["lo"] < acc["hi"]) & (F.get(bounds, mid) <= x)
+        return F.struct(F.when(right, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when(right | (acc["lo"] >= acc["hi"]), acc["hi"]).otherwise(mid).alias("hi"))
+
+    return F.aggregate(steps, first, halve)["lo"]
+
+
+def with_next(rows: DataFrame, id_col: str, text_col: str, columns: list[str], derive: Callable[[DataFrame], DataFrame] = lambda df: df, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """``rows`` with next_<column>: the columns of the next row in ascending order of the id (null first), after the last the first.
-    ``derive`` adds columns once the rows are gathered.
+    Rows of one id are in the order of a hash of their texts.  ``derive`` adds columns to the rows and to those that two ranges have.
 
-    Rows are dealt out by ranges of the id, whose bounds are quantiles of all ids; each range also gets the first row of the one
-    that follows, so a window in each range suffices.
+    Rows are dealt out by ranges of about ``range_bytes``; their bounds are quantiles of all ids.  An id that is several bounds (that
+    of a hot group) has several ranges, by the hash.  Each range also gets the first row of the one that follows, so a window in
+    each range suffices.
     """
-    n = partitions(rows.sparkSession)
-    bounds = rows.agg(F.percentile_approx(id_col, [i / n for i in range(1, n)] or [0.5], 10_000)).head()[0] or []
-    bounds = sorted(set(bounds))
-    rows = rows.withColumn("_range", F.size(F.filter(F.lit(bounds) if bounds else F.array().cast("array<long>"), lambda b: b <= F.coalesce(F.col(id_col), F.lit(-(2**63))))))
-    firsts = sorted((r["_range"], r.id is None, r.id) for r in rows.groupBy("_range").agg(F.min(F.struct(F.col(id_col).isNotNull(), F.col(id_col).alias("id"))).alias("m")).select("_range", "m.id").collect())  # one for each range
-    edges = [(i, firsts[k - 1][0]) for k, (_, _, i) in enumerate(firsts)]  # a range's first row also ends the range before
-    table = F.broadcast(rows.sparkSession.createDataFrame(edges, "_first long, _before int")) if edges else None
-    copies = rows.join(table, F.col(id_col).eqNullSafe(F.col("_first"))).withColumn("_range", F.col("_before")).drop("_first", "_before") if edges else rows
-    both = derive(rows.withColumn("_copy", F.lit(False)).unionByName(copies.withColumn("_copy", F.lit(True))))
-    order = Window.partitionBy("_range").orderBy("_copy", F.col(id_col).asc_nulls_first(), *columns)
-    led = both.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns))
-    return led.where("not _copy").drop("_copy", "_range")
+    spark, id_ = rows.sparkSession, F.coalesce(F.col(id_col), F.lit(-(2**63)))
+    size = rows.agg(F.sum(F.octet_length(text_col))).head()[0] or 0
+    n = max(partitions(spark), min(-(-size // range_bytes), MOST_RANGES))
+    bounds = rows.agg(F.percentile_approx(id_, [i / n for i in range(1, n)] or [0.5], max(10_000, 20 * n))).head()[0] or []
+    # sorted, and repeated where an id is several bounds
+    bounds, many = F.lit(bounds) if bounds else F.array().cast("array<long>"), len(bounds)
+    below = _at_most(bounds, many, id_ - F.when(id_ > -(2**63), 1).otherwise(0))
+    upto = _at_most(bounds, many, id_)
+    hashed = rows.withColumn("_hash", F.xxhash64(text_col))
+    lowest = F.when(id_ > -(2**63), below).otherwise(0)
+    part = F.floor(F.shiftrightunsigned("_hash", 12) / F.lit(2.0**52) * (upto - lowest + 1))  # by the hash as unsigned number
+    dealt = hashed.withColumn("_range", (lowest + F.when(upto > lowest, part).otherwise(0)).cast("int"))
+    order = [F.col(id_col).asc_nulls_first(), F.shiftrightunsigned("_hash", 1), "_hash"]
+    key = F.struct(F.col(id_col).isNotNull().alias("k"), F.col(id_col).alias("id"), F.shiftrightunsigned("_hash", 1).alias("u"), F.col("_hash").alias("h"))
+    firsts = sorted(dealt.groupBy("_range").agg(F.min(key).alias("m")).select("_range", "m.id", "m.h").collect())  # one for each range
+    edges = [(r.id, r.h, firsts[k - 1]["_range"], r["_range"]) for k, r in enumerate(firsts)]  # a range's first row also ends the range before
+    table = F.broadcast(spark.createDataFrame(edges, "_first long, _first_hash long, _before int, _of int"))
+    copies = dealt.join(table, F.col(id_col).eqNullSafe(F.col("_first")) & (F.col("_hash") == F.col("_first_hash")) & (F.col("_range") == F.col("_of")))
+    copies = copies.withColumn("_range", F.col("_before")).select(dealt.columns)
+    both = derive(dealt.withColumn("_copy", F.lit(False)).unionByName(copies.withColumn("_copy", F.lit(True)))).repartition(n, "_range")
+    led = both.select("*", *(F.lead(c).over(Window.partitionBy("_range").orderBy("_copy", *order)).alias(f"next_{c}") for c in columns))
+    return led.where("not _copy").drop("_copy", "_range", "_hash")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document: doc_id, n_chars (code points), edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text is the text with its last floor(n_chars / 2) code points replaced by the first as many (or all) of the next
-    document in ascending order of ids, after the last the first.  Rows of one id follow each other in the order of their texts;
-    rows without id come first.  A null text is an empty one, whose fingerprint is empty.  Other columns are ignored.
+    document in ascending order of ids, after the last the first.  Rows of one id follow each other in the order of
+    a hash of their texts; rows without id come first.  A null text is an empty one, whose fingerprint is empty.  Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     printed = lambda df: df.withColumn("ws", words(F.col("text"))).withColumn("fingerprint", fingerprint(F.col("ws"))).drop("ws")
-    both = with_next(rows, "doc_id", ["text", "fingerprint"], printed)
+    both = with_next(rows, "doc_id", "text", ["text", "fingerprint"], printed)
     n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
     both = both.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "fingerprint", "next_fingerprint").withColumn("ws", words(F.col("edited")))
