@@ -90,11 +90,11 @@ class Model:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", mod: int = 4, rest: int = 2, families: dict[str, str] = FAMILIES, rows: int = ROWS) -> Model:
-    """Fit the machines on about ``rows`` labelled rows of each language (fewer where that makes more than ALL_ROWS in all), chosen
+    """Fit the machines on about ``rows`` labelled rows of each language (fewer where that makes more than ALL_ROWS in all, but one or so of each), chosen
     by hash of the id among those not held out."""
     seen = docs.where(~held_out(F.col(id_col), mod, rest) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = seen.groupBy(F.col(lang_col).alias("lang")).count().collect()  # a row for each language
-    rows, part = min(rows, ALL_ROWS // max(1, len(counts))), F.lit(0.0)
+    rows, part = max(1, min(rows, ALL_ROWS // max(1, len(counts)))), F.lit(0.0)
     for r in counts:
         part = F.when(F.col(lang_col) == r.lang, F.lit(min(1.0, rows / r["count"]))).otherwise(part)
     chosen = seen.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < part * (1 << 20))
