@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 BLANKS = r"[\x20\x09-\x0D]+"
 #: Longest table that is broadcast; beyond it the joins shuffle.
 BROADCAST_ROWS = 20_000
-_stage_tables: dict[str, list[str]] = {}
-_in_stage = False
+#: Tables that the stage of a thread has written; a thread works on one pipeline at a time.
+_thread = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,26 +44,35 @@ def cut(df: DataFrame, name: str, *partition: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition) if partition else writer).parquet(path)
-    if _in_stage:
-        _stage_tables.setdefault(spark.sparkContext.applicationId, []).append(path)
+    if getattr(_thread, "in_stage", False):
+        _thread.tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clear_stage(spark: SparkSession) -> None:
+    """Delete the tables that this thread's last stage wrote by ``cut``; its result must be written by then."""
+    for path in getattr(_thread, "tables", []):
+        delete(spark, path)
+    _thread.tables = []
+
+
 def stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
     """A stage of a pipeline that writes each stage's result before it begins the next: the tables that ``cut`` wrote for the
-    stage before are deleted when this one begins."""
+    stage before, in the same thread, are deleted when this one begins."""
 
     @functools.wraps(f)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        global _in_stage
-        for path in _stage_tables.pop(spark.sparkContext.applicationId, []):
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        _in_stage = True
+        clear_stage(spark)
+        _thread.in_stage = True
         try:
             return f(spark, docs, sf_dir)
         finally:
-            _in_stage = False
+            _thread.in_stage = False
 
     return run
 

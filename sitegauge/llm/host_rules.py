@@ -111,12 +111,13 @@ def apply_host_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def keep_by_host_rules(docs: DataFrame, text_col: str = "text", source_col: str = "source", rules: dict[str, tuple[str, float]] = RULES) -> DataFrame:
-    """The documents that ``apply_host_rules`` keeps, with their own columns; texts are measured twice rather than shuffled."""
+    """The documents that ``apply_host_rules`` keeps, with their own columns; they are written once with their marks, so that no
+    text is measured twice or shuffled."""
     own = [f"_own{i}" for i in range(len(docs.columns))]
     safe = docs.toDF(*own)
     text, source = own[docs.columns.index(text_col)], own[docs.columns.index(source_col)]
-    hosts = host_rates(_marked(safe.select(text, source), text, source, rules), "_host", rules)
-    return _verdict(_marked(safe, text, source, rules), hosts, rules).where("kept").select(*own).toDF(*docs.columns)
+    marked = cut(_marked(safe, text, source, rules).select(*own, "_host", *rules), "marked")
+    return _verdict(marked, host_rates(marked, "_host", rules), rules).where("kept").select(*own).toDF(*docs.columns)
 
 
 def rules_sql() -> str:
@@ -141,7 +142,8 @@ h AS (SELECT source, count(*) AS documents, {each('count(*) FILTER ({0}) AS f_{0
 g AS (SELECT {each('sum(f_{0}) / sum(documents) AS m_{0}')} FROM h),
 v AS (SELECT {each('sum(documents * pow(f_{0} / documents - m_{0}, 2)) / sum(documents) AS v_{0}')} FROM h, g),
 w AS (SELECT g.*, {each(weight)} FROM g, v),
-r AS (SELECT source, {each('(f_{0} + w_{0} * m_{0}) / (documents + w_{0}) AS r_{0}')} FROM h, w)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT ({bad}) AS kept
+r AS (SELECT source, documents, {each('(f_{0} + w_{0} * m_{0}) / (documents + w_{0}) AS r_{0}')} FROM h, w)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT ({bad}) AS kept,
+  documents AS host_documents, {each('round(r_{0}, 9) AS {0}_rate')}
 FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
 """

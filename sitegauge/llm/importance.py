@@ -15,6 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import WordHashes, cut, mix, small_batches, utf8
 
@@ -41,8 +42,9 @@ def buckets(text: bytes | None, known: WordHashes, dims: int = BUCKETS) -> np.nd
     return (np.concatenate([h, pairs]) % np.uint64(dims)).astype(np.int64)
 
 
-def gumbel(id_: int | None, seed: int) -> float:
-    u = (xxhash.xxh64_intdigest(str(id_).encode(), seed) + 0.5) / 2.0**64
+def gumbel(id_: int | None, seed: int, text: bytes | None = None) -> float:
+    """Gumbel noise out of the id; a row without id draws by its text."""
+    u = (xxhash.xxh64_intdigest(str(id_).encode() if id_ is not None else b"text " + (text or b""), seed) + 0.5) / 2.0**64
     return float(-np.log(-np.log(u)))
 
 
@@ -78,7 +80,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def _scores(texts: list[bytes | None], ids: list[int | None], ratio: np.ndarray, known: WordHashes, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Scores, and Gumbel keys as integers of the same order."""
     score = np.array([float(ratio[b].sum()) if len(b := buckets(t, known, len(ratio))) else NO_SCORE for t in texts], np.float64)
-    bits = (score + np.array([gumbel(i, seed) for i in ids], np.float64)).view(np.int64)
+    bits = (score + np.array([gumbel(i, seed, t) for i, t in zip(ids, texts, strict=True)], np.float64)).view(np.int64)
     return score, np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits)
 
 
@@ -109,41 +111,44 @@ def kth_largest(scored: DataFrame, k: int) -> int:
     return low if low is not None else 0
 
 
-def good_share(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", good: str = "quality = 1") -> float:
-    """The part of the labelled documents among ``docs`` that are labelled good, at the upper end of its sampling error (two
-    standard errors), so that the error of the estimate doesn't cost good documents; 1 without labels."""
+def good_share(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", good: str = "quality = 1", errors: float = 0.0) -> float:
+    """The part of the labelled documents among ``docs`` that are labelled good, plus so many standard errors of that estimate; 1
+    without labels."""
     ids = docs.select(F.col(id_col).cast("long").alias("_d")).distinct()
     found = labels.select(F.col(id_col).cast("long").alias("_d"), F.expr(good).alias("good")).join(ids, "_d", "left_semi")
     n, ok = found.agg(F.count("good"), F.sum(F.col("good").cast("long"))).head()
-    return min(1.0, ok / n + 2 * (ok / n * (1 - ok / n) / n) ** 0.5) if n else 1.0
+    return min(1.0, ok / n + errors * (ok / n * (1 - ok / n) / n) ** 0.5) if n else 1.0
 
 
-def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", good: str = "quality = 1", share: float | None = None, seed: int = 11) -> DataFrame:
-    """Score all documents and draw round(share * rows) of them (default: the share of good ones among labelled documents).
+def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", good: str = "quality = 1", share: float | None = None, seed: int = 11, errors: float = 0.0) -> DataFrame:
+    """Score all documents and draw round(share * rows) of them (default: the share of good ones among labelled documents, plus
+    ``errors`` standard errors of it, for those who would rather keep too many than too few).
 
     A row for each document: doc_id, score (log ratio), kept.  Null, empty and blank texts score NO_SCORE.  Ties at the last place
-    are all kept.  A null id is drawn like the text "None"; repeated rows repeat.  Without good labels every score is 0; an empty
+    are all kept.  Rows without id draw by their texts; repeated rows repeat.  Without good labels every score is 0; an empty
     table gives no rows.  Other columns are ignored.
     """
     scored = cut(score(docs, fit(docs, labels, id_col, text_col, good), id_col, text_col, seed), "scores")
-    k = round((good_share(docs, labels, id_col, good) if share is None else share) * scored.count())
+    k = round((good_share(docs, labels, id_col, good, errors) if share is None else share) * scored.count())
     limit = kth_largest(scored, k)
     return scored.select("doc_id", "score", (F.lit(k > 0) & (F.col("draw") >= F.lit(limit))).alias("kept"))
 
 
-def keep_resampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", good: str = "quality = 1", share: float | None = None, seed: int = 11) -> DataFrame:
-    """The documents that ``resample`` keeps, with their own columns; texts are scored again rather than shuffled."""
+def keep_resampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", good: str = "quality = 1", share: float | None = None, seed: int = 11, errors: float = 0.0) -> DataFrame:
+    """The documents that ``resample`` keeps, with their own columns; they are written once with their draws, so that no text is
+    scored twice or shuffled."""
     ratio = fit(docs, labels, id_col, text_col, good)
-    scored = cut(score(docs, ratio, id_col, text_col, seed), "scores")
-    k = round((good_share(docs, labels, id_col, good) if share is None else share) * scored.count())
-    limit = kth_largest(scored, k)
-    if not k:
-        return docs.limit(0)
+    own = [f"_own{i}" for i in range(len(docs.columns))]
+    text, id_ = docs.columns.index(text_col), docs.columns.index(id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            draw = _scores(utf8(batch, text_col), batch.column(batch.schema.get_field_index(id_col)).to_pylist(), ratio, known, seed)[1]
-            yield batch.filter(pa.array(draw >= limit))
-
-    return docs.mapInArrow(run, docs.schema)
+            draw = _scores(utf8(batch, own[text]), batch.column(id_).to_pylist(), ratio, known, seed)[1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(draw)], [*own, "draw"])
+
+    safe = docs.toDF(*own)
+    scored = cut(safe.mapInArrow(run, StructType([*safe.schema, StructField("draw", LongType())])), "scored")
+    k = round((good_share(docs, labels, id_col, good, errors) if share is None else share) * scored.count())
+    limit = kth_largest(scored.select("draw"), k)
+    return scored.where(F.lit(k > 0) & (F.col("draw") >= F.lit(limit))).select(*own).toDF(*docs.columns)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .fingerprints import fingerprints
-from .host_rules import apply_host_rules, rules_sql
+from .host_rules import RULES, apply_host_rules, rules_sql
 from .importance import resample
 from .language_id import identify
 from .lattice_lm import score
@@ -32,8 +32,8 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    return apply_host_rules(_docs(spark, sf_dir)).select(*columns)
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_documents"]
+    return apply_host_rules(_docs(spark, sf_dir)).select(*columns, *(F.round(f"{r}_rate", 9).alias(f"{r}_rate") for r in RULES))
 
 
 def op4_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +49,8 @@ def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(_docs(spark, sf_dir), keep=["doc_id", "source"]).withColumn("rate", F.round("rate", 9))
+    mixed = mix_sources(_docs(spark, sf_dir))  # whole documents are shuffled; their texts are digested behind it
+    return mixed.select("doc_id", "source", "copy", "copies", F.round("rate", 9).alias("rate"), "shuffle_key", F.md5("text").alias("text_md5"))
 
 
 def op8_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

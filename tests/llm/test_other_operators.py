@@ -4,12 +4,15 @@ import itertools
 import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 from decimal import Decimal
 
 import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from sitegauge.llm import fingerprints as F5
 from sitegauge.llm import language_id as L
@@ -50,6 +53,18 @@ def test_fingerprints(spark):
     assert len(got[200].fingerprint) == 2 << F5.BIN_BITS and got[202].fingerprint == ""
 
 
+@pytest.mark.parametrize("range_bytes", [200, 32 << 20])
+def test_next_rows_with_hot_ids(spark, range_bytes):
+    """One id, and no id, of a third of the rows each: the order is by id, then by the hash of the text as unsigned number."""
+    rng = random.Random(9)
+    rows = [(rng.choice([None, 7, rng.randrange(-50, 50)]), f"text {i} " * rng.randint(1, 4)) for i in range(300)] + [(7, "again"), (7, "again"), (-(2**62), "least"), (2**62, "most")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = F5.with_next(df, "doc_id", "text", ["text"], range_bytes=range_bytes).collect()
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, xxhash.xxh64_intdigest(r[1].encode(), 42)))
+    want = Counter((i, t, order[(k + 1) % len(order)][1]) for k, (i, t) in enumerate(order))
+    assert Counter((r.doc_id, r.text, r.next_text) for r in got) == want
+
+
 def test_fingerprints_odd_rows(odd, none, clashing):
     rows = F5.fingerprints(odd).collect()
     assert len(rows) == odd.count() and F5.fingerprints(none).count() == 0
@@ -83,6 +98,22 @@ def test_mixing_against_brute_force(odd, odd_rows, targets):
     assert [r.shuffle_key for r in out] == sorted(r.shuffle_key for r in out)
 
 
+@pytest.mark.parametrize("rate", [0.0, 0.3, 5.0, 190.0, 900.0, 123456.7])
+def test_poisson_table(rate):
+    first, cdf = X.poisson_cdf(rate)
+    mean = first + sum(1 - c for c in cdf[:-1]) if rate else 0.0
+    assert math.isclose(mean, rate, rel_tol=1e-9) and abs(cdf[-1] - 1) < 1e-6 and len(cdf) < 40 + 26 * math.sqrt(rate) + 30
+    if rate < 300:
+        assert all(first + int((cdf <= u).sum()) == poisson(u, rate) for u in np.linspace(0, 0.999, 77))
+
+
+def test_mixing_repeats_often(spark):
+    rows = [(i, "x" * 999, "en", "a", 1) for i in range(300)] + [(1000 + i, "y", "en", "b", 1) for i in range(4)]
+    out = X.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), targets={"a": 1.0, "b": 1.0})
+    n = out.groupBy("doc_id", "source").agg(F.max("rate").alias("rate"), F.count("*").alias("n"), F.max("copies").alias("copies")).where("source = 'b'").collect()
+    assert len(n) == 4 and all(r.n == r.copies and abs(r.n - r.rate) < 6 * math.sqrt(r.rate) and r.rate > 10_000 for r in n)
+
+
 def test_mixing_reaches_targets(spark, none, clashing):
     rows = [(i, "x" * 99, "en", "a" if i % 10 else "b", 99) for i in range(4000)]
     out = X.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), targets={"a": 1.0, "b": 1.0})
@@ -224,6 +255,69 @@ def test_shards_keep_groups_where_there_is_room(spark):
     assert sorted(Counter(r["shard"] for r in rows).values()) == [75] * 16
 
 
+def xxh(*values):
+    """Spark's xxhash64 of longs, ints (as 1-tuples) and bytes, as signed number."""
+    seed = 42
+    for v in values:
+        data = v if isinstance(v, bytes) else struct.pack("<i", v[0]) if isinstance(v, tuple) else struct.pack("<q", v)
+        seed = xxhash.xxh64_intdigest(data, seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def granted(moves, room):
+    """Parts by shard, so that what comes in fits the room and what leaves: lowered until nothing changes."""
+    part = [1.0] * len(room)
+    for _ in range(60):
+        new = []
+        for s in range(len(room)):
+            into = sum(n for (_, t), n in moves.items() if t == s)
+            leave = sum(n * part[t] for (f, t), n in moves.items() if f == s)
+            new.append(min(part[s], max(0.0, room[s] + leave) / into) if into else 1.0)
+        part = new
+    return part
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_label_rounds_against_brute_force(spark, seed):
+    """Every document looks at all its neighbours; the operator works on cells of equal documents."""
+    rng, shards, rounds = random.Random(seed), 5, 4
+    rows = [(i, f"t{rng.randrange(25)}" if rng.random() < 0.6 else "hot" if rng.random() < 0.5 else f"alone{i}") for i in range(240)]
+    grp = {t: hashlib.md5(t.encode()).digest() for _, t in rows}
+    init = {i: xxh(i, grp[t]) % shards for i, t in rows}
+    quota, members = len(rows) // shards, Counter(t for _, t in rows)
+    linked = [(i, t) for i, t in rows if members[t] > 1]
+    label = {i: init[i] for i, _ in linked}
+    for r in range(rounds):
+        held = Counter(label.values())
+        want = {}
+        for text in {t for _, t in linked}:
+            own = [i for i, t in linked if t == text]
+            votes, large = Counter(label[i] for i in own), members[text] * 4 > quota
+            order = sorted(votes, key=lambda s: (not large and held[s] > quota, -votes[s], xxh(grp[text], (s,))))[: math.ceil(members[text] / quota)]
+            for i in own:
+                want[i] = label[i] if label[i] in order else order[xxh((init[i],), (r,)) % len(order)]
+        if want == label:
+            break
+        load, parts = [0] * shards, {}
+        for large in (True, False):
+            moves, rest = Counter(), Counter()
+            for i, t in linked:
+                if (members[t] * 4 > quota) == large:
+                    rest[label[i]] += 1
+                    if want[i] != label[i]:
+                        moves[label[i], want[i]] += 1
+            parts[large] = granted(moves, [quota - load[s] - rest[s] for s in range(shards)])
+            load = [load[s] + rest[s] + sum(n * parts[large][t] * ((t == s) - (f == s)) for (f, t), n in moves.items()) for s in range(shards)]
+        for i, t in linked:
+            large = members[t] * 4 > quota
+            own = xxh(grp[t], (init[i],), (r,)) if large else xxh(grp[t], (r,))
+            if own % 1_000_000 < parts[large][want[i]] * 1_000_000:
+                label[i] = want[i]
+    df = spark.createDataFrame([(bytearray(grp[t]), init[i]) for i, t in rows], "grp binary, init int").repartition(3)
+    got = {(bytes(c.grp), c.init): c.label for c in S._cells(df, shards, rounds, quota).collect()}
+    assert got == {(grp[t], init[i]): label[i] for i, t in linked} and any(label[i] != init[i] for i, _ in linked)
+
+
 def test_shards(spark, odd, none, clashing):
     rng = random.Random(2)
     texts = [f"t{rng.randrange(60)}" for _ in range(300)] + ["hot"] * 200
@@ -256,6 +350,73 @@ def test_language_id(spark, odd, none, clashing):
     assert L.identify(clashing).count() == odd.count()
 
 
+def features_of(text):
+    """The operator's features, gram by gram."""
+    b = b" " + b" ".join((text or "").encode().lower().split()) + b" "
+    counts = Counter()
+    for i in range(len(b)):
+        for n, tag in ((1, 0), (2, 1 << 24), (3, 1 << 25)):
+            gram = b[i : i + n]
+            if len(gram) == n and not (n == 1 and i in (0, len(b) - 1)):
+                counts[((int.from_bytes(gram, "big") + tag) * 0x9E3779B1 % 2**32) >> (32 - L.BITS)] += 1
+    total = math.sqrt(max(sum(counts.values()), 1))
+    return {k: math.sqrt(n) / total for k, n in counts.items()}
+
+
+def test_language_steps_against_brute_force(spark):
+    """Family first, then the languages of the family, every pair voting by its margin; by plain loops over the same machines."""
+    rng = random.Random(4)
+    syllables = {"en": ["the", "ing", "and"], "de": ["sch", "ung", "ein"], "nl": ["ijk", "oed", "een"], "fr": ["eau", "tion", "les"], "es": ["ción", "ado", "los"], "xx": ["zzq", "qqx"]}
+    rows = [(i, " ".join("".join(rng.choice(syllables[k] + ["e", "an"]) for _ in range(2)) for _ in range(rng.randint(1, 12))), k) for i, k in enumerate(rng.choices(list(syllables), k=240))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.fit(df)
+    assert set(model.levels) == {"", "germanic", "romance", "xx"} and len(model.names) == 3 + 3 + 1
+    machines = dict(zip(model.names, model.weights, strict=True))
+
+    def margin(text, *name):
+        w = machines[name]
+        return sum(float(w[k]) * x for k, x in features_of(text).items()) + float(w[-1])
+
+    def choose(text, level, names):
+        votes = {n: 0.0 for n in names}
+        for a, b in itertools.combinations(names, 2):
+            p = 1 / (1 + math.exp(-4 * margin(text, level, a, b)))
+            votes[a], votes[b] = votes[a] + p, votes[b] + 1 - p
+        best = max(sorted(names), key=lambda n: votes[n])
+        return best, votes[best] / (len(names) - 1) if len(names) > 1 else 1.0
+
+    for r in L.identify(df).collect():
+        text = rows[r.doc_id][1]
+        family, p = choose(text, "", model.levels[""])
+        lang, q = choose(text, family, model.levels[family])
+        assert r.lang_pred == lang and abs(r.score - p * q) < 1e-4
+
+
+def test_machine_is_near_the_optimum():
+    """The dual solution's gap to the primal objective is small: it is a support vector machine."""
+    rng = np.random.default_rng(1)
+    x = np.vstack([rng.normal(0.6, 1, (60, 5)), rng.normal(-0.6, 1, (60, 5))]).astype(np.float32)
+    y = np.repeat([1.0, -1.0], 60)
+    objective = lambda w: 0.5 * float(w @ w) + 1.0 * np.maximum(0, 1 - y * (x @ w[:-1] + w[-1])).sum()
+    found = L.machine(x, y, passes=400, c=1.0).astype(float)
+    w, best = np.zeros(6), math.inf
+    for t in range(1, 20_000):  # subgradient descent
+        hit = y * (x @ w[:-1] + w[-1]) < 1
+        grad = w - np.append((y[hit, None] * x[hit]).sum(0), y[hit].sum())
+        w = w - grad / (t + 100)
+        best = min(best, objective(w))
+    assert objective(found) <= best * 1.005
+
+
+def test_more_labels_than_rows(spark):
+    rows = [(i, f"sample text {i} {'abcdefgh'[i % 8] * 5}", f"l{i % 40}") for i in range(400)]
+    old, L.ALL_ROWS = L.ALL_ROWS, 20
+    try:
+        assert {r.lang_pred for r in L.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()} - {"und"}
+    finally:
+        L.ALL_ROWS = old
+
+
 def test_prediction_ignores_labels(spark):
     rows = [(i, "the house and the tree" if i % 2 else "der baum und das haus", "en" if i % 2 else "de", "s", 1) for i in range(60)]
     schema = "doc_id long, text string, lang string, source string, n_chars long"

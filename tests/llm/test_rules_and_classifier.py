@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -60,6 +61,29 @@ def test_rules_against_brute_force(spark, odd_rows, seed):
     assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(w[0]) for w in want if w[-1])
 
 
+def test_hosts_decide(spark):
+    """Documents that pass the base rule go with their host: all of a host that fails it often, and marked ones where marks abound."""
+    fresh = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
+    rows = [(i, "too short" if i % 10 < 7 else fresh(i, 30), None, "junk", None) for i in range(100)]
+    rows += [(100 + i, fresh(i, 30) + (" # # # #" if i % 10 < 6 else ""), None, "symbols", None) for i in range(100)]
+    rows += [(200 + i, fresh(i, 30) + (" # # # #" if i == 0 else ""), None, "good", None) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = {r.doc_id: r for r in H.apply_host_rules(df).collect()}
+    assert {i: r.kept for i, r in got.items()} == {w[0]: w[-1] for w in verdicts(rows)}
+    assert not any(got[i].kept for i in range(100)) and sum(not got[i].base_failed for i in range(100)) == 30
+    assert [got[i].kept for i in range(100, 200)] == [i % 10 >= 6 for i in range(100, 200)] and all(got[i].kept for i in range(200, 300))
+    assert sorted(r.doc_id for r in H.keep_by_host_rules(df).collect()) == sorted(i for i, r in got.items() if r.kept)
+    duckdb.register("documents", df.toPandas())
+    try:
+        found = duckdb.sql(H.rules_sql())
+        sql = {r[0]: dict(zip(found.columns, r, strict=True)) for r in found.fetchall()}
+    finally:
+        duckdb.unregister("documents")
+    for i, r in got.items():
+        assert (r.kept, r.base_failed, r.n_words, r.host_documents) == tuple(sql[i][k] for k in ("kept", "base_failed", "n_words", "host_documents"))
+        assert all(abs(r[f"{x}_rate"] - sql[i][f"{x}_rate"]) < 1e-8 for x in H.RULES)
+
+
 def test_rules_on_empty_and_clashing(none, odd, clashing):
     assert H.apply_host_rules(none).count() == 0 and H.keep_by_host_rules(none).count() == 0
     assert H.apply_host_rules(clashing).where("kept").count() == H.apply_host_rules(odd).where("kept").count()
@@ -73,11 +97,12 @@ def corpus(n=400):
     return rows, [(i, int(i % 5 > 0), 0) for i in range(0, n, 3)]
 
 
-def test_resampling_against_numpy(spark):
+@pytest.mark.parametrize("errors", [0.0, 2.0])
+def test_resampling_against_numpy(spark, errors):
     rows, labels = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    got = {r.doc_id: r for r in I.resample(df, table).collect()}
+    got = {r.doc_id: r for r in I.resample(df, table, errors=errors).collect()}
     known, counts = WordHashes(), np.zeros((2, I.BUCKETS))
     good = {i for i, q, _ in labels if q}
     lists = {r[0]: I.buckets(r[1].encode(), known) for r in rows}
@@ -89,16 +114,23 @@ def test_resampling_against_numpy(spark):
     ratio = np.log(p[1] / p[0])
     drawn = {i: ratio[b].sum() + I.gumbel(i, 11) for i, b in lists.items()}
     share = len(good) / len(labels)
-    k = round(min(1, share + 2 * (share * (1 - share) / len(labels)) ** 0.5) * len(rows))
+    k = round(min(1, share + errors * (share * (1 - share) / len(labels)) ** 0.5) * len(rows))
     want = set(sorted(drawn, key=drawn.get)[-k:])
     assert {i for i, r in got.items() if r.kept} == want
     assert all(abs(got[i].score - ratio[b].sum()) < 1e-6 for i, b in lists.items())
     clean = [i for i in lists if i % 5]
-    assert sum(got[i].kept for i in clean) == len(clean) and sum(got[i].kept for i in lists if i % 5 == 0) <= k - len(clean)
-    kept = I.keep_resampled(df, table)
+    assert sum(got[i].kept for i in clean) == min(k, len(clean))
+    kept = I.keep_resampled(df, table, errors=errors)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == want
 
 
+def test_rows_without_id_draw_by_text(spark):
+    rows = [(None, f"red tree number {i} by the river", "en", "a", 1) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = I.resample(df, spark.createDataFrame([], "doc_id long, quality int"), share=0.5).where("kept").count()
+    assert kept == 100
+
+
 def test_resampling_odd_rows(spark, odd, none, clashing):
     labels = spark.createDataFrame([(4, 1, 0), (5, 1, 0), (None, 1, 0), (6, 0, 0), (6, None, None)], "doc_id long, quality int, toxic int")
     out = I.resample(odd, labels).collect()

@@ -145,6 +145,7 @@ def test_pieces_tile_every_queue():
 
 def test_empty_and_clashing(none, odd, clashing):
     assert P.pack(none).count() == 0 and C.length_histogram(none).count() == 0
+    assert [tuple(r) for r in C.at_limits(C.length_histogram(none), [5]).collect()] == [(5, 0, 0, 0, 0, 0)]
     assert sorted(r.length for r in P.pack(clashing).collect()) == sorted(r.length for r in P.pack(odd).collect())
 
 
@@ -153,6 +154,12 @@ def test_histogram(odd, odd_rows):
     sizes = [len(encode(r[1])) if r[1] else 0 for r in odd_rows]
     rows = C.length_histogram(odd).collect()
     assert {r.n_tokens: r.n_docs for r in rows} == Counter(sizes)
+    limits = [0, 1, 7, 100, 1023, 1024, 5000, 10**6]
+    for r in C.at_limits(C.length_histogram(odd), limits).collect():
+        n = r.context_limit
+        assert (r.docs_over, r.tokens_over, r.docs_total, r.tokens_total) == (sum(s > n for s in sizes), sum(s for s in sizes if s > n), len(sizes), sum(sizes))
+        assert r.truncated_total == sum(min(s, n) for s in sizes) and limits.remove(n) is None
+    assert not limits
     for r in rows:
         n = r.n_tokens
         assert (r.docs_from, r.tokens_from) == (sum(s >= n for s in sizes), sum(s for s in sizes if s >= n))
