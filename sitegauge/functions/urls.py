@@ -57,7 +57,7 @@ def strip_tracking(url: Column) -> Column:
     """Without the query parameters whose names begin like tracking ones, in any case."""
     front, query, fragment = _parts(url)
     tracked = r"(?i)^(" + "|".join(TRACKING_PREFIXES) + ")"
-    kept = F.filter(F.split(F.substring(query, 2, 1_000_000), "&"), lambda p: (p != "") & ~p.rlike(tracked))
+    kept = F.filter(F.split(F.regexp_replace(query, r"^\?", ""), "&"), lambda p: (p != "") & ~p.rlike(tracked))
     rest = F.array_join(kept, "&")
     return F.when(query == "", url).otherwise(F.concat(front, F.when(rest == "", "").otherwise(F.concat(F.lit("?"), rest)), fragment))
 
@@ -110,20 +110,28 @@ def domain_suffixes(name: Column) -> Column:
 
 
 def glob_regex(pattern: Column) -> Column:
-    """A case-insensitive regular expression that matches what the glob does as a whole (* and ?)."""
-    quoted = F.regexp_replace(pattern, r"([.\\+^$(){}|\[\]])", r"\\$1")
-    return F.concat(F.lit("(?i)^"), F.replace(F.replace(quoted, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$"))
+    """A case-insensitive regular expression that matches what the glob does as a whole: ``*``, ``?`` and classes like ``[a-z]`` or
+    ``[!0-9]``; a bracket that isn't closed stands for itself."""
+    tokens = F.regexp_extract_all(pattern, F.lit(r"(\[[!^]?\]?[^\]]*\]|(?s:.))"), F.lit(1))
+
+    def one(t: Column) -> Column:
+        inside = F.regexp_replace(F.regexp_replace(F.regexp_extract(t, r"(?s)^\[[!^]?(.*)\]$", 1), r"([\\\[\]&~])", r"\\$1"), r"^\^", r"\\^")
+        class_ = F.concat(F.lit("["), F.when(t.rlike(r"^\[[!^]"), "^").otherwise(""), inside, F.lit("]"))
+        quoted = F.when(t.rlike(r"^[.\\+^$(){}|\[\]]$"), F.concat(F.lit("\\"), t)).otherwise(t)
+        return F.when(F.length(t) > 1, class_).when(t == "*", ".*").when(t == "?", ".").otherwise(quoted)
+
+    return F.concat(F.lit("(?is)^"), F.array_join(F.transform(tokens, one), ""), F.lit("$"))
 
 
 def exclude_domains(rows: DataFrame, patterns: DataFrame, domain_col: str = "domain", pattern_col: str = "pattern") -> DataFrame:
     """Rows whose domain matches no pattern, bare or with www. (U7).  An empty pattern matches nothing.
 
     Patterns without a glob, or with one leading ``*.``, are looked up by equality over the domain's suffixes; only the other
-    globs, which hold no such key, are tried one by one.
+    globs, which hold no such key, are tried as alternatives of a few long expressions.
     """
     p = patterns.select(F.lower(F.trim(pattern_col)).alias("_p")).where("_p <> ''").distinct()
     plain = p.where(~F.col("_p").rlike(r"[*?\[]")).select(F.regexp_replace("_p", r"^www\.", "").alias("_key"), F.lit(True).alias("_own"))
-    tails = p.where(F.col("_p").rlike(r"^\*\.[^*?\[]+$")).select(F.substring("_p", 3, 1000).alias("_key"), F.lit(False).alias("_own"))
+    tails = p.where(F.col("_p").rlike(r"^\*\.[^*?\[]+$")).select(F.regexp_replace("_p", r"^\*\.", "").alias("_key"), F.lit(False).alias("_own"))
     keyed = plain.unionByName(tails).distinct()
     bare = F.lower(F.regexp_replace(domain_col, r"(?i)^www\.", ""))
     named = rows.withColumn("_bare", bare)
@@ -133,5 +141,6 @@ def exclude_domains(rows: DataFrame, patterns: DataFrame, domain_col: str = "dom
     )
     left = named.join(hits, "_bare", "left_anti")
     globs = p.where(F.col("_p").rlike(r"[*?\[]") & ~F.col("_p").rlike(r"^\*\.[^*?\[]+$")).select(glob_regex(F.col("_p")).alias("_re"))
+    globs = globs.groupBy(F.pmod(F.xxhash64("_re"), F.ceil(globs.agg(F.count("*")).head()[0] / F.lit(100)) + 1).alias("_b")).agg(F.concat_ws("|", F.collect_list("_re")).alias("_re"))
     matched = F.expr("_bare rlike _re or concat('www.', _bare) rlike _re")
     return left.join(globs, matched, "left_anti").drop("_bare")

@@ -12,7 +12,7 @@ from ..functions.text import visible_text
 from ..functions.urls import base_url
 from .extract import detect_cms
 from .registry import CATEGORIES, with_registry
-from .rules import Rule, content, industries, technical
+from .rules import Markup, Rule, content, industries, technical
 
 UNIVERSAL: dict[str, Callable[[dict[str, Column]], list[Rule]]] = {
     "http": technical.http, "security": technical.security, "seo": technical.seo, "libraries": technical.libraries, "outdated_code": technical.outdated_code,
@@ -27,6 +27,12 @@ BY_INDUSTRY = {
 OPTIONAL = {"status": "int", "headers": "map<string,string>", "industry": "string", "error": "string", "ttfb_s": "double", "cert_days": "int", "ssl_error": "string", "soft_404_status": "int", "has_sitemap": "boolean", "has_robots": "boolean"}
 
 
+def spread(pages: DataFrame) -> DataFrame:
+    """A table just read, dealt out anew if it has fewer partitions than there are cores: one small file would be one long task."""
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    return pages.repartition(4 * cores) if pages.rdd.getNumPartitions() < cores else pages
+
+
 def prepare(pages: DataFrame, as_of: dt.datetime, most: int | None = None) -> DataFrame:
     """Pages with all columns that rules read: missing ones null, header names in lower case, the visible text and the CMS (S3).
     ``most`` bounds the characters of a page that the rules see; by default they see all."""
@@ -35,7 +41,7 @@ def prepare(pages: DataFrame, as_of: dt.datetime, most: int | None = None) -> Da
             pages = pages.withColumn(name, F.lit(None).cast(kind))
     html = F.coalesce(F.col("html"), F.lit("")) if most is None else F.substring(F.coalesce(F.col("html"), F.lit("")), 1, most)
     headers = F.coalesce(F.transform_keys("headers", lambda k, _: F.lower(k)), F.create_map().cast("map<string,string>"))
-    pages = pages.withColumn("html", html).withColumn("headers", headers)
+    pages = pages.withColumn("html", html).withColumn("headers", headers).withColumn("low", F.lower("html"))
     return pages.withColumn("text", visible_text(F.col("html"))).withColumn("cms", detect_cms(F.col("html"), F.col("headers"))).withColumn("as_of", F.lit(as_of).cast("timestamp_ntz"))
 
 
@@ -104,7 +110,7 @@ def categories_for(industry: str | None) -> list[str]:
 
 def shop_pages(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     """Shop score, platform and confidence of each page."""
-    h = F.coalesce(F.col("html"), F.lit(""))
+    h = Markup(F.coalesce(F.col("html"), F.lit("")), F.lower(F.coalesce(F.col("html"), F.lit(""))))
     scored = pages.select(id_col, content.shop_platform(h).alias("platform"), content.shop_score(h).alias("score"))
     return scored.select("*", (F.col("score") >= 3).alias("is_eshop"), content.shop_confidence(F.col("score")).alias("confidence"))
 

@@ -86,14 +86,26 @@ def all_industries(industries: DataFrame, benchmarks: DataFrame, by: str = "indu
     return industries.join(latest(benchmarks, by), by, "left")
 
 
-def compare(runs: DataFrame, benchmarks: DataFrame, by: str = "industry", score: str = "total_score") -> DataFrame:
-    """Runs against the newest benchmark of their industry: rank, percentile, exact percent_rank among the runs, differences."""
+def numbered_values(values: DataFrame, by: str, score: str) -> DataFrame:
+    """exact_percent_rank of each score of an industry (_by, _of) out of how often it occurs (_n): only distinct scores are sorted."""
+    below = Window.partitionBy(by).orderBy(F.col(score).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    every = F.sum("_n").over(Window.partitionBy(by))
+    place = F.coalesce(F.sum("_n").over(below), F.lit(0)) / F.greatest(every - 1, F.lit(1))
+    return values.select(F.col(by).alias("_by"), F.col(score).alias("_of"), place.alias("exact_percent_rank"))
+
+
+def compare(runs: DataFrame, benchmarks: DataFrame, by: str = "industry", score: str = "total_score", exact: bool = False) -> DataFrame:
+    """Runs against the newest benchmark of their industry: rank, percentile, differences (B10), and with ``exact`` the percent_rank
+    among the runs."""
     b = latest(benchmarks, by).select(by, F.col("avg_score").alias("_avg"), F.col("percentiles").alias("_p"), *([F.col("avg_issue_count").alias("_issues")] if "avg_issue_count" in benchmarks.columns else []))
     joined = runs.join(b, by, "left")
     s = F.col(score)
     label = F.when(F.col(by).isNull(), "unknown").when(F.col("_avg").isNull(), "no_benchmark").otherwise(rank(s, F.col("_p")))
     joined = joined.withColumn("ranking", label).withColumn("percentile", F.when(F.col("_avg").isNotNull(), F.round(percentile_estimate(s, F.col("_p")), 1))).withColumn("diff_from_avg", s - F.col("_avg"))
-    joined = joined.withColumn("exact_percent_rank", F.percent_rank().over(Window.partitionBy(by).orderBy(score)))
+    if exact:
+        values = joined.groupBy(by, score).agg(F.count("*").alias("_n"))
+        ranks = numbered_values(values, by, score)
+        joined = joined.join(ranks, F.col(by).eqNullSafe(F.col("_by")) & F.col(score).eqNullSafe(F.col("_of"))).drop("_by", "_of")
     if "avg_issue_count" in benchmarks.columns and "issue_count" in runs.columns:
         joined = joined.withColumn("issues_vs_avg", F.col("issue_count") - F.col("_issues")).drop("_issues")
     return joined.drop("_avg", "_p", "_issues")

@@ -119,14 +119,14 @@ def service_changes(facts: DataFrame, at: str = "taken_at") -> DataFrame:
 
 
 def _terms(text: Column, terms: list[str]) -> Column:
-    return F.array_distinct(F.filter(F.array(*(F.lit(t) for t in dict.fromkeys(terms))), lambda t: text.contains(F.lower(t))))
+    return F.array_compact(F.array(*(F.when(text.contains(t.lower()), F.lit(t)) for t in dict.fromkeys(terms))))
 
 
 def vocabulary_facts(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     """Technologies, methodologies, industries and certifications that a page names."""
-    low = F.lower(F.coalesce(F.col("html"), F.lit("")))
-    stems = F.array_distinct(F.filter(F.array(*(F.when(low.contains(s), F.lit(n)) for s, n in INDUSTRY_STEMS.items())), lambda x: x.isNotNull()))
-    return pages.select(id_col, _terms(low, TECHNOLOGIES).alias("technologies"), _terms(low, METHODOLOGIES).alias("methodologies"), stems.alias("industries"), _terms(low, CERTIFICATIONS).alias("certifications"))
+    low = F.col("_low")
+    stems = F.array_distinct(F.array_compact(F.array(*(F.when(low.contains(s), F.lit(n)) for s, n in INDUSTRY_STEMS.items()))))
+    return pages.select(id_col, F.lower(F.coalesce(F.col("html"), F.lit(""))).alias("_low")).select(id_col, _terms(low, TECHNOLOGIES).alias("technologies"), _terms(low, METHODOLOGIES).alias("methodologies"), stems.alias("industries"), _terms(low, CERTIFICATIONS).alias("certifications"))
 
 
 def price_facts(pages: DataFrame, id_col: str = "page_id") -> DataFrame:

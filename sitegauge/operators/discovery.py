@@ -7,8 +7,10 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.urls import CLIENT_SKIP_DOMAINS, domain, exclude_domains, is_page_url, is_skipped, normalise_url, strip_tracking
+from ..functions.text import strip_tags
+from ..functions.urls import CLIENT_SKIP_DOMAINS, domain, exclude_domains, is_page_url, is_skipped, normalise_url, resolve, strip_tracking
 from .extract import links
+from .ranks import numbered
 
 # Catalogues by source, words of reference pages and of links to them.
 CATALOGUES = {
@@ -57,8 +59,8 @@ def outcomes(candidates: DataFrame, leads: DataFrame, patterns: DataFrame, most:
     reason = F.when(~F.col("_first"), "duplicate").when(F.col("_ok").isNull(), "excluded").when(F.col("_known"), "known").otherwise("saved")
     rows = rows.withColumn("outcome", reason).drop("_key", "_first", "_ok", "_known")
     if most is not None:
-        place = F.sum((F.col("outcome") == "saved").cast("int")).over(Window.partitionBy("user_id").orderBy(order, "url"))
-        rows = rows.withColumn("outcome", F.when((F.col("outcome") == "saved") & (place > most), "over_limit").otherwise(F.col("outcome")))
+        rows = numbered(rows, ["user_id"], [order, "url"], "_place", F.col("outcome") == "saved")
+        rows = rows.withColumn("outcome", F.when((F.col("outcome") == "saved") & (F.col("_place") > most), "over_limit").otherwise(F.col("outcome"))).drop("_place")
     return rows
 
 
@@ -76,12 +78,22 @@ def link_graph(pages: DataFrame, leads: DataFrame | None = None) -> DataFrame:
     return edges.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("target_domain", F.col("target").alias("url"), "source_domain", F.col("page_id").alias("found_on"))
 
 
+def reference_links(pages: DataFrame) -> DataFrame:
+    """Links (page_id, url, place, target) to reference pages of a page's own site: by their path, or by the words of the whole tag,
+    its text and attributes (D5)."""
+    tags = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r'(?is)(<a[^>]+href=["\'][^"\']+["\'][^>]*>.*?</a>)'), F.lit(1))
+    rows = pages.select("page_id", "url", F.posexplode(tags).alias("place", "tag"))
+    rows = rows.withColumn("href", F.trim(F.regexp_extract("tag", r'(?is)^<a[^>]+href=["\']([^"\']+)["\']', 1))).where(~F.col("href").rlike("^(#|javascript:|$)"))
+    rows = rows.withColumn("target", resolve(F.col("href"), F.col("url")))
+    path, said = F.lower(F.coalesce(F.try_parse_url("target", F.lit("PATH")), F.lit(""))), F.lower(F.concat_ws(" ", strip_tags(F.col("tag")), "tag"))
+    refers = path.rlike("|".join(REFERENCE_PATHS)) | said.rlike("|".join(REFERENCE_WORDS))
+    return rows.where((domain(F.col("target")) == domain(F.col("url"))) & refers).select("page_id", "url", "place", "target")
+
+
 def client_references(pages: DataFrame, agencies: DataFrame, most_pages: int = 5) -> DataFrame:
     """Clients of agencies: external links of up to ``most_pages`` reference pages of each agency, one row for each client."""
-    own = links(pages).withColumn("agency_domain", domain(F.col("url"))).join(agencies.select(F.col("domain").alias("agency_domain")).distinct(), "agency_domain", "left_semi")
-    path = F.coalesce(F.try_parse_url("target", F.lit("PATH")), F.lit(""))
-    refers = F.lower(path).rlike("/(?:" + "|".join(REFERENCE_PATHS) + ")(?:[/.-]|$)") | F.lower("href").rlike("|".join(REFERENCE_WORDS))
-    inner = own.where((domain(F.col("target")) == F.col("agency_domain")) & refers).groupBy("agency_domain", "target").agg(F.min(F.struct("page_id", "place")).alias("o"))
+    own = pages.withColumn("agency_domain", domain(F.col("url"))).join(agencies.select(F.col("domain").alias("agency_domain")).distinct(), "agency_domain", "left_semi")
+    inner = reference_links(own).groupBy(domain(F.col("url")).alias("agency_domain"), "target").agg(F.min(F.struct("page_id", "place")).alias("o"))
     w = Window.partitionBy("agency_domain").orderBy("o", "target")
     chosen = inner.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most_pages).select("agency_domain", F.col("target").alias("found_on"))
     targets = links(pages).select(F.col("url").alias("found_on"), F.col("target").alias("url"), "place").join(chosen, "found_on").withColumn("domain", domain(F.col("url")))

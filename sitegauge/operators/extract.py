@@ -73,6 +73,10 @@ def _all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def _trim(x: Column) -> Column:
+    return F.trim(x)  # F.trim itself would take the place that a transform passes second for the characters to trim
+
+
 def valid_mail(mail: Column, ignored: list[str] = IGNORED_MAIL_DOMAINS) -> Column:
     """Of valid form, not of an ignored domain or below it, not a file name, not a made-up local part."""
     name, at = F.substring_index(mail, "@", 1), F.substring_index(mail, "@", -1)
@@ -187,10 +191,10 @@ def _names(html: Column, bare: Column, text: Column) -> Column:
         return F.when(text.rlike(rf"(?{flags})(?:{any_form})(?:\s|$|[,.])"), named).otherwise(F.array().cast("array<string>"))
 
     marked = F.transform(_all(text, r"(?iu)©\s*(?:\d{4}\s*[-–]\s*)?\d{4}\s+([^\n\r|]+?)(?:\s*[|,.\-]|$)", 1), tidy)
-    title = F.transform(F.split(F.trim(F.regexp_extract(bare, r"(?i)<title[^>]*>([^<]+)</title>", 1)), r"\s*[|\-–—]\s*"), F.trim)
+    title = F.transform(F.split(F.trim(F.regexp_extract(bare, r"(?i)<title[^>]*>([^<]+)</title>", 1)), r"\s*[|\-–—]\s*"), _trim)
     like_name = lambda x: x.rlike(rf"(?iu)(?:{'|'.join(LEGAL_FORMS)})") | x.rlike(rf"\b(?:{'|'.join(LEGAL_WORDS)})$") | (x.rlike(f"^[{CAPITALS}]") & (F.length(x) <= 50))
     of = lambda names, priority: F.transform(names, lambda n: F.struct(F.lit(-priority).alias("p"), n.alias("name")))
-    every = F.concat(of(schema, 100), of(F.transform(micro, F.trim), 100), of(F.transform(F.slice(site, 1, 1), F.trim), 90), of(form(LEGAL_FORMS, "iu"), 80), of(form(LEGAL_WORDS, "u"), 80), of(marked, 70), of(F.filter(title, like_name), 50))
+    every = F.concat(of(schema, 100), of(F.transform(micro, _trim), 100), of(F.transform(F.slice(site, 1, 1), _trim), 90), of(form(LEGAL_FORMS, "iu"), 80), of(form(LEGAL_WORDS, "u"), 80), of(marked, 70), of(F.filter(title, like_name), 50))
     good = F.filter(every, lambda x: valid_name(x["name"]))
     placed = F.array_sort(F.transform(good, lambda x, i: F.struct(x["p"].alias("p"), i.alias("i"), x["name"].alias("name"))))
     first = lambda xs: F.filter(xs, lambda x, i: F.size(F.filter(F.slice(xs, F.lit(1), i), lambda y: F.lower(y["name"]) == F.lower(x["name"]))) == 0)

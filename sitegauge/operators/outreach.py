@@ -7,6 +7,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import numbered
+
 # Limits of a user without settings, statuses that count as sent, order of mail states.
 LIMITS = {"emails_per_hour": 10, "emails_per_day": 50, "emails_per_domain_day": 3}
 MAIL_SENT = ["sent", "delivered", "opened", "clicked"]
@@ -146,8 +148,8 @@ def decide(requests: DataFrame, by_user: DataFrame, by_domain: DataFrame, settin
 def reuse_proposals(requests: DataFrame, proposals: DataFrame) -> DataFrame:
     """Requests (request_id, industry, type) paired with the oldest rejected, made, untouched, recyclable proposals, one each."""
     free = proposals.where((F.col("status") == "rejected") & F.col("is_ai_generated") & ~F.col("is_customized") & F.col("recyclable"))
-    free = free.withColumn("_n", F.row_number().over(Window.partitionBy("industry", "type").orderBy("created_at", "proposal_id"))).select("industry", "type", "_n", "proposal_id")
-    asked = requests.withColumn("_n", F.row_number().over(Window.partitionBy("industry", "type").orderBy("request_id")))
+    free = numbered(free, ["industry", "type"], ["created_at", "proposal_id"], "_n").select("industry", "type", "_n", "proposal_id")
+    asked = numbered(requests, ["industry", "type"], ["request_id"], "_n")
     return asked.join(free, ["industry", "type", "_n"], "left").drop("_n")
 
 
@@ -171,8 +173,10 @@ def choose_template(requests: DataFrame, user_templates: DataFrame, templates: D
     # by keys: templates of the user, and global ones of the name or by default
     by_user = requests.join(every.where("tu is not null"), same("tu", "user_id"))
     by_name = requests.join(every.where("tu is null"), named)
-    by_default = requests.join(F.broadcast(every.where("tu is null and is_default").groupBy("tu", "ti").agg(F.min("tn").alias("tn"), F.lit(True).alias("is_default"), F.min("template_id").alias("template_id"))), F.col("ti").isNull() | same("ti", "industry"))  # one for each industry
-    ranked = by_user.unionByName(by_name).unionByName(by_default).withColumn("_p", place).where("_p is not null")
+    defaults = every.where("tu is null and is_default").groupBy("tu", "ti").agg(F.min("tn").alias("tn"), F.lit(True).alias("is_default"), F.min("template_id").alias("template_id"))
+    by_industry = requests.join(defaults.where("ti is not null"), same("ti", "industry"))
+    every_request = requests.withColumn("_k", F.lit(1)).join(F.broadcast(defaults.where("ti is null").withColumn("_k1", F.lit(1))), same("_k", "_k1")).drop("_k", "_k1")  # one row
+    ranked = by_user.unionByName(by_name).unionByName(by_industry).unionByName(every_request).withColumn("_p", place).where("_p is not null")
     best = ranked.withColumn("_n", F.row_number().over(Window.partitionBy("request_id").orderBy("_p", "template_id"))).where("_n = 1")
     return requests.join(best.select("request_id", "template_id", F.col("_p").alias("rank")), "request_id", "left")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
@@ -19,29 +21,72 @@ class Rule:
     evidence: Column | None = None
 
 
-def has(text: Column, *patterns: str, flags: str = "iu") -> Column:
-    """One of the patterns is found, as one regular expression."""
-    return text.rlike(f"(?{flags})" + "|".join(f"(?:{p})" for p in patterns))
+@dataclass(frozen=True)
+class Markup:
+    """A page's markup and the same in lower case, in which patterns that ignore case are looked for: that is several times faster
+    than a pattern that ignores case."""
+
+    html: Column
+    low: Column
+
+
+Text = Column | Markup
+
+
+def markup(p: dict[str, Column]) -> Markup:
+    return Markup(p["html"], p["low"])
+
 
+def lowered(pattern: str) -> str:
+    """A pattern for lower-cased text; classes like \\S stay."""
+    return re.sub(r"\\[pP]\{\w+\}|\\.|[^\\]+", lambda m: m[0] if m[0][0] == "\\" else m[0].lower(), pattern)
 
-def found(text: Column, patterns: Iterable[str], flags: str = "iu") -> Column:
+
+def _where(text: Text, flags: str) -> tuple[Column, str, Callable[[str], str]]:
+    """The column in which to look, with what prefix and for which pattern."""
+    if isinstance(text, Markup):
+        text, flags, change = (text.low, flags.replace("i", "").replace("u", ""), lowered) if "i" in flags else (text.html, flags, str)
+    else:
+        change = str
+    return text, f"(?{flags})" if flags else "", change
+
+
+def has(text: Text, *patterns: str, flags: str = "iu") -> Column:
+    """One of the patterns is found.  In lower-cased markup plain words are looked for as such, the others as one regular expression."""
+    column, prefix, change = _where(text, flags)
+    patterns = [change(p) for p in patterns]
+    plain = [] if prefix else [w for p in patterns if not re.search(r"[\\.^$?*+()\[\]{}]", p) for w in p.split("|")]
+    rest = [p for p in patterns if prefix or re.search(r"[\\.^$?*+()\[\]{}]", p)]
+    out = [column.contains(w) for w in plain] + ([column.rlike(prefix + "|".join(f"(?:{p})" for p in rest))] if rest else [])
+    return functools.reduce(Column.__or__, out)
+
+
+def found(text: Text, patterns: Iterable[str], flags: str = "iu") -> Column:
     """How many of the patterns are found."""
     return sum((has(text, p, flags=flags).cast("int") for p in patterns), F.lit(0))
 
 
-def count(text: Column, pattern: str, flags: str = "iu") -> Column:
-    return F.regexp_count(text, F.lit(f"(?{flags}){pattern}"))
+def count(text: Text, pattern: str, flags: str = "iu") -> Column:
+    column, prefix, change = _where(text, flags)
+    return F.regexp_count(column, F.lit(prefix + change(pattern)))
 
 
-def every(text: Column, pattern: str, group: int = 1, flags: str = "iu") -> Column:
+def every(text: Text, pattern: str, group: int = 1, flags: str = "iu") -> Column:
+    text = text.html if isinstance(text, Markup) else text
     return F.regexp_extract_all(text, F.lit(f"(?{flags}){pattern}"), F.lit(group))
 
 
-def first(text: Column, pattern: str, group: int = 1, flags: str = "iu") -> Column:
+def first(text: Text, pattern: str, group: int = 1, flags: str = "iu") -> Column:
     """The first match's group; null where it is missing or empty."""
+    text = text.html if isinstance(text, Markup) else text
     return F.nullif(F.regexp_extract(text, f"(?{flags}){pattern}", group), F.lit(""))
 
 
+def trimmed(texts: Column) -> Column:
+    """An array's texts without blanks around them; F.trim alone would take the index for the characters to trim."""
+    return F.transform(texts, lambda x: F.trim(x))
+
+
 def said(number: Column, what: str) -> Column:
     return F.concat(number.cast("string"), F.lit(f" {what}"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ...functions.text import strip_tags
 from ...functions.urls import host
-from . import Rule, count, every, first, found, has, said
+from . import Markup, Rule, Text, count, every, first, found, has, markup, said, trimmed
 
 # Fixed values.
 SHOP_PLATFORMS = {
@@ -54,7 +54,7 @@ SHOP_LOOKS = ["košík|cart|nákupní", "(?:produkt|product).*(?:cena|price)", "
 WITHDRAWAL = ["odstoupen|withdrawal|vrácen|return", r"14\s*(?:dní|dnů|den|days)", r"právo\s*(?:na\s*)?(?:vrácení|odstoupení)", "reklamace|complaint"]
 
 
-def shop_platform(h: Column) -> Column:
+def shop_platform(h: Text) -> Column:
     """The first shop platform with two marks (a meta mark counts twice); null without one."""
     out = F.lit(None).cast("string")
     for name, marks in reversed(SHOP_PLATFORMS.items()):
@@ -63,7 +63,7 @@ def shop_platform(h: Column) -> Column:
     return out
 
 
-def shop_score(h: Column) -> Column:
+def shop_score(h: Text) -> Column:
     """Points for a shop: platform 5, cart signs 2 each, prices 1, schemas 3, other signs 1."""
     return F.when(shop_platform(h).isNotNull(), 5).otherwise(0) + found(h, CART) * 2 + found(h, PRICES) + found(h, SCHEMAS) * 3 + found(h, SHOP_SIGNS)
 
@@ -74,7 +74,7 @@ def shop_confidence(score: Column) -> Column:
 
 def cms_quality(p: dict[str, Column]) -> list[Rule]:
     """Free platforms, builders and their adverts, by the CMS found in the page."""
-    h, cms = p["html"], F.lower(p["cms"])
+    h, cms = markup(p), F.lower(p["cms"])
     r = lambda code, when, evidence=None: Rule("cms_quality", code, when, evidence)
     theme = [rf"themes/{t}" for t in DEFAULT_THEMES] + [rf'class="[^"]*theme-{t}' for t in DEFAULT_THEMES]
     return [
@@ -88,8 +88,8 @@ def cms_quality(p: dict[str, Column]) -> list[Rule]:
 
 def content_quality(p: dict[str, Column]) -> list[Rule]:
     """Placeholder texts, small and broken images, empty sections, old copyright, stock photos."""
-    h, year = p["html"], F.year(p["as_of"])
-    plain = strip_tags(h)
+    h, year = markup(p), F.year(p["as_of"])
+    plain = Markup(strip_tags(h.html), strip_tags(h.low))
 
     def size(img: Column, name: str) -> Column:
         by_style = first(img, rf'style\s*=\s*["\'][^"\']*{name}\s*:\s*(\d+)px')
@@ -103,7 +103,7 @@ def content_quality(p: dict[str, Column]) -> list[Rule]:
     empty = count(h, r"<section[^>]*>\s*</section>") + count(h, r'<div[^>]*class\s*=\s*["\'][^"\']*(?:section|content|wrapper)[^"\']*["\'][^>]*>\s*</div>') + count(h, r"<article[^>]*>\s*</article>")
     years = [first(h, q).cast("int") for q in (r"(?:©|&copy;|copyright)\s*(\d{4})", r"(\d{4})\s*(?:©|&copy;)", r"all\s+rights\s+reserved\s*(\d{4})")]
     mark = F.coalesce(*(F.when((y >= 2000) & (y <= year), y) for y in years))
-    stock = sum((F.lower(h).contains(s).cast("int") for s in STOCK_SOURCES), F.lit(0)) + found(h, [rf'alt\s*=\s*["\'][^"\']*{a}[^"\']*["\']' for a in STOCK_ALTS])
+    stock = sum((h.low.contains(s).cast("int") for s in STOCK_SOURCES), F.lit(0)) + found(h, [rf'alt\s*=\s*["\'][^"\']*{a}[^"\']*["\']' for a in STOCK_ALTS])
     r = lambda code, when, evidence=None: Rule("content_quality", code, when, evidence)
     return [
         r("content_placeholder_text", has(plain, *PLACEHOLDERS), first(plain, f"({'|'.join(PLACEHOLDERS)})")),
@@ -115,7 +115,7 @@ def content_quality(p: dict[str, Column]) -> list[Rule]:
     ]
 
 
-def brand_colours(h: Column) -> Column:
+def brand_colours(h: Text) -> Column:
     """Distinct colours of inline styles as six hex digits; black and white don't count."""
     raw = F.concat(every(h, r"(?:color|background-color|border-color)\s*:\s*(#[0-9a-fA-F]{3,6})"), every(h, r"(?:color|background-color|border-color)\s*:\s*(rgb\([^)]+\))"))
     byte = lambda c, g: F.lpad(F.hex(F.regexp_extract(c, r"rgb\(\s*(\d+)\s*,\s*(\d+)\s*,\s*(\d+)\s*\)", g).try_cast("int")), 2, "0")
@@ -129,7 +129,7 @@ def brand_colours(h: Column) -> Column:
 
 def branding(p: dict[str, Column]) -> list[Rule]:
     """Favicon, logo, colours, marks of identity."""
-    h = p["html"]
+    h = markup(p)
     icon = F.coalesce(first(h, r'<link[^>]+rel\s*=\s*["\'](?:icon|shortcut icon)["\'][^>]+href\s*=\s*["\']([^"\']+)["\']'), first(h, r'<link[^>]+href\s*=\s*["\']([^"\']+)["\'][^>]+rel\s*=\s*["\'](?:icon|shortcut icon)["\']'))
     default = F.array(*(F.lit(x) for x in DEFAULT_FAVICONS))
     logo = F.coalesce(
@@ -153,7 +153,7 @@ def branding(p: dict[str, Column]) -> list[Rule]:
     ]
 
 
-def menu_labels(h: Column) -> Column:
+def menu_labels(h: Text) -> Column:
     """Distinct link texts of the main menu, out of its first 15."""
     nav = F.coalesce(
         first(h, r'<nav[^>]*(?:id|class)\s*=\s*["\'][^"\']*(?:main|primary|header)[^"\']*["\'][^>]*>(.*?)</nav>', flags="isu"),
@@ -162,13 +162,13 @@ def menu_labels(h: Column) -> Column:
         first(h, r"<nav[^>]*>(.*?)</nav>", flags="isu"),
         F.lit(""),
     )
-    labels = F.filter(F.transform(every(nav, r"<a[^>]*>([^<]+)</a>"), F.trim), lambda x: (x != "") & (F.length(x) < 50))
+    labels = F.filter(trimmed(every(nav, r"<a[^>]*>([^<]+)</a>")), lambda x: (x != "") & (F.length(x) < 50))
     return F.array_distinct(F.slice(labels, 1, 15))
 
 
 def navigation_ux(p: dict[str, Column]) -> list[Rule]:
     """Menu length and depth, search, breadcrumbs, mobile menu, dead links (A10)."""
-    h = p["html"]
+    h = markup(p)
     items = F.size(menu_labels(h))
     depths = [count(h, q) for q in (r'<ul[^>]*class\s*=\s*["\'][^"\']*sub-?menu[^"\']*["\']', r'<ul[^>]*class\s*=\s*["\'][^"\']*dropdown[^"\']*["\']', r'<li[^>]*class\s*=\s*["\'][^"\']*has-?(?:sub|children|dropdown)[^"\']*["\']')]
     last = F.lit(1)
@@ -186,14 +186,14 @@ def navigation_ux(p: dict[str, Column]) -> list[Rule]:
     ]
 
 
-def calls_to_action(h: Column) -> Column:
-    texts = F.transform(F.concat(*(every(h, q) for q in CTAS)), F.trim)
+def calls_to_action(h: Text) -> Column:
+    texts = trimmed(F.concat(*(every(h, q) for q in CTAS)))
     return F.filter(texts, lambda t: (t != "") & (F.octet_length(t) <= 50))
 
 
 def conversion(p: dict[str, Column]) -> list[Rule]:
     """Calls to action, contact, trust, proof."""
-    h = p["html"]
+    h = markup(p)
     ctas = calls_to_action(h)
     strong, weak = F.exists(ctas, lambda t: has(t, *STRONG_CTAS)), F.exists(ctas, lambda t: F.lower(t).isin(WEAK_CTAS))
     form = has(h, *CONTACT_FORMS, r'(?s:<form[^>]*>.*?<input[^>]+type\s*=\s*["\']email["\'].*?</form>)')
@@ -215,7 +215,7 @@ def conversion(p: dict[str, Column]) -> list[Rule]:
 
 def legal_compliance(p: dict[str, Column]) -> list[Rule]:
     """Cookie consent, privacy, terms, company details, withdrawal."""
-    h = p["html"]
+    h = markup(p)
     head = F.coalesce(first(h, r"<head[^>]*>(.*?)</head>", flags="isu"), F.lit(""))
     shop = found(h, SHOP_LOOKS) >= 2
     privacy = has(h, r'href\s*=\s*["\'][^"\']*(?:privacy|gdpr|soukrom|osobni-?udaje|ochrana-?(?:soukromi|udaju))[^"\']*["\']', flags="u")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import Rule, count, found, has, said
+from . import Rule, count, found, has, markup, said
 
 # Fixed values.
 PAYMENTS = [r"platební\s*karta|credit\s*card|debit\s*card|visa|mastercard|maestro|kartou", r"bankovní\s*převod|bank\s*transfer|převodem", r"dobírka|cash\s*on\s*delivery|cod\b", "paypal", "gopay", "comgate", "stripe", r"apple\s*pay", r"google\s*pay"]
@@ -20,7 +20,7 @@ TREATMENTS = ["prevence|preventivní|prohlídka", "zubn[íý]|stomatolog|dental"
 
 def eshop(p: dict[str, Column]) -> list[Rule]:
     """A14."""
-    h = p["html"]
+    h = markup(p)
     schema = has(h, r'"@type"\s*:\s*"Product"', r'itemtype=["\']https?://schema\.org/Product["\']')
     structure = found(h, [r"přidat\s*do\s*košíku|add\s*to\s*cart|koupit|buy\s*now", r"(?:\d+[\s,.]?\d*)\s*(?:Kč|CZK|€|\$|EUR)", "product[_-]?image|gallery|carousel", r"skladem|dostupn[ýáé]|in\s*stock|available"]) >= 2
     cart = has(h, r'href=["\'][^"\']*(?:kosik|cart|basket)["\']', r"košík|nákupní\s*košík|shopping\s*cart|cart\b", "cart[_-]?icon|shopping[_-]?cart|basket[_-]?icon|fa-shopping")
@@ -51,7 +51,7 @@ def eshop(p: dict[str, Column]) -> list[Rule]:
 
 def webdesign(p: dict[str, Column]) -> list[Rule]:
     """A15."""
-    h = p["html"]
+    h = markup(p)
     link = lambda *names: rf'href=["\'][^"\']*(?:{"|".join(names)})["\']'
     portfolio = has(h, *PORTFOLIO, link("portfolio", "prace", "work", "projekty", "realizace"))
     items = count(h, r'<(?:article|div)[^>]*class=["\'][^"\']*(?:project|portfolio[_-]?item|work[_-]?item)["\'][^>]*>')
@@ -76,7 +76,7 @@ def webdesign(p: dict[str, Column]) -> list[Rule]:
 
 def real_estate(p: dict[str, Column]) -> list[Rule]:
     """A16."""
-    h = p["html"]
+    h = markup(p)
     r = lambda code, when: Rule("industry_real_estate", code, when)
     return [
         r("realestate_no_listings", ~has(h, "nabídka|nemovitost|byt|dům|house|apartment|property|listing|prodej|pronájem|rent|sale")),
@@ -87,7 +87,7 @@ def real_estate(p: dict[str, Column]) -> list[Rule]:
 
 def automobile(p: dict[str, Column]) -> list[Rule]:
     """A17."""
-    h = p["html"]
+    h = markup(p)
     r = lambda code, when: Rule("industry_automobile", code, when)
     return [
         r("automobile_no_inventory", ~has(h, r"vozidla|automobil|auto|car|vehicle|nabídka\s*voz|skladem|inventory")),
@@ -98,7 +98,7 @@ def automobile(p: dict[str, Column]) -> list[Rule]:
 
 def restaurant(p: dict[str, Column]) -> list[Rule]:
     """A18."""
-    h = p["html"]
+    h = markup(p)
     pdf = has(h, r'href=["\'][^"\']*\.pdf["\'].*menu|menu.*\.pdf|stáhnout\s*menu')
     written = has(h, r"\d+\s*(?:,-|Kč|kč|CZK)", flags="u") & has(h, r"polévka|soup|předkrm|starter|hlavní\s*jídlo|main|dezert|dessert")
     form = has(h, "<form[^>]*(?:rezervace|reservation|booking)") | (has(h, r'type=["\']date["\']|name=["\'](?:datum|date)["\']') & has(h, r'type=["\']time["\']|name=["\'](?:cas|time)["\']'))
@@ -113,7 +113,7 @@ def restaurant(p: dict[str, Column]) -> list[Rule]:
 
 def medical(p: dict[str, Column]) -> list[Rule]:
     """A19."""
-    h = p["html"]
+    h = markup(p)
     r = lambda code, when: Rule("industry_medical", code, when)
     return [
         r("medical_no_appointment", ~has(h, r"objednat\s*se|objednávka|termín|appointment|book\s*(?:an\s*)?appointment", r"online\s*objednání|online\s*rezervace|objednat\s*online", r"reservio|calendly|docplanner|urosvdba|objednejte|samobslužná\s*objednávka", "<form[^>]*(?:objedn|appointment|booking)")),

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import Rule, bound, count, every, first, has, said
+from . import Markup, Rule, Text, bound, count, every, first, has, markup, said, trimmed
 
 # Fixed values.
 SECURITY_HEADERS = ["content-security-policy", "x-frame-options", "x-content-type-options", "strict-transport-security", "referrer-policy", "permissions-policy"]
@@ -32,7 +32,7 @@ OUTDATED_LEVELS = [(15, "critical"), (10, "high"), (5, "medium")]
 
 def http(p: dict[str, Column]) -> list[Rule]:
     """Needs, beside the page, what a fetch has logged: error, ttfb_s, cert_days, ssl_error, soft_404_status (null: not known) (A2)."""
-    h, https = p["html"], F.coalesce(p["url"].rlike("(?i)^https://"), F.lit(False))
+    h, https = markup(p), F.coalesce(p["url"].rlike("(?i)^https://"), F.lit(False))
     mixed = F.array_distinct(F.concat(*(every(h, rf'<{t}[^>]+{a}=["\']http://[^"\']+["\'][^>]*>', 0) for t, a in (("img", "src"), ("script", "src"), ("link", "href"), ("iframe", "src")))))
     days = p["cert_days"]
     rule = lambda code, when, evidence=None: Rule("http", code, when, evidence)
@@ -54,14 +54,14 @@ def security(p: dict[str, Column]) -> list[Rule]:
     out = [Rule("security", "security_missing_" + n.replace("-", "_"), header(n).isin("", "0"), F.lit(n)) for n in SECURITY_HEADERS]
     out.append(Rule("security", "security_server_version_disclosure", header("server").rlike(r"\d+\.\d+"), header("server")))
     out.append(Rule("security", "security_x_powered_by", ~header("x-powered-by").isin("", "0"), header("x-powered-by")))
-    out.append(Rule("security", "security_insecure_form", has(p["html"], r'<form[^>]+action=["\']http://[^"\']+["\'][^>]*>')))
+    out.append(Rule("security", "security_insecure_form", has(markup(p), r'<form[^>]+action=["\']http://[^"\']+["\'][^>]*>')))
     return out
 
 
-def _meta(h: Column, attribute: str, name: str) -> Column:
+def _meta(h: Markup, attribute: str, name: str) -> Column:
     one = rf'<meta[^>]+{attribute}=["\']{name}["\'][^>]+content=["\']([^"\']*)["\'][^>]*>'
     two = rf'<meta[^>]+content=["\']([^"\']*)["\'][^>]+{attribute}=["\']{name}["\'][^>]*>'
-    hit = F.when(has(h, one), F.regexp_extract(h, f"(?iu){one}", 1)).when(has(h, two), F.regexp_extract(h, f"(?iu){two}", 1))
+    hit = F.when(has(h, one), F.regexp_extract(h.html, f"(?iu){one}", 1)).when(has(h, two), F.regexp_extract(h.html, f"(?iu){two}", 1))
     return F.trim(F.coalesce(hit, F.lit("")))
 
 
@@ -81,13 +81,13 @@ def title_of(h: Column) -> Column:
 
 def seo(p: dict[str, Column]) -> list[Rule]:
     """Title, description, tags, headings, images; has_sitemap and has_robots come with the page (null: not known) (A3)."""
-    h = p["html"]
+    h = markup(p)
     missing = F.filter(F.array(*(F.when(_meta(h, "property", t) == "", F.lit(t)) for t in OG_TAGS)), lambda x: x.isNotNull())
     h1 = count(h, r"<h1[^>]*>([^<]*)</h1>")
     images = every(h, r"<img[^>]*>", 0)
     bare = F.size(F.filter(images, lambda i: ~i.rlike(r'\salt=["\'][^"\']+["\']')))
     return [
-        *_between("title", title_of(h), 10, 70),
+        *_between("title", title_of(p["html"]), 10, 70),
         *_between("description", _meta(h, "name", "description"), 50, 160),
         Rule("seo", "seo_missing_og_tags", F.size(missing) > 0, F.array_join(missing, ", ")),
         Rule("seo", "seo_missing_viewport", _meta(h, "name", "viewport").isin("", "0")),
@@ -99,7 +99,7 @@ def seo(p: dict[str, Column]) -> list[Rule]:
     ]
 
 
-def _version(h: Column, patterns: list[str], own: str) -> Column:
+def _version(h: Text, patterns: list[str], own: str) -> Column:
     by_pattern = [first(h, p) for p in patterns if "(\\d" in p]
     return F.coalesce(*by_pattern, first(h, own))
 
@@ -112,7 +112,7 @@ def version_below(version: Column, limit: str) -> Column:
 
 def libraries(p: dict[str, Column]) -> list[Rule]:
     """Libraries with outdated versions, and mixtures of frameworks (A4)."""
-    h, out, there = p["html"], [], {}
+    h, out, there = markup(p), [], {}
     for name, (patterns, own, limit) in LIBRARIES.items():
         there[name] = has(h, *patterns)
         if limit:
@@ -124,19 +124,19 @@ def libraries(p: dict[str, Column]) -> list[Rule]:
     return out
 
 
-def detected_libraries(h: Column) -> Column:
+def detected_libraries(h: Text) -> Column:
     """Array of struct(name, version) of the libraries found."""
     hits = [F.when(has(h, *patterns), F.struct(F.lit(n).alias("name"), _version(h, patterns, own).alias("version"))) for n, (patterns, own, _) in LIBRARIES.items()]
     return F.filter(F.array(*hits), lambda x: x.isNotNull())
 
 
-def _footer(h: Column) -> Column:
+def _footer(h: Text) -> Column:
     tag = first(h, r"(<footer[^>]*>.*?</footer>)", flags="isu")
     part = first(h, r'(<[^>]+(?:class|id)=["\'][^"\']*(?:footer|copyright|bottom)[^"\']*["\'][^>]*>.*?</[^>]+>)', flags="isu")
-    return F.coalesce(tag, part, h)
+    return F.coalesce(tag, part, h.html if isinstance(h, Markup) else h)
 
 
-def copyright_years(h: Column, year: Column) -> Column:
+def copyright_years(h: Text, year: Column) -> Column:
     """struct(start, end, since): the years of a copyright mark in the footer, else the year of a 'since' note (A5)."""
     pattern = r"(?:©|&copy;|\(c\)|copyright)\s*(\d{4})(?:\s*[-–—]\s*(\d{4}))?"
 
@@ -152,7 +152,7 @@ def copyright_years(h: Column, year: Column) -> Column:
 
 def _outdated(p: dict[str, Column]) -> list[tuple[Rule, Column]]:
     """The rules with what each adds to the outdated score."""
-    h, year = p["html"], F.year(p["as_of"])
+    h, year = markup(p), F.year(p["as_of"])
     tags = F.filter(F.array(*(F.when(has(h, rf"<{t}[\s>]"), F.lit(t)) for t in DEPRECATED_TAGS)), lambda x: x.isNotNull())
     html5, any_type = has(h, r"<!DOCTYPE\s+html\s*>"), has(h, r"<!DOCTYPE[^>]*>")
     styles = count(h, r'\sstyle\s*=\s*["\'][^"\']+["\']')
@@ -175,7 +175,8 @@ def _outdated(p: dict[str, Column]) -> list[tuple[Rule, Column]]:
     years = copyright_years(h, year)
     start, end, since = years["start"], years["end"], years["since"]
     age, old = year - start, year - since
-    modified = F.try_to_timestamp(F.try_element_at(p["headers"], F.lit("last-modified")), F.lit("EEE, dd MMM yyyy HH:mm:ss z")).cast("timestamp_ntz")
+    dated = F.regexp_extract(F.coalesce(F.try_element_at(p["headers"], F.lit("last-modified")), F.lit("")), r"(\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2})", 1)
+    modified = F.try_to_timestamp(dated, F.lit("d MMM yyyy HH:mm:ss")).cast("timestamp_ntz")  # without the day's name, which has no pattern
     modified_years = F.months_between(p["as_of"], modified) / 12
     r = lambda code, when, score, evidence=None: (Rule("outdated_code", code, when, evidence), score)
     one = F.lit(1)
@@ -214,7 +215,7 @@ def level(score: Column, levels: list[tuple[int, str]], last: str) -> Column:
     return out
 
 
-def skipped_levels(h: Column) -> Column:
+def skipped_levels(h: Text) -> Column:
     """Heading levels that a following heading skips, like 2 where an h3 follows an h1."""
     order = F.transform(every(h, r"<h([1-6])[^>]*>"), lambda x: x.cast("int"))
     return bound(order, lambda o: F.array_distinct(F.filter(F.transform(o, lambda x, i: F.when((i > 0) & (x > F.get(o, i - 1) + 1), F.get(o, i - 1) + 1)), lambda x: x.isNotNull())))
@@ -222,10 +223,10 @@ def skipped_levels(h: Column) -> Column:
 
 def typography(p: dict[str, Column]) -> list[Rule]:
     """Text marks, headings, fonts, colours, spacing, image texts, old elements."""
-    h, text = p["html"], p["text"]
+    h, text = markup(p), p["text"]
     dashes, spaces, quotes = count(text, r"\s-\s", ""), count(text, "  +", ""), count(text, rf"[\"'](?=[{LETTERS}])", "u")
     h1, skipped = count(h, r"<h1[^>]*>"), skipped_levels(h)
-    fonts = F.array_distinct(F.transform(every(h, r"font-family\s*:\s*([^;\"']+)"), F.trim))
+    fonts = F.array_distinct(trimmed(every(h, r"font-family\s*:\s*([^;\"']+)")))
     sizes = F.array_distinct(every(h, r"font-size\s*:\s*(\d+(?:px|em|rem|pt|%)?)"))
     styles = count(h, r'style\s*=\s*["\'][^"\']+["\']', "u")
     colours = F.concat(*(every(h, c, 0, "u") for c in (r"#(?:[0-9a-fA-F]{3}){1,2}\b", r"rgb\s*\(\s*\d+\s*,\s*\d+\s*,\s*\d+\s*\)", r"rgba\s*\(\s*\d+\s*,\s*\d+\s*,\s*\d+\s*,\s*[\d.]+\s*\)")))
