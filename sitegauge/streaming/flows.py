@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
 import datetime as dt
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.audit import audit
-from ..operators.outreach import MAIL_ORDER, mail_domain, suppression_entries
+from ..operators.outreach import MAIL_ORDER, fold_mail, mail_domain, suppression_entries
 from ..operators.scoring import lead_status
 from ..operators.signals import match, with_external_id
 
@@ -48,9 +50,14 @@ def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
     yield pd.DataFrame([row])[[f.split()[0] for f in OUTPUT.split(", ")]]
 
 
-def mail_states(events: DataFrame, delay: str = "7 days") -> DataFrame:
-    """The state of each message after each batch that touches it (ST1): the same as folding all its events in a batch, in whatever
-    order they come.  A message's state is forgotten 30 days after its last event."""
+def mail_states(events: DataFrame) -> DataFrame:
+    """The state of each message after each batch that touches it (ST1), by the aggregation that also folds a batch; states are kept."""
+    return fold_mail(events)
+
+
+def mail_states_expiring(events: DataFrame, delay: str = "7 days") -> DataFrame:
+    """As ``mail_states``, but a message's state is forgotten 30 days after its last event: for streams without end.  An aggregation
+    can't forget by a group's own last time, hence the state of its own."""
     keyed = events.select("message_id", "event_time", "type", "bounce_type").withWatermark("event_time", delay)
     return keyed.groupBy("message_id").applyInPandasWithState(_fold, OUTPUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
@@ -100,19 +107,45 @@ def page_scores(pages: DataFrame, as_of: dt.datetime) -> DataFrame:
     return scored.select("page_id", "total_score", lead_status(F.col("total_score"), F.col("critical")).alias("status"))
 
 
-def _changed(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    before = state.get[0] if state.exists else None
-    rows = pd.concat(list(batches)).sort_values(["taken_at", "content_hash"])
-    out = []
-    for at, value in zip(rows["taken_at"], rows["content_hash"], strict=True):
-        out.append((*key, at, value, before, before is not None and value != before))
-        before = value
-    state.update((before,))
-    yield pd.DataFrame(out, columns=["domain", "snapshot_type", "taken_at", "content_hash", "previous_hash", "has_changes"])
-
-
-def snapshot_changes(snaps: DataFrame) -> DataFrame:
-    """Arriving snapshots with the previous content hash of their domain and type (ST7); the state is that hash alone."""
-    keyed = snaps.select("domain", "snapshot_type", "taken_at", "content_hash").groupBy("domain", "snapshot_type")
-    out = "domain string, snapshot_type string, taken_at timestamp, content_hash string, previous_hash string, has_changes boolean"
-    return keyed.applyInPandasWithState(_changed, out, "hash string", "append", GroupStateTimeout.NoTimeout)
+def _changed(span: int) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """The state is the snapshots of the last ``span`` microseconds and the one before, as JSON [cut, [[time, id, hash], ...]]."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        cut, seen = json.loads(state.get[0]) if state.exists else (False, [])
+        for rows in batches:
+            touched = set()
+            for at, id_, value in zip(rows["taken_at"], rows["snapshot_id"], rows["content_hash"], strict=True):
+                item = [at.value // 1000, int(id_), value]
+                i = bisect.bisect_left(seen, item[:2], key=lambda x: x[:2])
+                if cut and i == 0:
+                    continue  # later than the span allows
+                if i < len(seen) and seen[i][:2] == item[:2]:
+                    seen[i] = item
+                else:
+                    seen.insert(i, item)
+                touched.add((item[0], item[1]))
+                if i + 1 < len(seen):
+                    touched.add((seen[i + 1][0], seen[i + 1][1]))  # the next one has another before it now
+            out = []
+            for t in sorted(touched):
+                i = bisect.bisect_left(seen, list(t), key=lambda x: x[:2])
+                before = seen[i - 1][2] if i else None
+                out.append((*key, pd.Timestamp(t[0], unit="us"), t[1], seen[i][2], before, before is not None and seen[i][2] != before))
+            if out:
+                yield pd.DataFrame(out, columns=["domain", "snapshot_type", "taken_at", "snapshot_id", "content_hash", "previous_hash", "has_changes"])
+            first = max(0, bisect.bisect_left(seen, [seen[-1][0] - span], key=lambda x: x[:1]) - 1) if seen else 0
+            cut, seen = cut or first > 0, seen[first:]
+        state.update((json.dumps([cut, seen]),))
+
+    return run
+
+
+def snapshot_changes(snaps: DataFrame, late: dt.timedelta = dt.timedelta(days=7)) -> DataFrame:
+    """Arriving snapshots (domain, snapshot_type, taken_at, snapshot_id, content_hash) with the content hash before theirs (ST7).
+
+    Equal times go by the id.  A snapshot that comes late, but within ``late`` of its site's newest, finds its place, and the one
+    behind it is said again; the last word on an id counts.  Later ones are left out.  Sites are few, so their states are kept.
+    """
+    keyed = snaps.select("domain", "snapshot_type", "taken_at", "snapshot_id", "content_hash").groupBy("domain", "snapshot_type")
+    out = "domain string, snapshot_type string, taken_at timestamp, snapshot_id long, content_hash string, previous_hash string, has_changes boolean"
+    return keyed.applyInPandasWithState(_changed(int(late.total_seconds() * 1e6)), out, "seen string", "update", GroupStateTimeout.NoTimeout)

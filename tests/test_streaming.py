@@ -1,6 +1,9 @@
 import datetime as dt
+import random
+import time
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
 from sitegauge.operators import competitors, outreach
@@ -30,9 +33,10 @@ def run(stream, mode):
     return q, name
 
 
-def test_states_equal_batch(spark, tmp_path):
+@pytest.mark.parametrize("fold", [flows.mail_states, flows.mail_states_expiring])
+def test_states_equal_batch(spark, tmp_path, fold):
     rows = events()
-    _, name = run(flows.mail_states(feed(spark, tmp_path, rows, SCHEMA)), "update")
+    _, name = run(fold(feed(spark, tmp_path, rows, SCHEMA)), "update")
     newest = {}
     for r in spark.table(name).collect():
         key = (len([x for x in r if x is not None]), r.last_event_at)
@@ -61,13 +65,33 @@ def test_suppression_feed(spark, tmp_path):
     assert sorted(got, key=str) == sorted(((r.email, r.user_id) for r in want.collect()), key=str)
 
 
-def test_changes_equal_batch(spark, tmp_path):
-    start = dt.datetime(2024, 1, 1)
-    rows = [(f"d{i % 3}", "pricing", start + dt.timedelta(days=i), f"h{i // 4 % 3}") for i in range(30)]
-    schema = "domain string, snapshot_type string, taken_at timestamp, content_hash string"
-    _, name = run(flows.snapshot_changes(feed(spark, tmp_path, rows, schema, 1)), "append")
-    batch = competitors.with_previous(spark.createDataFrame(rows, schema), "content_hash")
-    assert sorted((r.domain, r.taken_at, r.previous_hash) for r in spark.table(name).collect() if r.previous_hash) == sorted((r.domain, r.taken_at, r.previous_content_hash) for r in batch.collect() if r.previous_content_hash)
+@pytest.mark.parametrize("parts", [1, 4])
+def test_changes_equal_batch(spark, tmp_path, parts):
+    """Snapshots in any order over several batches, ties included: the last word on each is what a batch says."""
+    start, rng = dt.datetime(2024, 1, 1), random.Random(parts)
+    rows = [(f"d{i % 3}", "pricing", start + dt.timedelta(hours=i // 2), i, f"h{i // 4 % 3}") for i in range(60)]
+    schema = "domain string, snapshot_type string, taken_at timestamp, snapshot_id long, content_hash string"
+    batch = competitors.with_previous(spark.createDataFrame(rows, schema), "content_hash", tie="snapshot_id").collect()
+    rng.shuffle(rows)
+    _, name = run(flows.snapshot_changes(feed(spark, tmp_path, rows, schema, parts)), "update")
+    said = {}
+    for r in spark.table(name).collect():
+        said.setdefault(r.snapshot_id, set()).add((r.previous_hash, r.has_changes))
+    for r in batch:
+        assert (r.previous_content_hash, r.has_changes) in said[r.snapshot_id] and len(said[r.snapshot_id]) <= 1 + 3 * (parts > 1)
+
+
+def test_too_late_changes(spark, tmp_path):
+    rows = [("d", "pricing", dt.datetime(2024, 1, day), day, f"h{day}") for day in (20, 21, 22)]
+    schema = "domain string, snapshot_type string, taken_at timestamp, snapshot_id long, content_hash string"
+    path = str(tmp_path / "late")
+    for part in (rows, [("d", "pricing", dt.datetime(2024, 1, 2), 2, "h2"), ("d", "pricing", dt.datetime(2024, 1, 21, 12), 99, "h99")]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    _, name = run(flows.snapshot_changes(stream, dt.timedelta(hours=20)), "update")
+    said = [(r.snapshot_id, r.previous_hash) for r in spark.table(name).collect()]
+    assert sorted(said, key=str) == sorted([(20, None), (21, "h20"), (22, "h21"), (99, "h21"), (22, "h99")], key=str)
 
 
 def test_signals_and_pages(spark, tmp_path):
