@@ -104,7 +104,7 @@ _REGISTRY = "reg(code, category, severity, weight) AS (VALUES " + ", ".join(f"('
 
 
 def page_audits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.audit(table(spark, sf_dir, "pages"), AS_OF, categories=CATEGORIES)
+    return audit.audit(audit.spread(table(spark, sf_dir, "pages")), AS_OF, categories=CATEGORIES)
 
 
 @query(f"WITH {_PAGE_ISSUES}, {_REGISTRY} SELECT page_id, code, category, severity, weight FROM c JOIN reg USING (code)")
@@ -150,27 +150,27 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(None)
 def page_audit_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All universal categories; some rules look ahead, which the SQL engine's expressions can't."""
-    return audit.audit(table(spark, sf_dir, "pages"), AS_OF)
+    return audit.audit(audit.spread(table(spark, sf_dir, "pages")), AS_OF)
 
 
 @query(None)
 def page_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.page_profiles(table(spark, sf_dir, "pages")).drop("social")
+    return extract.page_profiles(audit.spread(table(spark, sf_dir, "pages"))).withColumn("social", F.to_json("social"))
 
 
 @query(None)
 def page_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
+    pages = audit.spread(table(spark, sf_dir, "pages"))
     found = audit.issues(pages, AS_OF, categories=["cms_quality", "content_quality", "branding", "navigation_ux", "conversion", "legal_compliance"])
     return audit.quality_scores(found, pages).join(audit.outdated_scores(pages, AS_OF), "page_id")
 
 
 @query("""WITH p AS (SELECT page_id, url, lower(regexp_replace(regexp_extract(url, '^https?://([^/:?#]+)', 1), '^www\\.', '')) AS domain FROM pages), f AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY page_id, url) AS n FROM p)
- SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN n > 1 THEN 'duplicate' WHEN domain LIKE '%.example.org' OR regexp_matches(domain, '^m\\..*\\.net$') THEN 'excluded' ELSE 'saved' END AS outcome FROM f) GROUP BY outcome""")
+ SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN n > 1 THEN 'duplicate' WHEN domain LIKE '%.example.org' OR regexp_matches(domain, '^m\\..*\\.net$') THEN 'excluded' WHEN domain IN (SELECT domain FROM p WHERE page_id % 7 = 3) THEN 'known' ELSE 'saved' END AS outcome FROM f) GROUP BY outcome""")
 def discovery_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages").select(F.lit(1).alias("user_id"), "url", F.lit("crawler").alias("source"), F.lit(False).alias("is_catalogue"), F.col("page_id").alias("position"))
     patterns = spark.createDataFrame([("*.example.org",), ("m.*.net",)], "pattern string")
-    leads = p.limit(0).select("user_id", U.domain(F.col("url")).alias("domain"))
+    leads = p.where("position % 7 = 3").select("user_id", U.domain(F.col("url")).alias("domain"))
     return discovery.outcome_counts(discovery.outcomes(p, leads, patterns)).select("outcome", "n")
 
 
@@ -226,7 +226,7 @@ def _terms_sql(terms: list[str]) -> str:
 
 @query(f"WITH d AS (SELECT doc_id, lower(text) AS t FROM documents) SELECT doc_id, CAST({_terms_sql(competitors.TECHNOLOGIES)} AS INT) AS technologies, CAST({_terms_sql(competitors.METHODOLOGIES)} AS INT) AS methodologies, CAST(len({_STEMS}) AS INT) AS industries, CAST({_terms_sql(competitors.CERTIFICATIONS)} AS INT) AS certifications FROM d")
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("html"))
+    d = audit.spread(table(spark, sf_dir, "documents")).select("doc_id", F.col("text").alias("html"))
     facts = competitors.vocabulary_facts(d, "doc_id")
     return facts.select("doc_id", *(F.size(c).alias(c) for c in ("technologies", "methodologies", "industries", "certifications")))
 
@@ -351,14 +351,19 @@ _ENTRIES = "entries AS (SELECT email, event_time, row_number() OVER (PARTITION B
 
 
 def _blacklist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries as they stood on 5 January."""
     m = mails(spark, sf_dir)
     stored = m.limit(0).select("email", "user_id")
     return outreach.suppression_entries(m.where(F.col("event_time") < F.lit(dt.datetime(2024, 1, 5))), stored)
 
 
-@query(f"WITH {MAILS}, {_ENTRIES} SELECT email, event_time FROM entries WHERE n = 1")
+@query(f"""WITH {MAILS}, e AS (SELECT email, event_time, row_number() OVER (PARTITION BY email ORDER BY event_time) AS n FROM mails WHERE type = 'bounce' AND bounce_type = 'Permanent')
+ SELECT email, event_time FROM e WHERE n = 1 AND email NOT IN (SELECT email FROM mails WHERE type = 'click' AND event_time < TIMESTAMP '2024-01-03')""")
 def suppression_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _blacklist(spark, sf_dir).select("email", "event_time")
+    """New entries of all mails, beside those that are stored already."""
+    m = mails(spark, sf_dir)
+    stored = m.where((F.col("type") == "click") & (F.col("event_time") < F.lit(dt.datetime(2024, 1, 3)))).select(F.upper("email").alias("email"), F.lit(None).cast("long").alias("user_id")).distinct()
+    return outreach.suppression_entries(m, stored).select("email", "event_time")
 
 
 @query(f"WITH {MAILS}, {_ENTRIES} SELECT user_id, count(*) AS n FROM mails WHERE email NOT IN (SELECT email FROM entries) GROUP BY user_id")
@@ -479,19 +484,10 @@ def tenant_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- further operators -----------------------------------------------------------------------------------------------------------
 
-@query("""WITH w AS (SELECT o_orderkey AS lead_id, o_custkey % 2000 + 1 AS ico, CASE WHEN o_orderkey % 3 = 0 THEN 'own' END AS company_name FROM orders), k AS (SELECT c_custkey AS ico, c_name AS name FROM customer WHERE c_custkey % 2 = 0),
- m AS (SELECT ico, min(company_name) AS name FROM w WHERE ico NOT IN (SELECT ico FROM k) GROUP BY ico), e AS (SELECT * FROM k UNION ALL SELECT * FROM m) SELECT lead_id, ico AS company_id, coalesce(company_name, name) AS company_name FROM w JOIN e USING (ico)""")
-def linked_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
-    leads = o.select(F.col("o_orderkey").alias("lead_id"), (F.col("o_custkey") % 2000 + 1).alias("ico"), F.lit(None).cast("long").alias("company_id"), F.when(F.col("o_orderkey") % 3 == 0, "own").alias("company_name"))
-    c = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("ico"), F.col("c_name").alias("name"))
-    return discovery.link_companies(leads, c)[0].select("lead_id", "company_id", "company_name")
-
-
 @query("""WITH w AS (SELECT o_orderkey AS lead_id, o_custkey AS ico, CASE WHEN o_orderkey % 3 = 0 THEN 'own' END AS company_name FROM orders UNION ALL SELECT -p_partkey, p_partkey, p_name FROM part), k AS (SELECT c_custkey AS ico, c_name AS name FROM customer),
  m AS (SELECT ico, min(company_name) AS name FROM w WHERE ico NOT IN (SELECT ico FROM k) GROUP BY ico), e AS (SELECT * FROM k UNION ALL SELECT * FROM m) SELECT lead_id, ico AS company_id, coalesce(company_name, name) AS company_name FROM w JOIN e USING (ico)""")
-def linked_companies_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As linked_companies, with all customers and their own keys; companies are missing where parts have keys beyond theirs."""
+def linked_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Companies are missing where parts have keys beyond those of customers."""
     o, p = table(spark, sf_dir, "orders"), table(spark, sf_dir, "part")
     leads = o.select(F.col("o_orderkey").cast("long").alias("lead_id"), F.col("o_custkey").cast("long").alias("ico"), F.when(F.col("o_orderkey") % 3 == 0, "own").alias("company_name"))
     leads = leads.unionByName(p.select((-F.col("p_partkey")).cast("long").alias("lead_id"), F.col("p_partkey").cast("long").alias("ico"), F.col("p_name").alias("company_name")))
@@ -535,16 +531,20 @@ def expired_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outreach.expire_proposals(o, dt.datetime(1995, 6, 1)).select("proposal_id", "status")
 
 
-@query("""WITH t AS (SELECT p_partkey AS template_id, p_brand AS name, CASE WHEN p_size < 25 THEN p_type END AS industry FROM part), r AS (SELECT c_custkey AS request_id, 'Brand#' || (c_nationkey % 5 + 1) || (c_custkey % 5 + 1) AS name, (SELECT min(p_type) FROM part) AS industry FROM customer),
- j AS (SELECT request_id, template_id, CASE WHEN t.industry = r.industry THEN 2 WHEN t.industry IS NULL THEN 3 END AS p FROM r JOIN t USING (name)), b AS (SELECT request_id, template_id, p, row_number() OVER (PARTITION BY request_id ORDER BY p, template_id) AS n FROM j WHERE p IS NOT NULL)
- SELECT request_id, template_id, p AS rank FROM r LEFT JOIN (SELECT * FROM b WHERE n = 1) USING (request_id)""")
+_ASKED = "CASE WHEN c_custkey % 3 = 0 THEN 'Nope' ELSE 'Brand#' || (c_nationkey % 5 + 1) || (c_custkey % 5 + 1) END"
+
+
+@query(f"""WITH g AS (SELECT NULL AS tu, p_brand AS tn, CASE WHEN p_size < 25 THEN p_type END AS ti, p_partkey % 100 = 7 AS d, p_partkey AS template_id FROM part), o AS (SELECT c_custkey AS tu, CASE WHEN c_custkey % 4 = 0 THEN {_ASKED} ELSE 'mine' END AS tn, NULL AS ti, c_custkey % 4 = 1 AS d, 1000000 + c_custkey AS template_id FROM customer WHERE c_custkey % 4 < 2 AND c_custkey % 8 > 0),
+ r AS (SELECT c_custkey AS request_id, {_ASKED} AS name, CASE WHEN c_custkey % 2 = 0 THEN (SELECT min(p_type) FROM part) ELSE 'none' END AS industry FROM customer),
+ j AS (SELECT request_id, template_id, CASE WHEN tn = name THEN 1 WHEN d THEN 4 END AS p FROM r JOIN o ON tu = request_id UNION ALL SELECT request_id, template_id, CASE WHEN tn = name AND ti = industry THEN 2 WHEN tn = name AND ti IS NULL THEN 3 WHEN d AND ti = industry THEN 5 WHEN d AND ti IS NULL THEN 6 END FROM r JOIN g ON tn = name OR d),
+ b AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY p, template_id) AS n FROM j WHERE p IS NOT NULL) SELECT request_id, template_id, p AS rank FROM r LEFT JOIN (SELECT * FROM b WHERE n = 1) USING (request_id)""")
 def chosen_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's own of the name, the global one of name and industry or of the name, the user's default, the industry's, the global one."""
     p, c = table(spark, sf_dir, "part"), table(spark, sf_dir, "customer")
     first = p.agg(F.min("p_type")).head()[0]
-    every = p.select(F.col("p_brand").alias("name"), F.when(F.col("p_size") < 25, F.col("p_type")).alias("industry"), F.lit(False).alias("is_default"), F.col("p_partkey").alias("template_id"))
-    own = c.limit(0).select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name"), F.lit(False).alias("is_default"), F.lit(True).alias("is_active"), F.col("c_custkey").alias("template_id"))
-    name = F.concat(F.lit("Brand#"), (F.col("c_nationkey") % 5 + 1).cast("string"), (F.col("c_custkey") % 5 + 1).cast("string"))
-    asked = c.select(F.col("c_custkey").alias("request_id"), F.col("c_custkey").alias("user_id"), name.alias("name"), F.lit(first).alias("industry"))
+    every = p.select(F.col("p_brand").alias("name"), F.when(F.col("p_size") < 25, F.col("p_type")).alias("industry"), (F.col("p_partkey") % 100 == 7).alias("is_default"), F.col("p_partkey").alias("template_id"))
+    own = c.where("c_custkey % 4 < 2").select(F.col("c_custkey").alias("user_id"), F.when(F.col("c_custkey") % 4 == 0, F.expr(_ASKED)).otherwise("mine").alias("name"), (F.col("c_custkey") % 4 == 1).alias("is_default"), (F.col("c_custkey") % 8 > 0).alias("is_active"), (1_000_000 + F.col("c_custkey")).alias("template_id"))
+    asked = c.select(F.col("c_custkey").alias("request_id"), F.col("c_custkey").alias("user_id"), F.expr(_ASKED).alias("name"), F.when(F.col("c_custkey") % 2 == 0, F.lit(first)).otherwise("none").alias("industry"))
     return outreach.choose_template(asked, own, every).select("request_id", "template_id", "rank")
 
 
@@ -669,31 +669,27 @@ def mail_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.mail_events(raw).select("message_id", "type", "email", "bounce_type")
 
 
-@query("SELECT lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS ico, c_name AS name, 'Street' || CASE WHEN c_nationkey > 0 THEN ' ' || c_nationkey || '/' || c_custkey % 9 ELSE '' END || ', ' || c_mktsegment AS full_address, CASE WHEN c_acctbal > 0 THEN 'Aktivní' ELSE 'OTHER' END AS business_status FROM customer WHERE c_custkey % 9 > 0")
-def registry_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _registry_companies(table(spark, sf_dir, "customer").where("c_custkey % 9 > 0"))
-
-
 @query("SELECT lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS ico, c_name AS name, 'Street' || CASE WHEN c_nationkey > 0 THEN ' ' || c_nationkey || CASE WHEN c_custkey % 9 > 0 THEN '/' || c_custkey % 9 ELSE '' END ELSE '' END || ', ' || c_mktsegment AS full_address, CASE WHEN c_acctbal > 0 THEN 'Aktivní' ELSE 'OTHER' END AS business_status FROM customer")
-def registry_companies_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As registry_companies, with all customers, those of number 0 too."""
-    return _registry_companies(table(spark, sf_dir, "customer"))
-
-
-def _registry_companies(c: DataFrame) -> DataFrame:
+def registry_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Houses with and without a second number; no house."""
+    c = table(spark, sf_dir, "customer")
     seat = F.struct(F.lit("Street").alias("nazevUlice"), F.col("c_nationkey").alias("cisloDomovni"), (F.col("c_custkey") % 9).alias("cisloOrientacni"), F.col("c_mktsegment").alias("nazevObce"))
     response = F.to_json(F.struct(F.lpad(F.col("c_custkey").cast("string"), 8, "0").alias("ico"), F.col("c_name").alias("obchodniJmeno"), seat.alias("sidlo"), F.when(F.col("c_acctbal") > 0, "AKTIVNI").otherwise("OTHER").alias("stavSubjektu")))
     return tables.companies(c.select(response.alias("response"))).select("ico", "name", "full_address", "business_status")
 
 
-@query("SELECT c_custkey AS lead_id, n, total FROM customer JOIN (SELECT o_custkey, count(*) FILTER (r <= 10) AS n, round(sum(o_totalprice) FILTER (r <= 10), 2) AS total FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) GROUP BY o_custkey) ON o_custkey = c_custkey")
+@query("""WITH r AS (SELECT o_custkey, count(*) FILTER (r <= 10) AS n, round(sum(o_totalprice) FILTER (r <= 10), 2) AS total FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) GROUP BY o_custkey),
+ m AS (SELECT o_custkey, least(count(DISTINCT date_trunc('month', o_orderdate)), 20) AS n_snapshots, CAST(date_trunc('month', max(o_orderdate)) AS DATE) AS newest FROM orders GROUP BY o_custkey) SELECT c_custkey AS lead_id, c_name AS company, n, total, n_snapshots, newest FROM customer LEFT JOIN r ON r.o_custkey = c_custkey LEFT JOIN m ON m.o_custkey = c_custkey""")
 def lead_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All leads with company, runs and snapshots; leads without runs have neither."""
     c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
     r = o.select(F.col("o_custkey").alias("lead_id"), F.col("o_orderkey").alias("analysis_id"), F.col("o_orderdate").alias("created_at"), "o_totalprice")
-    snaps = r.limit(0).select("lead_id", F.col("created_at").cast("date").alias("period_start"))
+    snaps = r.select("lead_id", F.trunc("created_at", "month").alias("period_start")).distinct()
     leads = c.select(F.col("c_custkey").alias("lead_id"), F.col("c_custkey").alias("company_id"))
-    b = discovery.lead_bundle(leads, r, snaps, c.select(F.col("c_custkey").alias("ico"), F.col("c_name").alias("name"))).where("runs is not null")
-    return b.select("lead_id", F.size("runs").cast("long").alias("n"), F.round(F.aggregate("runs", F.lit(0.0), lambda a, x: a + x["o_totalprice"]), 2).alias("total"))
+    b = discovery.lead_bundle(leads, r, snaps, c.select(F.col("c_custkey").alias("ico"), F.col("c_name").alias("name")))
+    has = lambda c, value: F.when(F.col(c).isNotNull(), value)
+    total = F.round(F.aggregate("runs", F.lit(0.0), lambda a, x: a + x["o_totalprice"]), 2)
+    return b.select("lead_id", F.col("company.name").alias("company"), has("runs", F.size("runs")).cast("long").alias("n"), has("runs", total).alias("total"), has("snapshots", F.size("snapshots")).cast("long").alias("n_snapshots"), F.get("snapshots", F.lit(0))["period_start"].alias("newest"))
 
 
 # --- streams: the source's files pass in micro-batches; what was said last is compared -----------------------------------------------
@@ -726,11 +722,9 @@ def stream_send_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT user_id AS domain, event_type AS snapshot_type, ts AS taken_at, event_id AS id, lag(event_id % 5) OVER w AS previous_hash, coalesce(event_id % 5 <> lag(event_id % 5) OVER w, false) AS has_changes FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)")
 def stream_snapshot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = read_stream(spark, sf_dir, "events")
-    snaps = raw.select(F.col("user_id").cast("string").alias("domain"), F.col("event_type").alias("snapshot_type"), F.col("ts").cast("timestamp").alias("taken_at"), (F.col("event_id") % 5).cast("string").alias("content_hash"))
-    said = settle.settled(flows.snapshot_changes(snaps), ["domain", "snapshot_type", "taken_at"], "append")
-    ids = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("domain"), F.col("event_type").alias("snapshot_type"), F.col("ts").alias("taken_at"))
-    said = said.select(F.col("domain").cast("long").alias("domain"), "snapshot_type", F.col("taken_at").cast("timestamp_ntz").alias("taken_at"), F.col("previous_hash").cast("long").alias("previous_hash"), "has_changes")
-    return ids.join(said, ["domain", "snapshot_type", "taken_at"])
+    snaps = raw.select(F.col("user_id").cast("string").alias("domain"), F.col("event_type").alias("snapshot_type"), F.col("ts").cast("timestamp").alias("taken_at"), F.col("event_id").alias("snapshot_id"), (F.col("event_id") % 5).cast("string").alias("content_hash"))
+    said = settle.settled(flows.snapshot_changes(snaps), ["domain", "snapshot_type", "snapshot_id"])
+    return said.select(F.col("domain").cast("long").alias("domain"), "snapshot_type", F.col("taken_at").cast("timestamp_ntz").alias("taken_at"), F.col("snapshot_id").alias("id"), F.col("previous_hash").cast("long").alias("previous_hash"), "has_changes")
 
 
 @query(f"WITH {_PAGE_ISSUES}, {_REGISTRY}, {_SCORES} SELECT page_id, total_score, {_STATUS} AS status FROM s")
@@ -738,3 +732,9 @@ def stream_page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_stream(spark, sf_dir, "pages")
     found = audit.audit(pages, AS_OF, categories=CATEGORIES).groupBy("page_id").agg(F.sum("weight").alias("total_score"), F.max(F.col("severity") == "critical").alias("critical"))
     return settle.settled(found, ["page_id"]).select("page_id", "total_score", scoring.lead_status(F.col("total_score"), F.col("critical")).alias("status"))
+
+# both were registered by two names
+for _name in ("registry_companies", "linked_companies"):
+    QUERIES[f"{_name}_whole"], SQL[f"{_name}_whole"] = QUERIES[_name], SQL[_name]
+
+from . import built_pages, more  # noqa: E402, F401  they register further queries, by the helpers above

@@ -47,7 +47,7 @@ def test_entry(spark):
 def test_company_queries_read_all_customers(spark, duck):
     """A row for each customer, number 0 or not; and leads whose companies are missing from customer."""
     customers = duck.sql("SELECT count(*) FROM customer").fetchall()[0][0]
-    assert plans.QUERIES["registry_companies_whole"](spark, SF).count() == customers
-    linked = {r.company_id for r in plans.QUERIES["linked_companies_whole"](spark, SF).collect()}
+    assert plans.QUERIES["registry_companies"](spark, SF).count() == customers
+    linked = {r.company_id for r in plans.QUERIES["linked_companies"](spark, SF).collect()}
     want = {r[0] for r in duck.sql("SELECT o_custkey FROM orders UNION SELECT p_partkey FROM part").fetchall()}
     assert linked == want and want - {r[0] for r in duck.sql("SELECT c_custkey FROM customer").fetchall()}
