@@ -51,14 +51,71 @@ def _where(text: Text, flags: str) -> tuple[Column, str, Callable[[str], str]]:
     return text, f"(?{flags})" if flags else "", change
 
 
+def _atom(p: str, i: int) -> tuple[str | None, int]:
+    """The pattern's atom at i: the letter that it stands for, or None for a class, a group or a place; and where it ends."""
+    if p[i] == "\\":
+        return (None if p[i + 1].isalnum() else p[i + 1]), i + 2
+    if p[i] == "[":
+        j = i + 1 + (p[i + 1] == "^")
+        j += p[j] == "]"  # in the first place it is a letter
+        while p[j] != "]":
+            j += 2 if p[j] == "\\" else 1
+        return None, j + 1
+    if p[i] == "(":
+        depth, j = 1, i + 1
+        while depth:
+            depth += (p[j] == "(") - (p[j] == ")")
+            j = _atom(p, j)[1] if p[j] in "\\[" else j + 1
+        return None, j
+    return (None if p[i] in ".^$" else p[i]), i + 1
+
+
+@functools.cache
+def alternatives(pattern: str) -> tuple[str, ...]:
+    """The parts of a pattern between bars outside of groups."""
+    out, begin, i = [], 0, 0
+    while i < len(pattern):
+        if pattern[i] == "|":
+            out.append(pattern[begin:i])
+            begin = i = i + 1
+        else:
+            i = _atom(pattern, i)[1]
+    return (*out, pattern[begin:])
+
+
+@functools.cache
+def needed(pattern: str) -> str | None:
+    """The longest plain text, of three letters or more, that whatever matches the pattern has; None without one."""
+    runs, run, i = [], "", 0
+    while i < len(pattern):
+        if pattern[i] == "|":
+            return None
+        letter, i = _atom(pattern, i)
+        times = re.match(r"[?*+]|\{\d+(,\d*)?\}", pattern[i:])
+        i += len(times[0]) if times else 0
+        i += bool(times) and pattern[i : i + 1] in ("?", "+")  # lazy or possessive
+        optional = bool(times) and times[0][0] in "?*{"
+        if letter is not None and not optional:
+            run += letter
+        if letter is None or times:
+            runs.append(run)
+            run = ""
+    best = max([*runs, run], key=len)
+    return best if len(best) >= 3 else None
+
+
 def has(text: Text, *patterns: str, flags: str = "iu") -> Column:
-    """One of the patterns is found.  In lower-cased markup plain words are looked for as such, the others as one regular expression."""
+    """One of the patterns is found.  In lower-cased markup each pattern is tried only where the plain text is that it needs."""
     column, prefix, change = _where(text, flags)
-    patterns = [change(p) for p in patterns]
-    plain = [] if prefix else [w for p in patterns if not re.search(r"[\\.^$?*+()\[\]{}]", p) for w in p.split("|")]
-    rest = [p for p in patterns if prefix or re.search(r"[\\.^$?*+()\[\]{}]", p)]
-    out = [column.contains(w) for w in plain] + ([column.rlike(prefix + "|".join(f"(?:{p})" for p in rest))] if rest else [])
-    return functools.reduce(Column.__or__, out)
+    if not isinstance(text, Markup):
+        return column.rlike(prefix + "|".join(f"(?:{p})" for p in patterns))
+    guard, tests, rest = text.low if "i" in flags else column, [], []
+    for p in (a for p in patterns for a in alternatives(change(p))):
+        if (word := needed(p)) is None:
+            rest.append(p)
+        else:
+            tests.append(guard.contains(word) if word == p and guard is column else guard.contains(word) & column.rlike(prefix + p))
+    return functools.reduce(Column.__or__, tests + ([column.rlike(prefix + "|".join(f"(?:{p})" for p in rest))] if rest else []))
 
 
 def found(text: Text, patterns: Iterable[str], flags: str = "iu") -> Column:
@@ -66,20 +123,29 @@ def found(text: Text, patterns: Iterable[str], flags: str = "iu") -> Column:
     return sum((has(text, p, flags=flags).cast("int") for p in patterns), F.lit(0))
 
 
+def _guarded(text: Text, pattern: str, flags: str, value: Column, otherwise: Column | None) -> Column:
+    """``value`` where the page has the plain text that the pattern needs."""
+    word = needed(lowered(pattern)) if isinstance(text, Markup) else None
+    if word is None:
+        return value
+    here = F.when(text.low.contains(word), value)
+    return here if otherwise is None else here.otherwise(otherwise)
+
+
 def count(text: Text, pattern: str, flags: str = "iu") -> Column:
     column, prefix, change = _where(text, flags)
-    return F.regexp_count(column, F.lit(prefix + change(pattern)))
+    return _guarded(text, pattern, flags, F.regexp_count(column, F.lit(prefix + change(pattern))), F.lit(0))
 
 
 def every(text: Text, pattern: str, group: int = 1, flags: str = "iu") -> Column:
-    text = text.html if isinstance(text, Markup) else text
-    return F.regexp_extract_all(text, F.lit(f"(?{flags}){pattern}"), F.lit(group))
+    column = text.html if isinstance(text, Markup) else text
+    return _guarded(text, pattern, flags, F.regexp_extract_all(column, F.lit(f"(?{flags}){pattern}"), F.lit(group)), F.array().cast("array<string>"))
 
 
 def first(text: Text, pattern: str, group: int = 1, flags: str = "iu") -> Column:
     """The first match's group; null where it is missing or empty."""
-    text = text.html if isinstance(text, Markup) else text
-    return F.nullif(F.regexp_extract(text, f"(?{flags}){pattern}", group), F.lit(""))
+    column = text.html if isinstance(text, Markup) else text
+    return _guarded(text, pattern, flags, F.nullif(F.regexp_extract(column, f"(?{flags}){pattern}", group), F.lit("")), None)
 
 
 def trimmed(texts: Column) -> Column:

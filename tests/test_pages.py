@@ -1,9 +1,11 @@
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from sitegauge.operators import audit, extract
+from sitegauge.operators import rules as R
 from sitegauge.operators.registry import ISSUES, registry, with_registry
 from sitegauge.operators.rules import Rule, measured, technical
 
@@ -139,3 +141,25 @@ def test_site_files_and_shops(spark):
     assert out[1].has_robots and not out[1].has_sitemap and not out[3].has_robots
     shops = {r.page_id: r for r in audit.shop_pages(p).collect()}
     assert shops[3].platform == "woocommerce" and shops[3].confidence == "high" and not shops[1].is_eshop
+
+
+def test_needed_text_is_in_every_match():
+    """A pattern's needed text is found by the rules' own patterns in what they match; alternatives stand for the whole."""
+    assert R.alternatives(r"a(b|c)d|[|]x|e\|f") == ("a(b|c)d", "[|]x", r"e\|f")
+    cases = {
+        r"lorem\s+ipsum": "lorem", r'class\s*=\s*["\'][^"\']*breadcrumb': "breadcrumb", r"x{0,2}abc": "abc", r"abcd?e": "abc", r"(?:abcdef)?xyz": "xyz", r"[^\]]+abc": "abc", r"[]x]abc": "abc", r"ab+c": None, r"abcd|efgh": None,
+        r"abc+?d": "abc", r"\bppl\b": "ppl", r"a\.bc": "a.bc", r"[abc]{3}": None,
+    }
+    assert {p: R.needed(p) for p in cases} == cases
+    for p, word in cases.items():
+        for text in ("lorem ipsum", 'class="my-breadcrumb"', "abc", "xxabc", "abcde", "abce", "xyz", "zabc", "]abc", "abbc", "abcd", "efgh", "ppl", "a.bc", "cab"):
+            assert word is None or not re.search(p, text) or word in text
+
+
+def test_lowered_patterns_find_what_case_free_ones_do(spark):
+    texts = ["<IMG SRC='x'>", "Košík 12 KČ", "PŘIDAT DO KOŠÍKU", "no", "Class = \"Price-Box\"", "©2024", "ΣΑΣ", "É"]
+    df = spark.createDataFrame([(i, t, t.lower()) for i, t in enumerate(texts)], "i int, html string, low string")
+    page = R.Markup(F.col("html"), F.col("low"))
+    for patterns in ([r"<img[^>]+src"], [r"košík|cart", r"\d+\s*kč"], [r'class\s*=\s*["\'][^"\']*PRICE'], [r"©\s*\d{4}"], [r"É", "zz+"], [r"\S{9,}"]):
+        got = df.select(R.has(page, *patterns).alias("a"), R.has(F.col("html"), *patterns).alias("b"), R.found(page, patterns).alias("c"), R.found(F.col("html"), patterns).alias("d"), R.count(page, patterns[0]).alias("e"), R.count(F.col("html"), patterns[0]).alias("f")).collect()
+        assert all(r.a == r.b and r.c == r.d and r.e == r.f for r in got)
