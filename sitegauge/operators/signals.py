@@ -63,22 +63,42 @@ def _conditions() -> Column:
     )
 
 
-def match(signals: DataFrame, filters: DataFrame) -> DataFrame:
-    """Pairs of signals and active filters that accept them: signal_id, filter_id, user_id (M4).
+def _agree() -> Column:
+    return F.col("industry").isNull() | F.col("user_industry").isNull() | (F.col("industry") == F.col("user_industry"))
+
+
+def _keyed(signals: DataFrame, filters: DataFrame, salts: int) -> DataFrame:
+    """Pairs (signal_id, filter_id) that may match, by equality of keys.  A filter's keys are the first three letters of its keywords,
+    or its types where a keyword is shorter or missing; a signal has all threes of letters of its text, and its type.  Filters with
+    neither meet all signals, under salts."""
+    words = F.filter(F.coalesce("keywords", F.array().cast("array<string>")), lambda w: w.isNotNull())
+    three = lambda w: F.concat(F.lit("w"), F.substring(F.lower(w), 1, 3))
+    by_words = (F.size(words) > 0) & ~F.exists(words, lambda w: F.length(F.lower(w)) < 3)
+    types = F.coalesce("signal_types", F.array().cast("array<string>"))
+    all_salts = F.transform(F.sequence(F.lit(0), F.lit(salts - 1)), lambda i: F.concat(F.lit("*"), i.cast("string")))
+    keys = F.when(by_words, F.transform(words, three)).when(F.size(types) > 0, F.transform(types, lambda t: F.concat(F.lit("t"), t))).otherwise(all_salts)
+    wanted = filters.select("filter_id", F.explode(F.array_distinct(keys)).alias("key"))
+    text = F.lower(F.concat_ws(" ", "title", "description"))
+    threes = F.when(F.length(text) > 2, F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.concat(F.lit("w"), F.substring(text, i, 3)))).otherwise(F.array().cast("array<string>"))
+    own = F.array(F.concat(F.lit("t"), "signal_type"), F.concat(F.lit("*"), F.pmod(F.xxhash64("signal_id"), F.lit(salts)).cast("string")))
+    there = signals.select("signal_id", F.explode(F.array_distinct(F.concat(threes, own))).alias("key"))
+    return there.join(wanted, "key").select("signal_id", "filter_id").distinct()
+
+
+def match(signals: DataFrame, filters: DataFrame, most: int = 1_000, salts: int = 64) -> DataFrame:
+    """Pairs of signals and active filters that accept them: signal_id, filter_id, user_id (M4).  Ids are unique.
 
-    Industries must be equal where both have one.  That part is a join by equality: a signal is looked up under its industry and
-    under none, and a filter whose user has no industry, or a signal without one, under the key that all share.
+    Up to ``most`` filters, by count, are broadcast.  More are looked up by keys that both share, so no signal meets all filters; the
+    pairs found are then tried on all conditions.  A stream meets the filters in one join, as each further one would keep its state.
     """
     f = filters.where("active").select("filter_id", "user_id", "user_industry", "regions", "signal_types", "keywords", "exclude_keywords", "min_value", "max_value")
-    both = F.broadcast if f.limit(10_001).count() <= 10_000 else (lambda df: df)
-    typed = signals.where("industry is not null").join(both(f.where("user_industry is not null")), F.col("industry") == F.col("user_industry"))
-    free = signals.where("industry is not null").join(both(f.where("user_industry is null")), _conditions())
-    every = signals.where("industry is null").join(both(f), _conditions())
     keep = ["signal_id", "filter_id", "user_id"]
-    if signals.isStreaming:  # one join, as each branch would keep the stream's state anew
-        agree = F.col("industry").isNull() | F.col("user_industry").isNull() | (F.col("industry") == F.col("user_industry"))
-        return signals.join(both(f), agree & _conditions()).select(*keep)
-    return typed.where(_conditions()).select(*keep).unionByName(free.select(*keep)).unionByName(every.select(*keep))
+    if f.limit(most + 1).count() <= most:
+        return signals.join(F.broadcast(f), _agree() & _conditions()).select(*keep)
+    if signals.isStreaming:
+        return signals.join(f, _agree() & _conditions()).select(*keep)
+    pairs = _keyed(signals, f, salts)
+    return pairs.join(signals, "signal_id").join(f, "filter_id").where(_agree() & _conditions()).select(*keep)
 
 
 def subscriptions(matches: DataFrame, stored: DataFrame) -> DataFrame:

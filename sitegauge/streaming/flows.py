@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.audit import audit
-from ..operators.outreach import MAIL_ORDER, fold_mail, mail_domain, suppression_entries
+from ..operators.outreach import MAIL_ORDER, fold_mail, mail_domain
 from ..operators.scoring import lead_status
 from ..operators.signals import match, with_external_id
 
@@ -75,17 +75,25 @@ def send_rate(events: DataFrame, by_domain: bool = False, length: str = "1 hour"
     return sends.groupBy(*keys, F.window("event_time", length, slide).alias("w")).agg(F.count("*").alias("sends")).select("user_id", *(["domain"] if by_domain else []), F.col("w.start").alias("start"), F.col("w.end").alias("end"), "sends")
 
 
-def suppression_feed(events: DataFrame, path: str, delay: str = "7 days") -> Callable:
-    """Start appending new suppression entries to the table at ``path`` (ST4); returns the writer, to be started."""
-    first = events.where("type in ('bounce', 'complaint', 'unsubscribe')").withWatermark("event_time", delay)
+def suppression_feed(events: DataFrame, path: str, name: str = "main") -> Callable:
+    """Start appending new suppression entries to the table at ``path`` (ST4); returns the writer, to be started.
+
+    Which entries there are is the stream's state, so the table is read in the first batch alone, for what other feeds have brought.
+    Each batch is a partition of its own (feed, batch), so a batch that runs again takes its own place; a table has one feed of a
+    ``name``, which goes with the stream's checkpoint.
+    """
+    kind = F.when((F.col("type") == "bounce") & (F.col("bounce_type") == "Permanent"), "hard_bounce").when(F.col("type").isin("complaint", "unsubscribe"), F.col("type"))
+    rows = events.select(F.lower(F.trim("email")).alias("email"), F.when(kind == "unsubscribe", F.col("user_id")).cast("long").alias("user_id"), kind.alias("type"), "event_time")
+    first = rows.where("type is not null and email is not null").dropDuplicates(["email", "user_id"])
     columns = "email string, user_id long, type string, event_time timestamp"
 
-    def append(batch: DataFrame, _: int) -> None:
+    def append(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        there = p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-        stored = spark.read.schema(columns).parquet(path) if there else spark.createDataFrame([], columns)
-        suppression_entries(batch, stored).write.mode("append").parquet(path)
+        if number == 0 and p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+            old = spark.read.schema(f"{columns}, feed string, batch long").parquet(path).where(F.col("feed") != name).select(F.lower("email").alias("_e"), F.col("user_id").alias("_u"))
+            batch = batch.join(old, (F.col("email") == F.col("_e")) & F.col("user_id").eqNullSafe(F.col("_u")), "left_anti")
+        batch.write.mode("overwrite").parquet(f"{path}/feed={name}/batch={number}")
 
     return first.writeStream.foreachBatch(append)
 

@@ -65,6 +65,18 @@ def test_suppression_feed(spark, tmp_path):
     assert sorted(got, key=str) == sorted(((r.email, r.user_id) for r in want.collect()), key=str)
 
 
+def test_suppression_feeds_share_a_table(spark, tmp_path):
+    """A second feed brings what the first hasn't."""
+    path, rows = str(tmp_path / "entries"), events()
+    for name, part in (("a", rows[:60]), ("b", rows)):
+        q = flows.suppression_feed(feed(spark, tmp_path, part, SCHEMA), path, name).option("checkpointLocation", str(tmp_path / f"c{name}")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        assert q.exception() is None
+    got = [(r.email, r.user_id) for r in spark.read.parquet(path).collect()]
+    want = outreach.suppression_entries(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([], "email string, user_id long"))
+    assert sorted(set(got), key=str) == sorted(((r.email, r.user_id) for r in want.collect()), key=str)
+
+
 @pytest.mark.parametrize("parts", [1, 4])
 def test_changes_equal_batch(spark, tmp_path, parts):
     """Snapshots in any order over several batches, ties included: the last word on each is what a batch says."""

@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import Row
@@ -154,3 +155,16 @@ def test_feed_and_registry(spark, tmp_path):
     assert (c.legal_form, c.full_address, c.business_status, c.is_active) == ("s.r.o.", "Dlouhá 1/2, Josefov, 11000 Praha", "Aktivní", True)
     tables.write_table(spark.range(3).withColumn("k", F.col("id") % 2), str(tmp_path / "t"), ["k"])
     assert tables.read_table(spark, str(tmp_path / "t")).count() == 3
+
+
+def test_many_filters_match_by_keys(spark):
+    """Filters looked up by keys and broadcast ones find the same pairs, whatever a filter or a signal lacks."""
+    rng = random.Random(3)
+    words = ["web", "Eshop", "reklama", "it", "a", "škola", "Dům"]
+    pick = lambda xs: rng.choice([None, [], [rng.choice(xs)], [rng.choice(xs), rng.choice(xs)]])
+    signals_ = [(i, rng.choice(["rfp_web", "hiring_it", None]), rng.choice([None, "a", "b"]), rng.choice([None, "Praha", "Brno"]), rng.choice([None, "", " ".join(rng.choice(words) for _ in range(4))]), rng.choice([None, "web it"]), rng.choice([None, 5.0, 50.0])) for i in range(150)]
+    filters = [(i, i % 7, rng.choice([None, "a", "b"]), rng.random() < 0.9, pick(["praha", "BRNO"]), pick(["rfp_web", "hiring_it"]), pick(words), pick(words), rng.choice([None, 10.0]), rng.choice([None, 40.0])) for i in range(60)]
+    d = spark.createDataFrame(signals_, "signal_id long, signal_type string, industry string, region string, title string, description string, value double")
+    f = spark.createDataFrame(filters, "filter_id long, user_id long, user_industry string, active boolean, regions array<string>, signal_types array<string>, keywords array<string>, exclude_keywords array<string>, min_value double, max_value double")
+    a, b = (sorted(map(tuple, signals.match(d, f, most=n, salts=3).collect())) for n in (1_000, 0))
+    assert a == b and len(a) > 100
