@@ -150,10 +150,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = cut(texts.join(popular.select(F.col("rep").alias("id")).hint("merge"), "id", "left_semi"), "texts")
     edges = cut(verify(heads.union(tails).withColumn("label", F.col("id")), texts, percent, shingle), "links")
     labels = components(edges)
-    # buckets of which something stays apart from its hub and has others to meet
+    # buckets of which something stays apart from its hub and has others to meet;
     named = buckets.where("size > 2").join(labels.toDF("rep", "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     named = named.join(labels.toDF("hub", "hub_label"), "hub", "left").withColumn("apart", F.col("label") != F.coalesce("hub_label", "hub"))
-    open_ = named.groupBy("g").agg(F.max("apart").alias("open")).where("open").select("g")
+    # one of those that have the same members: near copies share many bands
+    members = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("m1"), F.bit_xor(F.xxhash64("rep", F.lit(7))).alias("m2")]
+    open_ = named.groupBy("g").agg(F.max("apart").alias("open"), *members).where("open").groupBy("n", "m1", "m2").agg(F.min("g").alias("g")).select("g")
     named = cut(named.join(open_, "g").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")), "apart")
     held = named.select("g", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("part"), F.lit(0).alias("role"), F.col("rep").alias("id"), "label")
     asked = named.where("apart").select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), F.lit(1).alias("role"), F.col("rep").alias("id"), "label")
