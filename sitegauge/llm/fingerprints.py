@@ -13,12 +13,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, words
+from .common import words
 
 #: Bins as a power of two, and bits kept of each.
 BIN_BITS, LOW_BITS = 7, 8
 #: Bytes of text in a range of ids, about; beyond so many ranges they grow instead (their windows sort on disk), as the driver names them.
-RANGE_BYTES, MOST_RANGES = 32 << 20, 100_000
+RANGE_BYTES, MOST_RANGES = 2 << 20, 100_000
 _REST = (1 << 64 - BIN_BITS) - 1
 
 
@@ -81,8 +81,8 @@ def with_next(rows: DataFrame, id_col: str, text_col: str, columns: list[str], d
     """
     spark, id_ = rows.sparkSession, F.coalesce(F.col(id_col), F.lit(-(2**63)))
     size = rows.agg(F.sum(F.octet_length(text_col))).head()[0] or 0
-    n = max(partitions(spark), min(-(-size // range_bytes), MOST_RANGES))
-    bounds = rows.agg(F.percentile_approx(id_, [i / n for i in range(1, n)] or [0.5], max(10_000, 20 * n))).head()[0] or []
+    n = max(1, min(-(-size // range_bytes), MOST_RANGES))
+    bounds = rows.agg(F.percentile_approx(id_, [i / n for i in range(1, n)] or [0.5], max(10_000, min(20 * n, 1_000_000)))).head()[0] or []
     # sorted, and repeated where an id is several bounds
     bounds, many = F.lit(bounds) if bounds else F.array().cast("array<long>"), len(bounds)
     below = _at_most(bounds, many, id_ - F.when(id_ > -(2**63), 1).otherwise(0))

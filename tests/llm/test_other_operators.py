@@ -53,7 +53,7 @@ def test_fingerprints(spark):
     assert len(got[200].fingerprint) == 2 << F5.BIN_BITS and got[202].fingerprint == ""
 
 
-@pytest.mark.parametrize("range_bytes", [200, 32 << 20])
+@pytest.mark.parametrize("range_bytes", [200, 2 << 20])
 def test_next_rows_with_hot_ids(spark, range_bytes):
     """One id, and no id, of a third of the rows each: the order is by id, then by the hash of the text as unsigned number."""
     rng = random.Random(9)
