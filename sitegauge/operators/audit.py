@@ -30,7 +30,7 @@ OPTIONAL = {"status": "int", "headers": "map<string,string>", "industry": "strin
 def spread(pages: DataFrame) -> DataFrame:
     """A table just read, dealt out anew if it has fewer partitions than there are cores: one small file would be one long task."""
     cores = pages.sparkSession.sparkContext.defaultParallelism
-    return pages.repartition(4 * cores) if pages.rdd.getNumPartitions() < cores else pages
+    return pages.repartition(cores) if pages.rdd.getNumPartitions() < cores else pages
 
 
 def prepare(pages: DataFrame, as_of: dt.datetime, most: int | None = None) -> DataFrame:
