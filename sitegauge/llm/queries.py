@@ -15,7 +15,10 @@ from .lattice_lm import score
 from .minmax_dedup import near_duplicates
 from .mixing import MIX_SQL, mix_sources
 from .packing import pack
+from .periodic_runs import digest, periodic_runs, planted
 from .sharding import shard
+from .simhash_dedup import near_duplicates as simhash_duplicates
+from .spelling_variants import TYPOS, spelling_variants
 from .token_counts import length_histogram
 
 
@@ -65,6 +68,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_docs(spark, sf_dir))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_docs(spark, sf_dir), typos=TYPOS)
+
+
+def op12_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_duplicates(_docs(spark, sf_dir))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return digest(periodic_runs(docs.select("doc_id", planted(docs["doc_id"], docs["text"]).alias("text"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minmax_dedup": op1_minmax_dedup,
@@ -77,6 +93,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lattice_lm": op8_lattice_lm,
         "op9_label_sharding": op9_label_sharding,
         "op10_language_id": op10_language_id,
+        "op11_spelling_variants": op11_spelling_variants,
+        "op12_simhash_dedup": op12_simhash_dedup,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
