@@ -67,18 +67,23 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def host_rates(marked: DataFrame, host: str = "host", rules: dict[str, tuple[str, float]] = RULES) -> DataFrame:
     """Table (host, documents, <rule>_rate): each host's failure rate under each rule, shrunk by the rule's empirical beta prior.
 
-    The prior's mean is the rate over all documents; its weight follows from the variance of the hosts' rates about it, weighted
-    by documents: mean * (1 - mean) / variance - 1, within PRIOR.
+    The prior's mean is the rate over all documents.  Its weight follows from how the hosts' rates spread about it, without what
+    drawing few documents from a host spreads them anyway: with S = sum n (r - m)^2 over hosts of n documents, H hosts and N
+    documents, the share of variance between hosts is (S / (m (1 - m)) - (H - 1)) / (N - (H - 1) - sum n^2 / N), and the weight is
+    1 / share - 1, within PRIOR.  Without a share (hosts of one document each, say) the weight is the greatest.
     """
     counts = marked.groupBy(host).agg(F.count("*").alias("documents"), *(F.sum(F.col(r).cast("long")).alias(r) for r in rules))
     counts = cut(counts, "hosts")
-    total = counts.agg(F.sum("documents").alias("documents"), *(F.sum(r).alias(r) for r in rules)).head()
+    n = F.col("documents").cast("double")
+    total = counts.agg(F.sum("documents").alias("documents"), F.count("*").alias("hosts"), F.sum(n * n).alias("squares"), *(F.sum(r).alias(r) for r in rules)).head()
     mean = {r: (total[r] or 0) / (total.documents or 1) for r in rules}
-    spread = counts.agg(*((F.sum(F.col("documents") * F.pow(F.col(r) / F.col("documents") - F.lit(mean[r]), 2)) / F.lit(total.documents or 1)).alias(r) for r in rules)).head()
+    spread = counts.agg(*(F.sum(n * F.pow(F.col(r) / n - F.lit(mean[r]), 2)).alias(r) for r in rules)).head()
     out = []
     for r in rules:
-        m, v = mean[r], spread[r] or 0.0
-        weight = min(max(m * (1 - m) / v - 1, PRIOR[0]), PRIOR[1]) if v > 0 else PRIOR[1]
+        m, weight = mean[r], PRIOR[1]
+        room = total.documents - (total.hosts - 1) - total.squares / total.documents if total.documents else 0.0
+        if 0 < m < 1 and room > 0 and (share := (spread[r] / (m * (1 - m)) - (total.hosts - 1)) / room) > 0:
+            weight = min(max(1 / share - 1, PRIOR[0]), PRIOR[1])
         out.append(((F.col(r) + F.lit(weight * m)) / (F.col("documents") + F.lit(weight))).alias(f"{r}_rate"))
     return counts.select(host, "documents", *out)
 
@@ -120,14 +125,15 @@ def keep_by_host_rules(docs: DataFrame, text_col: str = "text", source_col: str
     return _verdict(marked, host_rates(marked, "_host", rules), rules).where("kept").select(*own).toDF(*docs.columns)
 
 
-def rules_sql() -> str:
-    """DuckDB SQL for the query."""
+def rules_sql(documents: str = "documents") -> str:
+    """DuckDB SQL for the query over a table or subquery of documents."""
     each = lambda f: ", ".join(f.format(r) for r in RULES)
-    weight = "CASE WHEN v_{0} > 0 THEN least(greatest(m_{0} * (1 - m_{0}) / v_{0} - 1, 1.0), 1e6) ELSE 1e6 END AS w_{0}"
+    share = "CASE WHEN m_{0} > 0 AND m_{0} < 1 AND room > 0 THEN (v_{0} / (m_{0} * (1 - m_{0})) - (hosts - 1)) / room ELSE 0 END AS p_{0}"
+    weight = "CASE WHEN p_{0} > 0 THEN least(greatest(1 / p_{0} - 1, 1.0), 1e6) ELSE 1e6 END AS w_{0}"
     base, *soft = RULES
     bad = f"{base} OR r_{base} > {RULES[base][1]}" + "".join(f" OR ({r} AND r_{r} > {RULES[r][1]})" for r in soft)
     return f"""
-WITH t AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+WITH t AS (SELECT doc_id, source, coalesce(text, '') AS text FROM {documents} AS given),
 s AS (SELECT doc_id, source, text, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws,
   list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM t),
 u AS (SELECT doc_id, unnest(ws) AS w, unnest(range(0, len(ws))) AS i FROM s WHERE len(ws) > 5),
@@ -139,9 +145,10 @@ m AS (SELECT doc_id, source, len(ws) AS n_words, length(regexp_replace(text, '[\
   len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM s LEFT JOIN z USING (doc_id)),
 d AS (SELECT *, {', '.join(f'({rule}) AS {r}' for r, (rule, _) in RULES.items())} FROM m),
 h AS (SELECT source, count(*) AS documents, {each('count(*) FILTER ({0}) AS f_{0}')} FROM d GROUP BY source),
-g AS (SELECT {each('sum(f_{0}) / sum(documents) AS m_{0}')} FROM h),
-v AS (SELECT {each('sum(documents * pow(f_{0} / documents - m_{0}, 2)) / sum(documents) AS v_{0}')} FROM h, g),
-w AS (SELECT g.*, {each(weight)} FROM g, v),
+g AS (SELECT count(*) AS hosts, sum(documents) - (count(*) - 1) - sum(documents::DOUBLE * documents) / sum(documents) AS room, {each('sum(f_{0}) / sum(documents) AS m_{0}')} FROM h),
+v AS (SELECT {each('sum(documents * pow(f_{0} / documents - m_{0}, 2)) AS v_{0}')} FROM h, g),
+p AS (SELECT g.*, {each(share)} FROM g, v),
+w AS (SELECT *, {each(weight)} FROM p),
 r AS (SELECT source, documents, {each('(f_{0} + w_{0} * m_{0}) / (documents + w_{0}) AS r_{0}')} FROM h, w)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT ({bad}) AS kept,
   documents AS host_documents, {each('round(r_{0}, 9) AS {0}_rate')}

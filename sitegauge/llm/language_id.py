@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import held_out, small_batches, utf8
@@ -22,8 +22,8 @@ FAMILIES = {
     "cs": "slavic", "sk": "slavic", "pl": "slavic", "ru": "slavic", "uk": "slavic", "hr": "slavic",
 }
 #: Hashed features as a power of two; labelled rows that the machines are fitted on, of each language and of all, at most (so
-#: the driver holds 64 MB of features); passes over them.
-BITS, ROWS, ALL_ROWS, PASSES = 13, 500, 4000, 12
+#: the driver holds 64 MB of features); passes over them; languages that are learned, at most (so there are 2,016 machines, 66 MB).
+BITS, ROWS, ALL_ROWS, PASSES, LANGS = 13, 500, 4000, 12, 64
 DIMS = 1 << BITS
 UNKNOWN = "und"
 
@@ -89,36 +89,45 @@ class Model:
             level = best
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", mod: int = 4, rest: int = 2, families: dict[str, str] = FAMILIES, rows: int = ROWS) -> Model:
-    """Fit the machines on about ``rows`` labelled rows of each language (fewer where that makes more than ALL_ROWS in all, but one or so of each), chosen
-    by hash of the id among those not held out."""
+def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", mod: int = 4, rest: int = 2, rows: int = ROWS, langs: int = LANGS) -> DataFrame:
+    """The rows (lang, h, text) to learn from: of the ``langs`` languages with most labelled rows (ties: the smaller name), ``rows`` each
+    at most, and ALL_ROWS in all, or one of each.  Rows are chosen by a hash h of id and text, the smallest first; rows that agree in
+    language, id and text are one, so neither missing nor repeated ids make more of them.
+    """
     seen = docs.where(~held_out(F.col(id_col), mod, rest) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = seen.groupBy(F.col(lang_col).alias("lang")).count().collect()  # a row for each language
-    rows, part = max(1, min(rows, ALL_ROWS // max(1, len(counts)))), F.lit(0.0)
-    for r in counts:
-        part = F.when(F.col(lang_col) == r.lang, F.lit(min(1.0, rows / r["count"]))).otherwise(part)
-    chosen = seen.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < part * (1 << 20))
+    seen = seen.select(F.col(lang_col).alias("lang"), F.expr("xxhash64({}, {}) & (shiftleft(1L, 62) - 1)".format(*(f"`{c}`" for c in (id_col, text_col)))).alias("h"), F.col(text_col).alias("text"))
+    known = seen.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h", 0.02).alias("d")).orderBy(F.desc("n"), "lang").limit(langs).collect()
+    quota = max(1, min(rows, ALL_ROWS // max(1, len(known))))
+    # the hashes below a limit are twice as many as wanted, or all; those are ranked
+    limits = [(r.lang, int(min(1.0, (2 * quota + 64) / max(1, r.d)) * 2**62)) for r in known]
+    limits = F.broadcast(docs.sparkSession.createDataFrame(limits, "lang string, most long"))
+    some = seen.join(limits, "lang").where("h < most").groupBy("lang", "h").agg(F.min("text").alias("text"))
+    return some.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("_n") <= quota).drop("_n")
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", mod: int = 4, rest: int = 2, families: dict[str, str] = FAMILIES, rows: int = ROWS, langs: int = LANGS) -> Model:
+    """Fit the machines on ``training_rows``; a language beyond the ``langs`` most frequent ones is not learned."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = [features(t).astype(np.float16).tobytes() for t in utf8(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.binary())], ["id", "lang", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.binary())], ["lang", "h", "x"])
 
-    picked = chosen.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    found = sorted(picked.mapInArrow(run, "id long, lang string, x binary").collect(), key=lambda r: (r.lang, r.id is None, r.id, bytes(r.x)))
+    picked = training_rows(docs, id_col, text_col, lang_col, mod, rest, rows, langs)
+    found = sorted(picked.mapInArrow(run, "lang string, h long, x binary").collect(), key=lambda r: (r.lang, r.h))  # ALL_ROWS at most
     x = np.frombuffer(b"".join(bytes(r.x) for r in found), np.float16).reshape(-1, DIMS)
     return Model(x, [r.lang for r in found], families)
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", mod: int = 4, rest: int = 2, families: dict[str, str] = FAMILIES, rows: int = ROWS) -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", mod: int = 4, rest: int = 2, families: dict[str, str] = FAMILIES, rows: int = ROWS, langs: int = LANGS) -> DataFrame:
     """Predict the language of every text: doc_id, held_out (crc32(id as text) mod ``mod`` is ``rest``), lang_pred, score (0 to 1).
 
-    A text that is null or has no letter gets "und" and 0, as has every text if no row is labelled.  Null labels don't train; ties
-    go to the later name.  Repeated rows and null ids come back as they are; an empty table gives no rows.  Other columns are
+    A text that is null or has no letter gets "und" and 0, as has every text if no row is labelled.  Null labels don't train, nor do
+    languages beyond the ``langs`` most frequent; ties go to the later name.  Repeated rows and null ids come back as they are; an empty table gives no rows.  Other columns are
     ignored, and the prediction sees the text alone.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, id_col, text_col, lang_col, mod, rest, families, rows))  # languages times DIMS
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, id_col, text_col, lang_col, mod, rest, families, rows, langs))  # machines times DIMS, 66 MB at most for LANGS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

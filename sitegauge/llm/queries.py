@@ -35,8 +35,21 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _host_rules(_docs(spark, sf_dir))
+
+
+#: Hosts of the query host_verdicts: a language's texts of about one length.
+_HOST = "concat(coalesce(lang, ''), '-', CASE WHEN length(text) < 60 THEN 'a' WHEN length(text) < 500 THEN 'b' WHEN length(text) < 3000 THEN 'c' ELSE 'd' END)"
+
+
+def _host_rules(docs: DataFrame) -> DataFrame:
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_documents"]
-    return apply_host_rules(_docs(spark, sf_dir)).select(*columns, *(F.round(f"{r}_rate", 9).alias(f"{r}_rate") for r in RULES))
+    return apply_host_rules(docs).select(*columns, *(F.round(f"{r}_rate", 9).alias(f"{r}_rate") for r in RULES))
+
+
+def host_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op3's rules over hosts that do fail: texts of a language and about one length."""
+    return _host_rules(_docs(spark, sf_dir).withColumn("source", F.expr(_HOST)))
 
 
 def op4_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_minmax_dedup": op1_minmax_dedup,
         "op2_token_counts": op2_token_counts,
         "op3_host_rules": op3_host_rules,
+        "host_verdicts": host_verdicts,
         "op4_mixture_packing": op4_mixture_packing,
         "op5_fingerprints": op5_fingerprints,
         "op6_importance_resampling": op6_importance_resampling,
@@ -100,4 +114,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_host_rules": rules_sql(), "op7_poisson_mixing": MIX_SQL}
+    return {"op3_host_rules": rules_sql(), "host_verdicts": rules_sql(f"(SELECT * REPLACE ({_HOST} AS source) FROM documents)"), "op7_poisson_mixing": MIX_SQL}

@@ -392,6 +392,21 @@ def test_language_steps_against_brute_force(spark):
         assert r.lang_pred == lang and abs(r.score - p * q) < 1e-4
 
 
+def test_language_training_rows_are_bounded(spark):
+    """Missing and repeated ids, repeated rows and many languages don't make more rows, nor more machines."""
+    many = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 40_000).alias("text"), F.concat(F.lit("l"), F.col("id") % 4).alias("lang"))
+    same = spark.range(30_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("one text").alias("text"), F.lit("l0").alias("lang"))
+    rare = spark.range(40).select("id", F.lit("rare").alias("text"), F.concat(F.lit("z"), F.col("id")).alias("lang"))
+    got = L.training_rows(many.union(same).union(rare), rows=50, langs=6).groupBy("lang").agg(F.count("*").alias("n"), F.countDistinct("text").alias("d")).collect()
+    assert len(got) == 6 and {r.lang for r in got} > {"l0", "l1", "l2", "l3"}
+    assert all((r.n, r.d) == ((50, 50) if r.lang[0] == "l" else (1, 1)) for r in got)
+    few = many.limit(300).union(same)  # repeats beside few different rows: all of these are there
+    assert L.training_rows(few, rows=500).count() == 301
+    labels = spark.range(3000).select("id", F.concat(F.lit("a text "), F.col("id")).alias("text"), F.concat(F.lit("x"), F.col("id") % 300).alias("lang"))
+    model = L.fit(labels.toDF("doc_id", "text", "lang"), langs=12)
+    assert len(model.names) == 66 and model.weights.shape == (66, L.DIMS + 1)
+
+
 def test_machine_is_near_the_optimum():
     """The dual solution's gap to the primal objective is small: it is a support vector machine."""
     rng = np.random.default_rng(1)

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sitegauge.llm import host_rules as H
 from sitegauge.llm import importance as I
@@ -29,8 +30,10 @@ def verdicts(rows):
     total, rates = len(found), {}
     for k in range(3):
         m = sum(f[k] for f in flags) / total
-        v = sum(len(x) * (sum(y[k] for y in x) / len(x) - m) ** 2 for x in hosts.values()) / total
-        w = min(max(m * (1 - m) / v - 1, 1.0), 1e6) if v > 0 else 1e6
+        v = sum(len(x) * (sum(y[k] for y in x) / len(x) - m) ** 2 for x in hosts.values())
+        room = total - (len(hosts) - 1) - sum(len(x) ** 2 for x in hosts.values()) / total
+        share = (v / (m * (1 - m)) - (len(hosts) - 1)) / room if 0 < m < 1 and room > 0 else 0
+        w = min(max(1 / share - 1, 1.0), 1e6) if share > 0 else 1e6
         rates |= {(h, k): (sum(y[k] for y in x) + w * m) / (len(x) + w) for h, x in hosts.items()}
     limits = [0.5, 0.25, 0.25]
     for f, marks in zip(found, flags, strict=True):
@@ -84,6 +87,31 @@ def test_hosts_decide(spark):
         assert all(abs(r[f"{x}_rate"] - sql[i][f"{x}_rate"]) < 1e-8 for x in H.RULES)
 
 
+def test_prior_leaves_out_what_drawing_spreads(spark):
+    """Hosts of one document each say nothing about hosts: the rate of all holds for each, and nothing goes."""
+    fresh = lambda i: " ".join(f"w{i}x{j}" for j in range(20))
+    rows = [(i, fresh(i) + (" # # #" if i % 5 == 0 else ""), None, f"host{i}", None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = H.apply_host_rules(df).agg(F.count_if("kept").alias("kept"), F.max("many_symbols_rate").alias("rate"), F.sum(F.expr("int(10 * n_symbols > n_words)")).alias("marked")).head()
+    assert (got.kept, got.marked) == (3000, 600) and abs(got.rate - 0.2) < 1e-3
+
+
+def test_prior_finds_the_planted_beta(spark):
+    rng = np.random.default_rng(8)
+    a, b, rows = 2.0, 6.0, []
+    for h, p in enumerate(rng.beta(a, b, 4000)):
+        n = int(rng.integers(1, 60))
+        rows.append((f"h{h}", n, int(rng.binomial(n, p))))
+    hosts = spark.createDataFrame(rows, "host string, n int, f int")
+    marked = hosts.select("host", F.explode(F.sequence(F.lit(1), "n")).alias("i"), "f").select("host", (F.col("i") <= F.col("f")).alias("mark"))
+    got = {r.host: r.mark_rate for r in H.host_rates(marked, "host", {"mark": ("", 0.5)}).collect()}
+    m = sum(f for _, _, f in rows) / sum(n for _, n, _ in rows)
+    # rate = (f + w m) / (n + w), hence w
+    weights = [(f - got[h] * n) / (got[h] - m) for h, n, f in rows if abs(got[h] - m) > 0.05]
+    assert max(weights) - min(weights) < 1e-6
+    assert abs(weights[0] * m / a - 1) < 0.1 and abs(weights[0] * (1 - m) / b - 1) < 0.1
+
+
 def test_rules_on_empty_and_clashing(none, odd, clashing):
     assert H.apply_host_rules(none).count() == 0 and H.keep_by_host_rules(none).count() == 0
     assert H.apply_host_rules(clashing).where("kept").count() == H.apply_host_rules(odd).where("kept").count()
