@@ -109,10 +109,13 @@ def domain_suffixes(name: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
 
 
+def _tokens(pattern: Column) -> Column:
+    return F.regexp_extract_all(pattern, F.lit(r"(\[[!^]?\]?[^\]]*\]|(?s:.))"), F.lit(1))
+
+
 def glob_regex(pattern: Column) -> Column:
     """A case-insensitive regular expression that matches what the glob does as a whole: ``*``, ``?`` and classes like ``[a-z]`` or
     ``[!0-9]``; a bracket that isn't closed stands for itself."""
-    tokens = F.regexp_extract_all(pattern, F.lit(r"(\[[!^]?\]?[^\]]*\]|(?s:.))"), F.lit(1))
 
     def one(t: Column) -> Column:
         inside = F.regexp_replace(F.regexp_replace(F.regexp_extract(t, r"(?s)^\[[!^]?(.*)\]$", 1), r"([\\\[\]&~])", r"\\$1"), r"^\^", r"\\^")
@@ -120,14 +123,63 @@ def glob_regex(pattern: Column) -> Column:
         quoted = F.when(t.rlike(r"^[.\\+^$(){}|\[\]]$"), F.concat(F.lit("\\"), t)).otherwise(t)
         return F.when(F.length(t) > 1, class_).when(t == "*", ".*").when(t == "?", ".").otherwise(quoted)
 
-    return F.concat(F.lit("(?is)^"), F.array_join(F.transform(tokens, one), ""), F.lit("$"))
+    return F.concat(F.lit("(?is)^"), F.array_join(F.transform(_tokens(pattern), one), ""), F.lit("$"))
+
+
+#: Letters of the grams that domains and globs meet on; a glob without two letters in a row has a gram of one, or none.
+GRAMS = (4, 2, 1)
+
+
+def _grams(text: Column, size: int) -> Column:
+    """The distinct substrings of a length, none of a shorter text."""
+    places = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - (size - 1))).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(places, lambda i: F.substring(text, i, size)))
+
+
+def _glob_matches(domains: DataFrame, globs: DataFrame, salts: int = 32) -> DataFrame:
+    """The domains (_bare) that a glob (_p) matches, bare or with www.
+
+    A domain that a glob matches has all grams of the glob's literal pieces.  Globs are looked up by the one of these that fewest
+    domains have (one that no domain has drops the glob), grams being as long as the longest piece allows; those that have no letter of
+    their own meet all domains, as alternatives of a few expressions, under salts.  Pairs that meet are tried.
+    """
+    pieces = F.split(F.array_join(F.transform(_tokens(F.col("_p")), lambda t: F.when(t.isin("*", "?") | (F.length(t) > 1), F.lit("\0")).otherwise(t)), ""), "\0")
+    globs = globs.withColumn("_pieces", pieces).withColumn("_longest", F.array_max(F.transform("_pieces", F.length))).withColumn("_re", glob_regex(F.col("_p")))
+    size = F.when(F.col("_longest") >= GRAMS[0], GRAMS[0]).when(F.col("_longest") >= GRAMS[1], GRAMS[1]).otherwise(F.col("_longest"))
+    globs = globs.withColumn("_size", size.cast("int")).drop("_longest")
+    sizes = sorted(r[0] for r in globs.select("_size").distinct().collect())  # of 0, 1, 2, 4
+    own = lambda text: F.concat(*(_grams(text, n) for n in sizes if n)) if any(sizes) else F.array().cast("array<string>")
+    domains = domains.withColumn("_name", F.concat(F.lit("www."), F.col("_bare")))
+    in_domains = domains.select("_bare", F.explode(own(F.col("_name"))).alias("_gram"))
+
+    def of_pieces(size: int) -> Column:
+        return F.array_distinct(F.flatten(F.transform("_pieces", lambda x: _grams(x, size))))
+
+    wanted = F.lit(None).cast("array<string>")
+    for n in sizes:
+        wanted = F.when(F.col("_size") == n, of_pieces(n)).otherwise(wanted) if n else wanted
+    in_globs = globs.where("_size > 0").select("_p", "_re", F.explode(wanted).alias("_gram"))
+    # of a glob's grams the rarest, counted over the domains; grams that no glob has aren't counted
+    counts = in_domains.join(in_globs.select("_gram").distinct(), "_gram", "left_semi").groupBy("_gram").agg(F.count("*").alias("_n"))
+    rated = in_globs.join(counts, "_gram", "left").groupBy("_p").agg(F.first("_re").alias("_re"), F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("_least"))
+    keyed = rated.where("_least.n > 0").select("_re", F.col("_least.gram").alias("_gram"))
+    matched = F.expr("_bare rlike _re or concat('www.', _bare) rlike _re")
+    hits = in_domains.join(keyed, "_gram").where(matched).select("_bare")
+    if 0 in sizes:
+        blank = globs.where("_size = 0").select("_re")
+        blocks = F.ceil(F.lit(blank.count()) / 100)
+        blank = blank.groupBy(F.pmod(F.xxhash64("_re"), blocks).alias("_b")).agg(F.concat_ws("|", F.collect_list("_re")).alias("_re"))  # about a hundred each
+        blank = blank.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        salted = domains.withColumn("_salt", F.pmod(F.xxhash64("_bare"), F.lit(salts)).cast("int"))
+        hits = hits.union(salted.join(blank, "_salt").where(matched).select("_bare"))
+    return hits.distinct()
 
 
 def exclude_domains(rows: DataFrame, patterns: DataFrame, domain_col: str = "domain", pattern_col: str = "pattern") -> DataFrame:
     """Rows whose domain matches no pattern, bare or with www. (U7).  An empty pattern matches nothing.
 
-    Patterns without a glob, or with one leading ``*.``, are looked up by equality over the domain's suffixes; only the other
-    globs, which hold no such key, are tried as alternatives of a few long expressions.
+    Patterns without a glob, or with one leading ``*.``, are looked up by equality over the domain's suffixes, the other globs by
+    a gram of their letters; all joins are by equality, whatever the number of patterns.
     """
     p = patterns.select(F.lower(F.trim(pattern_col)).alias("_p")).where("_p <> ''").distinct()
     plain = p.where(~F.col("_p").rlike(r"[*?\[]")).select(F.regexp_replace("_p", r"^www\.", "").alias("_key"), F.lit(True).alias("_own"))
@@ -135,12 +187,10 @@ def exclude_domains(rows: DataFrame, patterns: DataFrame, domain_col: str = "dom
     keyed = plain.unionByName(tails).distinct()
     bare = F.lower(F.regexp_replace(domain_col, r"(?i)^www\.", ""))
     named = rows.withColumn("_bare", bare)
+    domains = named.select("_bare").where("_bare is not null").distinct()
     hits = (
-        named.select("_bare").distinct().select("_bare", F.explode(domain_suffixes(F.concat(F.lit("www."), F.col("_bare")))).alias("_key")).join(keyed, "_key")
-        .where((~F.col("_own") & (F.col("_key") != F.concat(F.lit("www."), F.col("_bare")))) | (F.col("_key") == F.col("_bare"))).select("_bare").distinct()
+        domains.select("_bare", F.explode(domain_suffixes(F.concat(F.lit("www."), F.col("_bare")))).alias("_key")).join(keyed, "_key")
+        .where((~F.col("_own") & (F.col("_key") != F.concat(F.lit("www."), F.col("_bare")))) | (F.col("_key") == F.col("_bare"))).select("_bare")
     )
-    left = named.join(hits, "_bare", "left_anti")
-    globs = p.where(F.col("_p").rlike(r"[*?\[]") & ~F.col("_p").rlike(r"^\*\.[^*?\[]+$")).select(glob_regex(F.col("_p")).alias("_re"))
-    globs = globs.groupBy(F.pmod(F.xxhash64("_re"), F.ceil(globs.agg(F.count("*")).head()[0] / F.lit(100)) + 1).alias("_b")).agg(F.concat_ws("|", F.collect_list("_re")).alias("_re"))
-    matched = F.expr("_bare rlike _re or concat('www.', _bare) rlike _re")
-    return left.join(globs, matched, "left_anti").drop("_bare")
+    globs = p.where(F.col("_p").rlike(r"[*?\[]") & ~F.col("_p").rlike(r"^\*\.[^*?\[]+$"))
+    return named.join(hits.union(_glob_matches(domains, globs)).distinct(), "_bare", "left_anti").drop("_bare")

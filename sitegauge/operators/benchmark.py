@@ -7,6 +7,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 SAMPLE, TOP = 1000, 20
 POINTS = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9}
 
@@ -19,12 +21,23 @@ def sample(runs: DataFrame, most: int | None = SAMPLE, by: str = "industry", at:
     return runs.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
 
 
-def statistics(runs: DataFrame, by: str = "industry", score: str = "total_score") -> DataFrame:
-    """Averages, exact median and percentiles (linear between ranks), sample size."""
-    points = F.percentile(F.col(score).cast("double"), F.array(*(F.lit(p) for p in POINTS.values())))
+def statistics(runs: DataFrame, by: str = "industry", score: str = "total_score", whole: bool = False) -> DataFrame:
+    """Averages, exact median and percentiles (linear between ranks), sample size.
+
+    A sample's scores are few, and sorted in one buffer for each industry.  With ``whole`` (all runs of all time) the
+    percentiles are found in rounds of counting instead, with the same results.
+    """
     counted = [F.avg(c).alias(f"avg_{c}") for c in ("issue_count", "critical_issue_count") if c in runs.columns]
-    out = runs.groupBy(by).agg(F.avg(score).alias("avg_score"), F.median(score).alias("median_score"), points.alias("_p"), F.count("*").alias("sample_size"), *counted)
-    return out.select("*", F.struct(*(F.round(F.col("_p")[i], 4).alias(n) for i, n in enumerate(POINTS))).alias("percentiles")).drop("_p")
+    means = [F.avg(score).alias("avg_score"), F.count("*").alias("sample_size"), *counted]
+    if whole:
+        q = quantiles(runs, by, score, [*POINTS.values(), 0.5]).select(F.col(by).alias("_of"), F.slice("q", 1, len(POINTS)).alias("_p"), F.element_at("q", -1).alias("median_score"))
+        out = runs.groupBy(by).agg(*means)
+        out = out.join(q, F.col(by).eqNullSafe(F.col("_of")), "left").drop("_of")
+    else:
+        points = F.percentile(F.col(score).cast("double"), F.array(*(F.lit(p) for p in POINTS.values())))
+        out = runs.groupBy(by).agg(*means, F.median(score).alias("median_score"), points.alias("_p"))
+    columns = [by, "avg_score", "median_score", "_p", "sample_size", *(c for c in out.columns if c.startswith("avg_") and c != "avg_score")]
+    return out.select(*columns, F.struct(*(F.round(F.col("_p")[i], 4).alias(n) for i, n in enumerate(POINTS))).alias("percentiles")).drop("_p")
 
 
 def category_averages(runs: DataFrame, by: str = "industry", scores: str = "category_scores") -> DataFrame:
@@ -46,7 +59,7 @@ def calculate(runs: DataFrame, period: dt.date, by: str = "industry", most: int
     """Benchmarks of all industries for the period that begins on a day; runs need codes and category_scores."""
     chosen = sample(runs, most, by)
     top = top_issues(chosen, by).groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "code", "n", "percentage"))), lambda x: F.struct(x["code"].alias("code"), x["n"].alias("count"), x["percentage"].alias("percentage"))).alias("top_issues"))
-    out = statistics(chosen, by).join(top, by, "left").join(category_averages(chosen, by), by, "left")
+    out = statistics(chosen, by, whole=most is None).join(top, by, "left").join(category_averages(chosen, by), by, "left")
     return out.withColumn("period_start", F.lit(period))
 
 

@@ -7,6 +7,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.distance import distance_grade
+from ..functions.terms import namer
 from ..functions.text import price
 
 # Fixed values.
@@ -47,9 +49,10 @@ def array_significance(before: Column, after: Column) -> Column:
 
 
 def string_significance(before: Column, after: Column) -> Column:
-    """By edit distance in characters against the longer length."""
-    percent = F.levenshtein(before, after) / F.greatest(F.length(before), F.length(after), F.lit(1)) * 100
-    return F.when(percent >= 50, "high").when(percent >= 20, "medium").otherwise("low")
+    """By edit distance in characters against the longer length (C5).  Only whether it reaches the limits counts, so long texts are
+    tried against these, and no whole distance is computed."""
+    reached = distance_grade(before, after, [20, 50])
+    return F.when(reached == 2, "high").when(reached == 1, "medium").otherwise("low")
 
 
 def _step(before: Column, after: Column) -> Column:
@@ -118,15 +121,19 @@ def service_changes(facts: DataFrame, at: str = "taken_at") -> DataFrame:
     return _changes(p, [*_lists("services", 3), *_lists("technologies", 3), _lists("certifications", None)[0]], ["domain", at])
 
 
-def _terms(text: Column, terms: list[str]) -> Column:
-    return F.array_compact(F.array(*(F.when(text.contains(t.lower()), F.lit(t)) for t in dict.fromkeys(terms))))
+def name_terms(pages: DataFrame, lists: dict[str, dict[str, str]], text: str = "html") -> DataFrame:
+    """``pages`` with an array for each list (lower-cased term -> name): the names whose terms stand in the lower-cased text, each
+    once, in the list's order (C9).  One pass over the text looks for the terms of all lists."""
+    find = namer(pages.sparkSession, lists)
+    found = pages.withColumn("_named", find(F.lower(F.coalesce(F.col(text), F.lit("")))))
+    return found.select(*pages.columns, *(F.col("_named")[c].alias(c) for c in lists))
 
 
 def vocabulary_facts(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     """Technologies, methodologies, industries and certifications that a page names."""
-    low = F.col("_low")
-    stems = F.array_distinct(F.array_compact(F.array(*(F.when(low.contains(s), F.lit(n)) for s, n in INDUSTRY_STEMS.items()))))
-    return pages.select(id_col, F.lower(F.coalesce(F.col("html"), F.lit(""))).alias("_low")).select(id_col, _terms(low, TECHNOLOGIES).alias("technologies"), _terms(low, METHODOLOGIES).alias("methodologies"), stems.alias("industries"), _terms(low, CERTIFICATIONS).alias("certifications"))
+    own = {"technologies": TECHNOLOGIES, "methodologies": METHODOLOGIES, "certifications": CERTIFICATIONS}
+    lists = {column: {t.lower(): t for t in terms} for column, terms in own.items()} | {"industries": INDUSTRY_STEMS}
+    return name_terms(pages.select(id_col, F.col("html").alias("_html")), lists, "_html").select(id_col, "technologies", "methodologies", "industries", "certifications")
 
 
 def price_facts(pages: DataFrame, id_col: str = "page_id") -> DataFrame:

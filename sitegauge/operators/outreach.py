@@ -121,9 +121,19 @@ def usage(sends: DataFrame, as_of: dt.datetime) -> tuple[DataFrame, DataFrame]:
 
 
 def rolling_sends(sends: DataFrame, at: str = "sent_at", seconds: int = 3600) -> DataFrame:
-    """Each send with the number of its user's sends in the hour up to it."""
-    w = Window.partitionBy("user_id").orderBy(F.unix_micros(F.col(at).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    return sends.withColumn("in_last_hour", F.count("*").over(w))
+    """Each send with the number of its user's sends in the hour up to it.
+
+    Sends are counted by instant, in blocks of so many seconds of a user; each block also gets the instants of the block before, so
+    its windows are whole, and a user's sends are spread over as many tasks as there are blocks.
+    """
+    span = seconds * 1_000_000
+    timed = sends.withColumn("_us", F.unix_micros(F.col(at).cast("timestamp")))
+    counts = timed.groupBy("user_id", "_us").agg(F.count("*").alias("_n")).withColumn("_block", F.floor(F.col("_us") / span)).withColumn("_own", F.lit(True))
+    margin = counts.where("_us is not null").withColumn("_block", F.col("_block") + 1).withColumn("_own", F.lit(False))
+    w = Window.partitionBy("user_id", "_block").orderBy("_us").rangeBetween(-span, 0)
+    summed = counts.unionByName(margin).withColumn("in_last_hour", F.sum("_n").over(w)).where("_own")
+    summed = summed.select(F.col("user_id").alias("_user"), F.col("_us").alias("_at"), "in_last_hour")
+    return timed.join(summed, F.col("user_id").eqNullSafe(F.col("_user")) & F.col("_us").eqNullSafe(F.col("_at"))).select(*sends.columns, "in_last_hour")
 
 
 def decide(requests: DataFrame, by_user: DataFrame, by_domain: DataFrame, settings: DataFrame | None, as_of: dt.datetime) -> DataFrame:

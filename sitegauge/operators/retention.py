@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import stored
 from .competitors import keep_latest
 from .snapshots import period_start
 
@@ -30,11 +31,28 @@ def apply_tiers(results: DataFrame, as_of: dt.datetime, at: str = "created_at",
     return rows.withColumn(payload, F.when(F.col("tier") != "clear", F.col(payload)))
 
 
-def write_tiers(results: DataFrame, path: str, as_of: dt.datetime, at: str = "created_at", payload: str = "raw_data") -> None:
-    """The tiers as Parquet partitions: recent ones with the session's codec, older ones with zstd."""
-    rows = apply_tiers(results, as_of, at, payload)
-    rows.where("tier = 'keep'").write.mode("overwrite").parquet(f"{path}/recent")
-    rows.where("tier <> 'keep'").write.mode("overwrite").option("compression", "zstd").partitionBy("tier").parquet(f"{path}/old")
+def store_results(results: DataFrame, path: str, key: list[str], at: str = "created_at") -> None:
+    """Add results, one for each key, to the table at ``path``, in partitions of the day they are from, in tier keep."""
+    stored.upsert(results.withColumns({"tier": F.lit("keep"), "day": F.to_date(at)}), path, [*key, "day"], "day")
+
+
+def archive(spark: SparkSession, path: str, as_of: dt.datetime, payload: str = "raw_data") -> DataFrame:
+    """Bring a table of ``store_results`` to the tiers of a day (K1), and return the days that changed: day, tier, was.
+
+    A day's results are of one age, so a day has one tier.  Only days whose tier is another by now are written: from compress on with
+    zstd, from clear on without payload; days to delete go.  A run that broke off is finished by the next; a second run of a day finds
+    nothing to do.
+    """
+    stored.finish(spark, path, "day")
+    rows = spark.read.parquet(path)
+    now = F.coalesce(tier(F.col("day"), as_of), F.lit("keep"))
+    moved = [(r.day, r.tier, r.was) for r in rows.select("day", F.col("tier").alias("was"), now.alias("tier")).where("tier <> was").distinct().collect()]  # days
+    kept = [d for d, t, _ in moved if t != "delete"]
+    if kept:
+        some = rows.where(F.col("day").isin(kept)).withColumn("tier", now)
+        stored.overwrite(some.withColumn(payload, F.when(F.col("tier") != "clear", F.col(payload))), path, "day")
+    stored.drop_partitions(spark, path, "day", [d for d, t, _ in moved if t == "delete"])
+    return spark.createDataFrame(sorted(moved), "day date, tier string, was string")
 
 
 def tier_counts(results: DataFrame, as_of: dt.datetime, at: str = "created_at") -> DataFrame:

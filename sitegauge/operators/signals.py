@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.terms import MOST_LETTERS, MOST_TERMS, finder
+
 # Words by industry and patterns by signal type, in order.
 INDUSTRY_WORDS = {
     "webdesign": ["web", "website", "webov", "internetov", "portál", "aplikac", "software"], "eshop": ["e-shop", "eshop", "obchod", "prodej", "nákup", "zboží"],
@@ -50,55 +53,70 @@ def ingest(new: DataFrame, stored: DataFrame) -> DataFrame:
     return keyed.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n").join(stored.select("source", "external_id"), ["source", "external_id"], "left_anti")
 
 
-def _conditions() -> Column:
+def _conditions(in_text: Callable[[Column], Column]) -> Column:
+    """What a filter asks of a signal; ``in_text`` says whether a lower-cased word is in its text."""
     none = lambda c: F.coalesce(F.size(c), F.lit(0)) <= 0
-    text = F.lower(F.concat_ws(" ", "title", "description"))
-    inside = lambda words, where: F.exists(words, lambda k: where.contains(F.lower(k)))
     return (
-        (none("regions") | F.col("region").isNull() | inside("regions", F.lower("region")))
+        (F.col("industry").isNull() | F.col("user_industry").isNull() | (F.col("industry") == F.col("user_industry")))
+        & (none("regions") | F.col("region").isNull() | F.exists("regions", lambda r: F.lower("region").contains(F.lower(r))))
         & (none("signal_types") | F.array_contains("signal_types", F.col("signal_type")))
         & (F.col("value").isNull() | ((F.col("min_value").isNull() | (F.col("value") >= F.col("min_value"))) & (F.col("max_value").isNull() | (F.col("value") <= F.col("max_value")))))
-        & (none("keywords") | inside("keywords", text))
-        & (none("exclude_keywords") | ~inside("exclude_keywords", text))
+        & (none("keywords") | F.exists("keywords", lambda k: in_text(F.lower(k))))
+        & (none("exclude_keywords") | ~F.exists("exclude_keywords", lambda k: in_text(F.lower(k))))
     )
 
 
-def _agree() -> Column:
-    return F.col("industry").isNull() | F.col("user_industry").isNull() | (F.col("industry") == F.col("user_industry"))
+def _none() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _filter_keys(by_words: Column, word_key: Callable[[Column], Column]) -> Column:
+    """A filter's keys: of its keywords, else its types, else its user's industry; a signal that it accepts has one of them."""
+    words = F.filter(F.coalesce("keywords", _none()), lambda w: w.isNotNull())
+    types = F.filter(F.coalesce("signal_types", _none()), lambda t: t.isNotNull())
+    of_industry = F.array(F.coalesce(F.concat(F.lit("i"), "user_industry"), F.lit("none")), F.lit("any"))
+    keys = F.when((F.size(words) > 0) & by_words, F.transform(words, word_key)).when(F.size(types) > 0, F.transform(types, lambda t: F.concat(F.lit("t"), t))).otherwise(of_industry)
+    return F.array_distinct(keys)
 
 
-def _keyed(signals: DataFrame, filters: DataFrame, salts: int) -> DataFrame:
-    """Pairs (signal_id, filter_id) that may match, by equality of keys.  A filter's keys are the first three letters of its keywords,
-    or its types where a keyword is shorter or missing; a signal has all threes of letters of its text, and its type.  Filters with
-    neither meet all signals, under salts."""
-    words = F.filter(F.coalesce("keywords", F.array().cast("array<string>")), lambda w: w.isNotNull())
-    three = lambda w: F.concat(F.lit("w"), F.substring(F.lower(w), 1, 3))
-    by_words = (F.size(words) > 0) & ~F.exists(words, lambda w: F.length(F.lower(w)) < 3)
-    types = F.coalesce("signal_types", F.array().cast("array<string>"))
-    all_salts = F.transform(F.sequence(F.lit(0), F.lit(salts - 1)), lambda i: F.concat(F.lit("*"), i.cast("string")))
-    keys = F.when(by_words, F.transform(words, three)).when(F.size(types) > 0, F.transform(types, lambda t: F.concat(F.lit("t"), t))).otherwise(all_salts)
-    wanted = filters.select("filter_id", F.explode(F.array_distinct(keys)).alias("key"))
-    text = F.lower(F.concat_ws(" ", "title", "description"))
-    threes = F.when(F.length(text) > 2, F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.concat(F.lit("w"), F.substring(text, i, 3)))).otherwise(F.array().cast("array<string>"))
-    own = F.array(F.concat(F.lit("t"), "signal_type"), F.concat(F.lit("*"), F.pmod(F.xxhash64("signal_id"), F.lit(salts)).cast("string")))
-    there = signals.select("signal_id", F.explode(F.array_distinct(F.concat(threes, own))).alias("key"))
-    return there.join(wanted, "key").select("signal_id", "filter_id").distinct()
+def _own_keys(word_keys: Column) -> Column:
+    """A signal's keys: of the words in its text, its type, and its industry (one without industry meets the filters of all)."""
+    typed = F.array_compact(F.array(F.concat(F.lit("t"), "signal_type")))
+    return F.array_distinct(F.concat(word_keys, typed, F.when(F.col("industry").isNull(), F.array(F.lit("any"))).otherwise(F.array(F.concat(F.lit("i"), "industry"), F.lit("none")))))
 
 
-def match(signals: DataFrame, filters: DataFrame, most: int = 1_000, salts: int = 64) -> DataFrame:
+def match(signals: DataFrame, filters: DataFrame, salts: int = 16, by_terms: bool | None = None) -> DataFrame:
     """Pairs of signals and active filters that accept them: signal_id, filter_id, user_id (M4).  Ids are unique.
 
-    Up to ``most`` filters, by count, are broadcast.  More are looked up by keys that both share, so no signal meets all filters; the
-    pairs found are then tried on all conditions.  A stream meets the filters in one join, as each further one would keep its state.
+    Filters are looked up by keys that a signal shares.  An automaton of all their words finds in one pass over the text which of
+    them stand in it (``by_terms``; by default if they fit into one, counted beforehand); else keys are the first three letters
+    of words, and all threes of the text.  A pair passes at the first of the filter's keys that the signal has, so it passes once, and
+    a stream needs no state for it.  Keys are salted, as many signals may share one.  A stream's filters may change from batch to batch,
+    but for new words, which it learns when it starts again.
     """
     f = filters.where("active").select("filter_id", "user_id", "user_industry", "regions", "signal_types", "keywords", "exclude_keywords", "min_value", "max_value")
-    keep = ["signal_id", "filter_id", "user_id"]
-    if f.limit(most + 1).count() <= most:
-        return signals.join(F.broadcast(f), _agree() & _conditions()).select(*keep)
-    if signals.isStreaming:
-        return signals.join(f, _agree() & _conditions()).select(*keep)
-    pairs = _keyed(signals, f, salts)
-    return pairs.join(signals, "signal_id").join(f, "filter_id").where(_agree() & _conditions()).select(*keep)
+    own = signals.select("signal_id", "signal_type", "industry", "region", "value", F.lower(F.concat_ws(" ", "title", "description")).alias("_text"))
+    listed = F.coalesce("keywords", _none())
+    words = f.select(F.explode(F.concat(listed, F.coalesce("exclude_keywords", _none()))).alias("w")).select(F.lower("w").alias("w")).where("w <> ''").distinct()
+    if by_terms is None:
+        size = words.agg(F.count("*").alias("n"), F.sum(F.length("w")).alias("letters")).head()
+        by_terms = size.n <= MOST_TERMS and (size.letters or 0) <= MOST_LETTERS
+    if by_terms:
+        find = finder(signals.sparkSession, sorted(r.w for r in words.collect()))  # MOST_TERMS at most
+        own = own.withColumn("_found", find(F.col("_text"))).drop("_text")
+        own = own.withColumn("_keys", _own_keys(F.transform("_found", lambda w: F.concat(F.lit("w"), w))))
+        by_words, word_key = ~F.exists(listed, lambda k: F.coalesce(k == "", F.lit(False))), lambda w: F.concat(F.lit("w"), F.lower(w))
+        in_text = lambda w: (w == "") | F.array_contains("_found", w)
+    else:
+        three = F.when(F.length("_text") > 2, F.transform(F.sequence(F.lit(1), F.length("_text") - 2), lambda i: F.concat(F.lit("w"), F.substring(F.col("_text"), i, 3)))).otherwise(_none())
+        own = own.withColumn("_keys", _own_keys(three))
+        by_words, word_key = ~F.exists(listed, lambda k: F.coalesce(F.length(F.lower(k)) < 3, F.lit(False))), lambda w: F.concat(F.lit("w"), F.substring(F.lower(w), 1, 3))
+        in_text = lambda w: F.col("_text").contains(w)
+    f = f.withColumn("_wanted", _filter_keys(by_words, word_key))
+    f = f.select("*", F.explode("_wanted").alias("_key")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    own = own.withColumn("_salt", F.pmod(F.xxhash64("signal_id"), F.lit(salts)).cast("int")).select("*", F.explode("_keys").alias("_key"))
+    first = F.get(F.filter("_wanted", lambda k: F.array_contains("_keys", k)), F.lit(0))
+    return own.join(f, ["_key", "_salt"]).where((F.col("_key") == first) & _conditions(in_text)).select("signal_id", "filter_id", "user_id")
 
 
 def subscriptions(matches: DataFrame, stored: DataFrame) -> DataFrame:

@@ -2,70 +2,32 @@
 
 from __future__ import annotations
 
-import bisect
 import datetime as dt
-import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.audit import audit
-from ..operators.outreach import MAIL_ORDER, fold_mail, mail_domain
+from ..operators.outreach import mail_domain
 from ..operators.scoring import lead_status
 from ..operators.signals import match, with_external_id
+from .stateful import CHANGE_OUTPUT, KINDS, MAIL_OUTPUT, MailStates, SnapshotChain, rocksdb
 
-STATE = "sent_at timestamp, delivered_at timestamp, opened_at timestamp, clicked_at timestamp, bounced_at timestamp, bounce_type string, place int, last_event_at timestamp"
-OUTPUT = "message_id string, sent_at timestamp, delivered_at timestamp, opened_at timestamp, clicked_at timestamp, bounced_at timestamp, bounce_type string, status string, last_event_at timestamp"
-_KINDS = ["send", "delivery", "open", "click", "bounce", "complaint"]
-_FIELDS = [["sent_at"], ["delivered_at"], ["opened_at"], ["opened_at", "clicked_at"], ["bounced_at"], ["bounced_at"]]
-_STRENGTH = {None: 0, "soft": 1, "hard": 2, "complaint": 3}
-
-
-def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    names = [f.split()[0] for f in STATE.split(", ")]
-    if state.hasTimedOut:
-        state.remove()
-        return
-    now = dict(zip(names, state.get, strict=True)) if state.exists else dict.fromkeys(names)
-    for events in batches:
-        for at, kind, bounce in zip(events["event_time"], events["type"], events["bounce_type"], strict=True):
-            if kind not in _KINDS:
-                continue
-            place = _KINDS.index(kind)
-            for field in _FIELDS[place]:
-                now[field] = at if now[field] is None else min(now[field], at)
-            now["place"] = place if now["place"] is None else max(now["place"], place)
-            now["last_event_at"] = at if now["last_event_at"] is None else max(now["last_event_at"], at)
-            found = "complaint" if kind == "complaint" else ("hard" if bounce == "Permanent" else "soft") if kind == "bounce" else None
-            if _STRENGTH[found] > _STRENGTH[now["bounce_type"]]:
-                now["bounce_type"] = found
-    if now["place"] is None:
-        return
-    state.update(tuple(now[n] for n in names))
-    state.setTimeoutTimestamp(max(int(now["last_event_at"].timestamp() * 1000), state.getCurrentWatermarkMs()) + 30 * 86_400_000)
-    row = {"message_id": key[0]} | {n: now[n] for n in names if n != "place"} | {"status": MAIL_ORDER[now["place"]]}
-    yield pd.DataFrame([row])[[f.split()[0] for f in OUTPUT.split(", ")]]
-
-
-def mail_states(events: DataFrame) -> DataFrame:
-    """The state of each message after each batch that touches it (ST1), by the aggregation that also folds a batch; states are kept."""
-    return fold_mail(events)
-
-
-def mail_states_expiring(events: DataFrame, delay: str = "7 days") -> DataFrame:
-    """As ``mail_states``, but a message's state is forgotten 30 days after its last event: for streams without end.  An aggregation
-    can't forget by a group's own last time, hence the state of its own."""
-    keyed = events.select("message_id", "event_time", "type", "bounce_type").withWatermark("event_time", delay)
-    return keyed.groupBy("message_id").applyInPandasWithState(_fold, OUTPUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
+
+def mail_states(events: DataFrame, delay: str = "7 days", days: int = 30) -> DataFrame:
+    """The state of each message after each batch that touches it (ST1).  Events may come ``delay`` late; a message's state is
+    forgotten ``days`` after its last event, so states don't grow with the stream's age."""
+    rocksdb(events.sparkSession)
+    timed = events.select("message_id", "event_time", F.unix_micros("event_time").alias("at"), "type", "bounce_type").withWatermark("event_time", delay)
+    said = timed.groupBy("message_id").transformWithStateInPandas(MailStates(days), MAIL_OUTPUT, "Update", "EventTime")
+    return said.withColumns({c: F.timestamp_micros(c) for c in ("sent_at", "delivered_at", "opened_at", "clicked_at", "bounced_at", "last_event_at")})
 
 
 def funnel(events: DataFrame, length: str = "1 hour", delay: str = "1 hour") -> DataFrame:
     """Counts of each user's events by kind in windows that do not overlap (ST2)."""
     w = events.withWatermark("event_time", delay).groupBy("user_id", F.window("event_time", length).alias("w"))
-    return w.agg(*(F.count_if(F.col("type") == k).alias(k) for k in _KINDS)).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), *_KINDS)
+    return w.agg(*(F.count_if(F.col("type") == k).alias(k) for k in KINDS)).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), *KINDS)
 
 
 def send_rate(events: DataFrame, by_domain: bool = False, length: str = "1 hour", slide: str = "5 minutes", delay: str = "1 hour") -> DataFrame:
@@ -75,27 +37,51 @@ def send_rate(events: DataFrame, by_domain: bool = False, length: str = "1 hour"
     return sends.groupBy(*keys, F.window("event_time", length, slide).alias("w")).agg(F.count("*").alias("sends")).select("user_id", *(["domain"] if by_domain else []), F.col("w.start").alias("start"), F.col("w.end").alias("end"), "sends")
 
 
-def suppression_feed(events: DataFrame, path: str, name: str = "main") -> Callable:
-    """Start appending new suppression entries to the table at ``path`` (ST4); returns the writer, to be started.
+ENTRIES = "email string, user_id long, type string, event_time timestamp, bucket int, feed string, batch long"
+
 
-    Which entries there are is the stream's state, so the table is read in the first batch alone, for what other feeds have brought.
-    Each batch is a partition of its own (feed, batch), so a batch that runs again takes its own place; a table has one feed of a
-    ``name``, which goes with the stream's checkpoint.
+def suppression_feed(events: DataFrame, path: str, name: str = "main", delay: str = "30 days", buckets: int = 64) -> Callable:
+    """Start adding new suppression entries to the table at ``path`` (ST4); returns the writer, to be started.
+
+    Within ``delay`` the stream itself lets an address pass once, and forgets it then.  The table lies in ``buckets`` of the address's
+    hash; each batch reads the buckets that its addresses fall in, for what other feeds or earlier days have brought, and adds what
+    they lack as a partition of its own (bucket, feed, batch).  A batch that runs again first takes away what it left.  Feeds may take
+    turns on a table; a ``name`` goes with one stream's checkpoint.  Batches of two feeds that run at one moment can't see each
+    other's entries: ``stored_entries`` reads each entry once.
     """
     kind = F.when((F.col("type") == "bounce") & (F.col("bounce_type") == "Permanent"), "hard_bounce").when(F.col("type").isin("complaint", "unsubscribe"), F.col("type"))
     rows = events.select(F.lower(F.trim("email")).alias("email"), F.when(kind == "unsubscribe", F.col("user_id")).cast("long").alias("user_id"), kind.alias("type"), "event_time")
-    first = rows.where("type is not null and email is not null").dropDuplicates(["email", "user_id"])
-    columns = "email string, user_id long, type string, event_time timestamp"
+    first = rows.where("type is not null and email is not null").withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["email", "user_id"])
+    first = first.withColumn("bucket", F.pmod(F.xxhash64("email"), F.lit(buckets)).cast("int"))
 
-    def append(batch: DataFrame, number: int) -> None:
+    def add(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if number == 0 and p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-            old = spark.read.schema(f"{columns}, feed string, batch long").parquet(path).where(F.col("feed") != name).select(F.lower("email").alias("_e"), F.col("user_id").alias("_u"))
-            batch = batch.join(old, (F.col("email") == F.col("_e")) & F.col("user_id").eqNullSafe(F.col("_u")), "left_anti")
-        batch.write.mode("overwrite").parquet(f"{path}/feed={name}/batch={number}")
-
-    return first.writeStream.foreachBatch(append)
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        mine = spark._jvm.org.apache.hadoop.fs.Path(path, f"bucket=*/feed={name}/batch={number}")
+        for left in fs.globStatus(mine) or [] if fs.exists(p) else []:
+            fs.delete(left.getPath(), True)
+        batch = batch.persist()
+        try:
+            touched = [r.bucket for r in batch.select("bucket").distinct().collect()]  # numbers of buckets
+            new = batch
+            if touched and fs.exists(p):
+                old = spark.read.schema(ENTRIES).parquet(path).where(F.col("bucket").isin(touched)).select(F.col("email").alias("_e"), F.col("user_id").alias("_u"))
+                new = batch.join(old, (F.col("email") == F.col("_e")) & F.col("user_id").eqNullSafe(F.col("_u")), "left_anti")
+            if touched:
+                rows = new.withColumns({"feed": F.lit(name), "batch": F.lit(number).cast("long")}).repartition("bucket")
+                rows.write.mode("append").partitionBy("bucket", "feed", "batch").parquet(path)
+        finally:
+            batch.unpersist()
+
+    return first.writeStream.foreachBatch(add)
+
+
+def stored_entries(spark: SparkSession, path: str) -> DataFrame:
+    """The entries (email, user_id, type, event_time) of a table that feeds fill, each once: the earliest, by time and feed."""
+    rows = spark.read.schema(ENTRIES).parquet(path)
+    kept = rows.groupBy("email", "user_id").agg(F.min(F.struct("event_time", "feed", "batch", "type")).alias("r"))
+    return kept.select("email", "user_id", "r.type", "r.event_time")
 
 
 def signal_matches(signals: DataFrame, filters: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -115,45 +101,14 @@ def page_scores(pages: DataFrame, as_of: dt.datetime) -> DataFrame:
     return scored.select("page_id", "total_score", lead_status(F.col("total_score"), F.col("critical")).alias("status"))
 
 
-def _changed(span: int) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
-    """The state is the snapshots of the last ``span`` microseconds and the one before, as JSON [cut, [[time, id, hash], ...]]."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        cut, seen = json.loads(state.get[0]) if state.exists else (False, [])
-        for rows in batches:
-            touched = set()
-            for at, id_, value in zip(rows["taken_at"], rows["snapshot_id"], rows["content_hash"], strict=True):
-                item = [at.value // 1000, int(id_), value]
-                i = bisect.bisect_left(seen, item[:2], key=lambda x: x[:2])
-                if cut and i == 0:
-                    continue  # later than the span allows
-                if i < len(seen) and seen[i][:2] == item[:2]:
-                    seen[i] = item
-                else:
-                    seen.insert(i, item)
-                touched.add((item[0], item[1]))
-                if i + 1 < len(seen):
-                    touched.add((seen[i + 1][0], seen[i + 1][1]))  # the next one has another before it now
-            out = []
-            for t in sorted(touched):
-                i = bisect.bisect_left(seen, list(t), key=lambda x: x[:2])
-                before = seen[i - 1][2] if i else None
-                out.append((*key, pd.Timestamp(t[0], unit="us"), t[1], seen[i][2], before, before is not None and seen[i][2] != before))
-            if out:
-                yield pd.DataFrame(out, columns=["domain", "snapshot_type", "taken_at", "snapshot_id", "content_hash", "previous_hash", "has_changes"])
-            first = max(0, bisect.bisect_left(seen, [seen[-1][0] - span], key=lambda x: x[:1]) - 1) if seen else 0
-            cut, seen = cut or first > 0, seen[first:]
-        state.update((json.dumps([cut, seen]),))
-
-    return run
-
-
-def snapshot_changes(snaps: DataFrame, late: dt.timedelta = dt.timedelta(days=7)) -> DataFrame:
+def snapshot_changes(snaps: DataFrame, late: dt.timedelta = dt.timedelta(days=7), forget: dt.timedelta | None = None) -> DataFrame:
     """Arriving snapshots (domain, snapshot_type, taken_at, snapshot_id, content_hash) with the content hash before theirs (ST7).
 
-    Equal times go by the id.  A snapshot that comes late, but within ``late`` of its site's newest, finds its place, and the one
-    behind it is said again; the last word on an id counts.  Later ones are left out.  Sites are few, so their states are kept.
+    Equal times go by the id.  A snapshot that comes late, but within ``late`` of the newest, finds its place, and the one behind it is
+    said again; the last word on an id counts.  Later ones are left out.  A site's state is its snapshots of that time, then its
+    newest alone; a site without news for ``forget`` begins anew (None: never).
     """
-    keyed = snaps.select("domain", "snapshot_type", "taken_at", "snapshot_id", "content_hash").groupBy("domain", "snapshot_type")
-    out = "domain string, snapshot_type string, taken_at timestamp, snapshot_id long, content_hash string, previous_hash string, has_changes boolean"
-    return keyed.applyInPandasWithState(_changed(int(late.total_seconds() * 1e6)), out, "seen string", "update", GroupStateTimeout.NoTimeout)
+    rocksdb(snaps.sparkSession)
+    timed = snaps.select("domain", "snapshot_type", "taken_at", F.unix_micros("taken_at").alias("at"), "snapshot_id", "content_hash").withWatermark("taken_at", f"{int(late.total_seconds())} seconds")
+    said = timed.groupBy("domain", "snapshot_type").transformWithStateInPandas(SnapshotChain(late, forget), CHANGE_OUTPUT, "Update", "EventTime")
+    return said.withColumn("taken_at", F.timestamp_micros("taken_at"))

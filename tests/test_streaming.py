@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 import random
 import time
 import uuid
@@ -33,19 +34,54 @@ def run(stream, mode):
     return q, name
 
 
-@pytest.mark.parametrize("fold", [flows.mail_states, flows.mail_states_expiring])
-def test_states_equal_batch(spark, tmp_path, fold):
+def in_batches(spark, tmp_path, batches, schema):
+    """A stream of one file a batch, in this order."""
+    path = str(tmp_path / uuid.uuid4().hex)
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)  # files are taken by their time
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def state_rows(query):
+    return [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+
+
+def test_mail_states_equal_batch(spark, tmp_path):
     rows = events()
-    _, name = run(fold(feed(spark, tmp_path, rows, SCHEMA)), "update")
+    _, name = run(flows.mail_states(feed(spark, tmp_path, rows, SCHEMA)), "update")
     newest = {}
-    for r in spark.table(name).collect():
-        key = (len([x for x in r if x is not None]), r.last_event_at)
+    for r in spark.table(name).collect():  # states only grow: the fullest is the last
+        key = (len([x for x in r if x is not None]), r.last_event_at, outreach.MAIL_ORDER.index(r.status))
         if r.message_id not in newest or key >= newest[r.message_id][0]:
             newest[r.message_id] = (key, r)
-    batch = {r.message_id: r for r in outreach.fold_mail(spark.createDataFrame(rows, SCHEMA)).collect()}
-    for m, (_, r) in newest.items():
-        assert {c: r[c] for c in ("sent_at", "opened_at", "clicked_at", "bounced_at")} == {c: batch[m][c] for c in ("sent_at", "opened_at", "clicked_at", "bounced_at")}
-    assert newest.keys() == batch.keys()
+    batch = {r.message_id: r.asDict() for r in outreach.fold_mail(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {m: r.asDict() for m, (_, r) in newest.items()} == batch
+
+
+def test_mail_states_are_forgotten(spark, tmp_path):
+    """Late events find their message within the delay, later ones are left out, and a message's state ends 30 days after its last event."""
+    day = lambda d, h=0: dt.datetime(2024, 1, 1) + dt.timedelta(days=d, hours=h)
+    mail = lambda m, kind, at: (m, 1, "a@b.cz", kind, None, at)
+    batches = [
+        [mail(f"m{i}", "send", day(0, i % 20)) for i in range(40)],
+        [mail("m0", "open", day(6)), mail("m1", "delivery", day(1))],  # one of them late
+        [mail("x", "send", day(20))],
+        [mail("m2", "open", day(2))],  # too late: the watermark is at day 13
+        [mail("y", "send", day(60))],
+        [mail("z", "send", day(61))], [mail("z", "open", day(62))],
+    ]
+    q, name = run(flows.mail_states(in_batches(spark, tmp_path, batches, SCHEMA)), "update")
+    said = spark.table(name).collect()
+    last = {}
+    for r in said:
+        if r.message_id not in last or (r.last_event_at, r.status != "sent") > (last[r.message_id].last_event_at, last[r.message_id].status != "sent"):
+            last[r.message_id] = r
+    kept = [e for b in batches for e in b if e[0] != "m2" or e[3] != "open"]
+    batch = {r.message_id: r.asDict() for r in outreach.fold_mail(spark.createDataFrame(kept, SCHEMA)).collect()}
+    assert {m: r.asDict() for m, r in last.items()} == batch
+    sizes = state_rows(q)
+    assert max(sizes) >= 40 and sizes[-1] <= 9  # of messages x, y, z: a value and timers each
 
 
 def test_windows(spark, tmp_path):
@@ -74,7 +110,36 @@ def test_suppression_feeds_share_a_table(spark, tmp_path):
         assert q.exception() is None
     got = [(r.email, r.user_id) for r in spark.read.parquet(path).collect()]
     want = outreach.suppression_entries(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([], "email string, user_id long"))
-    assert sorted(set(got), key=str) == sorted(((r.email, r.user_id) for r in want.collect()), key=str)
+    assert sorted(got, key=str) == sorted(((r.email, r.user_id) for r in want.collect()), key=str)
+
+
+def test_suppression_feeds_take_turns(spark, tmp_path):
+    """Two feeds of the same addresses go on by turns, one of them breaks off and repeats a batch: no entry stands twice."""
+    path, rows = str(tmp_path / "entries"), events(240)
+    folders = {name: str(tmp_path / name) for name in "ab"}
+
+    def turn(name, part):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(folders[name])
+        stream = spark.readStream.schema(SCHEMA).parquet(folders[name])
+        q = flows.suppression_feed(stream, path, name).option("checkpointLocation", str(tmp_path / f"c{name}")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        assert q.exception() is None
+
+    for k in range(4):
+        turn("a", rows[k * 60 : k * 60 + 40])
+        turn("b", rows[k * 60 + 20 : k * 60 + 60])
+    entries = spark.read.schema(flows.ENTRIES).parquet(path)
+    got = sorted(((r.email, r.user_id) for r in entries.collect()), key=str)
+    want = sorted(((r.email, r.user_id) for r in outreach.suppression_entries(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([], "email string, user_id long")).collect()), key=str)
+    assert got == want and {r.feed for r in entries.select("feed").collect()} == {"a", "b"}
+    # a batch whose commit was lost runs again
+    newest = max(os.listdir(tmp_path / "cb" / "commits"), key=lambda f: f.isdigit() and int(f))
+    for f in (newest, f".{newest}.crc"):
+        if (tmp_path / "cb" / "commits" / f).exists():
+            (tmp_path / "cb" / "commits" / f).unlink()
+    turn("b", rows[:1])
+    assert sorted(((r.email, r.user_id) for r in spark.read.schema(flows.ENTRIES).parquet(path).collect()), key=str) == want
+    assert sorted(((r.email, r.user_id) for r in flows.stored_entries(spark, path).collect()), key=str) == want
 
 
 @pytest.mark.parametrize("parts", [1, 4])
@@ -106,6 +171,23 @@ def test_too_late_changes(spark, tmp_path):
     assert sorted(said, key=str) == sorted([(20, None), (21, "h20"), (22, "h21"), (99, "h21"), (22, "h99")], key=str)
 
 
+def test_sites_are_let_go(spark, tmp_path):
+    """A site's state is the snapshots of the last days, then its newest alone, then nothing."""
+    schema = "domain string, snapshot_type string, taken_at timestamp, snapshot_id long, content_hash string"
+    day = lambda d, h=0: dt.datetime(2024, 1, 1) + dt.timedelta(days=d, hours=h)
+    batches = [
+        [("a", "pricing", day(0, h), h, f"h{h % 3}") for h in range(24)], [("b", "pricing", day(4), 100, "x")], [("b", "pricing", day(5), 101, "x")],
+        [("a", "pricing", day(6), 200, "h2")], [("b", "pricing", day(60), 102, "y")], [("b", "pricing", day(61), 103, "y")], [("a", "pricing", day(62), 201, "h2")],
+    ]
+    q, name = run(flows.snapshot_changes(in_batches(spark, tmp_path, batches, schema), dt.timedelta(days=2), dt.timedelta(days=30)), "update")
+    said = {r.snapshot_id: (r.previous_hash, r.has_changes) for r in spark.table(name).collect()}
+    assert said[200] == ("h2", False) and said[100] == (None, False) and said[101] == ("x", False)
+    assert said[102] == ("x", True) and said[103] == ("y", False)  # the value is there until a timer after day 35 has passed
+    assert said[201] == (None, False)  # a was let go
+    sizes = state_rows(q)
+    assert max(sizes) >= 24 and sizes[-1] < 12
+
+
 def test_signals_and_pages(spark, tmp_path):
     schema = "signal_id long, source string, external_id string, signal_type string, industry string, region string, title string, description string, value double, published_at timestamp"
     rows = [(i, "s", f"e{i % 4}", "rfp_web", None, None, "web", None, None, dt.datetime(2024, 1, 1)) for i in range(8)]
