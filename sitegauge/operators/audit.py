@@ -33,13 +33,12 @@ def spread(pages: DataFrame) -> DataFrame:
     return pages.repartition(cores) if pages.rdd.getNumPartitions() < cores else pages
 
 
-def prepare(pages: DataFrame, as_of: dt.datetime, most: int | None = None) -> DataFrame:
-    """Pages with all columns that rules read: missing ones null, header names in lower case, the visible text and the CMS (S3).
-    ``most`` bounds the characters of a page that the rules see; by default they see all."""
+def prepare(pages: DataFrame, as_of: dt.datetime) -> DataFrame:
+    """Pages with all columns that rules read: missing ones null, header names in lower case, the visible text and the CMS (S3)."""
     for name, kind in OPTIONAL.items():
         if name not in pages.columns:
             pages = pages.withColumn(name, F.lit(None).cast(kind))
-    html = F.coalesce(F.col("html"), F.lit("")) if most is None else F.substring(F.coalesce(F.col("html"), F.lit("")), 1, most)
+    html = F.coalesce(F.col("html"), F.lit(""))
     headers = F.coalesce(F.transform_keys("headers", lambda k, _: F.lower(k)), F.create_map().cast("map<string,string>"))
     pages = pages.withColumn("html", html).withColumn("headers", headers).withColumn("low", F.lower("html"))
     return pages.withColumn("text", visible_text(F.col("html"))).withColumn("cms", detect_cms(F.col("html"), F.col("headers"))).withColumn("as_of", F.lit(as_of).cast("timestamp_ntz"))
@@ -57,12 +56,12 @@ def _listed(rules: list[Rule]) -> Column:
     return F.array(*(F.when(r.when, F.struct(F.lit(r.category).alias("category"), F.lit(r.code).alias("code"), (F.lit(None) if r.evidence is None else r.evidence).cast("string").alias("evidence"))) for r in rules))
 
 
-def issues(pages: DataFrame, as_of: dt.datetime, categories: list[str] | None = None, extra: Callable[[dict[str, Column]], list[Rule]] | None = None, id_col: str = "page_id", most: int | None = None) -> DataFrame:
+def issues(pages: DataFrame, as_of: dt.datetime, categories: list[str] | None = None, extra: Callable[[dict[str, Column]], list[Rule]] | None = None, id_col: str = "page_id") -> DataFrame:
     """Issues (page_id, category, code, evidence) of the universal categories and, for pages of an industry, of that industry.
 
     ``categories`` restricts the universal ones; ``extra`` adds rules of one's own.  Industry rules run only on rows of theirs.
     """
-    page = prepare(pages, as_of, most)
+    page = prepare(pages, as_of)
     p = {c: F.col(c) for c in page.columns}
     chosen = [r for name, rules in UNIVERSAL.items() if categories is None or name in categories for r in rules(p)]
     lists = [_listed(chosen + (extra(p) if extra else []))] if chosen or extra else []

@@ -96,7 +96,8 @@ def client_references(pages: DataFrame, agencies: DataFrame, most_pages: int = 5
     inner = reference_links(own).groupBy(domain(F.col("url")).alias("agency_domain"), "target").agg(F.min(F.struct("page_id", "place")).alias("o"))
     w = Window.partitionBy("agency_domain").orderBy("o", "target")
     chosen = inner.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most_pages).select("agency_domain", F.col("target").alias("found_on"))
-    targets = links(pages).select(F.col("url").alias("found_on"), F.col("target").alias("url"), "place").join(chosen, "found_on").withColumn("domain", domain(F.col("url")))
+    referring = pages.join(chosen.select(F.col("found_on").alias("url")).distinct(), "url", "left_semi")
+    targets = links(referring).select(F.col("url").alias("found_on"), F.col("target").alias("url"), "place").join(chosen, "found_on").withColumn("domain", domain(F.col("url")))
     real = targets.where((F.col("domain") != F.col("agency_domain")) & ~is_skipped(F.col("domain"), CLIENT_SKIP_DOMAINS, True) & is_page_url(F.col("url")))
     best = Window.partitionBy("domain").orderBy("agency_domain", "found_on", "place")
     return real.withColumn("_n", F.row_number().over(best)).where("_n = 1").select("domain", "url", "agency_domain", "found_on")

@@ -46,6 +46,16 @@ def registry(spark: SparkSession, category: str | None = None, severity: str | N
     return spark.createDataFrame(rows, "code string, category string, severity string, weight int, title string")
 
 
+def with_texts(issues: DataFrame, texts: DataFrame) -> DataFrame:
+    """Issues with the words that describe their codes, in a table of one's own (code, title, description, impact): the registry itself
+    has codes alone, and makes a title out of each.  A code that the table lacks keeps that title."""
+    own = F.initcap(F.regexp_replace(F.regexp_replace("code", "^[^_]*_", ""), "_", " "))
+    made = F.concat(F.substring(own, 1, 1), F.lower(F.substring(own, 2, 1000)))
+    known = texts.select("code", "title", "description", "impact")
+    joined = issues.drop("title", "description", "impact").join(known, "code", "left")
+    return joined.withColumn("title", F.coalesce("title", made))
+
+
 def with_registry(issues: DataFrame) -> DataFrame:
     """Issues (code, ...) with category, severity and weight; a code that the registry lacks keeps its own category, else falls back."""
     known = F.broadcast(registry(issues.sparkSession).select("code", F.col("category").alias("_c"), F.col("severity").alias("_s"), F.col("weight").alias("_w")))

@@ -30,6 +30,13 @@ def metric_rules(thresholds: dict[str, tuple[float, float]] | None = None) -> li
     return out
 
 
+def viewport_rules(html: Column) -> list[Rule]:
+    """The rule over a page's source that belongs to the views (A22); a page without source raises nothing."""
+    # fixed value: the tag, with its name behind or before other attributes
+    tag = r"(?i)<meta[^>]+name=[\"']viewport[\"'][^>]*>"
+    return [Rule("responsiveness", "resp_missing_viewport_meta", ~html.rlike(tag), F.lit("no viewport tag"))]
+
+
 def design_rules() -> list[Rule]:
     """Rules over counts of style features: grid, flex, float, table_display, css_variables, gradients, transitions, animations,
     box_shadow, border_radius, important, modernity_score (A22)."""

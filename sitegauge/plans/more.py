@@ -213,19 +213,19 @@ def link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discovery.link_graph(pages, leads)
 
 
-@query("""WITH h AS (SELECT c_custkey AS i FROM customer WHERE c_custkey % 4 = 0 AND c_custkey % 5 > 0) SELECT 'client' || i || '.cz' AS domain, 'https://client' || i || '.cz/' AS url, 'a' || i || '.cz' AS agency_domain FROM h WHERE i % 3 > 0""")
+@query("""WITH h AS (SELECT c_custkey AS i FROM customer WHERE c_custkey % 5 > 0) SELECT 'client' || i || '.cz' AS domain, 'https://client' || i || '.cz/' AS url, 'a' || i || '.cz' AS agency_domain FROM h WHERE i % 3 > 0""")
 def agency_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reference pages by path, by the words of a link and by the class of its tag; other links and pages of no agency lead to none.
 
-    A site has its home page (key 4k) and one further page, to which the home page links; both link to clients.
+    A site has its home page (number 2i) and one further page, to which the home page links; both link to clients.
     """
-    c = table(spark, sf_dir, "customer").where("c_custkey % 4 = 0").withColumn("i", F.col("c_custkey"))
+    c = table(spark, sf_dir, "customer").withColumn("i", F.col("c_custkey"))
     site = "'https://www.a' || i || '.cz/'"
     # of the three kinds of sites one has neither path, words nor class of a reference page
-    link = "CASE i % 3 WHEN 0 THEN '<a href=\"/x\">Kontakt</a>' WHEN 1 THEN CASE WHEN i % 2 = 0 AND i % 8 = 0 THEN '<a href=\"/x\">Naše <b>Reference</b></a>' ELSE '<a class=\"nav-portfolio\" href=\"/x\">Kdo</a>' END ELSE '<a href=\"/nase-prace-2024\">x</a>' END"
+    link = "CASE i % 3 WHEN 0 THEN '<a href=\"/x\">Kontakt</a>' WHEN 1 THEN CASE WHEN i % 2 = 0 THEN '<a href=\"/x\">Naše <b>Reference</b></a>' ELSE '<a class=\"nav-portfolio\" href=\"/x\">Kdo</a>' END ELSE '<a href=\"/nase-prace-2024\">x</a>' END"
     target = "CASE i % 3 WHEN 2 THEN 'nase-prace-2024' ELSE 'x' END"
-    home = c.select(F.col("i").alias("page_id"), F.expr(site).alias("url"), F.concat(F.expr(link), F.lit('<a href="https://www.other.cz/">x</a>')).alias("html"))
-    inner = c.select((F.col("i") + 1).alias("page_id"), F.concat(F.expr(site), F.expr(target)).alias("url"), F.expr("'<a href=\"https://client' || i || '.cz/\">x</a><a href=\"https://www.facebook.com/a\">x</a><a href=\"/y\">x</a>'").alias("html"))
+    home = c.select((2 * F.col("i")).alias("page_id"), F.expr(site).alias("url"), F.concat(F.expr(link), F.lit('<a href="https://www.other.cz/">x</a>')).alias("html"))
+    inner = c.select((2 * F.col("i") + 1).alias("page_id"), F.concat(F.expr(site), F.expr(target)).alias("url"), F.expr("'<a href=\"https://client' || i || '.cz/\">x</a><a href=\"https://www.facebook.com/a\">x</a><a href=\"/y\">x</a>'").alias("html"))
     agencies = c.where("i % 5 > 0").select(F.expr("'a' || i || '.cz'").alias("domain"))
     return discovery.client_references(home.unionByName(inner), agencies).select("domain", "url", "agency_domain")
 
@@ -429,13 +429,15 @@ _STYLE = {
     "design_no_gradients": "gradients = 0 AND modernity_score < 10", "design_no_animations": "transitions = 0 AND animations = 0 AND modernity_score < 10", "design_no_visual_effects": "box_shadow = 0 AND border_radius < 3 AND modernity_score < 10",
     "design_excessive_important": "important > 20", "resp_horizontal_overflow_mobile": "page_id % 2 = 0", "resp_horizontal_overflow_tablet": "page_id % 3 = 0", "resp_small_touch_targets_mobile": "small_targets_mobile > 0", "resp_small_touch_targets_tablet": "small_targets_tablet > 0",
     "visual_inconsistent_padding": "padding_values > 10", "visual_many_fonts": "font_families > 4", "visual_inconsistent_typography": "font_sizes > 8", "visual_upscaled_images": "upscaled_images > 0", "design_very_outdated": "modernity_score < 3", "design_outdated": "modernity_score >= 3 AND modernity_score < 5",
+    "resp_missing_viewport_meta": "page_id % 3 <> 0",
 }).replace("float >", '"float" >') + ") AS code FROM m")
 def style_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Style features, views and design bands on both sides of their limits."""
     m = table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("page_id"), *(F.expr(e).alias(c) for c, e in _STYLE.items()), (F.col("p_partkey") % 2 == 0).alias("overflow_mobile"), (F.col("p_partkey") % 3 == 0).alias("overflow_tablet"), *(F.lit(None).cast("double").alias(v) for v in measured.VITALS),
+        F.expr("CASE p_partkey % 3 WHEN 0 THEN '<head><META content=\"width=device-width\" name=''viewport''></head>' WHEN 1 THEN '<meta name=\"view-port\">' ELSE '<head></head>' END").alias("html"),
     )
-    return audit.measured_issues(m, measured.design_rules() + measured.metric_rules()).select("page_id", "code")
+    return audit.measured_issues(m, measured.design_rules() + measured.metric_rules() + measured.viewport_rules(F.col("html"))).select("page_id", "code")
 
 
 _FOUR = "[" + ", ".join(f"'{c}'" for c in CATEGORIES[:4]) + "]"

@@ -42,11 +42,18 @@ def cleaned(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: clean_control(F.col(c)) for c in columns})
 
 
+def _envelopes(raw: DataFrame, value: str | None) -> DataFrame:
+    """Envelopes with their text (raw) and message (m); the columns are null where the JSON doesn't parse."""
+    if value:
+        raw = raw.select(F.col(value).alias("raw"), F.from_json(value, MAIL_SCHEMA).alias("e")).select("raw", "e.*")
+    else:
+        raw = raw.select(F.to_json(F.struct("Type", "Message")).alias("raw"), "Type", "Message")
+    return raw.withColumn("m", F.from_json("Message", MAIL_MESSAGE))
+
+
 def mail_events(raw: DataFrame, value: str | None = None) -> DataFrame:
     """Envelopes (Type, Message) or their JSON in column ``value`` to events; what is no notification or has no id is dropped."""
-    if value:
-        raw = raw.select(F.from_json(value, MAIL_SCHEMA).alias("e")).select("e.*")
-    m = raw.where(F.col("Type") == "Notification").select(F.from_json("Message", MAIL_MESSAGE).alias("m")).select("m.*")
+    m = _envelopes(raw, value).where(F.col("Type") == "Notification").select("m.*")
     kind = F.lower(F.coalesce("notificationType", "eventType"))
     at = F.coalesce("bounce.timestamp", "complaint.timestamp", "delivery.timestamp", "open.timestamp", "click.timestamp", "mail.timestamp")
     events = m.select(
@@ -56,6 +63,19 @@ def mail_events(raw: DataFrame, value: str | None = None) -> DataFrame:
     return events.where("message_id is not null and type is not null")
 
 
+def mail_rejects(raw: DataFrame, value: str | None = None) -> DataFrame:
+    """What ``mail_events`` drops (S5): its text (raw) and the reason: no envelope, another type of envelope, a message that doesn't parse,
+    one without kind or without id."""
+    e = _envelopes(raw, value)
+    kind, id_ = F.coalesce("m.notificationType", "m.eventType"), F.col("m.mail.messageId")
+    parsed = F.col("m.mail").isNotNull() | kind.isNotNull()
+    reason = (
+        F.when(F.col("Type").isNull(), "envelope").when(F.col("Type") != "Notification", "type").when(~parsed | F.col("m").isNull(), "message")
+        .when(kind.isNull(), "kind").when(id_.isNull(), "id")
+    )
+    return e.select("raw", reason.alias("reason")).where("reason is not null")
+
+
 def _nonempty(c: Column) -> Column:
     return F.when(~c.isin("", "0"), c)
 

@@ -12,9 +12,25 @@ from ..operators.audit import audit
 from ..operators.outreach import mail_domain
 from ..operators.scoring import lead_status
 from ..operators.signals import match, with_external_id
+from ..sources.tables import mail_events, mail_rejects
 from .stateful import CHANGE_OUTPUT, KINDS, MAIL_OUTPUT, MailStates, SnapshotChain, rocksdb
 
 
+def mail_feed(raw: DataFrame, path: str, value: str = "value") -> Callable:
+    """Start taking in mail notifications, JSON in column ``value`` (S5); returns the writer, to be started.  Events go to ``path``/events,
+    records that are none to ``path``/rejected with the reason; each batch is a partition of its own, which it replaces if it runs again."""
+
+    def take(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        try:
+            mail_events(batch, value).write.mode("overwrite").parquet(f"{path}/events/batch={number}")
+            mail_rejects(batch, value).write.mode("overwrite").parquet(f"{path}/rejected/batch={number}")
+        finally:
+            batch.unpersist()
+
+    return raw.select(value).writeStream.foreachBatch(take)
+
+
 def mail_states(events: DataFrame, delay: str = "7 days", days: int = 30) -> DataFrame:
     """The state of each message after each batch that touches it (ST1).  Events may come ``delay`` late; a message's state is
     forgotten ``days`` after its last event, so states don't grow with the stream's age."""

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sitegauge.functions import distance, terms
 from sitegauge.functions import urls as U
-from sitegauge.operators import benchmark, competitors, outreach, quantiles, retention, signals
+from sitegauge.operators import benchmark, competitors, outreach, quantiles, ranks, retention, signals
 from sitegauge.sources import stored
 
 PAIRWISE = ("BroadcastNestedLoopJoin", "CartesianProduct")
@@ -334,3 +334,21 @@ def test_archive_by_days(spark, tmp_path):
     later = as_of + dt.timedelta(days=10)
     retention.archive(spark, path, later)
     assert {r.result_id: (r.tier, r.raw_data) for r in spark.read.parquet(path).collect()} == {r.result_id: (r.tier, r.raw_data) for r in retention.apply_tiers(df, later).collect()}
+
+
+# places in groups
+
+
+@pytest.mark.parametrize("kind", ["one day", "one beginning"])
+def test_places_of_a_hot_group(spark, kind):
+    """Places of rows that all have one day, or names that all begin alike, are those of one sort; ranges are of about equal size."""
+    rng = random.Random(kind)
+    at = dt.datetime(2024, 5, 1)
+    rows = [(rng.choice(["hot"] * 20 + ["a", None]), f"wwwwww{rng.randrange(10**6):06}" if kind != "one day" else "x", at + dt.timedelta(milliseconds=rng.randrange(10**7)), i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "g string, name string, at timestamp, i long")
+    order = ["at" if kind == "one day" else "name", "i"]
+    w = Window.partitionBy("g").orderBy(*order)
+    for when in (None, F.col("i") % 3 == 0):
+        got = ranks.numbered(df, ["g"], order, "n", when)
+        want = df.withColumn("n", F.sum(F.lit(1) if when is None else when.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
