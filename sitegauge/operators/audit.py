@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -26,6 +27,9 @@ BY_INDUSTRY = {
 #: Columns that a page may lack, with their types; they count as null.
 OPTIONAL = {"status": "int", "headers": "map<string,string>", "industry": "string", "error": "string", "ttfb_s": "double", "cert_days": "int", "ssl_error": "string", "soft_404_status": "int", "has_sitemap": "boolean", "has_robots": "boolean"}
 
+#: Columns of a prepared page that rules read.
+PREPARED = [*OPTIONAL, "page_id", "url", "html", "low", "text", "cms", "as_of"]
+
 
 def spread(pages: DataFrame) -> DataFrame:
     """A table just read, dealt out anew if it has fewer partitions than there are cores: one small file would be one long task."""
@@ -52,8 +56,20 @@ def with_site_files(pages: DataFrame) -> DataFrame:
     return joined.withColumn("has_sitemap", F.coalesce("_s", F.lit(False))).withColumn("has_robots", F.coalesce("_r", F.lit(False))).drop("_site", "_s", "_r")
 
 
+def _struct(r: Rule) -> Column:
+    return F.when(r.when, F.struct(F.lit(r.category).alias("category"), F.lit(r.code).alias("code"), (F.lit(None) if r.evidence is None else r.evidence).cast("string").alias("evidence")))
+
+
 def _listed(rules: list[Rule]) -> Column:
-    return F.array(*(F.when(r.when, F.struct(F.lit(r.category).alias("category"), F.lit(r.code).alias("code"), (F.lit(None) if r.evidence is None else r.evidence).cast("string").alias("evidence"))) for r in rules))
+    return F.array(*map(_struct, rules))
+
+
+@functools.lru_cache(maxsize=256)
+def _built(application: str, name: str) -> tuple[Column, ...]:
+    """The structs of a category's rules over a prepared page.  They are columns by name, so a session builds them once; making them
+    takes longer than auditing some pages."""
+    p = {c: F.col(c) for c in PREPARED}
+    return tuple(map(_struct, BY_INDUSTRY[name](p) if name in BY_INDUSTRY else UNIVERSAL[name](p)))
 
 
 def issues(pages: DataFrame, as_of: dt.datetime, categories: list[str] | None = None, extra: Callable[[dict[str, Column]], list[Rule]] | None = None, id_col: str = "page_id") -> DataFrame:
@@ -62,14 +78,15 @@ def issues(pages: DataFrame, as_of: dt.datetime, categories: list[str] | None =
     ``categories`` restricts the universal ones; ``extra`` adds rules of one's own.  Industry rules run only on rows of theirs.
     """
     page = prepare(pages, as_of)
-    p = {c: F.col(c) for c in page.columns}
-    chosen = [r for name, rules in UNIVERSAL.items() if categories is None or name in categories for r in rules(p)]
-    lists = [_listed(chosen + (extra(p) if extra else []))] if chosen or extra else []
+    session = page.sparkSession.sparkContext.applicationId
+    chosen = [c for name in UNIVERSAL if categories is None or name in categories for c in _built(session, name)]
+    chosen += map(_struct, extra({c: F.col(c) for c in page.columns}) if extra else [])
+    lists = [F.array(*chosen)] if chosen else []
     none = F.array().cast("array<struct<category:string,code:string,evidence:string>>")
     by_industry = none
-    for name, rules in BY_INDUSTRY.items():
+    for name in BY_INDUSTRY:
         if categories is None or f"industry_{name}" in categories:
-            by_industry = F.when(F.col("industry") == name, _listed(rules(p))).otherwise(by_industry)
+            by_industry = F.when(F.col("industry") == name, F.array(*_built(session, name))).otherwise(by_industry)
     every = F.concat(*lists, by_industry)
     return page.select(id_col, F.explode(F.filter(every, lambda x: x.isNotNull())).alias("i")).select(id_col, "i.*")
 

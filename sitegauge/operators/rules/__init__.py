@@ -28,13 +28,16 @@ class Markup:
 
     html: Column
     low: Column
+    #: Whether these are the columns html and low, so that tests on them can be written as one SQL text.
+    plain: bool = False
 
 
 Text = Column | Markup
 
 
 def markup(p: dict[str, Column]) -> Markup:
-    return Markup(p["html"], p["low"])
+    """The markup of a prepared page, its columns html and low."""
+    return Markup(p["html"], p["low"], True)
 
 
 def lowered(pattern: str) -> str:
@@ -104,11 +107,33 @@ def needed(pattern: str) -> str | None:
     return best if len(best) >= 3 else None
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+@functools.cache
+def _sql(column: str, prefix: str, patterns: tuple[str, ...]) -> str:
+    """The test of ``has`` on a column as SQL: one text, where a Column of each part would be many calls."""
+    tests, rest = [], []
+    for p in (a for p in patterns for a in alternatives(p)):
+        if (word := needed(p)) is None:
+            rest.append(p)
+        elif word == p and column == "low":
+            tests.append(f"contains(low, {_quoted(word)})")
+        else:
+            tests.append(f"(contains({column}, {_quoted(word)}) AND {column} RLIKE {_quoted(prefix + p)})")
+    if rest:
+        tests.append(f"{column} RLIKE {_quoted(prefix + '|'.join(f'(?:{p})' for p in rest))}")
+    return " OR ".join(tests)
+
+
 def has(text: Text, *patterns: str, flags: str = "iu") -> Column:
     """One of the patterns is found.  In lower-cased markup each pattern is tried only where the plain text is that it needs."""
     column, prefix, change = _where(text, flags)
     if not isinstance(text, Markup):
         return column.rlike(prefix + "|".join(f"(?:{p})" for p in patterns))
+    if text.plain:
+        return F.expr(_sql("low" if "i" in flags else "html", prefix, tuple(change(p) for p in patterns)))
     guard, tests, rest = text.low if "i" in flags else column, [], []
     for p in (a for p in patterns for a in alternatives(change(p))):
         if (word := needed(p)) is None:
