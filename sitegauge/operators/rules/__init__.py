@@ -87,13 +87,14 @@ def alternatives(pattern: str) -> tuple[str, ...]:
 
 
 @functools.cache
-def needed(pattern: str) -> str | None:
-    """The longest plain text, of three letters or more, that whatever matches the pattern has; None without one."""
-    runs, run, i = [], "", 0
+def needs(pattern: str) -> tuple[tuple[str, ...], ...]:
+    """What whatever matches a pattern (without bars outside of groups) has: of each of these lists one plain text, of three letters or
+    more.  A list is the longest text outside of groups, or has one for each alternative of a group that can't be left out."""
+    runs, run, groups, i = [], "", [], 0
     while i < len(pattern):
-        if pattern[i] == "|":
-            return None
+        begin = i
         letter, i = _atom(pattern, i)
+        atom = pattern[begin:i]
         times = re.match(r"[?*+]|\{\d+(,\d*)?\}", pattern[i:])
         i += len(times[0]) if times else 0
         i += bool(times) and pattern[i : i + 1] in ("?", "+")  # lazy or possessive
@@ -103,8 +104,23 @@ def needed(pattern: str) -> str | None:
         if letter is None or times:
             runs.append(run)
             run = ""
+        if atom[0] == "(" and not optional and (inner := re.match(r"\((\?[a-z]*:)?(?!\?)", atom)):
+            each = [needs(x) for x in alternatives(atom[inner.end() : -1])]
+            single = [next((n[0] for n in found if len(n) == 1), None) for found in each]
+            if None not in single and len(single) <= MOST_ALTERNATIVES:
+                groups.append(tuple(dict.fromkeys(single)))
     best = max([*runs, run], key=len)
-    return best if len(best) >= 3 else None
+    return ((best,),) * (len(best) >= 3) + tuple(groups)
+
+
+#: Alternatives of a group that are looked for beforehand.
+MOST_ALTERNATIVES = 12
+
+
+def needed(pattern: str) -> str | None:
+    """The longest plain text, of three letters or more, that whatever matches the pattern has; None without one."""
+    found = needs(pattern) if len(alternatives(pattern)) == 1 else ()
+    return found[0][0] if found and len(found[0]) == 1 else None
 
 
 def _quoted(text: str) -> str:
@@ -116,17 +132,22 @@ def _sql(column: str, prefix: str, patterns: tuple[str, ...]) -> str:
     """The test of ``has`` on a column as SQL: one text, where a Column of each part would be many calls."""
     tests, rest = [], []
     for p in (a for p in patterns for a in alternatives(p)):
-        if (word := needed(p)) is None:
+        if not (found := needs(p)):
             rest.append(p)
-        elif word == p and column == "low":
-            tests.append(f"contains(low, {_quoted(word)})")
+        elif found[0] == (p,) and column == "low":
+            tests.append(f"contains(low, {_quoted(p)})")
         else:
-            tests.append(f"(contains({column}, {_quoted(word)}) AND {column} RLIKE {_quoted(prefix + p)})")
+            guards = [" OR ".join(f"contains({column}, {_quoted(w)})" for w in some) for some in found]
+            tests.append("(" + " AND ".join([*(f"({g})" for g in guards), f"{column} RLIKE {_quoted(prefix + p)}"]) + ")")
     if rest:
         tests.append(f"{column} RLIKE {_quoted(prefix + '|'.join(f'(?:{p})' for p in rest))}")
     return " OR ".join(tests)
 
 
+def _holds(guard: Column, found: tuple[tuple[str, ...], ...]) -> Column:
+    return functools.reduce(Column.__and__, (functools.reduce(Column.__or__, (guard.contains(w) for w in some)) for some in found))
+
+
 def has(text: Text, *patterns: str, flags: str = "iu") -> Column:
     """One of the patterns is found.  In lower-cased markup each pattern is tried only where the plain text is that it needs."""
     column, prefix, change = _where(text, flags)
@@ -136,10 +157,10 @@ def has(text: Text, *patterns: str, flags: str = "iu") -> Column:
         return F.expr(_sql("low" if "i" in flags else "html", prefix, tuple(change(p) for p in patterns)))
     guard, tests, rest = text.low if "i" in flags else column, [], []
     for p in (a for p in patterns for a in alternatives(change(p))):
-        if (word := needed(p)) is None:
+        if not (found := needs(p)):
             rest.append(p)
         else:
-            tests.append(guard.contains(word) if word == p and guard is column else guard.contains(word) & column.rlike(prefix + p))
+            tests.append(guard.contains(p) if found[0] == (p,) and guard is column else _holds(guard, found) & column.rlike(prefix + p))
     return functools.reduce(Column.__or__, tests + ([column.rlike(prefix + "|".join(f"(?:{p})" for p in rest))] if rest else []))
 
 
@@ -149,11 +170,12 @@ def found(text: Text, patterns: Iterable[str], flags: str = "iu") -> Column:
 
 
 def _guarded(text: Text, pattern: str, flags: str, value: Column, otherwise: Column | None) -> Column:
-    """``value`` where the page has the plain text that the pattern needs."""
-    word = needed(lowered(pattern)) if isinstance(text, Markup) else None
-    if word is None:
+    """``value`` where the page has the plain texts that the pattern needs."""
+    pattern = lowered(pattern)
+    found = needs(pattern) if isinstance(text, Markup) and len(alternatives(pattern)) == 1 else ()
+    if not found:
         return value
-    here = F.when(text.low.contains(word), value)
+    here = F.when(_holds(text.low, found), value)
     return here if otherwise is None else here.otherwise(otherwise)
 
 

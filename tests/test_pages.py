@@ -1,13 +1,15 @@
 import datetime as dt
+import random
 import re
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from sitegauge.operators import audit, extract
 from sitegauge.operators import rules as R
 from sitegauge.operators.registry import ISSUES, registry, with_registry
-from sitegauge.operators.rules import Rule, measured, technical
+from sitegauge.operators.rules import Rule, content, measured, technical
 
 AS_OF = dt.datetime(2024, 6, 1)
 
@@ -156,6 +158,28 @@ def test_needed_text_is_in_every_match():
             assert word is None or not re.search(p, text) or word in text
 
 
+def test_all_that_a_pattern_needs():
+    """Lists of texts for groups: one alternative of each is in whatever matches; groups that may be missing or look around say nothing."""
+    cases = {
+        r"<a[^>]*>.*?(?:terms|všeobecné\s*podmínky|vop).*?</a>": (("</a>",), ("terms", "všeobecné", "vop")), r"\b(cart|košík)\b": (("cart", "košík"),), r"(?:abc|d)e": (), r"x(?:abc|def)?y": (), r"(?!abc|def)ghi": (("ghi",),),
+        r"(?<!abc)ghi(?=jkl)": (("ghi",),), r"(?s:<form.*(?:mail|phone))": (("<form",),), r"(abc|def)+": (("abc", "def"),), r"(?:abc(?:def|ghi)|jkl)": (("abc", "jkl"),),
+    }
+    assert {p: R.needs(p) for p in cases} == cases
+    lists = [v for v in vars(content).values() if isinstance(v, list) and v and all(isinstance(x, str) for x in v)]
+    patterns = sorted({p for v in lists for x in v for p in R.alternatives(R.lowered(x))})
+    rng = random.Random(1)
+    words = sorted({w for p in patterns for some in R.needs(p) for w in some})
+    texts = [" ".join(rng.choice(words) + rng.choice(["", "=\"x\"", ">1 2", "</a>"]) for _ in range(rng.randint(1, 30))) for _ in range(150)]
+    texts += [r.html.lower() for r in pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"]).to_pandas().itertuples() if r.html]
+    hits = 0
+    for p in patterns:
+        for t in texts:
+            if re.search(p, t):
+                hits += 1
+                assert all(any(w in t for w in some) for some in R.needs(p)), p
+    assert len(patterns) > 100 and hits > 300
+
+
 def test_lowered_patterns_find_what_case_free_ones_do(spark):
     texts = ["<IMG SRC='x'>", "Košík 12 KČ", "PŘIDAT DO KOŠÍKU", "no", "Class = \"Price-Box\"", "©2024", "ΣΑΣ", "É"]
     df = spark.createDataFrame([(i, t, t.lower()) for i, t in enumerate(texts)], "i int, html string, low string")
