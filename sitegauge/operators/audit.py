@@ -13,7 +13,7 @@ from ..functions.text import visible_text
 from ..functions.urls import base_url
 from .extract import detect_cms
 from .registry import CATEGORIES, with_registry
-from .rules import Markup, Rule, content, industries, technical
+from .rules import Markup, Rule, content, industries, markup, technical
 
 UNIVERSAL: dict[str, Callable[[dict[str, Column]], list[Rule]]] = {
     "http": technical.http, "security": technical.security, "seo": technical.seo, "libraries": technical.libraries, "outdated_code": technical.outdated_code,
@@ -28,7 +28,7 @@ BY_INDUSTRY = {
 OPTIONAL = {"status": "int", "headers": "map<string,string>", "industry": "string", "error": "string", "ttfb_s": "double", "cert_days": "int", "ssl_error": "string", "soft_404_status": "int", "has_sitemap": "boolean", "has_robots": "boolean"}
 
 #: Columns of a prepared page that rules read.
-PREPARED = [*OPTIONAL, "page_id", "url", "html", "low", "text", "cms", "as_of"]
+PREPARED = [*OPTIONAL, "page_id", "url", "html", "low", "text", "cms", "as_of", "_years"]
 
 
 def spread(pages: DataFrame) -> DataFrame:
@@ -45,7 +45,9 @@ def prepare(pages: DataFrame, as_of: dt.datetime) -> DataFrame:
     html = F.coalesce(F.col("html"), F.lit(""))
     headers = F.coalesce(F.transform_keys("headers", lambda k, _: F.lower(k)), F.create_map().cast("map<string,string>"))
     pages = pages.withColumn("html", html).withColumn("headers", headers).withColumn("low", F.lower("html"))
-    return pages.withColumn("text", visible_text(F.col("html"))).withColumn("cms", detect_cms(F.col("html"), F.col("headers"))).withColumn("as_of", F.lit(as_of).cast("timestamp_ntz"))
+    pages = pages.withColumn("text", visible_text(F.col("html"))).withColumn("cms", detect_cms(F.col("html"), F.col("headers"))).withColumn("as_of", F.lit(as_of).cast("timestamp_ntz"))
+    # what several rules ask for, found once
+    return pages.withColumn("_years", technical.copyright_years(markup({c: F.col(c) for c in ("html", "low")}), F.year("as_of")))
 
 
 def with_site_files(pages: DataFrame) -> DataFrame:

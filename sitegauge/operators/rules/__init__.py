@@ -89,7 +89,8 @@ def alternatives(pattern: str) -> tuple[str, ...]:
 @functools.cache
 def needs(pattern: str) -> tuple[tuple[str, ...], ...]:
     """What whatever matches a pattern (without bars outside of groups) has: of each of these lists one plain text, of three letters or
-    more.  A list is the longest text outside of groups, or has one for each alternative of a group that can't be left out."""
+    more.  First come the texts outside of groups, the longest first, each by itself; then a list for each group that can't be left out,
+    with one text for each alternative."""
     runs, run, groups, i = [], "", [], 0
     while i < len(pattern):
         begin = i
@@ -109,8 +110,9 @@ def needs(pattern: str) -> tuple[tuple[str, ...], ...]:
             single = [next((n[0] for n in found if len(n) == 1), None) for found in each]
             if None not in single and len(single) <= MOST_ALTERNATIVES:
                 groups.append(tuple(dict.fromkeys(single)))
-    best = max([*runs, run], key=len)
-    return ((best,),) * (len(best) >= 3) + tuple(groups)
+    texts = sorted(dict.fromkeys(r for r in (*runs, run) if len(r) >= 3), key=len, reverse=True)
+    texts = texts[:1] + [r for i, r in enumerate(texts) if i and len(r) >= 4 and not any(r in longer for longer in texts[:i])]
+    return (*((r,) for r in texts), *groups)
 
 
 #: Alternatives of a group that are looked for beforehand.

@@ -172,7 +172,7 @@ def _outdated(p: dict[str, Column]) -> list[tuple[Rule, Column]]:
     jquery = jquery | (has(h, r'\bjQuery\s*\(', r'\$\s*\(\s*["\']', r"\.ready\s*\(") & has(h, "jquery"))
     scripts = every(F.coalesce(first(h, r"<head[^>]*>(.*?)</head>", flags="isu"), F.lit("")), r'<script[^>]+src=["\'][^"\']+["\'][^>]*>', 0)
     blocking = F.size(F.filter(scripts, lambda s: ~s.rlike(r"(?i)\b(async|defer)\b") & ~F.regexp_extract(s, r'(?i)src=["\']([^"\']+)', 1).rlike(r"(?i)google-analytics|gtag|gtm|analytics|pixel|tracking")))
-    years = copyright_years(h, year)
+    years = p["_years"]
     start, end, since = years["start"], years["end"], years["since"]
     age, old = year - start, year - since
     dated = F.regexp_extract(F.coalesce(F.try_element_at(p["headers"], F.lit("last-modified")), F.lit("")), r"(\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2})", 1)
