@@ -25,8 +25,8 @@ BUCKETS = 1 << 15
 TARGET_ROWS = 20_000
 #: A count that every bucket has in advance, in each model.
 PRIOR = 1.0
-#: Score of a document without any n-gram.
-NO_SCORE = -1e6
+#: Score of a document without any n-gram: less than that of any text, since 2**32 n-grams of the least ratio, -45, are more.
+NO_SCORE = -1e12
 
 # letters and digits (all bytes beyond ASCII count as letters), or a run of other characters that are not blank
 _TOKEN = re.compile(rb"[a-z0-9\x80-\xff]+|[^\sa-z0-9\x80-\xff]+")

@@ -175,3 +175,9 @@ def test_kth_largest(spark):
     df = spark.createDataFrame([(v,) for v in values], "draw long")
     for k in (1, 2, 17, 250, 500):
         assert I.kth_largest(df, k) == sorted(values, reverse=True)[k - 1]
+
+
+def test_long_bad_text_is_before_an_empty_one():
+    """Scores are sums, so a text of very many bad words scores very little, but more than one without words."""
+    score, draw = I._scores([b"bad word " * 300_000, b"", b"\n", b"bad"], [1, 2, 3, 4], np.full(I.BUCKETS, -8.0), WordHashes(), 11)
+    assert score[0] < -4e6 and score[1] == score[2] == I.NO_SCORE and draw[3] > draw[0] > max(draw[1], draw[2]) and draw[1] != draw[2]
