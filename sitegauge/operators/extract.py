@@ -20,6 +20,7 @@ MAIL_PREFIXES = [
 MAIL = r"(?i)[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,}"
 VALID_MAIL = r"^[a-z0-9!#$%&'*+/=?^_`{|}~\-]+(\.[a-z0-9!#$%&'*+/=?^_`{|}~\-]+)*@([a-z0-9]([a-z0-9\-]*[a-z0-9])?\.)+[a-z0-9\-]*[a-z0-9]$"
 NOT_CONTENT = r'(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<noscript\b[^>]*>.*?</noscript>|<img\b[^>]*>|\bsrcset\s*=\s*["\'][^"\']*["\']|background(?:-image)?\s*:\s*url\([^)]+\)|\bdata-(?:src|background|image|srcset)\s*=\s*["\'][^"\']*["\']'
+BLANKS = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 PHONES = [r"\+420[\s.\-]?\d{3}[\s.\-]?\d{3}[\s.\-]?\d{3}", r"00420[\s.\-]?\d{3}[\s.\-]?\d{3}[\s.\-]?\d{3}", r"(?<![0-9+])\d{3}[\s.\-]?\d{3}[\s.\-]?\d{3}(?![0-9])", r"(?i)tel:\s*\+?[0-9\s.\-]+"]
 COMPANY_IDS = [r"I[ČC]O?\s*[:\s]\s*(\d{8})", r"I[ČC]\s+(\d{8})", r"identifika[čc]n[ií]\s+[čc][ií]slo\s*[:\s]\s*(\d{8})", r"company\s*id\s*[:\s]\s*(\d{8})", r"registra[čc]n[ií]\s+[čc][ií]slo\s*[:\s]\s*(\d{8})"]
 CMS = {
@@ -109,6 +110,11 @@ def emails(html: Column, ignored: list[str] = IGNORED_MAIL_DOMAINS) -> Column:
     return F.transform(ranked, lambda x: x["m"])
 
 
+def _plain_blanks(text: Column) -> Column:
+    """Blanks of all widths, such as the one that doesn't break, as plain ones: patterns' blanks mean them too."""
+    return F.translate(text, BLANKS, " " * len(BLANKS))
+
+
 def phones(html: Column) -> Column:
     """Czech numbers as +420 and nine digits, in order of patterns and places."""
 
@@ -117,7 +123,7 @@ def phones(html: Column) -> Column:
         digits = F.regexp_replace(digits, "^00420", "+420")
         return F.when(F.length(digits) == 9, F.concat(F.lit("+420"), digits)).otherwise(digits)
 
-    found = bound(decode_entities(html), lambda text: F.concat(*(_all(text, p) for p in PHONES)))
+    found = bound(_plain_blanks(decode_entities(html)), lambda text: F.concat(*(_all(text, p) for p in PHONES)))
     valid = lambda x: x.rlike(r"^\+420[2-7]\d{8}$") & ~x.rlike(r"^\+420(\d)\1{8}$") & (x != "+420123456789")
     return F.array_distinct(F.filter(F.transform(found, normal), valid))
 
@@ -125,7 +131,7 @@ def phones(html: Column) -> Column:
 def company_id(html: Column) -> Column:
     """The first id with a right check digit, pattern by pattern."""
     first = lambda text, p: F.get(F.filter(_all(text, f"(?iu){p}", 1), valid_company_id), 0)
-    return bound(decode_entities(html), lambda text: F.coalesce(*(first(text, p) for p in COMPANY_IDS)))
+    return bound(_plain_blanks(decode_entities(html)), lambda text: F.coalesce(*(first(text, p) for p in COMPANY_IDS)))
 
 
 def detect_cms(html: Column, headers: Column | None = None) -> Column:

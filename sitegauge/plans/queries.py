@@ -733,4 +733,4 @@ def stream_page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = audit.audit(pages, AS_OF, categories=CATEGORIES).groupBy("page_id").agg(F.sum("weight").alias("total_score"), F.max(F.col("severity") == "critical").alias("critical"))
     return settle.settled(found, ["page_id"]).select("page_id", "total_score", scoring.lead_status(F.col("total_score"), F.col("critical")).alias("status"))
 
-from . import built_pages, more, page_sql, whole  # noqa: E402, F401  they register further queries, by the helpers above
+from . import built_pages, more, page_sql, spellings, whole  # noqa: E402, F401  they register further queries, by the helpers above
