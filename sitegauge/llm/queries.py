@@ -38,8 +38,8 @@ def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _host_rules(_docs(spark, sf_dir))
 
 
-#: Hosts of the query host_verdicts: a language's texts of about one length.
-_HOST = "concat(coalesce(lang, ''), '-', CASE WHEN length(text) < 60 THEN 'a' WHEN length(text) < 500 THEN 'b' WHEN length(text) < 3000 THEN 'c' ELSE 'd' END)"
+#: Hosts of the query host_verdicts, as both engines read it: a language's short texts, those with many symbols, and the others.
+_HOST = "concat(coalesce(lang, ''), '-', CASE WHEN length(text) < 60 THEN 'short' WHEN 100 * (length(text) - length(translate(text, '#*$%&|<>', ''))) > length(text) THEN 'symbols' ELSE 'plain' END)"
 
 
 def _host_rules(docs: DataFrame) -> DataFrame:
@@ -48,7 +48,7 @@ def _host_rules(docs: DataFrame) -> DataFrame:
 
 
 def host_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op3's rules over hosts that do fail: texts of a language and about one length."""
+    """op3's rules over hosts that do fail, so that their documents go."""
     return _host_rules(_docs(spark, sf_dir).withColumn("source", F.expr(_HOST)))
 
 
