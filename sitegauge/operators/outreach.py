@@ -123,15 +123,20 @@ def usage(sends: DataFrame, as_of: dt.datetime) -> tuple[DataFrame, DataFrame]:
 def rolling_sends(sends: DataFrame, at: str = "sent_at", seconds: int = 3600) -> DataFrame:
     """Each send with the number of its user's sends in the hour up to it.
 
-    Sends are counted by instant, in blocks of so many seconds of a user; each block also gets the instants of the block before, so
-    its windows are whole, and a user's sends are spread over as many tasks as there are blocks.
+    Sends are counted by instant, in blocks of so many seconds of a user, which spread over tasks.  An instant enters a block with its
+    count, and leaves the next block again when the window has passed it; what is in the window is the running sum of both, so the
+    time goes by the number of instants, however many of them a window has.
     """
     span = seconds * 1_000_000
     timed = sends.withColumn("_us", F.unix_micros(F.col(at).cast("timestamp")))
-    counts = timed.groupBy("user_id", "_us").agg(F.count("*").alias("_n")).withColumn("_block", F.floor(F.col("_us") / span)).withColumn("_own", F.lit(True))
-    margin = counts.where("_us is not null").withColumn("_block", F.col("_block") + 1).withColumn("_own", F.lit(False))
-    w = Window.partitionBy("user_id", "_block").orderBy("_us").rangeBetween(-span, 0)
-    summed = counts.unionByName(margin).withColumn("in_last_hour", F.sum("_n").over(w)).where("_own")
+    counts = timed.groupBy("user_id", "_us").agg(F.count("*").alias("_n")).withColumn("_block", F.floor(F.col("_us") / span))
+    after = F.col("_block") + 1
+    own = F.struct("_block", "_us", "_n", F.lit(True).alias("_own"))
+    enters = F.struct(after.alias("_block"), (after * span).alias("_us"), F.col("_n"), F.lit(False).alias("_own"))
+    leaves = F.struct(after.alias("_block"), (F.col("_us") + span + 1).alias("_us"), (-F.col("_n")).alias("_n"), F.lit(False).alias("_own"))
+    steps = counts.select("user_id", F.explode(F.when(F.col("_us").isNull(), F.array(own)).otherwise(F.array(own, enters, leaves))).alias("s")).select("user_id", "s.*")
+    w = Window.partitionBy("user_id", "_block").orderBy("_us").rangeBetween(Window.unboundedPreceding, 0)
+    summed = steps.withColumn("in_last_hour", F.sum("_n").over(w)).where("_own")
     summed = summed.select(F.col("user_id").alias("_user"), F.col("_us").alias("_at"), "in_last_hour")
     return timed.join(summed, F.col("user_id").eqNullSafe(F.col("_user")) & F.col("_us").eqNullSafe(F.col("_at"))).select(*sends.columns, "in_last_hour")
 

@@ -211,6 +211,15 @@ def test_rolling_sends_of_a_hot_user(spark):
     assert outreach.rolling_sends(day).agg(F.max("in_last_hour")).head()[0] == 3601
 
 
+def test_rolling_sends_are_not_summed_window_by_window(spark):
+    """Half a million sends within two hours: a sum over each window would look at some 10^11 rows."""
+    day = spark.range(500_000).select("id", F.lit(1).alias("user_id"), F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("id") * 14_400).alias("sent_at"))
+    got = outreach.rolling_sends(day)
+    assert "-3600000000" not in plan(got) and "unboundedpreceding" in plan(got)
+    top = got.agg(F.max("in_last_hour").alias("most"), F.count("*").alias("n"), F.count_if(F.col("in_last_hour") == F.least(F.col("id"), F.lit(250_000)) + 1).alias("right")).head()
+    assert (top.most, top.n, top.right) == (250_001, 500_000, 500_000)
+
+
 # distance
 
 
