@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -177,23 +178,24 @@ def expire_proposals(proposals: DataFrame, as_of: dt.datetime) -> DataFrame:
 def choose_template(requests: DataFrame, user_templates: DataFrame, templates: DataFrame) -> DataFrame:
     """The template of each request (request_id, user_id, name, industry): the user's of that name, then the global one of name and
     industry, of the name, the user's default, the industry's default, the global default (E13)."""
-    own = user_templates.where(F.coalesce("is_active", F.lit(True))).select(F.col("user_id").alias("tu"), F.col("name").alias("tn"), F.lit(None).cast("string").alias("ti"), "is_default", "template_id")
-    every = own.unionByName(templates.select(F.lit(None).cast(own.schema["tu"].dataType).alias("tu"), F.col("name").alias("tn"), F.col("industry").alias("ti"), "is_default", "template_id"))
-    same = lambda a, b: F.col(a) == F.col(b)
-    mine, named, global_, default = same("tu", "user_id"), same("tn", "name"), F.col("tu").isNull(), F.col("is_default")
-    place = (
-        F.when(mine & named, 1).when(global_ & named & same("ti", "industry"), 2).when(global_ & named & F.col("ti").isNull(), 3).when(mine & default, 4)
-        .when(global_ & default & same("ti", "industry"), 5).when(global_ & default & F.col("ti").isNull(), 6)
-    )
-    # by keys: templates of the user, and global ones of the name or by default
-    by_user = requests.join(every.where("tu is not null"), same("tu", "user_id"))
-    by_name = requests.join(every.where("tu is null"), named)
-    defaults = every.where("tu is null and is_default").groupBy("tu", "ti").agg(F.min("tn").alias("tn"), F.lit(True).alias("is_default"), F.min("template_id").alias("template_id"))
-    by_industry = requests.join(defaults.where("ti is not null"), same("ti", "industry"))
-    every_request = requests.withColumn("_k", F.lit(1)).join(F.broadcast(defaults.where("ti is null").withColumn("_k1", F.lit(1))), same("_k", "_k1")).drop("_k", "_k1")  # one row
-    ranked = by_user.unionByName(by_name).unionByName(by_industry).unionByName(every_request).withColumn("_p", place).where("_p is not null")
-    best = ranked.withColumn("_n", F.row_number().over(Window.partitionBy("request_id").orderBy("_p", "template_id"))).where("_n = 1")
-    return requests.join(best.select("request_id", "template_id", F.col("_p").alias("rank")), "request_id", "left")
+    active = user_templates.where(F.coalesce("is_active", F.lit(True)))
+    mine = active.where("user_id is not null")
+    columns = ["name", "industry", "is_default", "template_id"]
+    templates = templates.select(*columns).unionByName(active.where("user_id is null").withColumn("industry", F.lit(None).cast("string")).select(*columns))
+    by_default, plain, of_industry = F.col("is_default"), F.col("industry").isNull(), F.col("industry").isNotNull()
+    # of each key one template, so that a request meets one of each kind, however many share a name
+    kinds = [
+        (mine, ["user_id", "name"]), (templates.where(of_industry), ["name", "industry"]), (templates.where(plain), ["name"]), (mine.where(by_default), ["user_id"]),
+        (templates.where(of_industry & by_default), ["industry"]), (templates.where(plain & by_default), []),
+    ]
+    out = requests
+    for i, (rows, keys) in enumerate(kinds, 1):
+        best = rows.groupBy(*(F.col(k).alias(f"_key_{k}") for k in keys)).agg(F.min("template_id").alias(f"_t{i}"))
+        same = reduce(Column.__and__, (F.col(k) == F.col(f"_key_{k}") for k in keys), F.lit(True))
+        out = (out.join(best, same, "left") if keys else out.crossJoin(F.broadcast(best))).drop(*(f"_key_{k}" for k in keys))  # without keys: one row
+    found = [F.col(f"_t{i}") for i in range(1, len(kinds) + 1)]
+    rank = F.coalesce(*(F.when(t.isNotNull(), i) for i, t in enumerate(found, 1)))
+    return out.select(*requests.columns, F.coalesce(*found).alias("template_id"), rank.alias("rank"))
 
 
 def render(sends: DataFrame, template: str = "template", variables: str = "variables") -> DataFrame:

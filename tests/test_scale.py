@@ -220,6 +220,18 @@ def test_rolling_sends_are_not_summed_window_by_window(spark):
     assert (top.most, top.n, top.right) == (250_001, 500_000, 500_000)
 
 
+def test_templates_of_one_name(spark):
+    """3,000 requests for one name that 3,000 templates have: each meets one of a kind."""
+    every = spark.range(3000).select(F.lit("hi").alias("name"), F.when(F.col("id") % 2 == 0, "eshop").alias("industry"), (F.col("id") % 3 == 0).alias("is_default"), (F.col("id") + 10).alias("template_id"))
+    own = spark.createDataFrame([(7, "hi", False, True, 5), (8, "x", True, True, 4), (9, "hi", True, False, 3), (None, "free", False, True, 2)], "user_id long, name string, is_default boolean, is_active boolean, template_id long")
+    asked = spark.range(3000).select(F.col("id").alias("request_id"), F.col("id").alias("user_id"), F.when(F.col("id") == 8, "no").when(F.col("id") == 11, "free").otherwise("hi").alias("name"), F.when(F.col("id") % 5 == 0, "eshop").otherwise("legal").alias("industry"))
+    got = outreach.choose_template(asked, own, every)
+    rows = {r.request_id: (r.template_id, r["rank"]) for r in got.collect()}
+    want = {i: (10, 2) if i % 5 == 0 else (11, 3) for i in range(3000)} | {7: (5, 1), 8: (4, 4), 11: (2, 3)}
+    assert rows == want
+    assert plan(got).count("min(template_id") >= 6  # before the joins
+
+
 # distance
 
 
