@@ -57,7 +57,7 @@ def many_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_partkey").alias("filter_id"), F.col("p_size").alias("user_id"), F.expr("CASE WHEN p_size % 3 = 0 THEN NULL ELSE element_at(array('1-URGENT', '2-HIGH', '5-LOW'), int(p_partkey % 3 + 1)) END").alias("user_industry"), F.lit(True).alias("active"), lists.alias("regions"), lists.alias("signal_types"),
         F.when(F.col("p_size") <= 45, F.array("p_name")).alias("keywords"), F.array("p_type").alias("exclude_keywords"), (F.col("p_retailprice") * F.col("p_size") * 4).cast("double").alias("min_value"), F.lit(None).cast("double").alias("max_value"),
     )
-    return signals.counts(signals.match(s, f), "filter_id", "user_id")
+    return signals.match_counts(s, f)
 
 
 @query("""WITH b AS (SELECT event_type AS industry, CAST(ts AS DATE) AS period_start, min(value) AS low, max(value) AS high FROM events GROUP BY ALL)

@@ -194,6 +194,25 @@ def test_whole_statistics_equal_sampled(spark):
     assert a.columns == b.columns and sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
 
+def test_counts_of_matches_without_pairs(spark):
+    """Bounds that values equal, that are missing or crossed, values that are missing, copies of texts: as many as there are pairs."""
+    rng = random.Random(5)
+    some = lambda xs: rng.choice(xs)
+    s = spark.createDataFrame([(i, some(["rfp_web", "tender_it", None]), some(["eshop", "legal", None]), some(["Praha", None]), some(["new web", "Web shop", "logo", None]), some(["of steel", "", None]), some([None, 0.0, 1.0, 2.5, 2.5, 7.0])) for i in range(400)], "signal_id long, signal_type string, industry string, region string, title string, description string, value double")
+    f = spark.createDataFrame([(i, i % 3, some(["eshop", "legal", None]), rng.random() > 0.1, some([[], ["praha"], None]), some([[], ["rfp_web"]]), some([[], ["web"], ["shop", "logo"], None]), some([[], ["steel"], ["of", "new"]]), some([None, 0.0, 2.5, 3.0]), some([None, 0.0, 2.5, 7.0])) for i in range(200)], "filter_id long, user_id long, user_industry string, active boolean, regions array<string>, signal_types array<string>, keywords array<string>, exclude_keywords array<string>, min_value double, max_value double")
+    want = sorted(map(tuple, signals.counts(signals.match(s, f), "filter_id", "user_id").collect()))
+    assert want and sorted(map(tuple, signals.match_counts(s, f).collect())) == want
+
+
+def test_counts_of_matches_grow_with_the_rows(spark):
+    """30,000 signals of one text and 3,000 filters that take a third of them: 30 million pairs, which no step makes."""
+    s = spark.range(30_000).select(F.col("id").alias("signal_id"), F.lit("rfp_web").alias("signal_type"), F.lit("eshop").alias("industry"), F.lit(None).cast("string").alias("region"), F.lit("web").alias("title"), F.lit("x").alias("description"), F.col("id").cast("double").alias("value"))
+    none = F.array().cast("array<string>")
+    f = spark.range(3000).select(F.col("id").alias("filter_id"), F.lit(1).alias("user_id"), F.lit(None).cast("string").alias("user_industry"), F.lit(True).alias("active"), none.alias("regions"), none.alias("signal_types"), none.alias("keywords"), none.alias("exclude_keywords"), (F.col("id") * 5).cast("double").alias("min_value"), (F.col("id") * 5 + 9_999).cast("double").alias("max_value"))
+    got = signals.match_counts(s, f)
+    assert got.agg(F.count("*").alias("n"), F.min("n").alias("low"), F.max("n").alias("high")).head()[:] == (3000, 10_000, 10_000)
+
+
 # rolling sends
 
 
