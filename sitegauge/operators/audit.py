@@ -90,12 +90,19 @@ def issues(pages: DataFrame, as_of: dt.datetime, categories: list[str] | None =
         if categories is None or f"industry_{name}" in categories:
             by_industry = F.when(F.col("industry") == name, F.array(*_built(session, name))).otherwise(by_industry)
     every = F.concat(*lists, by_industry)
-    return page.select(id_col, F.explode(F.filter(every, lambda x: x.isNotNull())).alias("i")).select(id_col, "i.*")
+    return _exploded(page, every, id_col)
+
+
+def _exploded(pages: DataFrame, every: Column, id_col: str) -> DataFrame:
+    """The structs of ``every`` that are there, a row each.  The array is a column first, where what several rules ask for is computed
+    once.  Outer: else Spark puts a filter on the array's size below all else, and computes every rule there once more, in full."""
+    listed = pages.select(id_col, every.alias("every"))
+    return listed.select(id_col, F.explode_outer("every").alias("i")).where("i is not null").select(id_col, "i.*")
 
 
 def measured_issues(metrics: DataFrame, rules: list[Rule], id_col: str = "page_id") -> DataFrame:
     """Issues of rules over a table of measurements."""
-    return metrics.select(id_col, F.explode(F.filter(_listed(rules), lambda x: x.isNotNull())).alias("i")).select(id_col, "i.*")
+    return _exploded(metrics, _listed(rules), id_col)
 
 
 def select_issues(found: DataFrame, profile: DataFrame, key: str = "profile_id") -> DataFrame:

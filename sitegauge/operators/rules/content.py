@@ -5,6 +5,8 @@ The patterns and limits in the rules are fixed values, like the lists.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -122,16 +124,17 @@ def brand_colours(h: Text) -> Column:
 
     def whole(c: Column) -> Column:
         rgb = F.lower(F.concat(F.lit("#"), byte(c, 1), byte(c, 2), byte(c, 3)))
-        return F.when(c.rlike("^#[0-9a-f]{3}$"), F.regexp_replace(c, "([0-9a-f])", "$1$1")).otherwise(F.coalesce(rgb, c))
+        short = c.startswith("#") & (F.length(c) == 4)
+        return F.when(short, F.regexp_replace(c, "([0-9a-f])", "$1$1")).when(c.startswith("rgb"), F.coalesce(rgb, c)).otherwise(c)
 
-    return F.array_distinct(F.filter(F.transform(raw, lambda c: whole(F.lower(F.trim(c)))), lambda c: ~c.isin("#000000", "#ffffff")))
+    return F.array_distinct(F.filter(F.transform(F.array_distinct(raw), lambda c: whole(F.lower(F.trim(c)))), lambda c: ~c.isin("#000000", "#ffffff")))
 
 
 def branding(p: dict[str, Column]) -> list[Rule]:
     """Favicon, logo, colours, marks of identity."""
     h = markup(p)
     icon = F.coalesce(first(h, r'<link[^>]+rel\s*=\s*["\'](?:icon|shortcut icon)["\'][^>]+href\s*=\s*["\']([^"\']+)["\']'), first(h, r'<link[^>]+href\s*=\s*["\']([^"\']+)["\'][^>]+rel\s*=\s*["\'](?:icon|shortcut icon)["\']'))
-    default = F.array(*(F.lit(x) for x in DEFAULT_FAVICONS))
+    default = reduce(Column.__or__, (F.lower(icon).contains(d) for d in DEFAULT_FAVICONS))
     logo = F.coalesce(
         first(h, r'(<img[^>]+(?:class|id)\s*=\s*["\'][^"\']*logo[^"\']*["\'][^>]+src\s*=\s*["\'][^"\']+["\'][^>]*>)'),
         first(h, r'(<img[^>]+src\s*=\s*["\'][^"\']+["\'][^>]+(?:class|id)\s*=\s*["\'][^"\']*logo[^"\']*["\'][^>]*>)'),
@@ -145,7 +148,7 @@ def branding(p: dict[str, Column]) -> list[Rule]:
     r = lambda code, when, evidence=None: Rule("branding", code, when, evidence)
     return [
         r("branding_no_favicon", icon.isNull()),
-        r("branding_default_favicon", icon.isNotNull() & F.exists(default, lambda d: F.lower(icon).contains(d)), icon),
+        r("branding_default_favicon", icon.isNotNull() & default, icon),
         r("branding_no_logo", logo.isNull()),
         r("branding_low_quality_logo", logo.isNotNull() & low, F.concat_ws("x", width.cast("string"), height.cast("string"))),
         r("branding_inconsistent_colors", colours > 8, said(colours, "colours")),

@@ -187,3 +187,12 @@ def test_lowered_patterns_find_what_case_free_ones_do(spark):
     for patterns in ([r"<img[^>]+src"], [r"košík|cart", r"\d+\s*kč"], [r'class\s*=\s*["\'][^"\']*PRICE'], [r"©\s*\d{4}"], [r"É", "zz+"], [r"\S{9,}"]):
         got = df.select(R.has(page, *patterns).alias("a"), R.has(F.col("html"), *patterns).alias("b"), R.found(page, patterns).alias("c"), R.found(F.col("html"), patterns).alias("d"), R.count(page, patterns[0]).alias("e"), R.count(F.col("html"), patterns[0]).alias("f")).collect()
         assert all(r.a == r.b and r.c == r.d and r.e == r.f for r in got)
+
+
+def test_rules_are_computed_once_below_the_rows(spark):
+    """No filter on the list of issues goes below the list: it would compute all rules twice, and before pages are dealt out."""
+    pages = spark.range(40).repartition(2).select(F.col("id").alias("page_id"), F.lit("https://a.cz/").alias("url"), F.concat(F.lit('<i style="color:#1122'), F.col("id") + 10, F.lit('">x</i>')).alias("html"))
+    found = audit.issues(pages, dt.datetime(2024, 6, 1), categories=["branding"])
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Filter ") == 1 and "Filter (size(" not in text
+    assert {r.code for r in found.collect()} == {"branding_no_favicon", "branding_no_logo", "branding_no_brand_identity"}
