@@ -31,10 +31,11 @@ OPTIONAL = {"status": "int", "headers": "map<string,string>", "industry": "strin
 PREPARED = [*OPTIONAL, "page_id", "url", "html", "low", "text", "cms", "as_of", "_years"]
 
 
-def spread(pages: DataFrame) -> DataFrame:
-    """A table just read, dealt out anew if it has fewer partitions than there are cores: one small file would be one long task."""
-    cores = pages.sparkSession.sparkContext.defaultParallelism
-    return pages.repartition(cores) if pages.rdd.getNumPartitions() < cores else pages
+def spread(pages: DataFrame, rows: int = 2000) -> DataFrame:
+    """A table just read, dealt out anew unless it has as many partitions as there are cores, and one for each so many ``rows``: one
+    small file would be one long task, and tasks must not grow with the table."""
+    parts = max(pages.sparkSession.sparkContext.defaultParallelism, -(-pages.count() // rows))
+    return pages.repartition(parts) if pages.rdd.getNumPartitions() < parts else pages
 
 
 def prepare(pages: DataFrame, as_of: dt.datetime) -> DataFrame:

@@ -23,7 +23,7 @@ def _bits(n: int, div: str) -> list[str]:
 
 def built(spark: SparkSession, sf_dir: str, pieces: Pieces, n: int, url: str = "'https://www.firma.cz/'") -> DataFrame:
     """Pages (page_id, url, html, the bits) with the pieces whose conditions hold, one after another."""
-    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS page_id", *_bits(n, "div"))
+    rows = audit.spread(table(spark, sf_dir, "orders").select("o_orderkey"), 50_000).selectExpr("o_orderkey AS page_id", *_bits(n, "div"))
     html = F.concat(*(F.when(F.expr(when), F.lit(markup)).otherwise("") for when, markup in pieces))
     return rows.withColumn("url", F.expr(url)).withColumn("html", html)
 

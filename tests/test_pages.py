@@ -196,3 +196,8 @@ def test_rules_are_computed_once_below_the_rows(spark):
     text = found._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("Filter ") == 1 and "Filter (size(" not in text
     assert {r.code for r in found.collect()} == {"branding_no_favicon", "branding_no_logo", "branding_no_brand_identity"}
+
+
+def test_tasks_do_not_grow_with_the_pages(spark):
+    few, many = spark.range(10).coalesce(1), spark.range(10_000).coalesce(1)
+    assert [audit.spread(p, 500).rdd.getNumPartitions() for p in (few, many)] == [4, 20]
