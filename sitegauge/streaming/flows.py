@@ -36,7 +36,7 @@ def mail_states(events: DataFrame, delay: str = "7 days", days: int = 30) -> Dat
     forgotten ``days`` after its last event, so states don't grow with the stream's age."""
     rocksdb(events.sparkSession)
     timed = events.select("message_id", "event_time", F.unix_micros("event_time").alias("at"), "type", "bounce_type").withWatermark("event_time", delay)
-    said = timed.groupBy("message_id").transformWithStateInPandas(MailStates(days), MAIL_OUTPUT, "Update", "EventTime")
+    said = timed.groupBy("message_id").transformWithState(MailStates(days), MAIL_OUTPUT, "Update", "EventTime")
     return said.withColumns({c: F.timestamp_micros(c) for c in ("sent_at", "delivered_at", "opened_at", "clicked_at", "bounced_at", "last_event_at")})
 
 
@@ -126,5 +126,5 @@ def snapshot_changes(snaps: DataFrame, late: dt.timedelta = dt.timedelta(days=7)
     """
     rocksdb(snaps.sparkSession)
     timed = snaps.select("domain", "snapshot_type", "taken_at", F.unix_micros("taken_at").alias("at"), "snapshot_id", "content_hash").withWatermark("taken_at", f"{int(late.total_seconds())} seconds")
-    said = timed.groupBy("domain", "snapshot_type").transformWithStateInPandas(SnapshotChain(late, forget), CHANGE_OUTPUT, "Update", "EventTime")
+    said = timed.groupBy("domain", "snapshot_type").transformWithState(SnapshotChain(late, forget), CHANGE_OUTPUT, "Update", "EventTime")
     return said.withColumn("taken_at", F.timestamp_micros("taken_at"))

@@ -9,8 +9,7 @@ import bisect
 import datetime as dt
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import SparkSession
+from pyspark.sql import Row, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.outreach import MAIL_ORDER
@@ -23,6 +22,7 @@ _STRENGTH = {None: 0, "soft": 1, "hard": 2, "complaint": 3}
 
 MAIL_OUTPUT = "message_id string, sent_at long, delivered_at long, opened_at long, clicked_at long, bounced_at long, bounce_type string, status string, last_event_at long"
 CHANGE_OUTPUT = "domain string, snapshot_type string, taken_at long, snapshot_id long, content_hash string, previous_hash string, has_changes boolean"
+MAIL_ROW, CHANGE_ROW = (Row(*(c.split()[0] for c in output.split(", "))) for output in (MAIL_OUTPUT, CHANGE_OUTPUT))
 
 
 def rocksdb(spark: SparkSession) -> None:
@@ -30,12 +30,6 @@ def rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def _frame(rows: list[tuple], output: str) -> pd.DataFrame:
-    """Rows as objects, so that whole numbers that may be missing stay whole."""
-    names, kinds = zip(*(c.split() for c in output.split(", ")), strict=True)
-    return pd.DataFrame(rows, columns=list(names)).astype({n: "Int64" if k == "long" else object for n, k in zip(names, kinds, strict=True)})
-
-
 class MailStates(StatefulProcessor):
     """A message's first time of each kind, its strongest bounce and its furthest place, as one value; a timer forgets it so many
     days after its last event.  Events from before the watermark are left out, so none brings back a part of what is forgotten."""
@@ -48,20 +42,20 @@ class MailStates(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.mail = handle, handle.getValueState("mail", self.SCHEMA)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
         before = self.mail.get()
         *times, bounced, place, last, timer = before if before is not None else (None,) * 9
         watermark = timerValues.getCurrentWatermarkInMs()
-        for events in rows:
-            for at, kind, bounce in zip(events["at"], events["type"], events["bounce_type"], strict=True):
-                if kind not in KINDS or pd.isna(at) or at < watermark * 1000:
-                    continue
-                at, k = int(at), KINDS.index(kind)
-                for i in _SETS[k]:
-                    times[i] = at if times[i] is None else min(times[i], at)
-                place, last = max(place if place is not None else k, k), max(last if last is not None else at, at)
-                found = "complaint" if kind == "complaint" else ("hard" if bounce == "Permanent" else "soft") if kind == "bounce" else None
-                bounced = max(bounced, found, key=_STRENGTH.__getitem__)
+        for event in rows:
+            at, kind = event.at, event.type
+            if kind not in KINDS or at is None or at < watermark * 1000:
+                continue
+            k = KINDS.index(kind)
+            for i in _SETS[k]:
+                times[i] = at if times[i] is None else min(times[i], at)
+            place, last = max(place if place is not None else k, k), max(last if last is not None else at, at)
+            found = "complaint" if kind == "complaint" else ("hard" if event.bounce_type == "Permanent" else "soft") if kind == "bounce" else None
+            bounced = max(bounced, found, key=_STRENGTH.__getitem__)
         if place is None:
             return
         ends = max(last // 1000, watermark) + self.days * DAY_MS
@@ -70,9 +64,9 @@ class MailStates(StatefulProcessor):
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(ends)
         self.mail.update((*times, bounced, place, last, ends))
-        yield _frame([(key[0], *times, bounced, MAIL_ORDER[place], last)], MAIL_OUTPUT)
+        yield MAIL_ROW(key[0], *times, bounced, MAIL_ORDER[place], last)
 
-    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:
         self.mail.clear()
         return iter(())
 
@@ -98,33 +92,31 @@ class SnapshotChain(StatefulProcessor):
     def _timers(self, newest: int) -> list[int]:
         return [(newest + span) // 1000 + 1 for span in (self.late, self.forget) if span is not None]
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
         was = self.begun.get()
         cut, old = was if was is not None else (False, None)
         known = {tuple(k): v[0] for k, v in self.seen.iterator()}
         order, stored, fresh, touched = sorted(known), set(known), set(), set()
-        for some in rows:
-            for at, id_, value in zip(some["at"], some["snapshot_id"], some["content_hash"], strict=True):
-                if pd.isna(at):
-                    continue
-                item = (int(at), int(id_))
-                i = bisect.bisect_left(order, item)
-                if cut and i == 0:
-                    continue  # its place is among those that are gone
-                if item not in known:
-                    order.insert(i, item)
-                elif known[item] == value:
-                    continue  # the same snapshot again
-                known[item] = value
-                fresh.add(item)
-                touched |= {item, *order[i + 1 : i + 2]}  # the next one has another before it now
+        for row in rows:
+            if row.at is None:
+                continue
+            item, value = (row.at, row.snapshot_id), row.content_hash
+            i = bisect.bisect_left(order, item)
+            if cut and i == 0:
+                continue  # its place is among those that are gone
+            if item not in known:
+                order.insert(i, item)
+            elif known[item] == value:
+                continue  # the same snapshot again
+            known[item] = value
+            fresh.add(item)
+            touched |= {item, *order[i + 1 : i + 2]}  # the next one has another before it now
         if not order:
             return
-        said = []
         for item in sorted(touched):
             i = bisect.bisect_left(order, item)
             before = known[order[i - 1]] if i else None
-            said.append((*key, *item, known[item], before, before is not None and known[item] != before))
+            yield CHANGE_ROW(*key, *item, known[item], before, before is not None and known[item] != before)
         first = max(0, bisect.bisect_left(order, (order[-1][0] - self.late,)) - 1)
         for item in stored.intersection(order[:first]):
             self.seen.removeKey(item)
@@ -136,10 +128,8 @@ class SnapshotChain(StatefulProcessor):
             for at in self._timers(order[-1][0]):
                 self.handle.registerTimer(at)
         self.begun.update((cut or first > 0, order[-1][0]))
-        if said:
-            yield _frame(said, CHANGE_OUTPUT)
 
-    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:
         was = self.begun.get()
         if was is not None:
             newest = was[1]
