@@ -28,7 +28,7 @@ BY_INDUSTRY = {
 OPTIONAL = {"status": "int", "headers": "map<string,string>", "industry": "string", "error": "string", "ttfb_s": "double", "cert_days": "int", "ssl_error": "string", "soft_404_status": "int", "has_sitemap": "boolean", "has_robots": "boolean"}
 
 #: Columns of a prepared page that rules read.
-PREPARED = [*OPTIONAL, "page_id", "url", "html", "low", "text", "cms", "as_of", "_years"]
+PREPARED = [*OPTIONAL, "page_id", "url", "html", "low", "text", "cms", "as_of", "_years", *technical.OUTDATED_FACTS]
 
 
 def spread(pages: DataFrame, rows: int = 2000) -> DataFrame:
@@ -48,7 +48,14 @@ def prepare(pages: DataFrame, as_of: dt.datetime) -> DataFrame:
     pages = pages.withColumn("html", html).withColumn("headers", headers).withColumn("low", F.lower("html"))
     pages = pages.withColumn("text", visible_text(F.col("html"))).withColumn("cms", detect_cms(F.col("html"), F.col("headers"))).withColumn("as_of", F.lit(as_of).cast("timestamp_ntz"))
     # what several rules ask for, found once
-    return pages.withColumn("_years", technical.copyright_years(markup({c: F.col(c) for c in ("html", "low")}), F.year("as_of")))
+    return pages.withColumns(_facts(pages.sparkSession.sparkContext.applicationId))
+
+
+@functools.lru_cache(maxsize=16)
+def _facts(application: str) -> dict[str, Column]:
+    """They are columns by name, so a session builds them once, like the rules."""
+    p = {c: F.col(c) for c in ("html", "low", "headers", "as_of")}
+    return {"_years": technical.copyright_years(markup(p), F.year("as_of"))} | technical.outdated_facts(p)
 
 
 def with_site_files(pages: DataFrame) -> DataFrame:

@@ -31,6 +31,10 @@ class Markup:
     #: Whether these are the columns html and low, so that tests on them can be written as one SQL text.
     plain: bool = False
 
+    def lower(self) -> Markup:
+        """The lower-cased markup alone: for values in which the case of letters doesn't matter."""
+        return Markup(self.low, self.low)
+
 
 Text = Column | Markup
 
@@ -45,13 +49,17 @@ def lowered(pattern: str) -> str:
     return re.sub(r"\\[pP]\{\w+\}|\\.|[^\\]+", lambda m: m[0] if m[0][0] == "\\" else m[0].lower(), pattern)
 
 
+def _prefix(flags: str) -> str:
+    return f"(?{flags})" if flags else ""
+
+
 def _where(text: Text, flags: str) -> tuple[Column, str, Callable[[str], str]]:
     """The column in which to look, with what prefix and for which pattern."""
     if isinstance(text, Markup):
         text, flags, change = (text.low, flags.replace("i", "").replace("u", ""), lowered) if "i" in flags else (text.html, flags, str)
     else:
         change = str
-    return text, f"(?{flags})" if flags else "", change
+    return text, _prefix(flags), change
 
 
 def _atom(p: str, i: int) -> tuple[str | None, int]:
@@ -188,13 +196,13 @@ def count(text: Text, pattern: str, flags: str = "iu") -> Column:
 
 def every(text: Text, pattern: str, group: int = 1, flags: str = "iu") -> Column:
     column = text.html if isinstance(text, Markup) else text
-    return _guarded(text, pattern, flags, F.regexp_extract_all(column, F.lit(f"(?{flags}){pattern}"), F.lit(group)), F.array().cast("array<string>"))
+    return _guarded(text, pattern, flags, F.regexp_extract_all(column, F.lit(_prefix(flags) + pattern), F.lit(group)), F.array().cast("array<string>"))
 
 
 def first(text: Text, pattern: str, group: int = 1, flags: str = "iu") -> Column:
     """The first match's group; null where it is missing or empty."""
     column = text.html if isinstance(text, Markup) else text
-    return _guarded(text, pattern, flags, F.nullif(F.regexp_extract(column, f"(?{flags}){pattern}", group), F.lit("")), None)
+    return _guarded(text, pattern, flags, bound(F.regexp_extract(column, _prefix(flags) + pattern, group), lambda x: F.nullif(x, F.lit(""))), None)
 
 
 def trimmed(texts: Column) -> Column:

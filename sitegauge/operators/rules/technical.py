@@ -131,72 +131,103 @@ def detected_libraries(h: Text) -> Column:
 
 
 def _footer(h: Text) -> Column:
-    tag = first(h, r"(<footer[^>]*>.*?</footer>)", flags="isu")
-    part = first(h, r'(<[^>]+(?:class|id)=["\'][^"\']*(?:footer|copyright|bottom)[^"\']*["\'][^>]*>.*?</[^>]+>)', flags="isu")
-    return F.coalesce(tag, part, h.html if isinstance(h, Markup) else h)
+    """The footer, in lower case."""
+    h = h.lower() if isinstance(h, Markup) else F.lower(h)
+    # without a group around it all, which would be entered at every letter of the page; back from a tag's end, class and id are
+    # looked for at an = only (in a tag <class= or <id=, which isn't markup, they must stand a second time)
+    tag = first(h, r"<footer[^>]*>.*?</footer>", 0, flags="s")
+    part = first(h, r'<(?:(?!class=|id=)[^>]+=(?<=class=|id=)|(?=class=|id=)[^>]+(?:class|id)=)["\'][^"\']*(?:footer|copyright|bottom)[^"\']*["\'][^>]*>.*?</[^>]+>', 0, flags="s")
+    return F.coalesce(tag, part, h.low if isinstance(h, Markup) else h)
 
 
 def copyright_years(h: Text, year: Column) -> Column:
     """struct(start, end, since): the years of a copyright mark in the footer, else the year of a 'since' note (A5)."""
-    pattern = r"(?:©|&copy;|\(c\)|copyright)\s*(\d{4})(?:\s*[-–—]\s*(\d{4}))?"
-
-    def read(f: Column) -> Column:
-        start = first(f, pattern, 1).cast("int")
-        end = F.coalesce(first(f, pattern, 2).cast("int"), start)
-        marked = (start >= 1990) & (start <= year) & (end <= year)
-        since = first(f, r"(?:since|od roku|založeno|established)\s*(\d{4})").cast("int")
-        return F.struct(F.when(marked, start).alias("start"), F.when(marked, end).alias("end"), F.when((since >= 1990) & (since <= year) & ~F.coalesce(marked, F.lit(False)), since).alias("since"))
-
-    return bound(_footer(h), read)
+    # ©, &copy;, (c) or copyright; a class comes first, as that is quicker than alternatives at every letter
+    pattern = r"[©&(c](?:(?<=©)|(?<=&)copy;|(?<=\()c\)|(?<=c)opyright)\s*(\d{4}(?:\s*[-–—]\s*\d{4})?)"
+    number = lambda x: F.when(x != "", x.try_cast("int"))  # noqa: E731  (a cast of no text would throw and catch an error for each page)
+
+    def noted(f: Column, mark: Column) -> Column:
+        start, end = number(F.left(mark, F.lit(4))), number(F.right(mark, F.lit(4)))
+        marked = F.coalesce((start >= 1990) & (start <= year) & (end <= year), F.lit(False))
+        since = F.when(~marked, first(Markup(f, f), r"(?:since|od roku|založeno|established)\s*(\d{4})", flags="").try_cast("int"))
+        return bound(since, lambda s: F.struct(F.when(marked, start).alias("start"), F.when(marked, end).alias("end"), F.when((s >= 1990) & (s <= year), s).alias("since")))
+
+    return bound(_footer(h), lambda f: bound(F.regexp_extract(f, pattern, 1), lambda mark: noted(f, mark)))
+
+
+#: Names of what ``outdated_facts`` finds.
+OUTDATED_FACTS = ["_any_type", "_tags", "_styles", "_attributes", "_nested", "_plain", "_spacer", "_cells", "_fixed", "_blocking", "_modified_years"]
+
+
+def _opened(tags: list[str]) -> str:
+    return rf"<(?=[{''.join(sorted({t[0] for t in tags}))}])({'|'.join(tags)})[\s>]"
+
+
+def _modified(p: dict[str, Column]) -> Column:
+    dated = F.regexp_extract(F.try_element_at(p["headers"], F.lit("last-modified")), r"(\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2})", 1)
+    return F.when(dated != "", F.try_to_timestamp(dated, F.lit("d MMM yyyy HH:mm:ss")).cast("timestamp_ntz"))  # without the day's name, which has no pattern
+
+
+def outdated_facts(p: dict[str, Column]) -> dict[str, Column]:
+    """What a rule of outdated code asks for beside its evidence, its score or another rule, each found once, as columns of a prepared
+    page.  What is only counted is looked for in the lower-cased page (A5)."""
+    h, low = markup(p), markup(p).lower()
+    tags = every(low, _opened(DEPRECATED_TAGS), flags="")
+    wide = lambda xs: F.size(F.filter(xs, lambda x: x.try_cast("int") > 500))
+    by_style = wide(every(low, r'style\s*=\s*["\'][^"\']*width\s*:\s*(\d{3,})px', flags=""))
+    by_attribute = F.when(p["low"].rlike(r"\swidth\s*="), wide(every(low, r'<(?=[a-z])(?!img|video|canvas|svg)[a-z][^>]*\swidth\s*=\s*["\']?(\d{3,})["\']?', flags=""))).otherwise(0)
+    scripts = every(F.coalesce(first(low, r"<head[^>]*>(.*?)</head>", flags="s"), F.lit("")), r'<script[^>]+src=["\'][^"\']+["\'][^>]*>', 0, flags="")
+    waited = lambda s: ~s.rlike(r"\b(async|defer)\b") & ~F.regexp_extract(s, r'src=["\']([^"\']+)', 1).rlike(r"google-analytics|gtag|gtm|analytics|pixel|tracking")
+    found = [
+        has(h, r"<!DOCTYPE[^>]*>"),
+        F.array_distinct(tags),
+        count(h, r'\sstyle\s*=\s*["\'][^"\']+["\']'),
+        count(h, r'<table[^>]*(?:width|cellpadding|cellspacing|border)\s*=\s*["\']?\d+'),
+        has(h, r"<table[^>]*>.*<table[^>]*>", flags="isu"),
+        count(h, r"<table(?![^>]*role\s*=)") > 2,
+        has(h, r"(?:spacer|blank|1x1|pixel)\.gif"),
+        p["low"].contains("<td") & (count(h, r'<td[^>]*width\s*=\s*["\']?\d+%') > 5),
+        by_style + by_attribute,
+        F.size(F.filter(scripts, waited)),
+        F.months_between(p["as_of"], _modified(p)) / 12,
+    ]
+    return dict(zip(OUTDATED_FACTS, found, strict=True))
 
 
 def _outdated(p: dict[str, Column]) -> list[tuple[Rule, Column]]:
     """The rules with what each adds to the outdated score."""
     h, year = markup(p), F.year(p["as_of"])
-    tags = F.filter(F.array(*(F.when(has(h, rf"<{t}[\s>]"), F.lit(t)) for t in DEPRECATED_TAGS)), lambda x: x.isNotNull())
-    html5, any_type = has(h, r"<!DOCTYPE\s+html\s*>"), has(h, r"<!DOCTYPE[^>]*>")
-    styles = count(h, r'\sstyle\s*=\s*["\'][^"\']+["\']')
-    attributes = count(h, r'<table[^>]*(?:width|cellpadding|cellspacing|border)\s*=\s*["\']?\d+')
-    nested, spacer = has(h, r"<table[^>]*>.*<table[^>]*>", flags="isu"), has(h, r"spacer\.gif|blank\.gif|1x1\.gif|pixel\.gif")
-    plain, cells = count(h, r"<table(?![^>]*role\s*=)") > 2, count(h, r'<td[^>]*width\s*=\s*["\']?\d+%') > 5
+    any_type, tags, styles, attributes, nested, plain, spacer, cells, fixed, blocking, modified_years = (p[f] for f in OUTDATED_FACTS)
+    html5 = has(h, r"<!DOCTYPE\s+html\s*>")
     points = attributes + F.when(nested, 3).otherwise(0) + plain.cast("int") + F.when(spacer, 5).otherwise(0) + cells.cast("int")
     some = (attributes > 0) | nested | plain | spacer | cells
-    layout = (points >= 3) | ((count(h, r"<table[\s>]") > 3) & some)
+    layout = (points >= 3) | (some & (count(h, r"<table[\s>]") > 3))
     flash = has(h, r'\.swf["\'\s>?]', r"application/x-shockwave-flash", r"<embed[^>]*flash", r"<object[^>]*flash")
-    applet = has(h, r"<applet[\s>]", r"application/x-java-applet", r'\.(class|jar)["\'\s>?]')
-    wide = lambda xs: F.filter(xs, lambda x: x.try_cast("int") > 500)
-    by_style = F.transform(wide(every(h, r'style\s*=\s*["\'][^"\']*width\s*:\s*(\d{3,})px')), lambda x: F.concat(F.lit("s"), x))
-    by_attribute = F.transform(wide(every(h, r'<(?!img|video|canvas|svg)[a-z]+[^>]*\swidth\s*=\s*["\']?(\d{3,})["\']?')), lambda x: F.concat(F.lit("a"), x))
-    fixed = F.concat(by_style, by_attribute)
+    applet = has(h, r"<applet[\s>]", r"application/x-java-applet", r'\.class["\'\s>?]', r'\.jar["\'\s>?]')
     jquery = has(h, r"jquery[.-]?\d+\.\d+(?:\.\d+)?(?:\.min)?\.js", r"jquery\.min\.js", r"code\.jquery\.com", r"cdnjs\.cloudflare\.com/ajax/libs/jquery", r"ajax\.googleapis\.com/ajax/libs/jquery")
-    jquery = jquery | (has(h, r'\bjQuery\s*\(', r'\$\s*\(\s*["\']', r"\.ready\s*\(") & has(h, "jquery"))
-    scripts = every(F.coalesce(first(h, r"<head[^>]*>(.*?)</head>", flags="isu"), F.lit("")), r'<script[^>]+src=["\'][^"\']+["\'][^>]*>', 0)
-    blocking = F.size(F.filter(scripts, lambda s: ~s.rlike(r"(?i)\b(async|defer)\b") & ~F.regexp_extract(s, r'(?i)src=["\']([^"\']+)', 1).rlike(r"(?i)google-analytics|gtag|gtm|analytics|pixel|tracking")))
+    jquery = has(h, "jquery") & (jquery | has(h, r'\bjQuery\s*\(', r'\$\s*\(\s*["\']', r"\.ready\s*\("))
     years = p["_years"]
     start, end, since = years["start"], years["end"], years["since"]
     age, old = year - start, year - since
-    dated = F.regexp_extract(F.coalesce(F.try_element_at(p["headers"], F.lit("last-modified")), F.lit("")), r"(\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2})", 1)
-    modified = F.try_to_timestamp(dated, F.lit("d MMM yyyy HH:mm:ss")).cast("timestamp_ntz")  # without the day's name, which has no pattern
-    modified_years = F.months_between(p["as_of"], modified) / 12
     r = lambda code, when, score, evidence=None: (Rule("outdated_code", code, when, evidence), score)
     one = F.lit(1)
     stale = ((age >= 2) & (age < 5) & (end < year)) | ((age < 2) & (end < year - 1))
     return [
         r("outdated_missing_doctype", ~any_type, one * 2),
         r("outdated_old_doctype", any_type & ~html5, one * 2, first(h, r"(<!DOCTYPE[^>]*>)")),
-        r("outdated_deprecated_tags", F.size(tags) > 0, F.size(tags) * 2, F.array_join(tags, ", ")),
-        r("outdated_no_semantic_html", ~has(h, rf"<(?:{'|'.join(SEMANTIC_TAGS)})[\s>]"), one * 3),
+        r("outdated_deprecated_tags", F.size(tags) > 0, F.size(tags) * 2, F.array_join(F.array_intersect(F.array(*map(F.lit, DEPRECATED_TAGS)), tags), ", ")),
+        r("outdated_no_semantic_html", ~p["low"].rlike(_opened(SEMANTIC_TAGS)), one * 3),
         r("outdated_excessive_inline_styles", styles > 10, one, said(styles, "styles")),
         r("outdated_table_layout", layout, one * 5, said(points, "points")),
         r("outdated_flash_content", flash, one * 10),
         r("outdated_java_applet", applet, one * 10),
-        r("outdated_fixed_width", F.size(fixed) > 5, one * 2, said(F.size(fixed), "elements")),
+        r("outdated_fixed_width", fixed > 5, one * 2, said(fixed, "elements")),
         r("outdated_jquery", jquery, one * 2),
         r("outdated_blocking_scripts", blocking > 0, blocking, said(blocking, "scripts")),
         r("outdated_ancient_copyright", (age >= 10) | (old >= 10), F.when(age >= 10, 10).otherwise(8), F.coalesce(start, since).cast("string")),
         r("outdated_old_copyright", ((age >= 5) & (age < 10)) | ((old >= 5) & (old < 10)), F.when(age >= 5, 5).otherwise(4), F.coalesce(start, since).cast("string")),
         r("outdated_stale_copyright", stale, F.when(age >= 2, 2).otherwise(1), F.concat_ws("-", start.cast("string"), end.cast("string"))),
-        r("outdated_last_modified_old", modified_years >= 3, F.least(F.floor(modified_years / 2).cast("int"), F.lit(5)), modified.cast("string")),
+        r("outdated_last_modified_old", modified_years >= 3, F.least(F.floor(modified_years / 2).cast("int"), F.lit(5)), _modified(p).cast("string")),
     ]
 
 

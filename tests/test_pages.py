@@ -87,6 +87,32 @@ def test_old_code(spark):
     assert (row.outdated_score, row.outdated_level) == (2 + 4 + 10 + 2 + 1 + 10, "critical")
 
 
+def test_outdated_scores_look_once(spark):
+    """What a rule and its score, or several rules, ask for is a column, so each pattern is in the plan once (footer and head were there
+    up to a dozen times)."""
+    plan = audit.outdated_scores(page(spark, ""), AS_OF)._jdf.queryExecution().optimizedPlan().toString()
+    patterns = [r"|(?<=c)opyright)", "od roku|", "<head[^>]*>", "|marquee|", "|cellpadding|", r"</footer>, 0", "d MMM yyyy", r"\swidth\s*=\s*"]
+    assert {p: plan.count(p) for p in patterns} == dict.fromkeys(patterns, 1)
+
+
+@pytest.mark.parametrize(("html", "years"), [
+    ("<p>© 1999</p><div class=x ID='Page-FOOTER'>Copyright 2001 – 2003</div>", (2001, 2003, None)), ("<footer>(C)2012</footer>©1995", (2012, 2012, None)), ("&COPY; 2010 - 20155", (2010, 2015, None)),
+    ("<footer>© 2030, since 1998</footer>", (None, None, 1998)), ("Od Roku 1990 © 1980", (None, None, 1990)), ("ZALOŽENO 2005", (None, None, 2005)), ("since 1980", (None, None, None)), ("", (None, None, None)),
+    ("<a <class='footer'>© 2011</a>© 2012", (2011, 2011, None)), ("<class='footer'>© 2011</a>© 2012", (2011, 2011, None)), ("<class='x' id='bottom'>© 2013</a>", (2013, 2013, None)), ("© 2011 <i data-id='bottom'>2010</i>", (None, None, None)),
+])
+def test_copyright_years(spark, html, years):
+    read = technical.copyright_years(R.markup({c: F.col(c) for c in ("html", "low")}), F.lit(2024))
+    assert tuple(page(spark, html).withColumn("low", F.lower("html")).select(read.alias("y")).head().y) == years
+
+
+def test_outdated_counts(spark):
+    wide = "".join(f'<{t} WIDTH="{n}"></{t}>' for t, n in (("td", 501), ("img", 900), ("td", 500), ("h1", 9999999999), ("Td", 600), ("x", 700)))
+    html = f"<!doctype html><MAIN>{wide}" + '<p STYLE="max-width: 900px; Width:800px">' * 3 + "<Frameset><ACRONYM\n><center>"
+    found = {r.code: r.evidence for r in audit.issues(page(spark, html, headers={"LAST-MODIFIED": "Mon, 6 Jan 2020 10:00:00 GMT"}), AS_OF, categories=["outdated_code"]).collect()}
+    assert found == {"outdated_deprecated_tags": "center, frameset, acronym", "outdated_fixed_width": "6 elements", "outdated_last_modified_old": "2020-01-06 10:00:00"}
+    assert audit.outdated_scores(page(spark, html), AS_OF).head().outdated_score == 6 + 2
+
+
 def test_versions(spark):
     below = lambda v, limit: spark.createDataFrame([(v,)], "v string").select(technical.version_below(F.col("v"), limit).alias("b")).head().b
     assert below("3.4.9", "3.5.0") and not below("3.10.0", "3.5.0") and not below("3.5.0", "3.5.0")
